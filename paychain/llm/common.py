@@ -59,3 +59,47 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
 def crc_remainder(key: str, n: int):
     """crc32 of the key as text, modulo ``n``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % n
+
+
+def with_columns(
+    docs: DataFrame, keep: list[str], text: str, fn: Callable[[list[bytes | None], pa.RecordBatch], list], added: str, names: list[str], extra: tuple[str, ...] = ()
+) -> DataFrame:
+    """``keep`` columns of ``docs`` and those that ``fn`` makes from the texts of a batch.
+
+    A kept column whose name a new one takes is left out. ``extra`` columns follow the text in what fn sees.
+    """
+    keep = [c for c in keep if c.lower() not in {n.lower() for n in names}]
+    kept = [docs[f"`{c}`"] for c in keep]
+    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), added])
+    n = len(keep)
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns[:n], *fn(blobs(batch.column(n)), batch)], [*keep, *names])
+
+    inner = docs.select(*(c.alias(f"_k{i}") for i, c in enumerate(kept)), docs[f"`{text}`"].alias("_text"), *(docs[f"`{c}`"].alias(f"_x{i}") for i, c in enumerate(extra)))
+    return map_batches(inner, one, schema)
+
+
+def cut_spans(docs: DataFrame, text: str, spans: str, filler: str) -> DataFrame:
+    """``docs`` with the code-point ``spans`` (structs with start and end) of the text replaced by ``filler``; spans may overlap."""
+    from pyspark.sql import types as T
+
+    names = docs.columns
+    at, where = names.index(text), names.index(spans)
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, found = batch.column(at).to_pylist(), batch.column(where).to_pylist()
+        for i, got in enumerate(found):
+            if got:
+                out, done, t = [], 0, texts[i]
+                for s, e in sorted((x["start"], x["end"]) for x in got):
+                    if e > done:
+                        out += [t[done : max(s, done)], filler] if s >= done else []
+                        done = e
+                texts[i] = "".join([*out, t[done:]])
+        cols = list(batch.columns)
+        cols[at] = pa.array(texts, pa.string())
+        return pa.RecordBatch.from_arrays(cols, names)
+
+    return map_batches(docs, one, T.StructType(docs.schema.fields))

@@ -1,20 +1,86 @@
-"""The queries opN_<name> and their SQL."""
+"""The queries opN_<name>, each an operator applied to its whole table, and their SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paychain.llm.common import table
+from paychain.llm import decontaminate, langid, mixing, secrets, simhash, suffixes, toxicity, urlfilter, warc
+from paychain.llm.common import crc_remainder, table
 
 
-def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three-word shingles, links at two or fewer differing bits, over all documents."""
-    from paychain.llm.simhash import near_duplicates
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from rows with crc32(doc_id) mod 3 other than 1; the others are held out."""
+    docs = table(spark, sf_dir, "documents")
+    held = crc_remainder("doc_id", 3) == 1
+    model = langid.train(docs, usable=~held)
+    return langid.predict(docs, model, keep=["doc_id"]).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    digest = F.sha2(F.concat_ws(",", "items"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_records(index, payloads=False).select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
-    found = near_duplicates(table(spark, sf_dir, "documents"), size=3, radius=2)
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-word shingles, links at two or fewer differing bits."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op7_simhash,)}
-ORACLE_SQL: dict[str, str] = {}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from labels with crc32(doc_id) mod 5 other than 0; the others are held out."""
+    docs = table(spark, sf_dir, "documents")
+    held = crc_remainder("doc_id", 5) == 0
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), usable=~held)
+    found = toxicity.score(docs, model, keep=["doc_id"])
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+    def told(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [number(k) for k in secrets.BASE]
+    return found.select("doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_decontaminate, op4_warc, op5_suffix_dedup, op6_url_filter, op7_simhash, op8_toxicity, op10_secrets)}
+
+#: Base-32 of 20 bits, five hexadecimal digits at a time.
+_BASE32 = "array_to_string(list_transform(range(0, 32), i -> 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)]), '')"
+
+ORACLE_SQL = {
+    "op4_warc": f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN first IS DISTINCT FROM page_id AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM p JOIN f USING (h)""",
+    "op6_url_filter": urlfilter.oracle(),
+}
