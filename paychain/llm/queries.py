@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paychain.llm import decontaminate, langid, mixing, secrets, simhash, suffixes, toxicity, urlfilter, warc
+from paychain.llm import covertree, decontaminate, langid, mixing, secrets, simhash, suffixes, toxicity, urlfilter, warc
 from paychain.llm.common import crc_remainder, table
 
 
@@ -56,6 +56,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -70,10 +74,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_decontaminate, op4_warc, op5_suffix_dedup, op6_url_filter, op7_simhash, op8_toxicity, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_decontaminate, op4_warc, op5_suffix_dedup, op6_url_filter, op7_simhash, op8_toxicity, op9_embedding_dedup, op10_secrets)}
 
 #: Base-32 of 20 bits, five hexadecimal digits at a time.
-_BASE32 = "array_to_string(list_transform(range(0, 32), i -> 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)]), '')"
+_BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)]), '')"
 
 ORACLE_SQL = {
     "op4_warc": f"""

@@ -102,7 +102,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, page: str = "pag
                 continue
             if out is None:
                 store.create_dir(top, recursive=True)
-                out = store.open_output_stream(name)
+                out = store.open_output_stream(name, compression=None)  # records are compressed one by one
             index: dict[str, list] = {k: [] for k in ("page", "url", "archive", "offset", "length", "payload_digest", "record_type", "refers_to")}
             for p, u, body, first in zip(*(c.to_pylist() for c in (batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()), batch.column(3)))):
                 digest = base64.b32encode(hashlib.sha1(body).digest())
