@@ -11,8 +11,8 @@ quicksort and neighbours are compared, also across the boundaries of ranges. So
 gathered: a third of all suffixes may be equal and is still cut into ranges.
 
 Neighbours that share all tokens make all windows of their runs repeated. Where they share
-the first token alone, single windows of the runs may be equal: of such runs, one of each kind is
-expanded into its windows, and their fingerprints go through the same sort once more.
+the first token alone, some windows of the runs may be equal: of such runs, one of each kind is
+cut into parts, which go through the same sort, and what is still open of these into windows.
 
 Fingerprints of 128 bits stand for the strings.
 """
@@ -21,19 +21,21 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from paychain.llm.common import blobs, materialize
+from paychain.llm.common import blobs, map_batches, materialize
 
 LENGTH = 400
 #: Anchors are among so many first places of a window; texts are hashed in pieces of so many bytes.
 SPREAD, PIECE = 192, 1 << 18
+#: Runs that are partly repeated are looked into by parts of so many windows.
+PART = 16
 
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
@@ -44,14 +46,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
+_TABLES: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+
 def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Values of bytes, powers of a base and of its inverse modulo 2^64, n of them."""
+    """Values of bytes, powers of a base and of its inverse modulo 2^64, n of them at least."""
+    if which in _TABLES and len(_TABLES[which][1]) >= n:
+        return _TABLES[which]
     base = int(_ODD[which]) | 1
     inverse = pow(base, -1, 1 << 64)
     up, down = np.full(n, base, np.uint64), np.full(n, inverse, np.uint64)
     up[0] = down[0] = 1
-    return _mix(np.arange(1, 257, dtype=np.uint64) * _ODD[1 - which]), np.cumprod(up), np.cumprod(down)
+    _TABLES[which] = _mix(np.arange(1, 257, dtype=np.uint64) * _ODD[1 - which]), np.cumprod(up), np.cumprod(down)
+    return _TABLES[which]
 
 
 class Hashes:
@@ -93,15 +100,34 @@ def runs(data: np.ndarray, length: int, spread: int) -> tuple[np.ndarray, np.nda
     return place[first], first, np.r_[first[1:], n] - 1
 
 
-def suffix_tokens(text: bytes, length: int, spread: int) -> tuple[np.ndarray, ...]:
-    """(first token, second token, first window, last window) of each run of a text."""
+def tokens_of(core: Hashes, whole: Hashes, anchor: np.ndarray, first: np.ndarray, last: np.ndarray, group: np.ndarray, width: int, length: int) -> list[np.ndarray]:
+    """Both tokens of runs of windows whose offsets before the anchor are in [group * width, group * width + width).
+
+    The first is of the bytes that every window with such an offset holds, the second of all that the run covers.
+    """
+    start = anchor - group * width
+    leading = _mix(core.of(start, start + length - width + 1) + group.astype(np.uint64) * _ODD[0])
+    return [leading, _mix(whole.of(first, last + length) + (anchor - first).astype(np.uint64) * _ODD[0] + (last - anchor).astype(np.uint64) * _ODD[1])]
+
+
+def suffix_tokens(text: bytes, length: int, spread: int) -> list[np.ndarray]:
+    """[first token, second token, anchor, first window, last window] of each run of a text."""
     data = np.frombuffer(text, np.uint8)
     anchor, first, last = runs(data, length, spread)
-    if not len(anchor):
-        return anchor.astype(np.uint64), anchor.astype(np.uint64), first, last
-    core = Hashes(data, 0).of(anchor, anchor + length - spread + 1)
-    whole = Hashes(data, 1).of(first, last + length)
-    return core, _mix(whole + (anchor - first).astype(np.uint64) * _ODD[0] + (last - anchor).astype(np.uint64) * _ODD[1]), first, last
+    core, whole = Hashes(data, 0), Hashes(data, 1)
+    return [*tokens_of(core, whole, anchor, first, last, np.zeros(len(anchor), np.int64), spread, length), anchor, first, last]
+
+
+def part_tokens(text: bytes, found: list[dict], length: int, width: int) -> list[np.ndarray]:
+    """suffix_tokens and whether the run is single, for the parts of ``width`` offsets of the runs found."""
+    data = np.frombuffer(text, np.uint8)
+    rows = []
+    for r in found:
+        a, lo, hi = r["anchor"], r["lo"], r["hi"]
+        for g in range((a - hi) // width, (a - lo) // width + 1):
+            rows.append((a, max(lo, a - g * width - width + 1), min(hi, a - g * width), g, r["single"]))
+    anchor, first, last, group, single = np.array(rows, np.int64).T
+    return [*tokens_of(Hashes(data, 0), Hashes(data, 1), anchor, first, last, group, width, length), anchor, first, last, single.astype(bool)]
 
 
 def multikey_order(tokens: list[np.ndarray]) -> np.ndarray:
@@ -167,6 +193,21 @@ def shared_with_neighbours(rows: DataFrame, tokens: list[str], ties: list[str])
     return both.where("before > 0 OR after > 0")
 
 
+def _merged(start: np.ndarray, end: np.ndarray) -> list[list[int]]:
+    """Maximal runs of the union of spans."""
+    if not len(start):
+        return []
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order])
+    new = np.r_[True, start[1:] > end[:-1]]
+    return np.stack([start[new], end[np.r_[new[1:], True]]], 1).tolist()
+
+
+def _ends(lists: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(starts, ends) of each list of spans."""
+    return [tuple(np.asarray(x.values.field(k)) for k in (0, 1)) if x.is_valid else (np.empty(0, np.int32),) * 2 for x in lists]
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, spread: int = SPREAD, texts: bool = True) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, spans and, with ``texts``, kept) for each row of ``docs``.
 
@@ -175,39 +216,78 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     kept the remaining bytes (which may cut a character). Null texts are empty; texts under ``length`` bytes keep
     all. Rows that are equal in key and text repeat each other. No rows give no rows.
     """
-    if length < spread + 8:
-        spread = max(1, length - 8)
+    spread = min(spread, max(1, length - 8))
     kind = docs.schema[key].dataType.simpleString()
     base = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("print"))
+    row = ["key", "print"]
+    same_row = F.col("key").eqNullSafe(F.col("_key")) & (F.col("print") == F.col("_print"))
+    by_row = [F.col(c).alias(f"_{c}") for c in row]
+    tokens = f"core long, whole long, anchor int, lo int, hi int, key {kind}, print long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of ``tokens`` for the texts, or with a column of runs for the parts of these."""
         for batch in batches:
-            # texts of some MB at a time
+            found = batch.column(3).to_pylist() if batch.num_columns > 3 else None
             parts, at, size = [], [], 0
             for i, t in enumerate(blobs(batch.column(1))):
                 if t and len(t) >= length:
-                    parts.append(suffix_tokens(t, length, spread))
+                    parts.append(part_tokens(t, found[i], length, PART) if found else suffix_tokens(t, length, spread))
                     at.append(np.full(len(parts[-1][0]), i))
                     size += len(parts[-1][0])
                 if parts and (size > 100_000 or i == batch.num_rows - 1):
-                    core, whole, first, last = (np.concatenate(x) for x in zip(*parts))
+                    core, whole, *places = (np.concatenate(x) for x in zip(*parts))
                     rows = pa.array(np.concatenate(at))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)), batch.column(0).take(rows), batch.column(2).take(rows), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
-                        ["core", "whole", "key", "print", "lo", "hi"],
-                    )
+                    cols = [core.view(np.int64), whole.view(np.int64), *(x.astype(np.int32) for x in places[:3])]
+                    cols = [*map(pa.array, cols), batch.column(0).take(rows), batch.column(2).take(rows), *map(pa.array, places[3:])]
+                    yield pa.RecordBatch.from_arrays(cols, ["core", "whole", "anchor", "lo", "hi", *row, "single"][: len(cols)])
                     parts, at, size = [], [], 0
 
-    long_texts = base.where(F.octet_length("text") >= length)
-    suffixes = materialize(long_texts.mapInArrow(cut, f"core long, whole long, key {kind}, print long, lo int, hi int"))
-    near = materialize(shared_with_neighbours(suffixes, ["core", "whole"], ["print", "lo"]))
-    repeated = near.where("before = 2 OR after = 2").select("key", "print", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
-    single = (F.col("before") < 2) & (F.col("after") < 2)
-    partly = (
-        near.where("before = 1 OR after = 1")
-        .groupBy(F.col("key").alias("_key"), F.col("print").alias("_print"))
-        .agg(F.collect_list(F.struct("lo", "hi", single.alias("single"))).alias("runs"))  # of one text
+    whole_run = (F.col("before") == 2) | (F.col("after") == 2)
+    edge = (F.col("before") == 1) | (F.col("after") == 1)  # the first or last of its kind, and other kinds share the first token
+    covered = F.struct(F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
+
+    suffixes = materialize(base.where(F.octet_length("text") >= length).mapInArrow(cut, tokens))
+    near = shared_with_neighbours(suffixes, ["core", "whole"], ["print", "lo"])
+    told = near.groupBy(*by_row).agg(  # of one text
+        F.collect_list(F.when(whole_run, covered)).alias("spans"), F.collect_list(F.when(edge, F.struct("anchor", "lo", "hi", (~whole_run).alias("single")))).alias("runs")
     )
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    result = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *(["kept"] if texts else [])]
+    schema = f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: int, end: int>>" + ", kept binary" * texts
+
+    def drop(keys: pa.Array, bodies: list[bytes | None], spans: list[tuple[np.ndarray, np.ndarray]]) -> list[pa.Array]:
+        """The columns of the result; those of a text that is still open, None, are null but for its spans."""
+        out: list[list] = [[], [], [], [], [], []]
+        for t, (start, end) in zip(bodies, spans):
+            merged = _merged(start, end)
+            rest, done = [], 0
+            for s, e in merged if t is not None else ():
+                rest.append(t[done:s])
+                done = e
+            rest = None if t is None else b"".join([*rest, t[done:]])
+            got = (None, None, None, None) if t is None else (len(t), len(t) - len(rest), len(merged), hashlib.sha256(rest).hexdigest())
+            for column, x in zip(out, (*got, [{"start": s, "end": e} for s, e in merged], rest)):
+                column.append(x)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), span, pa.binary())
+        return [keys, *(pa.array(c, k) for c, k in zip(out, kinds))][: len(result)]
+
+    def settle(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Finish the texts without runs to look into; keep the others' texts."""
+        bodies, open_runs = blobs(batch.column(1)), batch.column(4)
+        is_open = [r.is_valid and len(r.values) > 0 for r in open_runs]
+        cols = drop(batch.column(0), [None if o else t or b"" for o, t in zip(is_open, bodies)], _ends(batch.column(3)))
+        kept = pa.array(is_open)
+        texts_left = pa.compute.if_else(kept, batch.column(1), pa.scalar(None, batch.column(1).type))
+        return pa.RecordBatch.from_arrays([*cols, batch.column(2), texts_left, pa.compute.if_else(kept, open_runs, pa.scalar(None, open_runs.type))], [*result, "print", "text", "runs"])
+
+    joined = base.join(told, same_row, "left").select("key", "text", "print", "spans", "runs")
+    settled = materialize(map_batches(joined, settle, schema + ", print long, text string, runs array<struct<anchor: int, lo: int, hi: int, single: boolean>>"))
+    still = settled.where("text IS NOT NULL")
+
+    parts = materialize(still.select("key", "text", "print", "runs").mapInArrow(cut, tokens + ", single boolean"))
+    near = shared_with_neighbours(parts, ["core", "whole"], ["print", "lo"])
+    found = near.where(F.col("single") & whole_run).select(*row, covered.alias("span"))
+    partly = near.where(edge).groupBy(*by_row).agg(F.collect_list(F.struct("lo", "hi", (F.col("single") & ~whole_run).alias("single"))).alias("parts"))  # of one text
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,41 +297,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 one = np.concatenate([np.full(r["hi"] - r["lo"] + 1, r["single"]) for r in found])
                 rows = pa.array(np.full(len(at), i))
                 h = [pa.array(Hashes(data, k).of(at, at + length).view(np.int64)) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*h, batch.column(0).take(rows), batch.column(2).take(rows), pa.array(at.astype(np.int32)), pa.array(one)], ["h0", "h1", "key", "print", "at", "single"])
+                yield pa.RecordBatch.from_arrays([*h, batch.column(0).take(rows), batch.column(2).take(rows), pa.array(at.astype(np.int32)), pa.array(one)], ["h0", "h1", *row, "lo", "single"])
 
-    windows = materialize(
-        long_texts.join(partly, F.col("key").eqNullSafe(F.col("_key")) & (F.col("print") == F.col("_print")))
-        .select("key", "text", "print", "runs")
-        .mapInArrow(expand, f"h0 long, h1 long, key {kind}, print long, at int, single boolean")
-    )
-    met = shared_with_neighbours(windows, ["h0", "h1"], ["print", "at"]).where("single AND (before = 2 OR after = 2)")
-    marks = repeated.union(met.select("key", "print", F.col("at").alias("start"), (F.col("at") + length).alias("end")))
-    marks = marks.groupBy(F.col("key").alias("_key"), F.col("print").alias("_print")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # of one text
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *(["kept"] if texts else [])]
+    windows = still.join(partly, same_row).select("key", "text", "print", "parts").mapInArrow(expand, f"h0 long, h1 long, key {kind}, print long, lo int, single boolean")
+    met = shared_with_neighbours(materialize(windows), ["h0", "h1"], ["print", "lo"]).withColumn("hi", F.col("lo")).where(F.col("single") & whole_run)
+    marks = found.union(met.select(*row, covered.alias("span"))).groupBy(*by_row).agg(F.collect_list("span").alias("more"))  # of one text
 
-    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size, gone, digest, spans, kept = [], [], [], [], []
-            for t, found in zip(blobs(batch.column(1)), batch.column(2)):
-                t = t or b""
-                merged: list[list[int]] = []
-                if found.is_valid:
-                    start, end = (np.asarray(found.values.field(k)) for k in (0, 1))
-                    order = np.argsort(start, kind="stable")
-                    start, end = start[order], np.maximum.accumulate(end[order])
-                    new = np.r_[True, start[1:] > end[:-1]]
-                    merged = np.stack([start[new], end[np.r_[new[1:], True]]], 1).tolist()
-                rest, done = [], 0
-                for s, e in merged:
-                    rest.append(t[done:s])
-                    done = e
-                rest = b"".join([*rest, t[done:]])
-                size.append(len(t)), gone.append(len(t) - len(rest)), digest.append(hashlib.sha256(rest).hexdigest())
-                spans.append([{"start": s, "end": e} for s, e in merged]), kept.append(rest)
-            cols = [batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(digest), pa.array(spans, span), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols[: len(names)], names)
+    def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
+        spans = [tuple(np.r_[x, y] for x, y in zip(a, b)) for a, b in zip(_ends(batch.column(2)), _ends(batch.column(3)))]
+        return pa.RecordBatch.from_arrays(drop(batch.column(0), blobs(batch.column(1)), spans), result)
 
-    schema = f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: int, end: int>>" + ", kept binary" * texts
-    joined = base.join(marks, F.col("key").eqNullSafe(F.col("_key")) & (F.col("print") == F.col("_print")), "left").select("key", "text", "spans")
-    return joined.mapInArrow(drop, schema).withColumnRenamed("key", key)
+    finished = map_batches(still.join(marks, same_row, "left").select("key", "text", "spans", "more"), finish, schema)
+    return settled.where("text IS NULL").select(*result).union(finished).withColumnRenamed("key", key)
