@@ -70,17 +70,22 @@ def buckets_of(text: str) -> np.ndarray | None:
 
 
 def _features(rows: DataFrame) -> DataFrame:
-    """(lang, part, ids, weights) of (lang, part, text): each distinct bucket's share of the text's n-grams."""
+    """(lang, part, ids, weights) of (lang, part, text): each distinct bucket's share of the n-grams of the text, and of a few of its words."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, weights = [], []
-        for t in batch.column(2).to_pylist():
-            b = buckets_of(t or "")
-            n = np.bincount(b, minlength=BUCKETS) if b is not None else np.zeros(1, np.int64)
-            at = np.flatnonzero(n)
-            ids.append(at.astype(np.int32))
-            weights.append((n[at] / max(1, n.sum())).astype(np.float32))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))], ["lang", "part", "ids", "weights"])
+        rows, ids, weights = [], [], []
+        for i, t in enumerate(batch.column(2).to_pylist()):
+            tokens = (t or "").split()
+            few = " ".join(tokens[len(tokens) // 3 :][: 1 + len(tokens) % 7])  # short texts are learned from and calibrated on as well
+            for x in (t or "", few):
+                b = buckets_of(x)
+                n = np.bincount(b, minlength=BUCKETS) if b is not None else np.zeros(1, np.int64)
+                at = np.flatnonzero(n)
+                rows.append(i)
+                ids.append(at.astype(np.int32))
+                weights.append((n[at] / max(1, n.sum())).astype(np.float32))
+        kept = batch.take(pa.array(rows, pa.int64()))
+        return pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))], ["lang", "part", "ids", "weights"])
 
     return map_batches(rows, one, "lang string, part int, ids array<int>, weights array<float>")
 
@@ -102,7 +107,7 @@ def train(
     sample = pool.where(draw < F.coalesce(share[F.col(lang)], F.lit(0))).select(
         F.col(lang).alias("lang"), (F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key)), F.lit(4))).cast("int").alias("part"), F.col(text).alias("text")
     )
-    data = _features(sample).where(F.size("ids") > 0).limit(2 * rows_per_language * len(sizes)).toArrow()
+    data = _features(sample).where(F.size("ids") > 0).limit(4 * rows_per_language * len(sizes)).toArrow()
     if not data.num_rows:
         return None
     y_names = data.column("lang").to_pylist()

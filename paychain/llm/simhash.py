@@ -56,7 +56,7 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     """The k-th 64-bit word derived from each hash; the 0th is the hash."""
     if not k:
         return h
-    h = h + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+    h = h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
@@ -124,9 +124,11 @@ def block_edges(homes: np.ndarray, rows: np.ndarray, radius: int, pivot: np.ndar
         lo, hi = np.searchsorted(at_row, [at_home[i] - reach, at_home[i] + reach + 1])
         far = _distance(rows[lo:hi], homes[i])
         near = far <= radius
-        if len(members) > 1:
-            for j in np.flatnonzero(~near & (far <= reach)):
-                near[j] = (_distance(homes[members], rows[lo + j]) <= radius).any()
+        if len(members) > 1:  # what is connected already needs no look
+            fringe = np.flatnonzero(~near & (far <= reach) & (label[len(homes) + order[lo:hi]] != label[i]))
+            for at in range(0, len(fringe), 64):
+                some = fringe[at : at + 64]
+                near[some] = (np.bitwise_count(rows[lo + some][:, None, :] ^ homes[members][None, :, :]).sum(2, dtype=np.int16) <= radius).any(1)
         linked = np.concatenate([members, len(homes) + order[lo:hi][near]])
         labels, first = np.unique(label[linked], return_index=True)
         if len(labels) > 1:
@@ -234,19 +236,37 @@ def link_forest(distinct: DataFrame, radius: int, words: int = 1, tables: int =
     return dealt.repartition("cell", "part").mapInArrow(link, "a array<long>, b array<long>").where("a != b")
 
 
+def similar_radius(similarity: float, words: int) -> int:
+    """The bits by which fingerprints of texts differ whose shingle sets have this Jaccard similarity, and a standard deviation."""
+    p, n = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * words
+    return math.ceil(n * p + math.sqrt(n * p * (1 - p)))
+
+
+def sampled_tables(similarity: float, n: int, recall: float = 0.95) -> tuple[int, int]:
+    """(tables, bits) for cells of about 32 of n fingerprints, in which pairs of this similarity meet with probability ``recall``."""
+    bits = max(12, math.ceil(math.log2(max(n, 1) / 32)))
+    together = (1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** bits
+    return math.ceil(math.log(1 - recall) / math.log(1 - together)), bits
+
+
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, radius: int = 2, words: int = 1, tables: int = 0, sampled: int = 16
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, radius: int | None = 2, words: int = 1, similarity: float | None = None
 ) -> DataFrame:
     """(key, fp, component_id) for each row of ``docs``; component_id is the smallest key reachable by links.
 
     fp is an array of 64-bit words. Rows with equal fingerprints are linked, so copies are grouped by
     an aggregation and only distinct fingerprints are compared. Null, empty and blank texts have
-    fingerprint zero and are linked with each other like any other. Repeated keys are separate rows.
+    fingerprint zero and are linked with each other like any other. Repeated keys are separate rows. With
+    ``similarity`` the radius follows from it and pairs are sought in sampled tables, else all links are found.
     A null key has the smallest key of its component, null if there is none. No rows give no rows.
     """
     fs = [f"f{k}" for k in range(words)]
     prints = materialize(fingerprints(docs, key, text, size, words))
     distinct = materialize(prints.groupBy(*fs).agg(F.min(key).alias("least")))
+    tables, sampled = 0, 0
+    if similarity is not None:
+        radius = similar_radius(similarity, words)
+        tables, sampled = sampled_tables(similarity, distinct.count())
     roots = connected_components(link_forest(distinct, radius, words, tables, sampled))
     linked = materialize(distinct.select(F.array(*fs).alias("node"), "least").join(roots, "node", "left"))
     group = linked.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("first"))

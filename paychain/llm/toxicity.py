@@ -123,12 +123,32 @@ def train(
     weight = PRIOR * (n_clean + n_toxic)
     prior = PRIOR * (F.col("clean") + F.col("toxic"))
     odds = lambda y, n: F.log((y + prior) / (n + weight - y - prior))
-    top = (
-        counts.where("toxic > 1")
-        .select("token", "clean", "toxic", (odds(F.col("toxic"), n_toxic) - odds(F.col("clean"), n_clean)).alias("delta"), F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior)).alias("error"))
-        .where(F.col("delta") > Z * F.col("error")).orderBy(F.desc(F.col("delta") / F.col("error")), "token").limit(MAX_LEXICON).collect()
-    )
+
+    def significant(table: DataFrame) -> list:
+        scored = table.where("toxic > 1").select(
+            "token", "clean", "toxic", (odds(F.col("toxic"), n_toxic) - odds(F.col("clean"), n_clean)).alias("delta"), F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior)).alias("error")
+        )
+        return scored.where(F.col("delta") > Z * F.col("error")).orderBy(F.desc(F.col("delta") / F.col("error")), "token").limit(MAX_LEXICON).collect()
+
+    # copies of one text repeat its words: tokens count again by the words around their first place, each pair once
+    hopeful = {bytes(r["token"]) for r in significant(counts)}
     counts.unpersist()
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: set[tuple[bytes, bytes, int]] = set()
+            for t, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                tokens = [b"", *t.encode("utf-8", "replace").translate(_FOLD).split(), b""] if t else []
+                first: dict[bytes, int] = {}
+                for i, w in enumerate(tokens):
+                    if w in hopeful:
+                        first.setdefault(w, i)
+                out.update((w, tokens[i - 1] + b" " + tokens[i + 1], int(toxic > 0)) for w, i in first.items())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.binary(), pa.binary(), pa.int32()))], ["token", "pair", "toxic"])
+
+    pairs = rows.where("_part > 0").select("_text", "_toxic").mapInArrow(around, "token binary, pair binary, toxic int").distinct()
+    top = significant(pairs.groupBy("token").agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") > 0).alias("toxic"))) if hopeful else []
     lexicon = {bytes(r["token"]): r["delta"] - r["error"] for r in top}
     # the scale solves E[exp(scale * score)] = 1 over clean tokens
     shares = [((r["clean"] + 0.5) / n_clean, lexicon[bytes(r["token"])]) for r in top]
