@@ -2,12 +2,35 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paychain.llm.common import materialize
 
 
+class Forest:
+    """Which of n points are connected."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def find(self, i: np.ndarray) -> np.ndarray:
+        r = self.up[i]
+        while (self.up[r] != r).any():
+            r = self.up[r]
+        self.up[i] = r
+        return r
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Connect a[k] with b[k] for each k."""
+        while len(a):
+            a, b = self.find(a), self.find(b)
+            open_pairs = a != b
+            a, b = a[open_pairs], b[open_pairs]
+            np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """One row (node, root) for each node of an edge; root is the smallest node of its component.
 

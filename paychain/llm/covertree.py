@@ -6,9 +6,13 @@ their centres are farther apart than both covering radii and the link distance,
 together when no two of their points can be farther apart than it.
 
 A group (equal label and dimension) that is too large for a task is cut first: points of a
-bounded sample, none close to another, are centres; every point is at home at its nearest centre and
-visits those centres in whose ball, widened by the link distance, it lies. A pair is found where
-either of its points is at home. Cells that stay too large are dealt over a grid of blocks.
+bounded sample, none close to another, are centres; every point is at home at its nearest centre, or
+outside if that is far, and visits those cells in whose ball, widened by the link distance, it lies. A
+pair is found where either of its points is at home. Cells that stay too large are dealt over a grid of
+blocks.
+
+Points without structure, as far from each other as any, would make a node for each; beyond FAN
+children the rest of a node's points stay together and are compared by matrix products.
 """
 
 from __future__ import annotations
@@ -21,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paychain.llm.common import map_batches, materialize
-from paychain.llm.components import connected_components
+from paychain.llm.components import Forest, connected_components
 
 COSINE = 0.98
-#: Points at home in a task, points it compares them with, points of a leaf, centres in all.
-HOME_ROWS, BLOCK_ROWS, LEAF, CENTRES = 4096, 16384, 48, 4096
+#: Points at home in a task, points it compares them with, points of a leaf, children of a node, centres in all.
+HOME_ROWS, BLOCK_ROWS, LEAF, FAN, CENTRES = 16384, 32768, 64, 256, 4096
+#: Points farther from every centre than so many link distances are outside.
+OUTSIDE = 4.0
 _SLACK = 1e-7
 
 
@@ -58,34 +64,16 @@ def cover_tree(x: np.ndarray, leaf: int = LEAF) -> Node:
             far = _far(x[rest], x[rest[0]])
             near = far <= half
             near[0] = True
+            if len(at.children) >= FAN:
+                at.children.append(Node(int(rest[0]), float(far.max()), rest, []))
+                break
             at.children.append(node(rest[near], far[near]))
             rest = rest[~near]
-        open_nodes += at.children
+        # a rest that stays together is a leaf of any size
+        open_nodes += at.children[:FAN]
     return root
 
 
-class Forest:
-    """Which of n points are connected."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def find(self, i: np.ndarray) -> np.ndarray:
-        r = self.up[i]
-        while (self.up[r] != r).any():
-            r = self.up[r]
-        self.up[i] = r
-        return r
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Connect a[k] with b[k] for each k."""
-        while len(a):
-            a, b = self.find(a), self.find(b)
-            open_pairs = a != b
-            a, b = a[open_pairs], b[open_pairs]
-            np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
-
-
 def dual_links(homes: np.ndarray, rows: np.ndarray, weight: np.ndarray, cosine: float, forest: Forest) -> np.ndarray:
     """For each row the weight of the homes that it links with, itself included if it is one; links are joined in the forest of homes, rows."""
     n, count = len(homes), np.zeros(len(rows), np.int64)
@@ -101,10 +89,13 @@ def dual_links(homes: np.ndarray, rows: np.ndarray, weight: np.ndarray, cosine:
             forest.join(np.full(len(a.points), n + b.centre), a.points)
             forest.join(np.full(len(b.points), a.centre), n + b.points)
         elif not a.children and not b.children:
-            links = homes[a.points] @ rows[b.points].T >= cosine
-            count[b.points] += weight[a.points] @ links
-            i, j = np.nonzero(links)
-            forest.join(a.points[i], n + b.points[j])
+            for s in range(0, len(a.points), 1024):
+                for t in range(0, len(b.points), 1024):
+                    p, q = a.points[s : s + 1024], b.points[t : t + 1024]
+                    links = homes[p] @ rows[q].T >= cosine
+                    count[q] += weight[p] @ links
+                    i, j = np.nonzero(links)
+                    forest.join(p[i], n + q[j])
         elif a.children and (not b.children or a.radius >= b.radius):
             near = _far(homes[[c.centre for c in a.children]], rows[b.centre]) <= np.array([c.radius for c in a.children]) + b.radius + reach + _SLACK
             stack += [(a.children[k], b) for k in np.flatnonzero(near)]
@@ -222,14 +213,15 @@ def _cells(points: DataFrame, cosine: float) -> DataFrame:
             net.append(x)
     centres = points.sparkSession.sparkContext.broadcast({k: np.stack(v) for k, v in groups.items() if len(v) > 1})
     kind = points.schema["label"].dataType.simpleString()
+    outside, rim = -2, OUTSIDE * reach
 
     def nearest(batch: pa.RecordBatch) -> pa.RecordBatch:
         cell, far = np.full(batch.num_rows, -1, np.int32), np.zeros(batch.num_rows)
         for i, (g, d, v) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column("v"))):
             if (net := centres.value.get((g, d))) is not None:
                 all_far = _far(net, np.asarray(v.values))
-                cell[i] = all_far.argmin()
-                far[i] = all_far[cell[i]]
+                far[i] = all_far.min()
+                cell[i] = all_far.argmin() if far[i] <= rim else outside
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], [*batch.schema.names, "cell", "far"])
 
     schema = f"label {kind}, dim int, id long, n long, v array<double>, cell int, far double"
@@ -238,16 +230,20 @@ def _cells(points: DataFrame, cosine: float) -> DataFrame:
     balls = points.sparkSession.sparkContext.broadcast({(r[0], r[1], r[2]): r[3] for r in radii})
 
     def visit(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """A home in cell k is nearest to centre k and within its ball; one outside is farther than the rim from every centre."""
         idx, cell, home = [], [], []
         for i, (g, d, c, v, far) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("label", "dim", "cell")), batch.column("v"), batch.column("far").to_pylist())):
             idx.append(i), cell.append(c), home.append(True)
-            if c >= 0:
+            if c != -1:
                 net = centres.value[(g, d)]
-                ball = np.array([balls.value.get((g, d, k), -1.0) for k in range(len(net))])
+                ball = np.array([balls.value.get((g, d, k), -9.0) for k in range(len(net))])
                 all_far = _far(net, np.asarray(v.values))
-                for k in np.flatnonzero((ball >= 0) & (all_far <= np.minimum(ball + reach, far + 2 * reach) + _SLACK)):
+                there = np.flatnonzero(all_far <= np.minimum(ball + reach, far + 2 * reach) + _SLACK).tolist()
+                if c != outside and far + reach >= rim - _SLACK:
+                    there.append(outside)
+                for k in there:
                     if k != c:
-                        idx.append(i), cell.append(int(k)), home.append(False)
+                        idx.append(i), cell.append(k), home.append(False)
         take = batch.take(pa.array(idx, pa.int64()))
         return pa.RecordBatch.from_arrays([take.column(0), take.column(1), pa.array(cell, pa.int32()), pa.array(home), take.column("id"), take.column("n"), take.column("v")], ["label", "dim", "cell", "home", "id", "n", "v"])
 
