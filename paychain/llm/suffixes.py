@@ -231,7 +231,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             parts, at, size = [], [], 0
             for i, t in enumerate(blobs(batch.column(1))):
                 if t and len(t) >= length:
-                    parts.append(part_tokens(t, found[i], length, PART) if found else suffix_tokens(t, length, spread))
+                    parts.append(part_tokens(t, found[i], length, min(PART, spread)) if found else suffix_tokens(t, length, spread))
                     at.append(np.full(len(parts[-1][0]), i))
                     size += len(parts[-1][0])
                 if parts and (size > 100_000 or i == batch.num_rows - 1):
