@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paychain.llm.common import blobs, map_batches, materialize
-from paychain.llm.components import connected_components
+from paychain.llm.components import Forest, connected_components
 
 HASH_SEED = 42
 #: Fingerprints that live in a cell, rows that a task compares them with.
@@ -213,7 +213,7 @@ def link_forest(distinct: DataFrame, radius: int, words: int = 1, tables: int =
         left, right = np.asarray(t.column("left"))[order], np.asarray(t.column("right"))[order]
         starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])])
         ends = np.r_[starts[1:], len(cell)]
-        a, b = [], []
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         small = (ends - starts) <= 32
         tiny = np.repeat(small, ends - starts)
         for shift in range(1, 32):
@@ -222,16 +222,23 @@ def link_forest(distinct: DataFrame, radius: int, words: int = 1, tables: int =
                 break
             i = i[(left[i] & right[i + shift]) | (right[i] & left[i + shift])]
             i = i[np.bitwise_count(rows[i] ^ rows[i + shift]).sum(1) <= radius]
-            a += i.tolist()
-            b += (i + shift).tolist()
+            a.append(i)
+            b.append(i + shift)
         for s, e in zip(starts[~small], ends[~small]):
             h, r = s + np.flatnonzero(left[s:e]), s + np.flatnonzero(right[s:e])
             both = np.r_[h, r]
-            for i, j in block_edges(rows[h], rows[r], radius, pivot):
-                a.append(int(h[i]))
-                b.append(int(both[j]))
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(rows[x].view(np.int64).tolist(), pa.list_(pa.int64())) for x in (a, b)], ["a", "b"])
+            if found := list(block_edges(rows[h], rows[r], radius, pivot)):
+                i, j = np.array(found).T
+                a.append(h[i])
+                b.append(both[j])
+        a, b = np.concatenate(a), np.concatenate(b)
+        if len(a):  # of all links in the partition only a forest: one row at most for each fingerprint
+            nodes, place = np.unique(rows[np.r_[a, b]], axis=0, return_inverse=True)
+            place, forest = place.reshape(-1), Forest(len(nodes))
+            forest.join(place[: len(a)], place[len(a) :])
+            top = forest.find(np.arange(len(nodes)))
+            i = np.flatnonzero(top != np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[x].view(np.int64).tolist(), pa.list_(pa.int64())) for x in (i, top[i])], ["a", "b"])
 
     return dealt.repartition("cell", "part").mapInArrow(link, "a array<long>, b array<long>").where("a != b")
 
