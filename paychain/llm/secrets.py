@@ -35,13 +35,14 @@ _IS_HEX = bytes(49 if c in b"0123456789abcdef" else 48 for c in range(256))
 _IS_KEY = bytes(49 if chr(c).isascii() and (chr(c).isalnum() or c in b"+/") else 48 for c in range(256))
 
 
-def _linked(spans: list[tuple[int, int]], others: list[tuple[int, int]], paragraphs: list[int], reach: int) -> tuple[set[int], set[int]]:
+def _linked(spans: list[tuple[int, int]], others: list[tuple[int, int]], breaks: list[tuple[int, int]], reach: int) -> tuple[set[int], set[int]]:
     """Positions in ``spans`` that have one of ``others`` in scope, and those positions in ``others``."""
     starts, ends, ours, edges = [s for s, _ in others], [e for _, e in others], set(), [0] * (len(others) + 1)
+    begins = [s for s, _ in breaks]
     for k, (s, e) in enumerate(spans):
-        p = bisect_right(paragraphs, s)
-        low = max(s - reach, paragraphs[p - 1] if p else 0)
-        high = min(e + reach, paragraphs[p] if p < len(paragraphs) else e + reach)
+        p = bisect_right(begins, s)
+        low = max(s - reach, breaks[p - 1][1] if p else 0)
+        high = min(e + reach, begins[p] if p < len(breaks) else e + reach)
         i, j = bisect_left(ends, low), bisect_right(starts, high)
         if i < j:
             ours.add(k)
@@ -71,12 +72,12 @@ def find_spans(text: str, reach: int = REACH) -> list[tuple[str, int, int]]:
     if short or keys or any(found.values()):
         users = [m.span() for m in USER.finditer(text) if clear(*m.span())]
         endpoints = [m.span() for m in ENDPOINT.finditer(text) if clear(*m.span())]
-        paragraphs = [m.start() for m in PARAGRAPH.finditer(text)]
+        breaks = [m.span() for m in PARAGRAPH.finditer(text)]
         secrets = {"assign": found["assign"], "hex": found["hex"], "short": short, "key": keys}
         hit = {k: set() for k in KINDS}
         for k, spans in secrets.items():
             for other, there in (("access", found["access"]), ("user", users), ("endpoint", endpoints)):
-                ours, theirs = _linked(spans, there, paragraphs, reach)
+                ours, theirs = _linked(spans, there, breaks, reach)
                 hit[k] |= ours
                 hit[other] |= theirs
         for k, spans in (("short", short), ("key", keys), ("user", users), ("endpoint", endpoints)):
