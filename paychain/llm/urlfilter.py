@@ -68,9 +68,9 @@ def judge(
         here = nodes.withColumn("segment", F.get("segments", F.lit(level)))
         children = here.where("segment IS NOT NULL").groupBy("host", "template", "segment").agg(*sums)
         parents = children.groupBy("host", "template").agg(F.count("*").alias("k"), *(F.sum(c).alias(f"all_{c}") for c in ("n", "good", "bad")))
-        share = F.col("all_bad") / (F.col("all_good") + F.col("all_bad"))
+        share = F.try_divide(F.col("all_bad"), F.col("all_good") + F.col("all_bad"))
         own = F.col("good") + F.col("bad")
-        apart = F.abs(F.col("bad") / own - share) > z * F.sqrt(share * (1 - share) / own)
+        apart = F.abs(F.try_divide(F.col("bad"), own) - share) > z * F.sqrt(F.try_divide(share * (1 - share), own))
         kept = (
             children.join(parents, ["host", "template"])
             .where(((F.col("k") < many) | (F.col("k") < nearly * F.col("all_n"))) & (own > 0) & apart)
