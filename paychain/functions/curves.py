@@ -19,7 +19,8 @@ def roc_points(scores: DataFrame, by: list[str], bins: int | None = None) -> Dat
     """(by.., score, fpr, tpr): one point for each distinct score from high to low, ties as one, and the origin (score null).
 
     Rows are first counted by score, so a window runs over distinct scores only; ``bins`` rounds these to so many
-    levels where even they are too many for a task (a curve without ``by`` has a single window).
+    levels where even they are too many for a task (a curve without ``by`` has a single window). Rates of a class
+    without rows of one kind are null.
     """
     if bins:
         lo, hi = scores.agg(F.min("score"), F.max("score")).first()
@@ -28,7 +29,7 @@ def roc_points(scores: DataFrame, by: list[str], bins: int | None = None) -> Dat
     counts = scores.groupBy(*by, "score").agg(F.sum("truth").alias("p"), F.sum(1 - F.col("truth")).alias("n"))
     run = W.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
     whole = W.partitionBy(*by)
-    points = counts.select(*by, "score", (F.sum("n").over(run) / F.sum("n").over(whole)).alias("fpr"), (F.sum("p").over(run) / F.sum("p").over(whole)).alias("tpr"))
+    points = counts.select(*by, "score", F.try_divide(F.sum("n").over(run), F.sum("n").over(whole)).alias("fpr"), F.try_divide(F.sum("p").over(run), F.sum("p").over(whole)).alias("tpr"))
     origin = counts.groupBy(*by).agg(F.lit(None).cast("double").alias("score"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return points.unionByName(origin)
 

@@ -27,10 +27,11 @@ def score_summary(counts: DataFrame) -> DataFrame:
     n = F.sum("support")
     union = F.col("support") + F.col("called") - F.col("hits")
     jaccard = F.when(union == 0, F.lit(0.0)).otherwise(F.col("hits") / union)
-    out = [(F.sum("hits") / n).alias("accuracy")]
+    right = F.try_divide(F.sum("hits"), n)  # null without rows
+    out = [right.alias("accuracy")]
     for name, c in (("f1", F.col("f1")), ("precision", F.col("precision")), ("recall", F.col("recall")), ("jaccard", jaccard)):
-        out += [F.avg(c).alias(f"{name}_macro"), (F.sum(c * F.col("support")) / n).alias(f"{name}_weighted")]
-    return r.agg(*out, (1 - F.sum("hits") / n).alias("zero_one_loss"), (1 - F.sum("hits") / n).alias("hamming_loss"))
+        out += [F.avg(c).alias(f"{name}_macro"), F.try_divide(F.sum(c * F.col("support")), n).alias(f"{name}_weighted")]
+    return r.agg(*out, (1 - right).alias("zero_one_loss"), (1 - right).alias("hamming_loss"))
 
 
 def losses(df: DataFrame, label: str, margins: list[str], classes: list[int], floor: float = 1e-15) -> DataFrame:

@@ -15,6 +15,7 @@ from paychain.functions.metrics import class_report, confusion, losses, score_su
 from paychain.operators.classify import LinearModel, fit_softmax_l1, predict_linear
 from paychain.operators.prep import active_rows, align_labels, fill_missing, model_input, null_profile, stratified_split
 from paychain.operators.scale import RobustParams, apply_robust, fit_robust
+from paychain.sources.scratch import settled
 from paychain.sources.tables import COUNT, FEATURES, INDEX_SCHEMA, KEY, LABEL, LABEL_SCHEMA, read_keyed_csv, write_keyed_csv
 
 CLASSES = [1, 2, 3]
@@ -36,7 +37,7 @@ def prepare(index: DataFrame, labels: DataFrame) -> DataFrame:
 
 def fit(model: DataFrame, C: float = 3.0, exact: bool = True, tol: float = 1e-4, max_iter: int = 100) -> ClassifierState:
     """The scaler and the classifier, both from the training part alone."""
-    train = stratified_split(model.na.drop(subset=[LABEL]), KEY, LABEL).where("NOT is_test")
+    train = settled(stratified_split(model.na.drop(subset=[LABEL]), KEY, LABEL).where("NOT is_test"))
     scaler = fit_robust(train, FEATURES, exact)
     linear, reg, n = fit_softmax_l1(apply_robust(train, scaler), FEATURES, LABEL, C, CLASSES, max_iter, tol)
     return ClassifierState(scaler, linear, reg, n)
@@ -59,7 +60,8 @@ def main(index_path: str, labels_path: str, out: str, encoding: str = "GBK") ->
     index, labels = read_keyed_csv(spark, index_path, INDEX_SCHEMA, encoding), read_keyed_csv(spark, labels_path, LABEL_SCHEMA)
     joined = align_labels(index, labels, KEY)
     null_profile(joined, [COUNT, *FEATURES, LABEL]).write.mode("overwrite").parquet(f"{out}/null_profile")
-    model = model_input(active_rows(joined, COUNT), KEY, FEATURES, LABEL).persist()
+    model = model_input(active_rows(joined, COUNT), KEY, FEATURES, LABEL)
+    model = settled(model)
     write_keyed_csv(model, f"{out}/model_index", encoding)
     state = fit(model)
     split = stratified_split(model.na.drop(subset=[LABEL]), KEY, LABEL)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from paychain.operators.cluster import KMeansFit, assign_nearest, fit_kmeans
 from paychain.operators.prep import active_rows, fill_missing
 from paychain.operators.scale import QuantileMap, RobustParams, Whitening, apply_quantiles, apply_robust, apply_whiten, fit_quantiles, fit_robust, fit_whiten
+from paychain.sources.scratch import settled
 from paychain.sources.tables import COUNT, FEATURES, INDEX_SCHEMA, KEY, read_keyed_csv, write_keyed_csv
 
 #: Components asked for; there are never more than features.
@@ -65,7 +66,8 @@ def assign_project(index: DataFrame, state: ClusterState, refit: bool = False) -
 
 def main(model_path: str, project_path: str, out: str, encoding: str = "GBK") -> None:
     spark = SparkSession.builder.appName("cluster chains").getOrCreate()
-    rows = fill_missing(read_keyed_csv(spark, model_path, INDEX_SCHEMA, encoding).select(KEY, *FEATURES), FEATURES).persist()
+    rows = fill_missing(read_keyed_csv(spark, model_path, INDEX_SCHEMA, encoding).select(KEY, *FEATURES), FEATURES)
+    rows = settled(rows)
     state = fit(rows)
     write_keyed_csv(assign(rows, state), f"{out}/duration_result", encoding)
     project = read_keyed_csv(spark, project_path, INDEX_SCHEMA, encoding)

@@ -16,7 +16,7 @@ from paychain.operators import cluster as C
 from paychain.operators import prep, scale
 from paychain.operators.classify import LinearModel, fit_ovr, kkt_residual, predict_linear
 from paychain.sources import fixtures, tables
-from paychain.sources.scratch import scratch_path
+from paychain.sources.scratch import scratch_path, settled
 from paychain.sources.tables import COUNT, FEATURES, KEY, LABEL
 
 CLASSES = classify_job.CLASSES
@@ -423,7 +423,7 @@ def kmodes_huang(spark: SparkSession, d: str) -> DataFrame:
 @query(SPLIT_SQL + " SELECT count(*) AS train_rows, TRUE AS optimal FROM train")
 def classify_kkt(spark: SparkSession, d: str) -> DataFrame:
     """Rows trained on, and whether the fit meets the optimality conditions within a twentieth of the regularisation."""
-    model = _model(spark, d).persist()
+    model = settled(_model(spark, d))
     state = classify_job.fit(model, tol=1e-8, max_iter=200)
     train = prep.stratified_split(model.na.drop(subset=[LABEL]), KEY, LABEL).where("NOT is_test")
     worst = kkt_residual(scale.apply_robust(train, state.scaler), state.model, LABEL, state.regularisation)
@@ -439,7 +439,7 @@ def _told(df: DataFrame, label: bool) -> DataFrame:
 
 @query(TRAIN_SQL + _scaled_sql("scored", "params", "model") + f" SELECT key, {ROUNDED}, dis_index, TRUE AS has_class FROM scored")
 def classify_scored(spark: SparkSession, d: str) -> DataFrame:
-    model = _model(spark, d).persist()
+    model = settled(_model(spark, d))
     return _told(classify_job.score(model, classify_job.fit(model)), True)
 
 
@@ -448,16 +448,16 @@ _PROJECT = ", project AS (SELECT key, coalesce(max_pay_day, 0) AS max_pay_day, c
 
 @query(TRAIN_SQL + _PROJECT + _scaled_sql("scored", "params", "project", "") + f" SELECT key, {ROUNDED}, TRUE AS has_class FROM scored")
 def same_project_classify(spark: SparkSession, d: str) -> DataFrame:
-    return _told(classify_job.score_project(_index(spark, d), classify_job.fit(_model(spark, d).persist())), False)
+    return _told(classify_job.score_project(_index(spark, d), classify_job.fit(settled(_model(spark, d)))), False)
 
 
 @query(_PROJECT + _params_sql("params", "project") + _scaled_sql("scored", "params", "project", "") + f" SELECT key, {ROUNDED}, TRUE AS has_class FROM scored")
 def new_project_classify(spark: SparkSession, d: str) -> DataFrame:
-    return _told(classify_job.score_project(_index(spark, d), classify_job.fit(_model(spark, d).persist()), refit=True), False)
+    return _told(classify_job.score_project(_index(spark, d), classify_job.fit(settled(_model(spark, d))), refit=True), False)
 
 
 def _ovr(spark, d) -> DataFrame:
-    rows = prep.random_split(_model(spark, d).na.drop(subset=[LABEL]), KEY).persist()
+    rows = settled(prep.random_split(_model(spark, d).na.drop(subset=[LABEL]), KEY))
     train = rows.where("NOT is_test")
     scaler = scale.fit_robust(train, FEATURES)
     return predict_linear(scale.apply_robust(rows.where("is_test"), scaler), fit_ovr(scale.apply_robust(train, scaler), FEATURES, LABEL, classes=CLASSES), margins=True)
@@ -476,7 +476,7 @@ def _assigned(df: DataFrame) -> DataFrame:
 @query(" SELECT count(*) AS rows, 7::BIGINT AS clusters, 0::BIGINT AS misplaced FROM model")
 def kmeans_fit_invariants(spark: SparkSession, d: str) -> DataFrame:
     """Rows, clusters used, and rows that are nearer to another cluster's mean than to their centre by more than rounding."""
-    rows = _model(spark, d).select(KEY, *FEATURES).persist()
+    rows = settled(_model(spark, d).select(KEY, *FEATURES))
     state = cluster_job.fit(rows)
     reduced = cluster_job.reduce(scale.apply_robust(rows, state.scaler), state.whitening, state.quantiles)
     placed = C.assign_nearest(reduced, list(state.kmeans.columns), state.kmeans.centres)
@@ -487,17 +487,17 @@ def kmeans_fit_invariants(spark: SparkSession, d: str) -> DataFrame:
 
 @query(SCALED_SQL + f" SELECT key, {ROUNDED}, TRUE AS has_cluster FROM scaled")
 def cluster_scored(spark: SparkSession, d: str) -> DataFrame:
-    rows = _model(spark, d).select(KEY, *FEATURES).persist()
+    rows = settled(_model(spark, d).select(KEY, *FEATURES))
     return _assigned(cluster_job.assign(rows, cluster_job.fit(rows)))
 
 
 @query(SCALED_SQL + _PROJECT + _scaled_sql("scored", "params", "project", "") + f" SELECT key, {ROUNDED}, TRUE AS has_cluster FROM scored")
 def same_project_cluster(spark: SparkSession, d: str) -> DataFrame:
-    rows = _model(spark, d).select(KEY, *FEATURES).persist()
+    rows = settled(_model(spark, d).select(KEY, *FEATURES))
     return _assigned(cluster_job.assign_project(_index(spark, d), cluster_job.fit(rows, n_init=5)))
 
 
 @query(_PROJECT + _params_sql("params", "project") + _scaled_sql("scored", "params", "project", "") + f" SELECT key, {ROUNDED}, TRUE AS has_cluster FROM scored")
 def new_project_cluster(spark: SparkSession, d: str) -> DataFrame:
-    rows = _model(spark, d).select(KEY, *FEATURES).persist()
+    rows = settled(_model(spark, d).select(KEY, *FEATURES))
     return _assigned(cluster_job.assign_project(_index(spark, d), cluster_job.fit(rows, n_init=5), refit=True))

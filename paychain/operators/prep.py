@@ -32,7 +32,7 @@ def null_profile(df: DataFrame, columns: list[str], only_missing: bool = True) -
     """(column, nan_num, nan_pct): how often each column is missing, counted in one pass."""
     one = df.agg(F.count("*").alias("n"), *(F.count_if(missing(df, c)).alias(f"m{i}") for i, c in enumerate(columns)))
     rows = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("nan_num")) for i, c in enumerate(columns))))
-    out = one.select("n", rows.alias("r")).select("r.column", "r.nan_num", (F.col("r.nan_num") / F.col("n")).alias("nan_pct"))
+    out = one.select("n", rows.alias("r")).select("r.column", "r.nan_num", F.try_divide("r.nan_num", "n").alias("nan_pct"))
     return out.where("nan_pct > 0") if only_missing else out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
 
@@ -18,3 +18,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="paychain-"))
         top = _OWN[0]
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written as a table and read again: iterative fits then neither plan nor compute what leads to it once more."""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
