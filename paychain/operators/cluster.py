@@ -7,12 +7,14 @@ input, so lineage never grows.
 
 from __future__ import annotations
 
+import random
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -111,19 +113,16 @@ def cao_init(df: DataFrame, key: str, categorical: list[str], k: int, numeric: l
 
 def huang_init(df: DataFrame, key: str, categorical: list[str], k: int, seed: int = 0) -> list[tuple]:
     """Values drawn by frequency for each attribute, then each draft moved to the nearest row not yet taken; ties go to the lowest key."""
-    import random
-
     rng, drafts = random.Random(seed), [[] for _ in range(k)]
     for c in categorical:
         counts = df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c)
         total = counts.agg(F.sum("count")).first()[0]
         if not total:
             raise ValueError(f"{c} has no values to draw from")
-        from pyspark.sql import Window as W
-
         upto = counts.withColumn("upto", F.sum("count").over(W.orderBy(F.desc("count"), c)))  # distinct values, not rows
-        for draft in drafts:
-            draft.append(upto.where(F.col("upto") > rng.randrange(total)).orderBy("upto").first()[c])
+        draws = [rng.randrange(total) for _ in drafts]
+        for draft, value in zip(drafts, upto.agg(*(F.min_by(c, F.when(F.col("upto") > x, F.col("upto"))) for x in draws)).first()):
+            draft.append(value)
     centres: list[tuple] = []
     taken: list = []
     for draft in drafts:
