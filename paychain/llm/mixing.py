@@ -85,16 +85,12 @@ def mix(
     upto = W.orderBy("part")
     parts = parts.withColumn("upto", F.sum("n").over(upto)).withColumn("budget", F.floor(share * F.sum("n").over(W.partitionBy()) / copies))
     at = parts.where("upto >= budget").orderBy("part").limit(1).first()  # the part in which the budget ends
-    if at is None:
-        taken = F.lit(0)
-    else:
-        running = F.sum("size").over(W.orderBy(*names))
-        last = ranged.where(F.col("part") == at["part"]).withColumn("running", running + (at["upto"] - at["n"])).where(F.col("running") <= at["budget"]).orderBy(*(F.desc(n) for n in names)).first()
-        if last is None and not at["part"]:
-            taken = F.lit(0)
-        else:
-            if last is None:
-                last = ranged.where(F.col("part") < at["part"]).orderBy(*(F.desc(n) for n in names)).first()
-            end = F.struct(*(F.lit(last[n]).cast(ranged.schema[n].dataType).alias(n) for n in names)) if last is not None else None
-            taken = sum((F.when(F.struct(*place(c)) <= end, F.col("size")).otherwise(0) for c in range(copies)), F.lit(0)) if end is not None else F.lit(0)
+    last, backwards = None, [F.desc(n) for n in names]
+    if at is not None:
+        here = ranged.where(F.col("part") == at["part"]).withColumn("running", F.sum("size").over(W.orderBy(*names)) + (at["upto"] - at["n"]))
+        last = here.where(F.col("running") <= at["budget"]).orderBy(*backwards).first() or ranged.where(F.col("part") < at["part"]).orderBy(*backwards).first()
+    taken = F.lit(0)
+    if last is not None:
+        end = F.struct(*(F.lit(last[n]).cast(ranged.schema[n].dataType).alias(n) for n in names))
+        taken = sum((F.when(F.struct(*place(c)) <= end, F.col("size")).otherwise(0) for c in range(copies)), F.lit(0))
     return queued.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"), "print")
