@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from paychain.llm.common import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-WEIGHTS, SHARE, COPIES, SLOT_ROWS = (3, 1, 2), 1.5, 2, 4096
+WEIGHTS, SHARE, COPIES, SLOT_ROWS, SEED = (3, 1, 2), 1.5, 2, 4096, 5
+#: Bits of the draw that shuffles a source; slots follow its leading ones.
+DRAW_BITS = 60
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, copies: int = COPIES) -> DataFrame:
@@ -42,13 +44,13 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
         .withColumn("rest", share * F.sum("source_size").over(whole) - copies * F.coalesce(F.sum("source_size").over(before), F.lit(0)))
         .withColumn("level", F.col("rest") / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
         .withColumn("level", F.max(F.when(F.col("r") > F.col("level"), F.col("level"))).over(whole))
-        .select("source", "rank", "weight", "rows", "source_size", F.least(copies * F.col("source_size").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.lit(0.0))).alias("target"))
+        .select("source", "rank", "weight", "rows", "source_size", F.least(copies * F.col("source_size").cast("double"), F.col("level") * F.col("weight")).alias("target"))
     )
 
 
 def mix(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
-    weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, copies: int = COPIES, seed: int = 5,
+    weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, copies: int = COPIES, seed: int = SEED,
 ) -> DataFrame:
     """(key, source, size, source_size, target, taken, print) for each row of ``docs``.
 
@@ -58,15 +60,17 @@ def mix(
     both are taken alike. A null source is a source like any other. No rows give no rows; the result is
     within one document of each target, as whole documents are taken.
     """
+    drawn_by = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("key").cast("string"), F.lit("")), F.coalesce("digest", F.lit("")))
+    draw = F.conv(F.substring(F.md5(drawn_by.cast("binary")), 1, DRAW_BITS // 4), 16, 10).cast("long")
     sized = materialize(
         docs.select(
-            F.col(key).alias("key"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text).alias("print")
-        ).withColumn("draw", F.xxhash64(F.lit(seed), "key", "print"))
+            F.col(key).alias("key"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text).alias("print"), F.md5(F.col(text).cast("binary")).alias("digest")
+        ).withColumn("draw", draw).drop("digest")
     )
     targets = materialize(source_targets(sized, weights, share, copies))
     slots = F.ceil(F.col("rows") / SLOT_ROWS)
     rows = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).select(
-        "key", targets["source"], "size", "print", "draw", "rank", "weight", "source_size", "target", (F.pmod("draw", F.lit(1 << 32)) * slots / (1 << 32)).cast("long").alias("slot")
+        "key", targets["source"], "size", "print", "draw", "rank", "weight", "source_size", "target", (F.shiftright("draw", DRAW_BITS - 32) * slots / (1 << 32)).cast("long").alias("slot")
     )
     order = ["draw", "key", "size"]
     slot_sums = rows.groupBy("rank", "slot").agg(F.sum("size").alias("slot_size"))
@@ -83,7 +87,7 @@ def mix(
     ranged = materialize(entries.repartitionByRange(*names).withColumn("part", F.spark_partition_id()))
     parts = ranged.groupBy("part").agg(F.sum("size").alias("n"))
     upto = W.orderBy("part")
-    parts = parts.withColumn("upto", F.sum("n").over(upto)).withColumn("budget", F.floor(share * F.sum("n").over(W.partitionBy()) / copies))
+    parts = parts.withColumn("upto", F.sum("n").over(upto)).withColumn("budget", F.floor(min(share / copies, 1.0) * F.sum("n").over(W.partitionBy())))
     at = parts.where("upto >= budget").orderBy("part").limit(1).first()  # the part in which the budget ends
     last, backwards = None, [F.desc(n) for n in names]
     if at is not None:
@@ -94,3 +98,21 @@ def mix(
         end = F.struct(*(F.lit(last[n]).cast(ranged.schema[n].dataType).alias(n) for n in names))
         taken = sum((F.when(F.struct(*place(c)) <= end, F.col("size")).otherwise(0) for c in range(copies)), F.lit(0))
     return queued.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"), "print")
+
+
+def oracle(weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, copies: int = COPIES, seed: int = SEED) -> str:
+    """The query over table ``documents`` for DuckDB."""
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+    ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(md5(text), '')), 1, {DRAW_BITS // 4}))::BIGINT AS draw FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
+w AS (SELECT *, ({list(map(float, weights))}::DOUBLE[])[1 + (rank - 1) % {len(weights)}] AS weight FROM s),
+v AS (SELECT *, {copies} * source_size / weight AS r FROM w),
+b AS (SELECT *, {share}::DOUBLE * sum(source_size) OVER () - {copies} * coalesce(sum(source_size) OVER before, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS others
+  FROM v WINDOW before AS (ORDER BY r, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, rank, weight, source_size, least({copies}::DOUBLE * source_size, weight * max(CASE WHEN r > rest / others THEN rest / others END) OVER ()) AS target FROM b),
+q AS (SELECT d.r, doc_id, d.source, size, draw, rank, weight, source_size, target, sum(size) OVER (PARTITION BY rank ORDER BY draw, doc_id, size) AS done FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT r, size, sum(size) OVER (ORDER BY (copy * source_size + done) / weight, rank, copy, draw, doc_id, size) AS running FROM q, range({copies}) AS c(copy) WHERE size > 0),
+k AS (SELECT r, sum(size) AS taken FROM e WHERE running <= (SELECT floor({min(share / copies, 1.0)}::DOUBLE * {copies} * sum(size)) FROM d) GROUP BY r)
+SELECT doc_id, source, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM q LEFT JOIN k USING (r)"""

@@ -104,5 +104,7 @@ f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
 SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN first IS DISTINCT FROM page_id AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
 FROM p JOIN f USING (h)""",
+    "op2_mix_sources": mixing.oracle(),
+    "op5_suffix_dedup": suffixes.oracle(),
     "op6_url_filter": urlfilter.oracle(),
 }

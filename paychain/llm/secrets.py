@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,7 +67,13 @@ def find_spans(text: str, reach: int = REACH) -> list[tuple[str, int, int]]:
     }
     taken = sorted(x for k in BASE for x in found[k])
     begins = [s for s, _ in taken]
-    clear = lambda s, e: not any(b > s for _, b in taken[max(0, bisect_left(begins, e) - 3) : bisect_left(begins, e)])
+    furthest = list(accumulate((e for _, e in taken), max))
+
+    def clear(s: int, e: int) -> bool:
+        """No base span meets this one."""
+        n = bisect_left(begins, e)
+        return not n or furthest[n - 1] <= s
+
     short = [s for s, n in named if n < MIN_VALUE]
     keys = [m.span() for m in KEY.finditer(text) if clear(*m.span()) and len({(c.isupper(), c.islower(), c.isdigit()) for c in m[0]}) >= 3]
     if short or keys or any(found.values()):

@@ -309,3 +309,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     finished = map_batches(still.join(marks, same_row, "left").select("key", "text", "spans", "more"), finish, schema)
     return settled.where("text IS NULL").select(*result).union(finished).withColumnRenamed("key", key)
+
+
+def oracle(length: int = LENGTH) -> str:
+    """The query over table ``documents`` for DuckDB: every window by its digest."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, i, md5_number(b[i:i + {length - 1}]) AS h FROM (SELECT r, b, unnest(range(1, octet_length(b) - {length - 2})) AS i FROM d WHERE octet_length(b) >= {length})),
+m AS (SELECT r, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+n AS (SELECT r, i, i > lag(i, 1, -{length}) OVER (PARTITION BY r ORDER BY i) + {length} AS new FROM m),
+s AS (SELECT r, min(i) AS s, max(i) + {length} AS e FROM (SELECT r, i, count_if(new) OVER (PARTITION BY r ORDER BY i) AS k FROM n) GROUP BY r, k),
+g AS (SELECT r, s, e, lag(e, 1, 1) OVER (PARTITION BY r ORDER BY s) AS upto FROM s),
+k AS (SELECT r, sum(e - s) AS n_removed, count(*) AS n_spans, string_agg(CASE WHEN s > upto THEN hex(b[upto:s - 1]) ELSE '' END, '' ORDER BY s) || CASE WHEN max(e) <= max(octet_length(b)) THEN hex(any_value(b)[max(e):]) ELSE '' END AS kept
+  FROM g JOIN d USING (r) GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, CASE WHEN kept IS NULL THEN sha256(b) ELSE sha256(unhex(kept)) END AS kept_sha256
+FROM d LEFT JOIN k USING (r)"""

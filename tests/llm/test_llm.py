@@ -191,6 +191,23 @@ def test_mix_targets_and_repeatability(docs, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+def test_full_sources_take_all(docs):
+    got = mixing.mix(docs, share=3.0).collect()
+    assert all(r["taken"] == 2 * r["size"] and r["target"] == 2 * r["source_size"] for r in got)
+
+
+@pytest.mark.parametrize("run, oracle, columns", [
+    (mixing.mix, mixing.oracle, ["doc_id", "source", "size", "source_size", "target", "taken"]),
+    (suffixes.remove_repeats, suffixes.oracle, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]),
+])
+def test_documents_against_sql(docs, run, oracle, columns):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    want = sorted(map(str, con.execute(oracle()).fetchall()))
+    assert sorted(str(tuple(r)) for r in run(docs).select(*columns).collect()) == want
+
+
 def test_archives_round_trip(spark):
     rows = [(1, "http://a/x", "<p>ü</p>"), (2, None, "<p>ü</p>"), (3, "http://b/\r\ny", None), (4, "u", ""), (5, "v", "z" * 300_000), (None, "w", "<p>ü</p>"), (1, "http://a/x", "<p>ü</p>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
@@ -328,6 +345,7 @@ def test_embedding_links_exactly(spark, monkeypatch, sizes):
 
 def test_secret_spans(spark):
     texts = ['password = "abcdefghijkl" ', "PassWord:short1", "AKIA" + "A" * 13, "AKIA" + "B" * 14 + " secret: tiny99", "f" * 16 + " é " + "0" * 15, None, "", "api_key='x' https://host/a", "toKen:" + "a" * 20, "user: bob\n\npassword: abc1", "user: bob\npassword: abc1"]
+    texts.append("user: bob\nsecret: " + "-".join(["0123456789abcdef"] * 3) + "-" + "Ab1" * 12)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secrets.find_secrets(df).collect()}
     assert got[0] == [("assign", 0, 24)] and got[1] == [] and got[2] == [] and got[5] == got[6] == []
@@ -336,6 +354,7 @@ def test_secret_spans(spark):
     assert [k for k, *_ in got[7]] == ["short", "endpoint"]
     assert got[8] == [("assign", 0, 26), ("hex", 6, 26)]
     assert got[9] == [] and [k for k, *_ in got[10]] == ["user", "short"]  # complementary parts in one paragraph only
+    assert [k for k, *_ in got[11]] == ["user", "assign", "hex", "hex", "hex"]  # what a base span covers isn't a candidate
 
 
 def test_operators_on_empty_tables_and_clashing_names(spark, docs, nothing):
