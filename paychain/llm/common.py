@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
@@ -56,6 +56,33 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+#: A group that may hold a third of all rows is joined in so many parts.
+PARTS = 16
+
+
+def part_of(*spread: str) -> Column:
+    """The part of its group that a row is in, by a hash of ``spread``."""
+    return F.pmod(F.xxhash64(*spread), F.lit(PARTS)).cast("int")
+
+
+def parts_held(part: Column) -> Column:
+    """Aggregate: the parts that a group has, as bits."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1), part))
+
+
+def each_part(held: Column) -> Column:
+    """One row for each of the parts held, so that what is known of a group is repeated only for parts that it has."""
+    every = F.sequence(F.lit(0), F.lit(PARTS - 1))
+    return F.explode(F.filter(every, lambda p: F.call_function("shiftright", held, p).bitwiseAND(F.lit(1)) == 1))
+
+
+def with_group_min(df: DataFrame, by: str, value: str, name: str, *spread: str) -> DataFrame:
+    """``df`` and, as ``name``, the least ``value`` of the rows that are equal in ``by`` (not null), joined in parts."""
+    dealt = df.withColumn("_part", part_of(*spread))
+    found = dealt.groupBy(by).agg(F.min(value).alias(name), parts_held(F.col("_part")).alias("_held"))
+    return dealt.join(found.select(by, name, each_part(F.col("_held")).alias("_part")), [by, "_part"]).drop("_part")
+
+
 def crc_remainder(key: str, n: int):
     """crc32 of the key as text, modulo ``n``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % n

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paychain.llm.common import materialize
+from paychain.llm.common import materialize, with_group_min
 
 
 class Forest:
@@ -51,8 +51,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     seen = signature(now)
     while seen[0]:
         both = now.union(now.select(v, u))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(v > u).select(v.alias("u"), F.col("m").alias("v")).distinct()
+        near = with_group_min(both, "u", "v", "m", "v")
+        large = near.where(v > u).select(v.alias("u"), F.least("u", "m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(v.alias("u"), "m"))).alias("e"))
         nxt = materialize(small.select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).where(u != v).distinct())

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paychain.llm.common import map_batches, materialize
+from paychain.llm.common import map_batches, materialize, with_group_min
 from paychain.llm.components import Forest, connected_components
 
 COSINE = 0.98
@@ -185,8 +185,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     points = points.select(*equal, "id", "n", "least").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").join(counts, "id", "left")
     points = materialize(points.withColumn("root", F.coalesce("root", "id")))
-    least = points.groupBy("root").agg(F.min("least").alias("component_id"))
-    points = points.join(least, "root").select(*(F.col(c).alias(f"_{c}") for c in equal), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "component_id")
+    points = with_group_min(points, "root", "least", "component_id", "id").select(*(F.col(c).alias(f"_{c}") for c in equal), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "component_id")
     match = (F.col("v").isNotNull()) & (F.col("label") == F.col("_label")) & (F.col("dim") == F.col("_dim")) & (F.col("h0") == F.col("_h0")) & (F.col("h1") == F.col("_h1"))
     done = rows.select("key", "label", F.when(F.col("v").isNotNull(), True).alias("v"), "dim", "h0", "h1").join(points, match, "left")
     component = F.coalesce("component_id", "key")

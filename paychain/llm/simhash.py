@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paychain.llm.common import blobs, map_batches, materialize
+from paychain.llm.common import blobs, each_part, map_batches, materialize, part_of, parts_held, with_group_min
 from paychain.llm.components import Forest, connected_components
 
 HASH_SEED = 42
@@ -269,13 +269,15 @@ def near_duplicates(
     """
     fs = [f"f{k}" for k in range(words)]
     prints = materialize(fingerprints(docs, key, text, size, words))
-    distinct = materialize(prints.groupBy(*fs).agg(F.min(key).alias("least")))
+    dealt = prints.withColumn("_part", part_of(key))  # copies of one text may be a third of all rows
+    distinct = materialize(dealt.groupBy(*fs).agg(F.min(key).alias("least"), parts_held(F.col("_part")).alias("held")))
     tables, sampled = 0, 0
     if similarity is not None:
         radius = similar_radius(similarity, words)
         tables, sampled = sampled_tables(similarity, distinct.count())
     roots = connected_components(link_forest(distinct, radius, words, tables, sampled))
-    linked = materialize(distinct.select(F.array(*fs).alias("node"), "least").join(roots, "node", "left"))
-    group = linked.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("first"))
-    named = linked.join(group, "root", "left").select(*(F.col("node")[k].alias(f) for k, f in enumerate(fs)), F.coalesce("first", "least").alias("component_id"))
-    return prints.join(named, fs).select(key, F.array(*fs).alias("fp"), "component_id")
+    linked = distinct.select(F.array(*fs).alias("node"), "least", "held").join(roots, "node", "left")
+    linked = materialize(linked.withColumn("root", F.coalesce("root", "node")))
+    named = with_group_min(linked, "root", "least", "component_id", "node")
+    named = named.select(*(F.col("node")[k].alias(f) for k, f in enumerate(fs)), "component_id", each_part(F.col("held")).alias("_part"))
+    return dealt.join(named, [*fs, "_part"]).select(key, F.array(*fs).alias("fp"), "component_id")
