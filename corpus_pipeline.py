@@ -24,12 +24,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts with a similarity of 0.8 or more in five-word shingles, the document with the smallest id stays."""
-    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        docs = materialize(docs.dropDuplicates(["doc_id"]))
-    found = simhash.near_duplicates(docs, size=5, words=4, similarity=0.8)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
+    """Of each group of texts with a similarity of 0.8 or more in five-word shingles, the document with the smallest id stays.
+
+    Where ids repeat or several are missing, each row is a document of its own: rows without an id come last, rows that
+    share one are in the order of their text's digest, and only rows equal in all columns by their place.
+    """
+    columns, key = docs.columns, "doc_id"
+    if not docs.groupBy(key).count().where("count > 1").isEmpty():
+        own = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("id"), F.md5(F.col("text").cast("binary")).alias("digest"), F.xxhash64(*columns).alias("rest"), F.monotonically_increasing_id().alias("place"))
+        docs, key = materialize(docs.withColumn("_own", own)), "_own"
+    found = simhash.near_duplicates(docs, key, size=5, words=4, similarity=0.8)
+    kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("kept"))
+    return docs.join(kept, F.col(key).eqNullSafe(F.col("kept")), "left_semi").select(columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,3 +32,15 @@ def test_stages_keep_columns_and_decide(spark):
         if name == "secret scans":
             assert not [r for r in docs.collect() if re.search("AKIA[A-Z0-9]{14}|[0-9a-f]{16}", r["text"])]
     assert {"doc_id", "text", "taken"} <= set(docs.columns)
+
+
+def test_documents_that_share_an_id_or_have_none_stay(spark):
+    def text(seed):
+        return " ".join(f"w{seed}x{k * k % 97}" for k in range(60))
+
+    rows = [(1, text(1)), (1, text(2)), (1, text(1)), (None, text(3)), (None, text(4)), (2, text(4)), (None, text(5)), (3, text(6)), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    want = [(1, text(1)), (1, text(2)), (None, text(3)), (2, text(4)), (None, text(5)), (3, text(6)), (None, None)]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, want))
