@@ -15,6 +15,10 @@ copies of one text) are dealt over a grid of blocks, so neither side of a task i
 For radii at which the bound discards nothing (0.8 similarity of five-word shingles is about a
 sixth of all bits, more than the pivot distances spread) ``tables`` cells by sampled bits take
 the place of the cuts; the comparison within cells stays the same.
+
+Where a similarity is asked for, distances of fingerprints only propose links: each is verified by
+the exact Jaccard similarity of the shingle sets. What the radius and the sampled bits miss is
+proposed by min-wise bands, in which similar sets meet however few shingles they have.
 """
 
 from __future__ import annotations
@@ -34,6 +38,10 @@ from paychain.llm.components import Forest, connected_components
 HASH_SEED = 42
 #: Fingerprints that live in a cell, rows that a task compares them with.
 HOME_ROWS, BLOCK_ROWS = 2048, 65536
+#: Min-wise bands of so many rows each: sets with a similarity of 0.8 share no band with a probability of 0.000015.
+BANDS, BAND_ROWS = 28, 5
+#: Rounds in which each band's members are compared with one of them, before all pairs that are still apart are.
+STARS = 2
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -64,7 +72,10 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
 
 def fingerprint(text: bytes | None, size: int, words: int) -> list[int]:
     """Bits set in over half of the shingle hashes, as ``words`` signed 64-bit words."""
-    hashes = shingle_hashes(text or b"", size)
+    return _majority(shingle_hashes(text or b"", size), words)
+
+
+def _majority(hashes: np.ndarray, words: int) -> list[int]:
     if not len(hashes):
         return [0] * words
     out = []
@@ -256,26 +267,131 @@ def sampled_tables(similarity: float, n: int, recall: float = 0.95) -> tuple[int
     return math.ceil(math.log(1 - recall) / math.log(1 - together)), bits
 
 
+def _bands(shingles: np.ndarray) -> list[int]:
+    """A hash for each band of the least values that ``BANDS * BAND_ROWS`` functions take on the shingles."""
+    if not len(shingles):
+        return []
+    rng = np.random.default_rng(HASH_SEED)
+    by = rng.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
+    least = np.min([(by * shingles[at : at + 1024]).min(1) for at in range(0, len(shingles), 1024)], axis=0)
+    seen = least.reshape(BANDS, BAND_ROWS).tobytes()
+    step = 8 * BAND_ROWS
+    return [xxhash.xxh64_intdigest(seen[k * step : (k + 1) * step], k) - (1 << 63) for k in range(BANDS)]
+
+
+def _similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of ``pairs`` (a, b) of nodes those whose ``sets`` (node, shingles) have this Jaccard similarity; b may be the same in many pairs."""
+    dealt = materialize(pairs.distinct().withColumn("_part", part_of("a")))
+    held = dealt.groupBy("b").agg(parts_held(F.col("_part")).alias("held"))
+    right = held.join(sets.withColumnRenamed("node", "b"), "b").select("b", each_part(F.col("held")).alias("_part"), F.col("shingles").alias("right"))
+    both = dealt.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a").join(right, ["b", "_part"])
+
+    def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
+        alike = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            alike.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+        return batch.select([0, 1]).filter(pa.array(alike, pa.bool_()))
+
+    return materialize(map_batches(both.select("a", "b", "left", "right"), verify, "a binary, b binary"))
+
+
+def _similar_components(nodes: DataFrame, docs: DataFrame, key: str, text: str, size: int, words: int, similarity: float) -> DataFrame:
+    """(node, root) of nodes that links connect; ``nodes`` has (node, least, n, bands, f0 ..), a row for each distinct shingle set.
+
+    Links of the fingerprints come first, as a forest. In a band's cell each node then meets one node of the cell,
+    and last all nodes of the cell that are still in other components, so copies of one text don't meet pair by pair.
+    """
+    fs = [f"f{k}" for k in range(words)]
+    dealt = materialize(nodes.select("node", "n", F.explode("bands").alias("cell")).withColumn("_part", part_of("node")))
+    shared = dealt.groupBy("cell").agg(F.count("*").alias("rows"), parts_held(F.col("_part")).alias("held")).where("rows > 1")
+    cells = materialize(dealt.join(shared.select("cell", each_part(F.col("held")).alias("_part")), ["cell", "_part"]).drop("_part"))
+
+    prints = materialize(with_group_min(nodes.select("node", F.array(*fs).alias("fp")), "fp", "node", "first", "node"))
+    firsts = prints.where(F.col("node") == F.col("first")).select("fp", "node")
+    distinct = materialize(firsts.select("node", *(F.col("fp")[k].alias(f) for k, f in enumerate(fs))))
+    forest = link_forest(distinct, similar_radius(similarity, words), words, *sampled_tables(similarity, distinct.count()))
+    of_a, of_b = firsts.select(F.col("fp").alias("a"), F.col("node").alias("x")), firsts.select(F.col("fp").alias("b"), F.col("node").alias("y"))
+    proposed = forest.join(of_a, "a").join(of_b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    proposed = materialize(proposed.union(prints.where(F.col("node") != F.col("first")).select("node", "first")))
+
+    need = proposed.select(F.explode(F.array("a", "b")).alias("node")).union(cells.select("node")).distinct()
+    names = nodes.select("node", F.col("least").alias("_least")).join(need, "node")
+    held = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(names, F.col("_key").eqNullSafe(F.col("_least"))).select("node", "_text")
+
+    def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [np.unique(shingle_hashes(t or b"", size)).tobytes() for t in blobs(batch.column(1))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "shingles"])
+
+    sets = materialize(map_batches(held, shingles, "node binary, shingles binary"))
+    links = _similar_pairs(proposed, sets, similarity)
+    fits = F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9  # sets of other sizes can't be similar
+    for k in range(STARS):
+        roots = connected_components(links)
+        named = cells.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = named.withColumn("pick", F.struct(F.xxhash64(F.lit(k), "node").alias("by"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("to")))
+        apart = materialize(with_group_min(named, "cell", "pick", "star", "node").where(F.col("root") != F.col("star.to")).select("cell", "node", "n", "root", "star"))
+        links = materialize(links.union(_similar_pairs(apart.select(F.col("node").alias("a"), F.col("star.b").alias("b"), "n", F.col("star.m").alias("m")).where(fits).select("a", "b"), sets, similarity)))
+    # of two nodes of a cell in different components one at least isn't in that of the cell's last star
+    roots = materialize(connected_components(links))
+    named = cells.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    left = apart.select("cell", F.col("node").alias("a"), F.col("n").alias("m")).join(roots.select(F.col("node").alias("a"), F.col("root").alias("to")), "a", "left").withColumn("to", F.coalesce("to", "a"))
+    rest = named.join(left, "cell").where((F.col("root") != F.col("to")) & fits).select(F.greatest("a", "node").alias("a"), F.least("a", "node").alias("b"))
+    return connected_components(links.union(_similar_pairs(rest, sets, similarity)))
+
+
+def similar_texts(docs: DataFrame, key: str, text: str, size: int, words: int, similarity: float) -> DataFrame:
+    """(key, fp, component_id) for each row of ``docs``; component_id is the smallest key reachable by links.
+
+    Texts are linked if the sets of their ``size``-word shingles have a Jaccard similarity of ``similarity`` or more,
+    exactly; of such pairs those are missed that neither fingerprints nor bands propose. Null, empty and blank texts
+    are copies of each other. Keys must be distinct, one may be null: it has the smallest key of its component, null if
+    there is none. No rows give no rows.
+    """
+    kind, fs = docs.schema[key].dataType.simpleString(), [f"f{k}" for k in range(words)]
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        prints, digests, sizes, bands = [], [], [], []
+        for t in blobs(batch.column(1)):
+            hashes = shingle_hashes(t or b"", size)
+            own = np.unique(hashes)
+            prints.append(_majority(hashes, words))
+            digests.append(xxhash.xxh128_digest(own.tobytes()))
+            sizes.append(len(own))
+            bands.append(_bands(own))
+        cols = [pa.array(c, pa.int64()) for c in zip(*prints)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), *cols], [key, "node", "n", "bands", *fs])
+
+    made = materialize(map_batches(docs.select(key, text), one, f"`{key}` {kind}, node binary, n long, bands array<long>, " + ", ".join(f"{f} long" for f in fs)))
+    dealt = made.select(key, "node", "n", "bands", *fs).withColumn("_part", part_of(key))
+    # of texts with one set the fingerprints may differ by repeats; any will do, the least is the same in every run
+    nodes = materialize(dealt.groupBy("node").agg(F.min(key).alias("least"), parts_held(F.col("_part")).alias("held"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(F.struct(*fs)).alias("fs")).select("node", "least", "held", "n", "bands", "fs.*"))
+    roots = _similar_components(nodes, docs, key, text, size, words, similarity)
+    linked = nodes.select("node", "least", "held").join(roots, "node", "left")
+    linked = materialize(linked.withColumn("root", F.coalesce("root", "node")))
+    named = with_group_min(linked, "root", "least", "component_id", "node").select("node", "component_id", each_part(F.col("held")).alias("_part"))
+    return dealt.select(key, "node", F.array(*fs).alias("fp"), "_part").join(named, ["node", "_part"]).select(key, "fp", "component_id")
+
+
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, radius: int | None = 2, words: int = 1, similarity: float | None = None
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, radius: int = 2, words: int = 1, similarity: float | None = None
 ) -> DataFrame:
     """(key, fp, component_id) for each row of ``docs``; component_id is the smallest key reachable by links.
 
     fp is an array of 64-bit words. Rows with equal fingerprints are linked, so copies are grouped by
     an aggregation and only distinct fingerprints are compared. Null, empty and blank texts have
-    fingerprint zero and are linked with each other like any other. Repeated keys are separate rows. With
-    ``similarity`` the radius follows from it and pairs are sought in sampled tables, else all links are found.
+    fingerprint zero and are linked with each other like any other. Repeated keys are separate rows. All links are
+    found; with ``similarity`` they are those of ``similar_texts``, which needs distinct keys.
     A null key has the smallest key of its component, null if there is none. No rows give no rows.
     """
+    if similarity is not None:
+        return similar_texts(docs, key, text, size, words, similarity)
     fs = [f"f{k}" for k in range(words)]
     prints = materialize(fingerprints(docs, key, text, size, words))
     dealt = prints.withColumn("_part", part_of(key))  # copies of one text may be a third of all rows
     distinct = materialize(dealt.groupBy(*fs).agg(F.min(key).alias("least"), parts_held(F.col("_part")).alias("held")))
-    tables, sampled = 0, 0
-    if similarity is not None:
-        radius = similar_radius(similarity, words)
-        tables, sampled = sampled_tables(similarity, distinct.count())
-    roots = connected_components(link_forest(distinct, radius, words, tables, sampled))
+    roots = connected_components(link_forest(distinct, radius, words))
     linked = distinct.select(F.array(*fs).alias("node"), "least", "held").join(roots, "node", "left")
     linked = materialize(linked.withColumn("root", F.coalesce("root", "node")))
     named = with_group_min(linked, "root", "least", "component_id", "node")

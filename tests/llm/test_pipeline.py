@@ -1,5 +1,6 @@
 """The pipeline against what each stage promises."""
 
+import random
 import re
 
 import pytest
@@ -44,3 +45,28 @@ def test_documents_that_share_an_id_or_have_none_stay(spark):
     assert got.columns == docs.columns
     want = [(1, text(1)), (1, text(2)), (None, text(3)), (2, text(4)), (None, text(5)), (3, text(6)), (None, None)]
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, want))
+
+
+def test_near_duplicates_are_those_of_brute_force(spark):
+    r = random.Random(4)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    texts = [fresh(r.randint(1, 60)) for _ in range(20)]
+    for shared, own in [(7, 3), (3, 1), (19, 6), (4, 1), (5, 1), (77, 23), (39, 11), (79, 21), (8, 2), (40, 10), (80, 20), (400, 100), (81, 19), (83, 17), (17, 3)]:
+        for side in range(6):  # pairs that share so many shingles of shared + own: 0.7 to 0.85
+            common = fresh(shared + 4)
+            a = own * side // 10
+            texts += [common + fresh(a), common + fresh(own - a)]
+    base = fresh(104)
+    texts += [base[: 94 + i % 11] + fresh(i % 7) for i in range(60)]  # many copies of one text
+    texts += [["same"] * 400 + fresh(40), ["same"] * 400 + fresh(40)]  # alike in what they repeat only
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    up = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common and 10 * common >= 8 * len(sets[i] | sets[j]) and up[i] != up[j]:
+                low, high = sorted((up[i], up[j]))
+                up = [low if u == high else u for u in up]
+    got = {x["doc_id"] for x in pipeline.near_duplicates(spark, docs, SF).collect()}
+    assert got == set(up)
