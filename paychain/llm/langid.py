@@ -7,7 +7,9 @@ labelled rows. As the model is linear after the mean, buckets x languages logits
 task needs to predict with.
 
 Confidence is calibrated on labelled rows that training doesn't see: a temperature by likelihood and
-a rejection level that at most ``reject_share`` of those rows fall under.
+two rejection levels, which at most ``reject_share`` of those rows fall under: one of the probability, and one of
+how likely a text's n-grams are in the language found. A text of no learned language may still be much nearer
+to one of them than to the others, so the probability alone doesn't tell it.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ from pyspark.sql import functions as F
 from paychain.llm.common import map_batches, with_columns
 
 BUCKETS, DIM, GRAMS = 1 << 15, 16, 4
-#: Bound of the sample: labelled rows of each language, and n-grams of each row that training keeps.
-ROWS_PER_LANGUAGE, MAX_LANGUAGES = 600, 200
+#: Bounds of the sample: labelled rows of each language, and of all, shared among the languages where they are many.
+ROWS_PER_LANGUAGE, ROWS, LEAST_ROWS = 600, 120_000, 20
+#: Of an n-gram's probability in a language, the share that all buckets have alike.
+SMOOTHED = 0.01
 UNKNOWN = "und"
 
 
@@ -33,6 +37,15 @@ class LanguageModel:
     logits: np.ndarray  # BUCKETS x languages, float32
     temperature: float
     reject_below: float
+    likely: np.ndarray  # BUCKETS x languages, float32: log-probabilities
+    usual: np.ndarray  # of each language, the mean log-probability that its texts have in the middle
+    steady: float  # n-grams at which a text's own manner counts as much as chance
+    unlike_below: float
+
+
+def _unlike(mean: np.ndarray, usual: np.ndarray, n: np.ndarray, steady: float) -> np.ndarray:
+    """How far texts of n n-grams are from the usual likelihood, on one scale for all lengths."""
+    return (mean - usual) / np.sqrt(1 / n + 1 / steady)
 
 
 def buckets_of(text: str) -> np.ndarray | None:
@@ -70,10 +83,10 @@ def buckets_of(text: str) -> np.ndarray | None:
 
 
 def _features(rows: DataFrame) -> DataFrame:
-    """(lang, part, ids, weights) of (lang, part, text): each distinct bucket's share of the n-grams of the text, and of a few of its words."""
+    """(lang, part, ids, weights, n) of (lang, part, text): each distinct bucket's share of the n n-grams of the text, and of a few of its words."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, ids, weights = [], [], []
+        rows, ids, weights, sizes = [], [], [], []
         for i, t in enumerate(batch.column(2).to_pylist()):
             tokens = (t or "").split()
             few = " ".join(tokens[len(tokens) // 3 :][: 1 + len(tokens) % 7])  # short texts are learned from and calibrated on as well
@@ -84,10 +97,11 @@ def _features(rows: DataFrame) -> DataFrame:
                 rows.append(i)
                 ids.append(at.astype(np.int32))
                 weights.append((n[at] / max(1, n.sum())).astype(np.float32))
+                sizes.append(int(n.sum()))
         kept = batch.take(pa.array(rows, pa.int64()))
-        return pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))], ["lang", "part", "ids", "weights"])
+        return pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32())), pa.array(sizes, pa.int64())], ["lang", "part", "ids", "weights", "n"])
 
-    return map_batches(rows, one, "lang string, part int, ids array<int>, weights array<float>")
+    return map_batches(rows, one, "lang string, part int, ids array<int>, weights array<float>, n long")
 
 
 def train(
@@ -96,15 +110,17 @@ def train(
 ) -> LanguageModel | None:
     """Fit on at most about ``rows_per_language`` rows of each language, chosen by a hash of the key; None without labelled letters.
 
-    Rows count if ``usable`` holds, the label is not null and the text not null. Only the text is a feature.
+    Rows count if ``usable`` holds, the label is not null and the text not null. Only the text is a feature. All label
+    values are learned; where they are more than ``ROWS`` allow, each has fewer rows, ``LEAST_ROWS`` at least.
     """
     pool = docs.where(usable if usable is not None else F.lit(True)).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = pool.groupBy(F.col(lang).alias("l")).count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).collect()
+    sizes = pool.groupBy(F.col(lang).alias("l")).count().collect()
     if not sizes:
         return None
+    rows_per_language = min(rows_per_language, max(LEAST_ROWS, ROWS // len(sizes)))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000))
-    share = F.create_map(*(x for r in sizes for x in (F.lit(r[0]), F.lit(int(1_000_000 * min(1.0, rows_per_language / r[1])) + 1))))
-    sample = pool.where(draw < F.coalesce(share[F.col(lang)], F.lit(0))).select(
+    shares = docs.sparkSession.createDataFrame([(r[0], int(1_000_000 * min(1.0, rows_per_language / r[1])) + 1) for r in sizes], "_lang string, _share long")
+    sample = pool.join(F.broadcast(shares), F.col(lang) == F.col("_lang")).where(draw < F.col("_share")).select(
         F.col(lang).alias("lang"), (F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key)), F.lit(4))).cast("int").alias("part"), F.col(text).alias("text")
     )
     data = _features(sample).where(F.size("ids") > 0).limit(4 * rows_per_language * len(sizes)).toArrow()
@@ -112,12 +128,12 @@ def train(
         return None
     y_names = data.column("lang").to_pylist()
     languages = tuple(sorted(set(y_names)))
-    y = np.array([languages.index(n) for n in y_names])
+    place = {n: k for k, n in enumerate(languages)}
+    y = np.array([place[n] for n in y_names])
     ids = [np.asarray(x.values) for x in data.column("ids")]
     weights = [np.asarray(x.values) for x in data.column("weights")]
     held = np.asarray(data.column("part")) == 0
-    if held.all() or len(set(y[~held])) < len(languages):
-        held[:] = False
+    held &= np.isin(y, y[~held])  # languages with no other rows are learned from these
     rng = np.random.default_rng(seed)
     E = rng.normal(0, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     W = np.zeros((DIM, len(languages)), np.float32)
@@ -146,19 +162,39 @@ def train(
 
     temperature = min(np.geomspace(0.05, 20, 60), key=loss)
     p = np.exp(z / temperature)
-    top = np.sort(p.max(1) / p.sum(1))
-    level = min(float(top[int(reject_share * len(top))]), 1.2 / len(languages)) if len(languages) > 1 else 0.0
-    return LanguageModel(languages, logits.astype(np.float32), float(temperature), level)
+    top, found = np.sort(p.max(1) / p.sum(1)), p.argmax(1)
+    at = int(reject_share / 2 * len(check))  # half of the share for each level
+    level = float(top[at]) if len(languages) > 1 else 0.0
+
+    seen, rows = np.zeros((BUCKETS, len(languages))), np.maximum(np.bincount(y[fit], minlength=len(languages)), 1)
+    for i in fit:
+        seen[ids[i], y[i]] += weights[i]
+    likely = np.log((1 - SMOOTHED) * seen / rows + SMOOTHED / BUCKETS).astype(np.float32)
+    mean = np.array([weights[i] @ likely[ids[i], k] for i, k in zip(check, found)], np.float64)
+    usual = np.array([np.median(mean[found == k]) if (found == k).any() else np.median(mean) for k in range(len(languages))])
+    n = np.asarray(data.column("n"))[check]
+
+    def spread(steady: float) -> float:  # Laplace, as a few labels contradict the text
+        off = _unlike(mean, usual[found], n, steady)
+        return float(np.log(np.abs(off).mean() + 1e-12) + np.log(1 / n + 1 / steady).mean() / 2)
+
+    steady = float(min(np.geomspace(10, 100_000, 60), key=spread))
+    unlike = np.sort(_unlike(mean, usual[found], n, steady))
+    return LanguageModel(languages, logits.astype(np.float32), float(temperature), level, likely, usual, steady, float(unlike[at]))
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (all by default) and lang_pred, score, rejected for each whole text.
 
     lang_pred is a learned language, or ``und`` with score 0 and rejected for texts that are null or have no
-    letter, and for all texts without a model. Others are rejected if their calibrated probability, the score,
-    is under the model's level. Columns of the same names as the new ones give way to them.
+    letter, and for all texts without a model. Others are rejected if their calibrated probability, the score, or the
+    likelihood of their n-grams in that language is under the model's level. Columns of the same names as the new ones give way to them.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(None if model is None else (model.languages, np.ascontiguousarray(model.logits.T), model.temperature, model.reject_below))
+    shared = docs.sparkSession.sparkContext.broadcast(
+        None
+        if model is None
+        else (model.languages, np.ascontiguousarray(model.logits.T), model.temperature, model.reject_below, np.ascontiguousarray(model.likely.T), model.usual, model.steady, model.unlike_below)
+    )
 
     def scan(texts: list[bytes | None], _) -> list:
         pred, score, rejected = [], [], []
@@ -167,7 +203,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text", ke
             if b is None:
                 pred.append(UNKNOWN), score.append(0.0), rejected.append(True)
                 continue
-            languages, logits, temperature, level = shared.value
+            languages, logits, temperature, level, likely, usual, steady, unlike_below = shared.value
             if len(b) < 20_000:
                 z = logits[:, b].mean(1)
             else:
@@ -176,7 +212,9 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text", ke
             p = np.exp(z - z.max())
             p /= p.sum()
             k = int(p.argmax())
-            pred.append(languages[k]), score.append(float(p[k])), rejected.append(bool(p[k] < level))
+            pred.append(languages[k]), score.append(float(p[k]))
+            unlike = _unlike(likely[k][b].mean(dtype=np.float64), usual[k], len(b), steady)
+            rejected.append(bool(p[k] < level or unlike < unlike_below - 1e-6))
         return [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
 
     return with_columns(docs, docs.columns if keep is None else keep, text, scan, "lang_pred string, score double, rejected boolean", ["lang_pred", "score", "rejected"])

@@ -270,6 +270,25 @@ def test_language_of_held_out_texts(spark):
     assert {x["lang_pred"] for x in langid.predict(df, None).collect()} == {"und"}
 
 
+def test_texts_of_a_withheld_language_are_rejected(spark):
+    r = random.Random(9)
+    parts = {"aa": ["ka", "to", "mi", "ra"], "bb": ["sch", "ung", "ein", "ver"], "cc": ["éa", "eux", "oi", "qu"], "dd": ["zko", "wy", "prz", "łą"]}
+    word = lambda l: "".join(r.choice(parts[l]) for _ in range(r.randint(1, 3)))
+    rows = [(i, " ".join(word(l) for _ in range(r.randint(3, 40))), l) for i, l in enumerate(["aa", "bb", "cc", "dd"] * 80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.predict(df, langid.train(df, usable=(F.col("lang") != "dd") & (F.col("doc_id") % 5 > 0))).where("lang = 'dd' OR doc_id % 5 = 0").collect()
+    gone = {l: [x["rejected"] for x in got if x["lang"] == l] for l in parts}
+    assert sum(gone["dd"]) >= 0.95 * len(gone["dd"])
+    assert sum(sum(gone[l]) for l in ("aa", "bb", "cc")) <= 2
+
+
+def test_all_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "ROWS", 600)
+    rows = [(210 * j + i, f"{chr(0x4E00 + i)}{chr(0x4E00 + i)} {chr(0x4E00 + i)}", f"l{i}") for j in range(3) for i in range(210)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), epochs=1)
+    assert set(model.languages) == {f"l{i}" for i in range(210)}
+
+
 def test_maximal_segments_against_brute_force():
     r = random.Random(2)
     for _ in range(200):
