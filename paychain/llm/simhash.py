@@ -286,15 +286,9 @@ def _similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> Data
     right = held.join(sets.withColumnRenamed("node", "b"), "b").select("b", each_part(F.col("held")).alias("_part"), F.col("shingles").alias("right"))
     both = dealt.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a").join(right, ["b", "_part"])
 
-    def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
-        alike = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            alike.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
-        return batch.select([0, 1]).filter(pa.array(alike, pa.bool_()))
-
-    return materialize(map_batches(both.select("a", "b", "left", "right"), verify, "a binary, b binary"))
+    # common / (x + y - common) in rows of their own: batches of pairs of sets would fill a Python worker
+    common, sizes = F.size(F.array_intersect("left", "right")), F.size("left") + F.size("right")
+    return materialize(both.where((1 + similarity) * common >= similarity * sizes - 1e-9).select("a", "b"))
 
 
 def _similar_components(nodes: DataFrame, docs: DataFrame, key: str, text: str, size: int, words: int, similarity: float) -> DataFrame:
@@ -321,10 +315,10 @@ def _similar_components(nodes: DataFrame, docs: DataFrame, key: str, text: str,
     held = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(names, F.col("_key").eqNullSafe(F.col("_least"))).select("node", "_text")
 
     def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [np.unique(shingle_hashes(t or b"", size)).tobytes() for t in blobs(batch.column(1))]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "shingles"])
+        found = [np.unique(shingle_hashes(t or b"", size)).view(np.int64) for t in blobs(batch.column(1))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    sets = materialize(map_batches(held, shingles, "node binary, shingles binary"))
+    sets = materialize(map_batches(held, shingles, "node binary, shingles array<long>"))
     links = _similar_pairs(proposed, sets, similarity)
     fits = F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9  # sets of other sizes can't be similar
     for k in range(STARS):
