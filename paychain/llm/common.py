@@ -99,12 +99,12 @@ def with_columns(
     kept = [docs[f"`{c}`"] for c in keep]
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), added])
-    n = len(keep)
+    n, at = len(keep), keep.index(text) if text in keep else len(keep)  # the text goes to Python once
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*batch.columns[:n], *fn(blobs(batch.column(n)), batch)], [*keep, *names])
+        return pa.RecordBatch.from_arrays([*batch.columns[:n], *fn(blobs(batch.column(at)), batch)], [*keep, *names])
 
-    inner = docs.select(*(c.alias(f"_k{i}") for i, c in enumerate(kept)), docs[f"`{text}`"].alias("_text"), *(docs[f"`{c}`"].alias(f"_x{i}") for i, c in enumerate(extra)))
+    inner = docs.select(*(c.alias(f"_k{i}") for i, c in enumerate(kept)), *([docs[f"`{text}`"].alias("_text")] if at == n else []), *(docs[f"`{c}`"].alias(f"_x{i}") for i, c in enumerate(extra)))
     return map_batches(inner, one, schema)
 
 

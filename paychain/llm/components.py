@@ -53,8 +53,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         both = now.union(now.select(v, u))
         near = with_group_min(both, "u", "v", "m", "v")
         large = near.where(v > u).select(v.alias("u"), F.least("u", "m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(v.alias("u"), "m"))).alias("e"))
+        small = with_group_min(large, "u", "v", "m", "v").select(F.explode(F.array(F.struct("u", "m"), F.struct(v.alias("u"), "m"))).alias("e"))
         nxt = materialize(small.select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).where(u != v).distinct())
         if (sign := signature(nxt)) == seen:
             break

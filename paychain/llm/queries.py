@@ -44,7 +44,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, links at two or fewer differing bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, radius=2)
-    return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

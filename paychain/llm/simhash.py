@@ -1,30 +1,27 @@
 """SimHash near-duplicates with pivot distance tables.
 
-The Hamming distance of each fingerprint to many reference fingerprints (pivots) is computed
-once. By the triangle inequality two fingerprints within ``radius`` bits differ by at most
-``radius`` in every coordinate of that table, so pairs that differ by more in any coordinate
-are never compared; the rest are verified bit by bit.
-
-The table is used twice. The first pivots cut the space into cells at the median of each
-coordinate: a fingerprint lives in one cell and visits those on the other side of any cut that
-it is within ``radius`` of. The number of cuts grows with the logarithm of the number of
-fingerprints, so cells keep their size. Within a cell the last pivot orders the rows, and a
-row is compared with a narrow slice of them. Cells that are too large for a task (many near
-copies of one text) are dealt over a grid of blocks, so neither side of a task is unbounded.
-
-For radii at which the bound discards nothing (0.8 similarity of five-word shingles is about a
-sixth of all bits, more than the pivot distances spread) ``tables`` cells by sampled bits take
-the place of the cuts; the comparison within cells stays the same.
-
-Where a similarity is asked for, distances of fingerprints only propose links: each is verified by
-the exact Jaccard similarity of the shingle sets. What the radius and the sampled bits miss is
-proposed by min-wise bands, in which similar sets meet however few shingles they have.
+The Hamming distances of each fingerprint to many reference fingerprints (pivots) are computed
+once and make a row of a table. The bits are cut into ``radius`` + 2 parts and every pivot looks at
+one part, so by the triangle inequality two fingerprints within ``radius`` bits differ by at most
+``radius`` in every coordinate, and not at all in those of two parts at least, as these hold no
+differing bit.
+
+So a fingerprint lives in one cell for each pair of parts, six at a radius of two whatever the number
+of fingerprints, and a cell holds those that agree in the coordinates of both parts. Within a
+cell, pairs are discarded by their greatest coordinate difference and the survivors are verified bit
+by bit. Cells that are too large for a task (many near copies of one text) are dealt over a grid of
+blocks, so neither side of a task is unbounded.
+
+Where a similarity is asked for, links of fingerprints are only proposals: each is verified by the
+exact Jaccard similarity of the shingle sets. Sets at 0.8 differ by about ten of 64 bits, a radius at which
+pivots discard nothing (distances to a pivot spread by four), so fingerprints propose only the nearest copies
+and min-wise bands, in which similar sets meet however few shingles they have, propose the rest.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +33,10 @@ from paychain.llm.common import blobs, each_part, map_batches, materialize, part
 from paychain.llm.components import Forest, connected_components
 
 HASH_SEED = 42
-#: Fingerprints that live in a cell, rows that a task compares them with.
-HOME_ROWS, BLOCK_ROWS = 2048, 65536
+#: Fingerprints of a cell that a task compares with so many rows of it; pivots of each part of the bits.
+HOME_ROWS, BLOCK_ROWS, PIVOTS = 2048, 65536, 12
+#: Differing bits at which fingerprints propose texts as similar.
+NEAREST = 3
 #: Min-wise bands of so many rows each: sets with a similarity of 0.8 share no band with a probability of 0.000015.
 BANDS, BAND_ROWS = 28, 5
 #: Rounds in which each band's members are compared with one of them, before all pairs that are still apart are.
@@ -60,87 +59,92 @@ def shingle_hashes(text: bytes, size: int) -> np.ndarray:
     return np.fromiter((digest(joined[s:e], HASH_SEED) for s, e in zip(starts, ends[size - 1 :].tolist())), np.uint64, len(starts))
 
 
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """The k-th 64-bit word derived from each hash; the 0th is the hash."""
-    if not k:
-        return h
-    h = h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def fingerprint(text: bytes | None, size: int, words: int) -> list[int]:
-    """Bits set in over half of the shingle hashes, as ``words`` signed 64-bit words."""
-    return _majority(shingle_hashes(text or b"", size), words)
-
-
-def _majority(hashes: np.ndarray, words: int) -> list[int]:
-    if not len(hashes):
-        return [0] * words
-    out = []
-    for k in range(words):
-        octets = _mixed(hashes, k).astype(">u8").view(np.uint8).reshape(-1, 8)
-        if len(octets) < 256:
-            votes = np.unpackbits(octets, axis=1).sum(0, dtype=np.int64)
-        else:
-            votes = np.concatenate([np.bincount(octets[:, j], minlength=256) @ _BITS for j in range(8)])
-        out.append(int(np.packbits(votes * 2 > len(octets)).view(">i8")[0]))
-    return out
+def fingerprint(hashes: np.ndarray) -> int:
+    """Bits set in over half of the shingle hashes, as a signed word."""
+    octets = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
+    if len(octets) < 256:
+        votes = np.unpackbits(octets, axis=1).sum(0, dtype=np.int64)
+    else:
+        votes = np.concatenate([np.bincount(octets[:, j], minlength=256) @ _BITS for j in range(8)])
+    return int(np.packbits(votes * 2 > len(octets)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, words: int = 1) -> DataFrame:
-    """(key, f0 .. f{words-1}) for each row. Null and empty texts have fingerprint zero."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
+    """(key, fp) for each row. Null and empty texts have fingerprint zero."""
     kind = docs.schema[key].dataType.simpleString()
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [fingerprint(t, size, words) for t in blobs(batch.column(1))]
-        cols = [pa.array(c, pa.int64()) for c in zip(*rows)]
-        return pa.RecordBatch.from_arrays([batch.column(0), *cols], [key, *(f"f{k}" for k in range(words))])
+        prints = [fingerprint(shingle_hashes(t or b"", size)) for t in blobs(batch.column(1))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], [key, "fp"])
+
+    return map_batches(docs.select(key, text), one, f"`{key}` {kind}, fp long")
 
-    return map_batches(docs.select(key, text), one, f"`{key}` {kind}, " + ", ".join(f"f{k} long" for k in range(words)))
 
+def _pivots(radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The reference fingerprints, fixed pseudo-random bits, and the bits of its part that each one looks at."""
+    ends = [64 * k // (radius + 2) for k in range(radius + 3)]
+    masks = [(1 << b) - (1 << a) for a, b in zip(ends, ends[1:])]
+    return np.array([xxhash.xxh64_intdigest(f"pivot {j}") for j in range(len(masks) * PIVOTS)], np.uint64), np.repeat(np.array(masks, np.uint64), PIVOTS)
 
-def _matrix(batch: pa.RecordBatch | pa.Table, words: int) -> np.ndarray:
-    return np.stack([np.asarray(batch.column(f"f{k}")).astype(np.int64).view(np.uint64) for k in range(words)], axis=1)
 
+def pivot_table(prints: np.ndarray, radius: int) -> np.ndarray:
+    """The distance of each fingerprint to each pivot, a row for each fingerprint."""
+    pivots, masks = _pivots(radius)
+    return np.stack([np.bitwise_count((prints ^ p) & m) for p, m in zip(pivots, masks)], axis=1).view(np.int8)
 
-def _distance(rows: np.ndarray, to: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(rows ^ to).sum(1, dtype=np.int16)
 
+def _cells(table: np.ndarray) -> Iterator[np.ndarray]:
+    """For each pair of parts the cell of each row: a hash of its coordinates in both."""
+    parts = table.shape[1] // PIVOTS
+    by = np.random.default_rng(HASH_SEED).integers(0, 1 << 63, table.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    sums = (table.astype(np.uint64) * by).reshape(len(table), parts, PIVOTS).sum(2, dtype=np.uint64)
+    for k, (i, j) in enumerate(combinations(range(parts), 2)):
+        h = sums[:, i] + sums[:, j] + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        yield h ^ (h >> np.uint64(27))
 
-def _pivot(j: int, words: int) -> np.ndarray:
-    """The j-th reference fingerprint: fixed pseudo-random bits."""
-    return np.array([xxhash.xxh64_intdigest(f"pivot {j} {k}") for k in range(words)], np.uint64)
+
+def _near(table: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
+    """Whether rows i and j of the table, one by one, differ by at most ``most`` in every coordinate."""
+    out = np.empty(len(i), bool)
+    for at in range(0, len(i), 1 << 16):
+        some = slice(at, at + (1 << 16))
+        out[some] = (np.abs(table[i[some]] - table[j[some]]) <= most).all(1)
+    return out
 
 
-def block_edges(homes: np.ndarray, rows: np.ndarray, radius: int, pivot: np.ndarray) -> Iterator[tuple[int, int]]:
+def block_edges(homes: np.ndarray, rows: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
     """Links of ``homes`` to ``rows`` (distinct fingerprints each) as a spanning forest of indices in homes, rows.
 
     Homes within the radius of a leader form its cluster. Any other row that links to a member
-    is within twice the radius of the leader, so only such rows meet the members one by one.
+    is within twice the radius of the leader, so only such rows meet the members one by one. Coordinates
+    of the pivot tables decide which rows are looked at.
     """
     label = np.arange(len(homes) + len(rows))
-    at_home, at_row = _distance(homes, pivot), _distance(rows, pivot)
+    table, other = pivot_table(homes, radius), pivot_table(rows, radius)
+    # the pivots of all parts at one place make one of all bits; rows are in the order of their distance to it
+    at_home, at_row = table[:, ::PIVOTS].sum(1, dtype=np.int16), other[:, ::PIVOTS].sum(1, dtype=np.int16)
     order = np.argsort(at_row, kind="stable")
-    rows, at_row = rows[order], at_row[order]
+    rows, other, at_row = rows[order], other[order], at_row[order]
     free = np.ones(len(homes), bool)
     for i in range(len(homes)):
         if not free[i]:
             continue
         members = np.flatnonzero(free & (np.abs(at_home - at_home[i]) <= radius))
-        members = members[_distance(homes[members], homes[i]) <= radius]
+        members = members[(np.abs(table[members] - table[i]) <= radius).all(1)]
+        members = members[np.bitwise_count(homes[members] ^ homes[i]) <= radius]
         free[members] = False
         reach = radius if len(members) == 1 else 2 * radius
         lo, hi = np.searchsorted(at_row, [at_home[i] - reach, at_home[i] + reach + 1])
-        far = _distance(rows[lo:hi], homes[i])
+        seen = lo + np.flatnonzero((np.abs(other[lo:hi] - table[i]) <= reach).all(1))
+        far = np.bitwise_count(rows[seen] ^ homes[i])
         near = far <= radius
         if len(members) > 1:  # what is connected already needs no look
-            fringe = np.flatnonzero(~near & (far <= reach) & (label[len(homes) + order[lo:hi]] != label[i]))
+            fringe = np.flatnonzero(~near & (far <= reach) & (label[len(homes) + order[seen]] != label[i]))
             for at in range(0, len(fringe), 64):
                 some = fringe[at : at + 64]
-                near[some] = (np.bitwise_count(rows[lo + some][:, None, :] ^ homes[members][None, :, :]).sum(2, dtype=np.int16) <= radius).any(1)
-        linked = np.concatenate([members, len(homes) + order[lo:hi][near]])
+                near[some] = (np.bitwise_count(rows[seen[some]][:, None] ^ homes[members][None, :]) <= radius).any(1)
+        linked = np.concatenate([members, len(homes) + order[seen[near]]])
         labels, first = np.unique(label[linked], return_index=True)
         if len(labels) > 1:
             for x in linked[first][labels != label[i]]:
@@ -148,70 +152,32 @@ def block_edges(homes: np.ndarray, rows: np.ndarray, radius: int, pivot: np.ndar
             label[np.isin(label, labels)] = label[i]
 
 
-def _cells(distinct: DataFrame, words: int, radius: int, n: int, tables: int, sampled: int) -> DataFrame:
-    """(cell, home, f0 ..): where each fingerprint lives and which cells it visits."""
-    schema = "cell long, home boolean, " + ", ".join(f"f{k} long" for k in range(words))
-    names = ["cell", "home", *(f"f{k}" for k in range(words))]
-    if tables:
-        rng = np.random.default_rng(HASH_SEED)
-        picks = [rng.choice(64 * words, sampled, replace=False) for _ in range(tables)]
+def link_forest(distinct: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b) that connect exactly the distinct fingerprints ``fp`` which links connect, those at most ``radius`` bits apart."""
 
-        def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
-            m = _matrix(batch, words)
-            bits = np.unpackbits(m.astype(">u8").view(np.uint8), axis=1)
-            cells = np.concatenate([(bits[:, p] @ (1 << np.arange(sampled, dtype=np.int64))) * tables + t for t, p in enumerate(picks)])
-            idx = np.tile(np.arange(len(m)), tables)
-            return pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.ones(len(idx), bool)), *(pa.array(m[idx, k].view(np.int64)) for k in range(words))], names)
+    def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
+        prints = np.asarray(batch.column(0)).view(np.uint64)
+        cells = list(_cells(pivot_table(prints, radius)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells).view(np.int64)), pa.array(np.tile(prints, len(cells)).view(np.int64))], ["cell", "fp"])
 
-    else:
-        m = max(0, math.ceil(math.log2(max(n, 1) / HOME_ROWS)))
-        far = [sum((F.bit_count(F.col(f"f{k}").bitwiseXOR(F.lit(int(_pivot(j, words)[k].view(np.int64))))) for k in range(words)), F.lit(0)) for j in range(m)]
-        cuts = list(distinct.agg(F.lit(0), *(F.percentile_approx(d, 0.5) for d in far)).first())[1:]
-        pivots = [_pivot(j, words) for j in range(m)]
-
-        def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = _matrix(batch, words)
-            idx, cell, home = np.arange(len(rows)), np.zeros(len(rows), np.int64), np.ones(len(rows), bool)
-            for pivot, cut in zip(pivots, cuts):
-                d = _distance(rows, pivot)[idx]
-                low, high = d - radius <= cut, d + radius > cut
-                home = np.concatenate([home[low] & (d[low] <= cut), home[high] & (d[high] > cut)])
-                cell = np.concatenate([cell[low] * 2, cell[high] * 2 + 1])
-                idx = np.concatenate([idx[low], idx[high]])
-            return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(home), *(pa.array(rows[idx, k].view(np.int64)) for k in range(words))], names)
-
-    return map_batches(distinct.select(*names[2:]), deal, schema)
-
-
-def link_forest(distinct: DataFrame, radius: int, words: int = 1, tables: int = 0, sampled: int = 16) -> DataFrame:
-    """Edges (a, b), arrays of words, that connect exactly the distinct fingerprints which links connect.
-
-    Links are fingerprints at most ``radius`` bits apart: all of them, or with ``tables`` those that
-    share ``sampled`` bits in at least one of so many tables.
-    """
-    n = distinct.count()
-    cells = _cells(distinct, words, radius, n, tables, sampled)
-    sizes = cells.groupBy("cell").agg(F.count_if("home").alias("homes"), F.count("*").alias("rows"))
+    cells = map_batches(distinct.select("fp"), deal, "cell long, fp long")
     large = materialize(
-        sizes.where((F.col("homes") > 2 * HOME_ROWS) | (F.col("rows") > BLOCK_ROWS)).select(
-            "cell", F.ceil(F.col("homes") / HOME_ROWS).cast("int").alias("s"), F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("t")
+        cells.groupBy("cell").agg(F.count("*").alias("rows")).where((F.col("rows") > 2 * HOME_ROWS) | (F.col("rows") > BLOCK_ROWS)).select(
+            "cell", F.ceil(F.col("rows") / HOME_ROWS).cast("int").alias("s"), F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("t")
         )
     )
-    fs = [f"f{k}" for k in range(words)]
     if large.isEmpty():
-        dealt = cells.select("cell", F.lit(0).alias("part"), F.col("home").alias("left"), F.lit(True).alias("right"), *fs)
+        dealt = cells.select("cell", F.lit(0).alias("part"), F.lit(True).alias("left"), F.lit(True).alias("right"), "fp")
     else:
-        # part = home block * t + row block: a row is in one column of the grid, and if at home in one row of it
-        own = F.when(F.col("home"), F.pmod(F.xxhash64(*fs), F.col("s"))).otherwise(F.lit(-1))
-        col = F.pmod(F.xxhash64(F.lit(1), *fs), F.col("t"))
+        # part = home block * t + row block: a row is in one row and one column of the grid
+        own, col = F.pmod(F.xxhash64("fp"), F.col("s")), F.pmod(F.xxhash64(F.lit(1), "fp"), F.col("t"))
         grid = F.filter(F.sequence(F.lit(0), F.col("s") * F.col("t") - 1), lambda p: (F.floor(p / F.col("t")) == own) | (p % F.col("t") == col))
         dealt = (
             cells.join(large, "cell", "left")
             .withColumns({"s": F.coalesce("s", F.lit(1)), "t": F.coalesce("t", F.lit(1))})
             .withColumn("part", F.explode(grid))
-            .select("cell", "part", (F.floor(F.col("part") / F.col("t")) == own).alias("left"), (F.col("part") % F.col("t") == col).alias("right"), *fs)
+            .select("cell", "part", (F.floor(F.col("part") / F.col("t")) == own).alias("left"), (F.col("part") % F.col("t") == col).alias("right"), "fp")
         )
-    pivot = _pivot(1_000_000, words)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -220,51 +186,41 @@ def link_forest(distinct: DataFrame, radius: int, words: int = 1, tables: int =
         t = pa.Table.from_batches(got)
         cell, part = np.asarray(t.column("cell")), np.asarray(t.column("part"))
         order = np.lexsort((part, cell))
-        cell, part, rows = cell[order], part[order], _matrix(t, words)[order]
+        cell, part, rows = cell[order], part[order], np.asarray(t.column("fp")).view(np.uint64)[order]
         left, right = np.asarray(t.column("left"))[order], np.asarray(t.column("right"))[order]
         starts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])])
         ends = np.r_[starts[1:], len(cell)]
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        small = (ends - starts) <= 32
-        tiny = np.repeat(small, ends - starts)
+        small, alone = (ends - starts) <= 32, (ends - starts) == 1
+        tiny = np.flatnonzero(np.repeat(small & ~alone, ends - starts))
+        table = pivot_table(rows[tiny], radius)
+        group = np.repeat(np.arange(len(starts)), ends - starts)[tiny]
         for shift in range(1, 32):
-            i = np.flatnonzero(tiny[:-shift] & (cell[shift:] == cell[:-shift]) & (part[shift:] == part[:-shift])) if len(cell) > shift else []
+            i = np.flatnonzero(group[:-shift] == group[shift:]) if len(group) > shift else []
             if not len(i):
                 break
-            i = i[(left[i] & right[i + shift]) | (right[i] & left[i + shift])]
-            i = i[np.bitwise_count(rows[i] ^ rows[i + shift]).sum(1) <= radius]
-            a.append(i)
-            b.append(i + shift)
+            i = i[_near(table, i, i + shift, radius)]
+            i, j = tiny[i], tiny[i + shift]
+            both = ((left[i] & right[j]) | (right[i] & left[j])) & (np.bitwise_count(rows[i] ^ rows[j]) <= radius)
+            a.append(i[both])
+            b.append(j[both])
         for s, e in zip(starts[~small], ends[~small]):
             h, r = s + np.flatnonzero(left[s:e]), s + np.flatnonzero(right[s:e])
             both = np.r_[h, r]
-            if found := list(block_edges(rows[h], rows[r], radius, pivot)):
+            if found := list(block_edges(rows[h], rows[r], radius)):
                 i, j = np.array(found).T
                 a.append(h[i])
                 b.append(both[j])
         a, b = np.concatenate(a), np.concatenate(b)
         if len(a):  # of all links in the partition only a forest: one row at most for each fingerprint
-            nodes, place = np.unique(rows[np.r_[a, b]], axis=0, return_inverse=True)
+            nodes, place = np.unique(rows[np.r_[a, b]], return_inverse=True)
             place, forest = place.reshape(-1), Forest(len(nodes))
             forest.join(place[: len(a)], place[len(a) :])
             top = forest.find(np.arange(len(nodes)))
             i = np.flatnonzero(top != np.arange(len(nodes)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[x].view(np.int64).tolist(), pa.list_(pa.int64())) for x in (i, top[i])], ["a", "b"])
-
-    return dealt.repartition("cell", "part").mapInArrow(link, "a array<long>, b array<long>").where("a != b")
-
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[x].view(np.int64)) for x in (i, top[i])], ["a", "b"])
 
-def similar_radius(similarity: float, words: int) -> int:
-    """The bits by which fingerprints of texts differ whose shingle sets have this Jaccard similarity, and a standard deviation."""
-    p, n = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * words
-    return math.ceil(n * p + math.sqrt(n * p * (1 - p)))
-
-
-def sampled_tables(similarity: float, n: int, recall: float = 0.95) -> tuple[int, int]:
-    """(tables, bits) for cells of about 32 of n fingerprints, in which pairs of this similarity meet with probability ``recall``."""
-    bits = max(12, math.ceil(math.log2(max(n, 1) / 32)))
-    together = (1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** bits
-    return math.ceil(math.log(1 - recall) / math.log(1 - together)), bits
+    return dealt.repartition("cell", "part").mapInArrow(link, "a long, b long").where("a != b")
 
 
 def _bands(shingles: np.ndarray) -> list[int]:
@@ -291,23 +247,20 @@ def _similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> Data
     return materialize(both.where((1 + similarity) * common >= similarity * sizes - 1e-9).select("a", "b"))
 
 
-def _similar_components(nodes: DataFrame, docs: DataFrame, key: str, text: str, size: int, words: int, similarity: float) -> DataFrame:
-    """(node, root) of nodes that links connect; ``nodes`` has (node, least, n, bands, f0 ..), a row for each distinct shingle set.
+def _similar_components(nodes: DataFrame, docs: DataFrame, key: str, text: str, size: int, similarity: float) -> DataFrame:
+    """(node, root) of nodes that links connect; ``nodes`` has (node, least, n, bands, fp), a row for each distinct shingle set.
 
     Links of the fingerprints come first, as a forest. In a band's cell each node then meets one node of the cell,
     and last all nodes of the cell that are still in other components, so copies of one text don't meet pair by pair.
     """
-    fs = [f"f{k}" for k in range(words)]
     dealt = materialize(nodes.select("node", "n", F.explode("bands").alias("cell")).withColumn("_part", part_of("node")))
     shared = dealt.groupBy("cell").agg(F.count("*").alias("rows"), parts_held(F.col("_part")).alias("held")).where("rows > 1")
     cells = materialize(dealt.join(shared.select("cell", each_part(F.col("held")).alias("_part")), ["cell", "_part"]).drop("_part"))
 
-    prints = materialize(with_group_min(nodes.select("node", F.array(*fs).alias("fp")), "fp", "node", "first", "node"))
+    prints = materialize(with_group_min(nodes.select("node", "fp"), "fp", "node", "first", "node"))
     firsts = prints.where(F.col("node") == F.col("first")).select("fp", "node")
-    distinct = materialize(firsts.select("node", *(F.col("fp")[k].alias(f) for k, f in enumerate(fs))))
-    forest = link_forest(distinct, similar_radius(similarity, words), words, *sampled_tables(similarity, distinct.count()))
     of_a, of_b = firsts.select(F.col("fp").alias("a"), F.col("node").alias("x")), firsts.select(F.col("fp").alias("b"), F.col("node").alias("y"))
-    proposed = forest.join(of_a, "a").join(of_b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    proposed = link_forest(firsts, NEAREST).join(of_a, "a").join(of_b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     proposed = materialize(proposed.union(prints.where(F.col("node") != F.col("first")).select("node", "first")))
 
     need = proposed.select(F.explode(F.array("a", "b")).alias("node")).union(cells.select("node")).distinct()
@@ -335,7 +288,7 @@ def _similar_components(nodes: DataFrame, docs: DataFrame, key: str, text: str,
     return connected_components(links.union(_similar_pairs(rest, sets, similarity)))
 
 
-def similar_texts(docs: DataFrame, key: str, text: str, size: int, words: int, similarity: float) -> DataFrame:
+def similar_texts(docs: DataFrame, key: str, text: str, size: int, similarity: float) -> DataFrame:
     """(key, fp, component_id) for each row of ``docs``; component_id is the smallest key reachable by links.
 
     Texts are linked if the sets of their ``size``-word shingles have a Jaccard similarity of ``similarity`` or more,
@@ -343,51 +296,48 @@ def similar_texts(docs: DataFrame, key: str, text: str, size: int, words: int, s
     are copies of each other. Keys must be distinct, one may be null: it has the smallest key of its component, null if
     there is none. No rows give no rows.
     """
-    kind, fs = docs.schema[key].dataType.simpleString(), [f"f{k}" for k in range(words)]
+    kind = docs.schema[key].dataType.simpleString()
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         prints, digests, sizes, bands = [], [], [], []
         for t in blobs(batch.column(1)):
             hashes = shingle_hashes(t or b"", size)
             own = np.unique(hashes)
-            prints.append(_majority(hashes, words))
+            prints.append(fingerprint(hashes))
             digests.append(xxhash.xxh128_digest(own.tobytes()))
             sizes.append(len(own))
             bands.append(_bands(own))
-        cols = [pa.array(c, pa.int64()) for c in zip(*prints)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), *cols], [key, "node", "n", "bands", *fs])
+        cols = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(prints, pa.int64())]
+        return pa.RecordBatch.from_arrays([batch.column(0), *cols], [key, "node", "n", "bands", "fp"])
 
-    made = materialize(map_batches(docs.select(key, text), one, f"`{key}` {kind}, node binary, n long, bands array<long>, " + ", ".join(f"{f} long" for f in fs)))
-    dealt = made.select(key, "node", "n", "bands", *fs).withColumn("_part", part_of(key))
+    made = materialize(map_batches(docs.select(key, text), one, f"`{key}` {kind}, node binary, n long, bands array<long>, fp long"))
+    dealt = made.withColumn("_part", part_of(key))
     # of texts with one set the fingerprints may differ by repeats; any will do, the least is the same in every run
-    nodes = materialize(dealt.groupBy("node").agg(F.min(key).alias("least"), parts_held(F.col("_part")).alias("held"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(F.struct(*fs)).alias("fs")).select("node", "least", "held", "n", "bands", "fs.*"))
-    roots = _similar_components(nodes, docs, key, text, size, words, similarity)
+    nodes = materialize(dealt.groupBy("node").agg(F.min(key).alias("least"), parts_held(F.col("_part")).alias("held"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("fp").alias("fp")))
+    roots = _similar_components(nodes, docs, key, text, size, similarity)
     linked = nodes.select("node", "least", "held").join(roots, "node", "left")
     linked = materialize(linked.withColumn("root", F.coalesce("root", "node")))
     named = with_group_min(linked, "root", "least", "component_id", "node").select("node", "component_id", each_part(F.col("held")).alias("_part"))
-    return dealt.select(key, "node", F.array(*fs).alias("fp"), "_part").join(named, ["node", "_part"]).select(key, "fp", "component_id")
+    return dealt.select(key, "node", "fp", "_part").join(named, ["node", "_part"]).select(key, "fp", "component_id")
 
 
-def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, radius: int = 2, words: int = 1, similarity: float | None = None
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, radius: int = 2, similarity: float | None = None) -> DataFrame:
     """(key, fp, component_id) for each row of ``docs``; component_id is the smallest key reachable by links.
 
-    fp is an array of 64-bit words. Rows with equal fingerprints are linked, so copies are grouped by
+    fp is a signed 64-bit word. Rows with equal fingerprints are linked, so copies are grouped by
     an aggregation and only distinct fingerprints are compared. Null, empty and blank texts have
     fingerprint zero and are linked with each other like any other. Repeated keys are separate rows. All links are
     found; with ``similarity`` they are those of ``similar_texts``, which needs distinct keys.
-    A null key has the smallest key of its component, null if there is none. No rows give no rows.
+    A null key has the smallest key of its component, null if there is none. Other columns are not read. No rows give no rows.
     """
     if similarity is not None:
-        return similar_texts(docs, key, text, size, words, similarity)
-    fs = [f"f{k}" for k in range(words)]
-    prints = materialize(fingerprints(docs, key, text, size, words))
+        return similar_texts(docs, key, text, size, similarity)
+    prints = materialize(fingerprints(docs, key, text, size))
     dealt = prints.withColumn("_part", part_of(key))  # copies of one text may be a third of all rows
-    distinct = materialize(dealt.groupBy(*fs).agg(F.min(key).alias("least"), parts_held(F.col("_part")).alias("held")))
-    roots = connected_components(link_forest(distinct, radius, words))
-    linked = distinct.select(F.array(*fs).alias("node"), "least", "held").join(roots, "node", "left")
+    distinct = materialize(dealt.groupBy("fp").agg(F.min(key).alias("least"), parts_held(F.col("_part")).alias("held")))
+    roots = connected_components(link_forest(distinct, radius))
+    linked = distinct.select(F.col("fp").alias("node"), "least", "held").join(roots, "node", "left")
     linked = materialize(linked.withColumn("root", F.coalesce("root", "node")))
     named = with_group_min(linked, "root", "least", "component_id", "node")
-    named = named.select(*(F.col("node")[k].alias(f) for k, f in enumerate(fs)), "component_id", each_part(F.col("held")).alias("_part"))
-    return dealt.join(named, [*fs, "_part"]).select(key, F.array(*fs).alias("fp"), "component_id")
+    named = named.select(F.col("node").alias("fp"), "component_id", each_part(F.col("held")).alias("_part"))
+    return dealt.join(named, ["fp", "_part"]).select(key, "fp", "component_id")

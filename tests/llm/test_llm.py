@@ -88,7 +88,7 @@ def test_simhash_links_exactly(spark, monkeypatch, rows):
         all_texts.append(" ".join(w))
     all_texts += [None, "", "one two", "ONE  two"]
     df = spark.createDataFrame(list(enumerate(all_texts)), "doc_id long, text string")
-    got = {r["doc_id"]: (r["fp"][0] % (1 << 64), r["component_id"]) for r in simhash.near_duplicates(df).collect()}
+    got = {r["doc_id"]: (r["fp"] % (1 << 64), r["component_id"]) for r in simhash.near_duplicates(df).collect()}
     prints = [fingerprint(t, 3) for t in all_texts]
     comp, _ = linked(list(range(len(prints))), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 2)
     assert got == {i: (p, c) for i, (p, c) in enumerate(zip(prints, comp))}
@@ -96,19 +96,29 @@ def test_simhash_links_exactly(spark, monkeypatch, rows):
 
 def test_block_edges_connect_what_pairs_connect():
     r = np.random.default_rng(5)
-    seeds = r.integers(0, 1 << 63, (12, 1), dtype=np.uint64)
-    x = np.unique(np.concatenate([seeds ^ (np.uint64(1) << r.integers(0, 64, seeds.shape, dtype=np.uint64)) for _ in range(30)] + [seeds]), axis=0)
-    want, _ = linked(list(range(len(x))), lambda i, j: int(np.bitwise_count(x[i] ^ x[j]).sum()) <= 3)
-    edges = [(i, j) if j < len(x) else (i, j - len(x)) for i, j in simhash.block_edges(x, x, 3, simhash._pivot(7, 1))]
+    seeds = r.integers(0, 1 << 63, 12, dtype=np.uint64)
+    x = np.unique(np.concatenate([seeds ^ (np.uint64(1) << r.integers(0, 64, seeds.shape, dtype=np.uint64)) for _ in range(30)] + [seeds]))
+    want, _ = linked(list(range(len(x))), lambda i, j: int(np.bitwise_count(x[i] ^ x[j])) <= 3)
+    edges = [(i, j) if j < len(x) else (i, j - len(x)) for i, j in simhash.block_edges(x, x, 3)]
     got, _ = linked(list(range(len(x))), lambda i, j: (i, j) in edges or (j, i) in edges)
     assert got == want
 
 
+def test_cells_of_the_pivot_table_hold_all_links():
+    r = np.random.default_rng(6)
+    x = r.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    y = x ^ (np.uint64(1) << r.integers(0, 64, 4000, dtype=np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 4000, dtype=np.uint64))
+    for radius in (2, 3, 5):
+        a, b = simhash.pivot_table(x, radius), simhash.pivot_table(y, radius)
+        assert np.abs(a - b).max() <= 2
+        assert np.any([p == q for p, q in zip(simhash._cells(a), simhash._cells(b))], axis=0).all()
+
+
 def test_similar_texts_share_a_component(spark):
     base = prose(300, 77).split()
     near = [" ".join(w if k % 90 != i else "other" for k, w in enumerate(base)) for i in range(8)]
     df = spark.createDataFrame(list(enumerate([" ".join(base), *near, *(prose(300, 500 + i) for i in range(20))])), "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, size=5, words=4, similarity=0.8).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, size=5, similarity=0.8).collect()}
     assert {got[i] for i in range(9)} == {0} and all(got[i] == i for i in range(9, 29))
 
 
