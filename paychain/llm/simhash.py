@@ -39,8 +39,8 @@ HOME_ROWS, BLOCK_ROWS, PIVOTS = 2048, 65536, 12
 NEAREST = 3
 #: Min-wise bands of so many rows each: sets with a similarity of 0.8 share no band with a probability of 0.000015.
 BANDS, BAND_ROWS = 28, 5
-#: Rounds in which each band's members are compared with one of them, before all pairs that are still apart are.
-STARS = 2
+#: Shingles, and sets, of a band's cell that a task compares with as many others.
+BLOCK_SHINGLES, BLOCK_SETS = 1 << 22, 4096
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -247,11 +247,81 @@ def _similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> Data
     return materialize(both.where((1 + similarity) * common >= similarity * sizes - 1e-9).select("a", "b"))
 
 
+def _set_links(group: pa.Table, similarity: float) -> Iterator[tuple[int, int]]:
+    """Rows of a cell's part that link two components, as a forest: (root, x, y, block, n, shingles), blocks x and y compared."""
+    sizes, values = np.asarray(group.column("n")), group.column("shingles").combine_chunks()
+    ids = np.unique(np.asarray(values.values.slice(values.offsets[0].as_py(), int(sizes.sum()))), return_inverse=True)[1]
+    starts = np.r_[0, np.cumsum(sizes)[:-1]]
+    label = np.unique(np.array(group.column("root").to_pylist(), object), return_inverse=True)[1]
+    block, x, y = (np.asarray(group.column(c)) for c in ("block", "x", "y"))
+    places, mark = np.arange(len(sizes)), np.zeros(ids.max(initial=0) + 1, bool)
+    for i in np.flatnonzero(block == x[0]):
+        fits = (block == y[0]) & (label != label[i]) & (np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]) - 1e-9)
+        others = np.flatnonzero(fits & (places > i) if x[0] == y[0] else fits)
+        if not len(others):
+            continue
+        own = ids[starts[i] : starts[i] + sizes[i]]
+        mark[own] = True
+        for j in others:  # (1 + similarity) * common >= similarity * (sizes of both)
+            if label[j] != label[i] and (1 + similarity) * np.count_nonzero(mark[ids[starts[j] : starts[j] + sizes[j]]]) >= similarity * (sizes[i] + sizes[j]) - 1e-9:
+                yield int(i), int(j)
+                label[label == label[j]] = label[i]
+        mark[own] = False
+
+
+def _groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.Table]:
+    """Rows that follow each other and are equal in the first ``by`` columns, whole numbers."""
+    held, last = [], None
+    for batch in batches:
+        keys = np.stack([np.asarray(batch.column(k)) for k in range(by)], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        for s, e in zip(cuts, cuts[1:]):
+            if e > s:
+                if held and keys[s].tolist() != last:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(s, e - s))
+                last = keys[s].tolist()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _cell_links(cells: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between nodes of a band's cell that are in different components, enough of them to connect what all links do.
+
+    Only cells that hold several components are looked into. Their sets are compared where they meet, so no pair is ever a
+    row; a large cell is dealt over pairs of blocks.
+    """
+    named = cells.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("_part", part_of("node"))
+    blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int")
+    several = named.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), blocks.alias("blocks"), parts_held(F.col("_part")).alias("held")).where("low != high")
+    open_cells = materialize(named.join(several.select("cell", "blocks", each_part(F.col("held")).alias("_part")), ["cell", "_part"]).select("cell", "node", "root", "n", "blocks"))
+    block = F.pmod(F.xxhash64(F.lit(2), "node"), F.col("blocks")).cast("int")
+    # a row meets its own block and every other, as the first or the second of the two
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, block).alias("x"), F.greatest(k, block).alias("y"))))
+    dealt = open_cells.join(sets, "node").select("cell", pair.alias("p"), block.alias("block"), "node", "root", "n", "shingles").select("cell", "p.x", "p.y", "block", "node", "root", "n", "shingles")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+        for group in _groups(batches, 3):
+            if edges := list(_set_links(group, similarity)):
+                nodes = group.column("node").to_pylist()
+                found += [(nodes[i], nodes[j]) for i, j in edges]
+            if len(found) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], ["a", "b"])
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], ["a", "b"])
+
+    by = ["cell", "x", "y"]
+    return materialize(dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(link, "a binary, b binary").distinct())
+
+
 def _similar_components(nodes: DataFrame, docs: DataFrame, key: str, text: str, size: int, similarity: float) -> DataFrame:
     """(node, root) of nodes that links connect; ``nodes`` has (node, least, n, bands, fp), a row for each distinct shingle set.
 
-    Links of the fingerprints come first, as a forest. In a band's cell each node then meets one node of the cell,
-    and last all nodes of the cell that are still in other components, so copies of one text don't meet pair by pair.
+    First the links that fingerprints propose and those of each node to one node of every cell of its bands. Then
+    the members of a cell that are still in different components are compared with each other.
     """
     dealt = materialize(nodes.select("node", "n", F.explode("bands").alias("cell")).withColumn("_part", part_of("node")))
     shared = dealt.groupBy("cell").agg(F.count("*").alias("rows"), parts_held(F.col("_part")).alias("held")).where("rows > 1")
@@ -260,8 +330,11 @@ def _similar_components(nodes: DataFrame, docs: DataFrame, key: str, text: str,
     prints = materialize(with_group_min(nodes.select("node", "fp"), "fp", "node", "first", "node"))
     firsts = prints.where(F.col("node") == F.col("first")).select("fp", "node")
     of_a, of_b = firsts.select(F.col("fp").alias("a"), F.col("node").alias("x")), firsts.select(F.col("fp").alias("b"), F.col("node").alias("y"))
-    proposed = link_forest(firsts, NEAREST).join(of_a, "a").join(of_b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    proposed = materialize(proposed.union(prints.where(F.col("node") != F.col("first")).select("node", "first")))
+    near = link_forest(firsts, NEAREST).join(of_a, "a").join(of_b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    near = near.union(prints.where(F.col("node") != F.col("first")).select("node", "first"))
+    stars = with_group_min(cells.withColumn("pick", F.struct(F.xxhash64("node").alias("by"), F.col("node").alias("b"), F.col("n").alias("m"))), "cell", "pick", "star", "node")
+    fits = F.least("n", "star.m") >= similarity * F.greatest("n", "star.m") - 1e-9  # sets of other sizes can't be similar
+    proposed = materialize(near.union(stars.where(fits & (F.col("node") != F.col("star.b"))).select("node", "star.b")).distinct())
 
     need = proposed.select(F.explode(F.array("a", "b")).alias("node")).union(cells.select("node")).distinct()
     names = nodes.select("node", F.col("least").alias("_least")).join(need, "node")
@@ -273,19 +346,8 @@ def _similar_components(nodes: DataFrame, docs: DataFrame, key: str, text: str,
 
     sets = materialize(map_batches(held, shingles, "node binary, shingles array<long>"))
     links = _similar_pairs(proposed, sets, similarity)
-    fits = F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9  # sets of other sizes can't be similar
-    for k in range(STARS):
-        roots = connected_components(links)
-        named = cells.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        named = named.withColumn("pick", F.struct(F.xxhash64(F.lit(k), "node").alias("by"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("to")))
-        apart = materialize(with_group_min(named, "cell", "pick", "star", "node").where(F.col("root") != F.col("star.to")).select("cell", "node", "n", "root", "star"))
-        links = materialize(links.union(_similar_pairs(apart.select(F.col("node").alias("a"), F.col("star.b").alias("b"), "n", F.col("star.m").alias("m")).where(fits).select("a", "b"), sets, similarity)))
-    # of two nodes of a cell in different components one at least isn't in that of the cell's last star
     roots = materialize(connected_components(links))
-    named = cells.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    left = apart.select("cell", F.col("node").alias("a"), F.col("n").alias("m")).join(roots.select(F.col("node").alias("a"), F.col("root").alias("to")), "a", "left").withColumn("to", F.coalesce("to", "a"))
-    rest = named.join(left, "cell").where((F.col("root") != F.col("to")) & fits).select(F.greatest("a", "node").alias("a"), F.least("a", "node").alias("b"))
-    return connected_components(links.union(_similar_pairs(rest, sets, similarity)))
+    return connected_components(links.union(_cell_links(cells, roots, sets, similarity)))
 
 
 def similar_texts(docs: DataFrame, key: str, text: str, size: int, similarity: float) -> DataFrame:

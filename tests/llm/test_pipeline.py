@@ -47,7 +47,9 @@ def test_documents_that_share_an_id_or_have_none_stay(spark):
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, want))
 
 
-def test_near_duplicates_are_those_of_brute_force(spark):
+@pytest.mark.parametrize("block", [4096, 7])
+def test_near_duplicates_are_those_of_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr("paychain.llm.simhash.BLOCK_SETS", block)
     r = random.Random(4)
     fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
     texts = [fresh(r.randint(1, 60)) for _ in range(20)]
@@ -70,3 +72,52 @@ def test_near_duplicates_are_those_of_brute_force(spark):
                 up = [low if u == high else u for u in up]
     got = {x["doc_id"] for x in pipeline.near_duplicates(spark, docs, SF).collect()}
     assert got == set(up)
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, n_hit string, c0 string, _id long, taken string, component_id long"
+
+
+def odd_rows():
+    """Nulls in any column, empty and very long texts, ties, repeated rows and ids, columns named like those of operators."""
+    words = ["the", "house", "and", "river", "under", "morning", "light", "with", "stone", "garden", "walks", "slowly"]
+    r = random.Random(3)
+    prose = lambda n: " ".join(r.choice(words) + r.choice(["", "s", "ly", "ing"]) for _ in range(n))
+    other = lambda n: " ".join(r.choice(["der", "hund", "läuft", "schön", "über", "brücke", "und", "nicht"]) for _ in range(n))
+    rows = [(i, prose(60) if i % 2 else other(60), "en" if i % 2 else "de", None if i % 5 == 0 else f"s{i % 3}", 9) for i in range(60)]
+    rows += [(60, None, None, None, None), (61, "", "en", "s1", 0), (62, " ", None, "s1", 1), (63, prose(30_000), "en", "s2", None), (None, prose(50), "en", "s0", 5), (None, prose(50), None, "s0", 5)]
+    rows += [rows[1], rows[1], (1, prose(70), "en", "s1", 3), (64, rows[3][1], "en", "s1", 3)]
+    return [(*x, 0.5, "mine", "own", "first", i % 4, "kept", 7) for i, x in enumerate(rows)]
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_on_odd_rows_and_clashing_names(spark, stage):
+    name, fn = pipeline.STAGES[stage]
+    rows = odd_rows()
+    docs = spark.createDataFrame(rows, ODD).repartition(3)
+    got = fn(spark, docs, SF)
+    found = [tuple(r) for r in got.collect()]
+    if name.startswith("mixing"):
+        assert sorted(got.columns) == sorted(docs.columns)
+        assert {r["taken"] for r in got.select("taken").collect()} <= {k * len((x[1] or "").split()) for x in rows for k in (1, 2)}
+        found = [(*x[:10], "kept", x[10]) for x in found]
+        assert {x[0] for x in found} <= {x[0] for x in rows if (x[1] or "").strip()}
+    else:
+        assert got.columns == docs.columns
+    assert all(x[5:9] == (0.5, "mine", "own", "first") and x[10:] == ("kept", 7) for x in found)
+    texts = [x[1] for x in rows]
+    if name == "language ID":
+        assert not [x for x in found if not (x[1] or "").strip()] and all(x[2] for x in found)
+        assert len(found) >= 0.9 * sum(bool((t or "").strip()) for t in texts)
+    if name == "SimHash near-dedup":
+        blank = lambda t: t if (t or "").strip() else None
+        assert sorted(str(blank(x[1])) for x in found) == sorted(str(t) for t in {blank(t) for t in texts})
+        assert [x[0] for x in found if x[1] == rows[3][1]] == [3]
+    if name in ("benchmark decontamination", "secret scans"):
+        assert sorted(str(x[:4]) for x in found) == sorted(str(x[:4]) for x in rows)  # nothing to cut here
+        assert all(x[4] == (len(x[1]) if x[1] is not None else None) for x in found)
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_on_no_rows(spark, stage):
+    docs = spark.createDataFrame([], ODD)
+    assert pipeline.STAGES[stage][1](spark, docs, SF).count() == 0
