@@ -89,11 +89,11 @@ def crc_remainder(key: str, n: int):
 
 
 def with_columns(
-    docs: DataFrame, keep: list[str], text: str, fn: Callable[[list[bytes | None], pa.RecordBatch], list], added: str, names: list[str], extra: tuple[str, ...] = ()
+    docs: DataFrame, keep: list[str], text: str, fn: Callable[[list[bytes | None], pa.RecordBatch], list], added: str, names: list[str]
 ) -> DataFrame:
     """``keep`` columns of ``docs`` and those that ``fn`` makes from the texts of a batch.
 
-    A kept column whose name a new one takes is left out. ``extra`` columns follow the text in what fn sees.
+    A kept column whose name a new one takes is left out.
     """
     keep = [c for c in keep if c.lower() not in {n.lower() for n in names}]
     kept = [docs[f"`{c}`"] for c in keep]
@@ -104,7 +104,7 @@ def with_columns(
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*batch.columns[:n], *fn(blobs(batch.column(at)), batch)], [*keep, *names])
 
-    inner = docs.select(*(c.alias(f"_k{i}") for i, c in enumerate(kept)), *([docs[f"`{text}`"].alias("_text")] if at == n else []), *(docs[f"`{c}`"].alias(f"_x{i}") for i, c in enumerate(extra)))
+    inner = docs.select(*(c.alias(f"_k{i}") for i, c in enumerate(kept)), *([docs[f"`{text}`"].alias("_text")] if at == n else []))
     return map_batches(inner, one, schema)
 
 

@@ -6,22 +6,29 @@ window length, the last words are a window of some item.
 
 Words that no item holds reset the automaton to its root, so only runs of known words that are as
 long as the shortest window are streamed at all.
+
+The items are cut into pieces that overlap by all but one word of a window and dealt over blocks of bounded
+size. A task builds the automaton of a block and writes it to the shared folder; the tasks of the documents
+read these files in turn, so neither items nor automata pass through the driver and the documents are read once.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paychain.llm.common import materialize, with_columns
+from paychain.llm.common import blobs, map_batches, shared_dir, with_columns
 
 WINDOW = 10
-#: Words of items in one automaton: some 100 MB. More items make more automata, each streamed in turn.
-BLOCK_WORDS = 200_000
+#: Words of items in one automaton (some 50 MB) and in a piece of an item; automata that a task keeps where there are few.
+BLOCK_WORDS, PIECE_WORDS, KEPT = 100_000, 10_000, 2
 
 #: Upper-case letters become lower-case, what is no word byte becomes a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -140,15 +147,35 @@ def _spans(text: str, hit: bytearray) -> list[dict]:
     return out
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[str, list[bytes]]]]:
-    block, n = [], 0
-    for row in benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where("t IS NOT NULL").toLocalIterator():
-        block.append((row.i or "", words(row.t.encode())))
-        n += len(block[-1][1])
-        if n >= BLOCK_WORDS:
-            yield block
-            block, n = [], 0
-    yield block
+def write_automata(benchmark: DataFrame, item: str, text: str, window: int) -> list[str]:
+    """The files of the automata of all items, one for each block."""
+    folder = f"{shared_dir(benchmark.sparkSession)}/automata-{uuid.uuid4().hex}"
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        names, pieces, sizes = [], [], []
+        for name, t in zip(batch.column(0).to_pylist(), blobs(batch.column(1))):
+            ws = words(t)
+            for s in range(0, max(1, len(ws) - window + 1), PIECE_WORDS):
+                piece = ws[s : s + PIECE_WORDS + window - 1]
+                if piece:
+                    names.append(name or ""), pieces.append(b" ".join(piece)), sizes.append(len(piece))
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(pieces, pa.binary()), pa.array(sizes, pa.int64())], ["item", "piece", "n"])
+
+    pieces = map_batches(benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")), cut, "item string, piece binary, n long").distinct()
+    total = pieces.agg(F.sum("n")).first()[0] or 0
+    block = F.pmod(F.xxhash64("item", "piece"), F.lit(-(-total // BLOCK_WORDS) or 1)).cast("int")
+
+    def write(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(group.column("item").to_pylist(), group.column("piece").to_pylist()))
+        store, top = pafs.FileSystem.from_uri(folder)
+        store.create_dir(top, recursive=True)
+        name = f"{uuid.uuid4().hex}.automaton"  # a task that runs again writes another file
+        with store.open_output_stream(f"{top}/{name}", compression=None) as out:
+            out.write(pickle.dumps(build([(i, p.split()) for i, p in rows], window)))
+        return pa.table({"block": pa.array([group.column("block")[0].as_py()], pa.int32()), "name": [name]})
+
+    written = pieces.withColumn("block", block).groupBy("block").applyInArrow(write, "block int, name string")
+    return [f"{folder}/{r['name']}" for r in sorted(written.collect())]  # one row for each block
 
 
 def find_contamination(
@@ -160,46 +187,32 @@ def find_contamination(
     none has none. Null and empty texts have no words; an item whose id is null has the empty id, and rows
     that repeat an item id are one item. An empty benchmark contaminates nothing. Repeated documents are
     scanned each; columns of the same names as the new ones give way to them.
-
-    The items are read block by block, and each block's automaton, of bounded size, is broadcast.
     """
     names = ["n_words", "n_hit", "items", "spans"]
     added = "n_words long, n_hit long, items array<string>, spans array<struct<start: int, end: int>>"
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
-    found, first = docs, True
-    for block in _blocks(benchmark, item, item_text):
-        if not block and not first:
-            break
-        shared = docs.sparkSession.sparkContext.broadcast(build(block, window))
-
-        def scan(texts: list[bytes | None], batch: pa.RecordBatch, shared=shared, again=not first) -> list:
-            n_words, n_hit, items, spans = [], [], [], []
-            before = [c.to_pylist() for c in batch.columns[-2:]] if again else None
+    files, kept = write_automata(benchmark, item, item_text, window), {}
+
+    def automaton(file: str) -> tuple:
+        if file in kept:
+            return kept[file]
+        store, path = pafs.FileSystem.from_uri(file)
+        with store.open_input_stream(path) as f:
+            found = pickle.loads(f.read())
+        if len(files) <= KEPT:
+            kept[file] = found
+        return found
+
+    def scan(texts: list[bytes | None], _) -> list:
+        n_words, hits, items = [0] * len(texts), [bytearray()] * len(texts), [set() for _ in texts]
+        for place, file in enumerate(files or [None]):
+            block = automaton(file) if file else build([], window)
             for k, t in enumerate(texts):
                 tokens = words(t)
-                hit, got = bytearray(len(tokens)), set()
-                stream(tokens, shared.value, window, hit, got)
-                found = []
-                old = before[1][k] if before else None
-                if got and old:  # spans of other blocks: mark their words too
-                    for j, m in enumerate(_WORD.finditer(t.decode("utf-8", "replace"))):
-                        if any(s["start"] <= m.start() < s["end"] for s in old):
-                            hit[j] = 1
-                if got:
-                    found = _spans(t.decode("utf-8", "replace"), hit)
-                n = sum(hit)
-                if old and not got:
-                    found = old
-                    n = sum(len(_WORD.findall(t.decode("utf-8", "replace")[s["start"] : s["end"]])) for s in old)
-                n_words.append(len(tokens))
-                n_hit.append(n)
-                items.append(sorted(got | set(before[0][k] if before else ())))
-                spans.append(found)
-            return [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, kind)]
-
-        source = found if first else materialize(found)
-        columns = keep if text in keep else [*keep, text]
-        found = with_columns(source, columns, text, scan, added, names, extra=() if first else ("items", "spans"))
-        first = False
-    return found.select(*(F.col(f"`{c}`") for c in keep), *names)
+                if not place:
+                    n_words[k], hits[k] = len(tokens), bytearray(len(tokens))
+                stream(tokens, block, window, hits[k], items[k])
+        spans = [_spans(t.decode("utf-8", "replace"), hit) if got else [] for t, hit, got in zip(texts, hits, items)]
+        return [pa.array(n_words, pa.int64()), pa.array([sum(h) for h in hits], pa.int64()), pa.array([sorted(i) for i in items], pa.list_(pa.string())), pa.array(spans, kind)]
+
+    return with_columns(docs, docs.columns if keep is None else keep, text, scan, added, names)
