@@ -26,6 +26,8 @@ from paychain.llm.common import materialize, shared_dir
 
 #: Ranges start in chunks of so many bytes; smaller gaps between selected records are read through.
 CHUNK, GAP = 4 << 20, 64 << 10
+#: Bytes of archives that a task reads: as few as the first if that makes no more than a few tasks a core, else up to the second.
+TASK_BYTES, MOST_TASK_BYTES, TASKS_A_CORE = 8 << 20, 256 << 20, 3
 
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
@@ -126,7 +128,10 @@ def read_records(index: DataFrame, payloads: bool = True, chunk: int = CHUNK, ga
     Every response's digest is computed again and compared. Index rows that are selected twice are read twice.
     An empty index gives no rows.
     """
-    ranges = index.groupBy("archive", F.floor(F.col("offset") / chunk).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("spans"))
+    total, cores = index.agg(F.sum("length")).first()[0] or 0, index.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(-(-total // TASK_BYTES), TASKS_A_CORE * cores), -(-total // MOST_TASK_BYTES))
+    # dealt by what they make tasks read, as the ranges themselves take few bytes
+    ranges = index.groupBy("archive", F.floor(F.col("offset") / chunk).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("spans")).repartition(tasks)
     kinds = {"page": pa.int64(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload_digest": pa.string(), "payload_bytes": pa.int64()} | ({"payload": pa.binary()} if payloads else {})
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,9 +149,10 @@ def read_records(index: DataFrame, payloads: bool = True, chunk: int = CHUNK, ga
                         block = memoryview(f.read_at(end - start, start))
                         for s in spans[i : j + 1]:
                             at = s["offset"] - start
-                            out.append(parse(zlib.decompress(block[at : at + s["length"]], 31)))
+                            found = parse(zlib.decompress(block[at : at + s["length"]], 31))
+                            out.append([found[k] for k in kinds])  # a payload is let go once it is verified
                         i = j + 1
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in kinds.items()], list(kinds))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds.values())], list(kinds))
 
     schema = "page long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long" + ", payload binary" * payloads
     return ranges.select("archive", "spans").mapInArrow(read, schema)
