@@ -16,11 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paychain.llm.common import materialize
+from paychain.llm.common import PARTS, each_part, materialize, part_of, parts_held
 
 #: (rule, verdict); a rule is a host and a path.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-DEPTH, MANY, NEARLY, Z, STRENGTH = 3, 8, 0.5, 3.0, 4.0
+DEPTH, MANY, NEARLY, Z, STRENGTH = 6, 8, 0.5, 3.0, 4.0
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,42 +53,48 @@ def judge(
 
     Segments beyond ``depth`` count as one. Children are variable if a node has ``many`` or more, and ``nearly`` or more for each
     page. A null url or one without ``://`` has empty host and path, which no rule fits. Without labelled pages every
-    purity is a half, and such pages are allowed. Repeated rows are judged each. No rows give no rows.
+    purity is a half, and such pages are allowed. Repeated rows are judged each. Other columns are not read. No rows give no rows.
+
+    What is known of a host, node or path that many rows share is joined to them in parts.
     """
     host, path = F.col("host"), F.col("path")
     base = pages.select(F.col(page).alias("page"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rule, says = rule_of(host, path, rules)
-    cut = F.split(F.regexp_replace(path, "^/", ""), "/", depth)
-    base = base.withColumns({"rule": rule, "says": says, "segments": cut, "template": F.lit("")})
+    base = materialize(base.withColumns({"rule": rule, "says": says, "part": part_of("page")}))
     # equal paths of a host go down the tree together
-    nodes = base.groupBy("host", "path", "segments", "template").agg(F.count("*").alias("n"), F.count_if(F.col("says") == "allow").alias("good"), F.count_if(F.col("says") == "block").alias("bad"))
+    nodes = base.groupBy("host", "path").agg(
+        F.count("*").alias("n"), F.count_if(F.col("says") == "allow").alias("good"), F.count_if(F.col("says") == "block").alias("bad"), parts_held(F.col("part")).alias("pages_in")
+    )
+    cut = F.split(F.regexp_replace(path, "^/", ""), "/", depth)
+    nodes = materialize(nodes.withColumns({"segments": cut, "template": F.lit(""), "part": part_of("path")}))
     sums = [F.sum(c).alias(c) for c in ("n", "good", "bad")]
-    nodes = materialize(nodes)
-    for level in range(depth):
+    deepest = nodes.agg(F.max(F.size("segments"))).first()[0] or 0
+    for level in range(min(depth, deepest)):
         here = nodes.withColumn("segment", F.get("segments", F.lit(level)))
-        children = here.where("segment IS NOT NULL").groupBy("host", "template", "segment").agg(*sums)
-        parents = children.groupBy("host", "template").agg(F.count("*").alias("k"), *(F.sum(c).alias(f"all_{c}") for c in ("n", "good", "bad")))
+        children = here.where("segment IS NOT NULL").groupBy("host", "template", "segment").agg(*sums).withColumn("part", part_of("segment"))
+        parents = children.groupBy("host", "template").agg(F.count("*").alias("k"), *(F.sum(c).alias(f"all_{c}") for c in ("n", "good", "bad")), parts_held(F.col("part")).alias("held"))
+        parents = parents.withColumn("part", each_part(F.col("held")))
         share = F.try_divide(F.col("all_bad"), F.col("all_good") + F.col("all_bad"))
         own = F.col("good") + F.col("bad")
         apart = F.abs(F.try_divide(F.col("bad"), own) - share) > z * F.sqrt(F.try_divide(share * (1 - share), own))
         kept = (
-            children.join(parents, ["host", "template"])
+            children.join(parents, ["host", "template", "part"])
             .where(((F.col("k") < many) | (F.col("k") < nearly * F.col("all_n"))) & (own > 0) & apart)
-            .select("host", "template", "segment", F.lit(True).alias("named"))
+            .select("host", "template", "segment", F.lit(True).alias("named"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
         )
         step = F.when(F.col("segment").isNull(), "").otherwise(F.concat(F.lit("/"), F.when(F.col("named"), F.col("segment")).otherwise("*")))
-        nodes = here.join(kept, ["host", "template", "segment"], "left").withColumn("template", F.concat("template", step)).drop("segment", "named")
+        nodes = here.join(kept, ["host", "template", "segment", "part"], "left").withColumn("template", F.concat("template", step)).drop("segment", "named")
         nodes = materialize(nodes)
     half = F.lit(0.5)
-    by_host = nodes.groupBy("host", "template").agg(*sums)
+    by_host = nodes.groupBy("host", "template").agg(*sums, parts_held(F.col("part")).alias("held"))
     by_template = by_host.groupBy("template").agg(F.sum("good").alias("t_good"), F.sum("bad").alias("t_bad"))
     total = by_host.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good") + F.sum("bad"), F.lit(0))).first()
     prior = (F.lit(total[0]) + strength * half) / (F.lit(total[1]) + strength)
     above = (F.col("t_bad") + strength * prior) / (F.col("t_good") + F.col("t_bad") + strength)
     purity = (F.col("bad") + strength * above) / (F.col("good") + F.col("bad") + strength)
-    verdicts = by_host.join(by_template, "template").select("host", "template", purity.alias("purity"))
-    judged = nodes.join(verdicts, ["host", "template"]).select("host", "path", "template", "purity")
-    return base.drop("template").join(judged, ["host", "path"]).select(
+    verdicts = by_host.join(by_template, "template").select("host", "template", purity.alias("purity"), each_part(F.col("held")).alias("part"))
+    judged = nodes.join(verdicts, ["host", "template", "part"]).select("host", "path", "template", "purity", each_part(F.col("pages_in")).alias("part"))
+    return base.join(judged, ["host", "path", "part"]).select(
         F.col("page").alias(page), "host", "path", "rule", "template", "purity", F.coalesce("says", F.when(F.col("purity") > 0.5, "block").otherwise("allow")).alias("verdict")
     )
 

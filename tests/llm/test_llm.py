@@ -122,7 +122,7 @@ def test_similar_texts_share_a_component(spark):
     assert {got[i] for i in range(9)} == {0} and all(got[i] == i for i in range(9, 29))
 
 
-def test_contamination(spark, docs, texts):
+def test_contamination(spark, docs, texts, monkeypatch):
     items = [("a", prose(400, 1)[:300]), ("b", "word"), ("c", None), ("d", ""), ("e", " ".join(prose(30, 2).split()[5:17])), ("e", " ".join(prose(30, 2).split()[5:17])), ("f", prose(5, 2))]
     bench = spark.createDataFrame(items, "item_id string, text string")
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -141,10 +141,10 @@ def test_contamination(spark, docs, texts):
                         names.add(name)
         return len(w), sum(hit), sorted(names)
 
-    for block in (decontaminate.BLOCK_WORDS, 12):
-        old, decontaminate.BLOCK_WORDS = decontaminate.BLOCK_WORDS, block
+    for sizes in ((decontaminate.BLOCK_WORDS, decontaminate.PIECE_WORDS), (12, 15), (12, 1)):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", sizes[0])
+        monkeypatch.setattr(decontaminate, "PIECE_WORDS", sizes[1])
         got = decontaminate.find_contamination(docs, bench, keep=["doc_id"]).collect()
-        decontaminate.BLOCK_WORDS = old
         assert len(got) == len(texts) + 1
         for r in got:
             assert (r["n_words"], r["n_hit"], r["items"]) == brute(dict(texts)[r["doc_id"]])
@@ -255,6 +255,14 @@ def test_url_query_against_sql(spark):
     assert sorted(str(tuple(x)) for x in got) == want
 
 
+def test_url_filter_of_one_hot_host_and_of_null_urls(spark):
+    urls = [f"http://hot.net/user/{i}/posts/{i % 7}/view/{i}" for i in range(300)] + [None] * 200 + [f"http://hot.net/{'de' if i % 2 else 'fr'}/x" for i in range(40)]
+    got = urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert len(got) == len(urls) == len({r["page_id"] for r in got})
+    assert {r["template"] for r in got if r["page_id"] < 300} == {"/*/*/*/*/*/*"}
+    assert all((r["host"], r["path"], r["rule"]) == ("", "", None) for r in got if 300 <= r["page_id"] < 500)
+
+
 def test_url_filter_has_no_python(spark):
     df = spark.createDataFrame([(1, "http://a.net/x")], "page_id long, url string")
     plan = urlfilter.judge(df)._jdf.queryExecution().toString()
