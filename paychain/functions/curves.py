@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from paychain.sources.scratch import running_totals, settled
+
 
 def long_scores(df: DataFrame, label: str, margins: list[str], classes: list[int]) -> DataFrame:
     """(class, truth, score): one row for each row and class."""
@@ -18,55 +18,51 @@ def long_scores(df: DataFrame, label: str, margins: list[str], classes: list[int
 def roc_points(scores: DataFrame, by: list[str], bins: int | None = None) -> DataFrame:
     """(by.., score, fpr, tpr): one point for each distinct score from high to low, ties as one, and the origin (score null).
 
-    Rows are first counted by score, so a window runs over distinct scores only; ``bins`` rounds these to so many
-    levels where even they are too many for a task (a curve without ``by`` has a single window). Rates of a class
-    without rows of one kind are null.
+    Rows are counted by score, and the counts run in ranges of scores, so no task sees a whole curve. ``bins`` rounds scores
+    to so many levels. Rates of a class without rows of one kind are null.
     """
     if bins:
         lo, hi = scores.agg(F.min("score"), F.max("score")).first()
         step = ((hi or 0.0) - (lo or 0.0)) / bins or 1.0
         scores = scores.withColumn("score", F.floor((F.col("score") - (lo or 0.0)) / step) * step + (lo or 0.0))
     counts = scores.groupBy(*by, "score").agg(F.sum("truth").alias("p"), F.sum(1 - F.col("truth")).alias("n"))
-    run = W.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(*by)
-    points = counts.select(*by, "score", F.try_divide(F.sum("n").over(run), F.sum("n").over(whole)).alias("fpr"), F.try_divide(F.sum("p").over(run), F.sum("p").over(whole)).alias("tpr"))
-    origin = counts.groupBy(*by).agg(F.lit(None).cast("double").alias("score"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    run = running_totals(counts, by, [F.desc("score")], ["p", "n"])
+    points = run.select(*by, "score", F.try_divide("upto_n", "all_n").alias("fpr"), F.try_divide("upto_p", "all_p").alias("tpr"))
+    origin = scores.groupBy(*by).agg(F.lit(None).cast("double").alias("score"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return points.unionByName(origin)
 
 
 def auc(points: DataFrame, by: list[str]) -> DataFrame:
-    """(by.., auc) by trapezoids."""
-    order = W.partitionBy(*by).orderBy("fpr", "tpr")
-    part = (F.col("fpr") - F.lag("fpr").over(order)) * (F.col("tpr") + F.lag("tpr").over(order)) / 2
-    return points.withColumn("part", part).groupBy(*by).agg(F.sum("part").alias("auc"))
-
-
-def interp_curve(curves: dict):
-    """A vectorised function of false-positive rates to the mean of the curves there."""
-    arrays = [(np.asarray(x), np.asarray(y)) for x, y in curves.values()]
-
-    @F.pandas_udf("double")
-    def mean(fpr: pd.Series) -> pd.Series:
-        v = fpr.to_numpy(dtype=float)
-        return pd.Series(sum(np.interp(v, x, y) for x, y in arrays) / len(arrays))
-
-    return mean
-
-
-def roc_macro(points: DataFrame, by: str, bins: int = 10_000) -> DataFrame:
-    """(fpr, tpr): the mean over classes at every false-positive rate of any class.
-
-    Curves with more than ``bins`` points of different rate must be made with so many score bins before, as
-    they are held by every task; more raise ValueError.
+    """(by.., auc) by trapezoids: within ranges of a curve, and between the last point of a range and the first of the next."""
+    names = [f"_b{i}" for i in range(len(by))]
+    ranged = settled(points.select(*(F.col(c).alias(n) for c, n in zip(by, names)), "fpr", "tpr").repartitionByRange(*names, "fpr", "tpr").withColumn("_range", F.spark_partition_id()))
+    point, within = F.struct("fpr", "tpr"), W.partitionBy("_range", *names).orderBy("fpr", "tpr")
+    area = lambda a, b: (b["fpr"] - a["fpr"]) * (b["tpr"] + a["tpr"]) / 2
+    inner = ranged.withColumn("part", area(F.lag(point).over(within), point)).select(*names, "part")
+    ends = ranged.groupBy("_range", *names).agg(F.min(point).alias("first"), F.max(point).alias("last"))
+    between = ends.withColumn("part", area(F.lag("last").over(W.partitionBy(*names).orderBy("_range")), F.col("first"))).select(*names, "part")
+    return inner.unionByName(between).groupBy(*(F.col(n).alias(c) for c, n in zip(by, names))).agg(F.sum("part").alias("auc"))
+
+
+def roc_macro(points: DataFrame, by: str) -> DataFrame:
+    """(fpr, tpr): the mean over classes at every false-positive rate of any class, each curve interpolated between its points.
+
+    A vertical step has two values; a rate right there takes the last. Classes without rates are left out. Each class's points
+    and the rates of the others are sorted by ranges; a range gets the nearest points of the ranges around it.
     """
-    ends = points.groupBy(by, "fpr").agg(F.min("tpr").alias("low"), F.max("tpr").alias("tpr"))
-    rows = ends.orderBy(by, "fpr").limit(bins * 100 + 1).collect()
-    if len(rows) > bins * 100:
-        raise ValueError("too many points; make the curves with bins")
-    curves: dict = {}
-    for r in rows:
-        x, y = curves.setdefault(r[by], ([], []))
-        # a vertical step has two values; interpolation takes the last
-        x += [r["fpr"], r["fpr"]] if r["low"] != r["tpr"] else [r["fpr"]]
-        y += [r["low"], r["tpr"]] if r["low"] != r["tpr"] else [r["tpr"]]
-    return points.select("fpr").distinct().withColumn("tpr", interp_curve(curves)(F.col("fpr"))) if curves else points.select("fpr", "tpr").limit(0)
+    known = points.where("fpr IS NOT NULL AND tpr IS NOT NULL").withColumnRenamed(by, "class")
+    ends = known.groupBy("class", "fpr").agg(F.min("tpr").alias("low"), F.max("tpr").alias("high"))
+    rates = known.select("fpr").distinct().crossJoin(known.select("class").distinct())  # a few classes
+    rows = settled(rates.join(ends, ["class", "fpr"], "left").repartitionByRange("class", "fpr").withColumn("_range", F.spark_partition_id()))
+    left, right = F.when(F.col("high").isNotNull(), F.struct("fpr", "high")), F.when(F.col("high").isNotNull(), F.struct("fpr", "low"))
+    parts = rows.groupBy("_range", "class").agg(F.max(left).alias("last"), F.min(right).alias("first"))
+    around = W.partitionBy("class").orderBy("_range")
+    parts = parts.select(
+        "_range", "class", F.last("last", True).over(around.rowsBetween(W.unboundedPreceding, -1)).alias("before"), F.first("first", True).over(around.rowsBetween(1, W.unboundedFollowing)).alias("after")
+    )
+    within = W.partitionBy("_range", "class").orderBy("fpr")
+    near = rows.withColumns({"a": F.last(left, True).over(within.rowsBetween(W.unboundedPreceding, 0)), "b": F.first(right, True).over(within.rowsBetween(1, W.unboundedFollowing))})
+    near = near.join(parts, ["_range", "class"]).withColumns({"a": F.coalesce("a", "before"), "b": F.coalesce("b", "after")})
+    slope = F.try_divide(F.col("b.low") - F.col("a.high"), F.col("b.fpr") - F.col("a.fpr"))
+    tpr = F.coalesce("high", F.col("a.high") + (F.col("fpr") - F.col("a.fpr")) * slope, "a.high")
+    return near.select("fpr", tpr.alias("tpr")).groupBy("fpr").agg(F.avg("tpr").alias("tpr"))

@@ -1,6 +1,8 @@
 """Classification of chains: train, evaluate, score; also a spark-submit main.
 
-    classify_job.py INDEX LABELS OUT [encoding]
+    classify_job.py INDEX LABELS OUT [encoding] [exact|sketch]
+
+The last says how the scaler's quantiles are found.
 """
 
 from __future__ import annotations
@@ -11,9 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paychain.functions.curves import auc, long_scores, roc_macro, roc_points
 from paychain.functions.metrics import class_report, confusion, losses, score_summary
-from paychain.operators.classify import LinearModel, fit_softmax_l1, predict_linear
-from paychain.operators.prep import active_rows, align_labels, fill_missing, model_input, null_profile, stratified_split
+from paychain.operators.classify import LinearModel, fit_ovr, fit_softmax_l1, predict_linear
+from paychain.operators.prep import active_rows, align_labels, fill_missing, model_input, null_profile, random_split, stratified_split
 from paychain.operators.scale import RobustParams, apply_robust, fit_robust
 from paychain.sources.scratch import settled
 from paychain.sources.tables import COUNT, FEATURES, INDEX_SCHEMA, KEY, LABEL, LABEL_SCHEMA, read_keyed_csv, write_keyed_csv
@@ -48,14 +51,33 @@ def score(rows: DataFrame, state: ClassifierState) -> DataFrame:
     return predict_linear(apply_robust(rows, state.scaler), state.model)
 
 
-def score_project(index: DataFrame, state: ClassifierState, refit: bool = False) -> DataFrame:
+def score_project(index: DataFrame, state: ClassifierState, refit: bool = False, exact: bool = True) -> DataFrame:
     """The same project with the fitted scaler, or a new one with its own (``refit``)."""
     rows = fill_missing(active_rows(index, COUNT).select(KEY, *FEATURES), FEATURES)
-    scaler = fit_robust(rows, FEATURES) if refit else state.scaler
+    scaler = fit_robust(rows, FEATURES, exact) if refit else state.scaler
     return predict_linear(apply_robust(rows, scaler), state.model)
 
 
-def main(index_path: str, labels_path: str, out: str, encoding: str = "GBK") -> None:
+def one_vs_rest(model: DataFrame, exact: bool = True) -> DataFrame:
+    """Decision values m1 .. mK and class of the rows held out, each class fitted against the rest on the others."""
+    rows = settled(random_split(model.na.drop(subset=[LABEL]), KEY))
+    train = settled(rows.where("NOT is_test"))
+    scaler = fit_robust(train, FEATURES, exact)
+    fitted = fit_ovr(apply_robust(train, scaler), FEATURES, LABEL, classes=CLASSES)
+    return predict_linear(apply_robust(rows.where("is_test").drop("is_test"), scaler), fitted, margins=True)
+
+
+def write_curves(scored: DataFrame, out: str) -> None:
+    """The curve of each class, of all scores together and of the classes' mean, and the areas."""
+    scores = settled(long_scores(scored, LABEL, [f"m{i + 1}" for i in range(len(CLASSES))], CLASSES))
+    points, micro = settled(roc_points(scores, ["class"])), settled(roc_points(scores, []))
+    found = {"roc_points": points, "roc_micro": micro, "roc_macro": roc_macro(points, "class"), "roc_auc": auc(points, ["class"]), "roc_micro_auc": auc(micro, [])}
+    for name, df in found.items():
+        df.write.mode("overwrite").parquet(f"{out}/{name}")
+
+
+def main(index_path: str, labels_path: str, out: str, encoding: str = "GBK", quantiles: str = "exact") -> None:
+    exact = quantiles == "exact"
     spark = SparkSession.builder.appName("classify chains").getOrCreate()
     index, labels = read_keyed_csv(spark, index_path, INDEX_SCHEMA, encoding), read_keyed_csv(spark, labels_path, LABEL_SCHEMA)
     joined = align_labels(index, labels, KEY)
@@ -63,16 +85,17 @@ def main(index_path: str, labels_path: str, out: str, encoding: str = "GBK") ->
     model = model_input(active_rows(joined, COUNT), KEY, FEATURES, LABEL)
     model = settled(model)
     write_keyed_csv(model, f"{out}/model_index", encoding)
-    state = fit(model)
+    state = fit(model, exact=exact)
     split = stratified_split(model.na.drop(subset=[LABEL]), KEY, LABEL)
     for name, part in (("test", split.where("is_test")), ("train", split.where("NOT is_test"))):
         scored = predict_linear(apply_robust(part, state.scaler), state.model, margins=True)
         counts = confusion(scored, LABEL, "predict_index", CLASSES)
         for kind, df in (("confusion", counts), ("report", class_report(counts)), ("scores", score_summary(counts)), ("losses", losses(scored, LABEL, ["m1", "m2", "m3"], CLASSES))):
             df.withColumn("part", F.lit(name)).write.mode("overwrite").parquet(f"{out}/{kind}_{name}")
+    write_curves(settled(one_vs_rest(model, exact)), out)
     write_keyed_csv(score(model, state), f"{out}/results", encoding)
     write_keyed_csv(score_project(index, state), f"{out}/same_project", encoding)
-    write_keyed_csv(score_project(index, state, refit=True), f"{out}/new_project", encoding)
+    write_keyed_csv(score_project(index, state, refit=True, exact=exact), f"{out}/new_project", encoding)
 
 
 if __name__ == "__main__":

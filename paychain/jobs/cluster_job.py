@@ -1,6 +1,8 @@
 """Numeric clustering of chains: robust scale, whiten, uniform quantiles, k-means; also a spark-submit main.
 
-    cluster_job.py MODEL_INDEX PROJECT_INDEX OUT [encoding]
+    cluster_job.py MODEL_INDEX PROJECT_INDEX OUT [encoding] [exact|sketch]
+
+The last says how quantiles are found.
 """
 
 from __future__ import annotations
@@ -55,24 +57,26 @@ def project_rows(index: DataFrame) -> DataFrame:
     return fill_missing(active_rows(index, COUNT).select(KEY, *FEATURES), FEATURES)
 
 
-def assign_project(index: DataFrame, state: ClusterState, refit: bool = False) -> DataFrame:
+def assign_project(index: DataFrame, state: ClusterState, refit: bool = False, exact: bool = True) -> DataFrame:
     """The same project with all of the fitted state; a new one with its own scaler and quantiles, but the fitted components and clusters."""
     rows = project_rows(index)
     if refit:
-        scaler = fit_robust(rows, FEATURES)
-        state = replace(state, scaler=scaler, quantiles=fit_quantiles(apply_whiten(apply_robust(rows, scaler), state.whitening), _components(state.whitening)))
+        rows = settled(rows)
+        scaler = fit_robust(rows, FEATURES, exact)
+        state = replace(state, scaler=scaler, quantiles=fit_quantiles(apply_whiten(apply_robust(rows, scaler), state.whitening), _components(state.whitening), exact=exact))
     return assign(rows, state)
 
 
-def main(model_path: str, project_path: str, out: str, encoding: str = "GBK") -> None:
+def main(model_path: str, project_path: str, out: str, encoding: str = "GBK", quantiles: str = "exact") -> None:
+    exact = quantiles == "exact"
     spark = SparkSession.builder.appName("cluster chains").getOrCreate()
     rows = fill_missing(read_keyed_csv(spark, model_path, INDEX_SCHEMA, encoding).select(KEY, *FEATURES), FEATURES)
     rows = settled(rows)
-    state = fit(rows)
+    state = fit(rows, exact=exact)
     write_keyed_csv(assign(rows, state), f"{out}/duration_result", encoding)
     project = read_keyed_csv(spark, project_path, INDEX_SCHEMA, encoding)
     write_keyed_csv(assign_project(project, state), f"{out}/same_project", encoding)
-    write_keyed_csv(assign_project(project, state, refit=True), f"{out}/new_project", encoding)
+    write_keyed_csv(assign_project(project, state, refit=True, exact=exact), f"{out}/new_project", encoding)
 
 
 if __name__ == "__main__":

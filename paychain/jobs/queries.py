@@ -14,7 +14,7 @@ from paychain.functions import curves, metrics
 from paychain.jobs import classify_job, cluster_job
 from paychain.operators import cluster as C
 from paychain.operators import prep, scale
-from paychain.operators.classify import LinearModel, fit_ovr, kkt_residual, predict_linear
+from paychain.operators.classify import LinearModel, kkt_residual, predict_linear
 from paychain.sources import fixtures, tables
 from paychain.sources.scratch import scratch_path, settled
 from paychain.sources.tables import COUNT, FEATURES, KEY, LABEL
@@ -25,7 +25,7 @@ PINNED = LinearModel(
     tuple(FEATURES), (1, 2, 3), ((-1.2, 0.1, -0.3, 0.2), (0.2, 0.1, 0.3, -0.1), (1.0, -0.2, 0.1, 0.3)), (-0.1, 0.5, -0.2)
 )
 CENTRES = [(-1.0, -0.5, -1.0, -0.5), (-0.3, 0.4, -0.2, 0.1), (0.0, 0.0, 0.0, 0.0), (0.2, -0.4, 0.6, 0.5), (0.6, 0.3, 0.1, -0.6), (0.9, 0.9, 0.9, 0.9), (1.5, -0.2, 0.3, 1.2)]
-ATTRS, STEPS = ["p_brand", "p_type", "p_size"], 3
+ATTRS, STEPS = ["p_brand", "p_type", "p_size"], 16
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -181,7 +181,7 @@ def _uniform_sql() -> str:
 
 @query(SCALED_SQL + _uniform_sql())
 def quantile_uniform(spark: SparkSession, d: str) -> DataFrame:
-    scaled = _scaled(spark, d)
+    scaled = settled(_scaled(spark, d))
     return scale.apply_quantiles(scaled, scale.fit_quantiles(scaled, FEATURES, LANDMARKS)).select(KEY, *(r6(c) for c in FEATURES))
 
 
@@ -346,7 +346,7 @@ def roc_macro(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _modes_sql(source: str, cats: list[str], nums: list[str], gamma: str | None) -> str:
-    """Cao start and STEPS batch iterations, unrolled."""
+    """Cao start and STEPS batch iterations, unrolled; ``stop`` has the one at which the cost no longer falls (none if it still does)."""
     cols = [*nums, *cats]
     sql = ", b AS (SELECT s.*, " + " + ".join(f"(SELECT count(*) FROM {source} t WHERE t.{c} = s.{c})" for c in cats) + f" AS density FROM {source} s)"
     differ = lambda a, b: " + ".join(f"({a}.{c} <> {b}.{c})::INT" for c in cats)
@@ -363,7 +363,13 @@ def _modes_sql(source: str, cats: list[str], nums: list[str], gamma: str | None)
             modes = [f"(SELECT cluster, arg_min(v, (-n, v)) AS {c} FROM (SELECT cluster, {c} AS v, count(*) AS n FROM j{t} GROUP BY ALL) GROUP BY cluster) x{i}" for i, c in enumerate(cats)]
             means = [f"(SELECT cluster, {', '.join(f'avg({c}) AS {c}' for c in nums)} FROM j{t} GROUP BY cluster) y"] if nums else []
             sql += f", p{t + 1} AS MATERIALIZED (SELECT p.cluster, {', '.join([*(f'coalesce(y.{c}, p.{c}) AS {c}' for c in nums), *(f'coalesce(x{i}.{c}, p.{c}) AS {c}' for i, c in enumerate(cats))])} FROM p{t} p " + " ".join(f"LEFT JOIN {m} USING (cluster)" for m in [*means, *modes]) + ")"
-    return sql
+    sql += ", paid AS (" + " UNION ALL ".join(f"SELECT {t} AS t, sum(d)::DOUBLE AS cost FROM a{t}" for t in range(STEPS + 1)) + ")"
+    return sql + ", stop AS (SELECT min(t) AS t FROM (SELECT t, cost, lag(cost) OVER (ORDER BY t) AS last FROM paid) WHERE cost >= last - 1e-9 * abs(last))"
+
+
+def _at_stop(columns: str, source: str) -> str:
+    """The rows of the unrolled steps' tables at the step that ``stop`` has."""
+    return "(" + " UNION ALL ".join(f"SELECT {t} AS t, {columns} FROM {source}{t}" for t in range(1, STEPS + 1)) + ") JOIN stop USING (t)"
 
 
 _PARTS = ", parts_ AS (SELECT p_partkey AS key, p_brand, p_type, p_size::VARCHAR AS p_size FROM part)"
@@ -372,13 +378,13 @@ PROTO_SQL = ", gamma_ AS (SELECT 0.5 * stddev_pop(market_cap) AS g FROM stocks_)
 
 
 def _kmodes(spark, d) -> tuple[DataFrame, C.Prototypes]:
-    rows = fixtures.categories(spark, d).persist()
-    return rows, C.fit_prototypes(rows, ATTRS, C.cao_init(rows, "key", ATTRS, 4), max_iter=STEPS, fixed=True)
+    rows = settled(fixtures.categories(spark, d))
+    return rows, C.fit_kmodes(rows, "key", ATTRS, 4, "cao")
 
 
 def _kprototypes(spark, d) -> tuple[DataFrame, C.Prototypes]:
-    rows, cats = fixtures.stocks(spark, d).persist(), ["sector", "country"]
-    return rows, C.fit_prototypes(rows, cats, C.cao_init(rows, "key", cats, 4, ["market_cap"]), ["market_cap"], max_iter=STEPS, fixed=True)
+    rows, cats = settled(fixtures.stocks(spark, d)), ["sector", "country"]
+    return rows, C.fit_prototypes(rows, cats, C.cao_init(rows, "key", cats, 4, ["market_cap"]), ["market_cap"])
 
 
 @query(_PARTS + _modes_sql("parts_", ATTRS, [], None) + " SELECT cluster, p_brand, p_type, p_size FROM p0")
@@ -387,22 +393,22 @@ def cao_init(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(i, *c) for i, c in enumerate(centres)], "cluster int, p_brand string, p_type string, p_size string")
 
 
-@query(KMODES_SQL + f" SELECT key, cluster FROM a{STEPS}")
+@query(KMODES_SQL + f" SELECT key, cluster FROM {_at_stop('key, cluster', 'a')}")
 def kmodes(spark: SparkSession, d: str) -> DataFrame:
     return C.assign_prototypes(*_kmodes(spark, d)).select("key", "cluster")
 
 
-@query(KMODES_SQL + " SELECT cluster, attr, value FROM (" + " UNION ALL ".join(f"SELECT cluster, '{c}' AS attr, {c} AS value FROM p{STEPS}" for c in ATTRS) + ")")
+@query(KMODES_SQL + f", last_ AS (SELECT * FROM {_at_stop('cluster, ' + ', '.join(ATTRS), 'p')}) SELECT cluster, attr, value FROM (" + " UNION ALL ".join(f"SELECT cluster, '{c}' AS attr, {c} AS value FROM last_" for c in ATTRS) + ")")
 def kmodes_modes(spark: SparkSession, d: str) -> DataFrame:
     return C.centre_table(spark, _kmodes(spark, d)[1])
 
 
-@query(PROTO_SQL + f" SELECT symbol, cluster FROM a{STEPS} JOIN stocks_ USING (key)")
+@query(PROTO_SQL + f" SELECT symbol, cluster FROM {_at_stop('key, cluster', 'a')} JOIN stocks_ USING (key)")
 def kprototypes(spark: SparkSession, d: str) -> DataFrame:
     return C.assign_prototypes(*_kprototypes(spark, d)).select("symbol", "cluster")
 
 
-@query(PROTO_SQL + " SELECT iteration::INT AS iteration, round(cost, 2) AS cost FROM (" + " UNION ALL ".join(f"SELECT {t} AS iteration, sum(d) AS cost FROM a{t}" for t in range(STEPS)) + ")")
+@query(PROTO_SQL + " SELECT paid.t::INT AS iteration, round(cost, 2) AS cost FROM paid, stop WHERE paid.t < stop.t")
 def kprototypes_cost(spark: SparkSession, d: str) -> DataFrame:
     costs = _kprototypes(spark, d)[1].costs
     return spark.createDataFrame(list(enumerate(costs)), "iteration int, cost double").select("iteration", F.round("cost", 2).alias("cost"))
@@ -411,7 +417,7 @@ def kprototypes_cost(spark: SparkSession, d: str) -> DataFrame:
 @query(" SELECT count(*) AS rows, TRUE AS not_above_start, TRUE AS falling FROM part")
 def kmodes_huang(spark: SparkSession, d: str) -> DataFrame:
     """k-modes from Huang starts: rows assigned, and the course of the cost."""
-    rows = fixtures.categories(spark, d).persist()
+    rows = settled(fixtures.categories(spark, d))
     fitted = C.fit_kmodes(rows, "key", ATTRS, n_init=5)
     falling = all(a > b for a, b in zip(fitted.costs, fitted.costs[1:]))
     return C.assign_prototypes(rows, fitted).agg(F.count("cluster").alias("rows"), F.lit(fitted.costs[-1] <= fitted.costs[0]).alias("not_above_start"), F.lit(falling).alias("falling"))
@@ -456,17 +462,10 @@ def new_project_classify(spark: SparkSession, d: str) -> DataFrame:
     return _told(classify_job.score_project(_index(spark, d), classify_job.fit(settled(_model(spark, d))), refit=True), False)
 
 
-def _ovr(spark, d) -> DataFrame:
-    rows = settled(prep.random_split(_model(spark, d).na.drop(subset=[LABEL]), KEY))
-    train = rows.where("NOT is_test")
-    scaler = scale.fit_robust(train, FEATURES)
-    return predict_linear(scale.apply_robust(rows.where("is_test"), scaler), fit_ovr(scale.apply_robust(train, scaler), FEATURES, LABEL, classes=CLASSES), margins=True)
-
-
 @query()
 def ovr_scores(spark: SparkSession, d: str) -> DataFrame:
     """One-vs-rest decision values and classes of the rows held out."""
-    return _ovr(spark, d).select(KEY, LABEL, "m1", "m2", "m3", "predict_index")
+    return classify_job.one_vs_rest(_model(spark, d)).select(KEY, LABEL, "m1", "m2", "m3", "predict_index")
 
 
 def _assigned(df: DataFrame) -> DataFrame:
@@ -494,10 +493,10 @@ def cluster_scored(spark: SparkSession, d: str) -> DataFrame:
 @query(SCALED_SQL + _PROJECT + _scaled_sql("scored", "params", "project", "") + f" SELECT key, {ROUNDED}, TRUE AS has_cluster FROM scored")
 def same_project_cluster(spark: SparkSession, d: str) -> DataFrame:
     rows = settled(_model(spark, d).select(KEY, *FEATURES))
-    return _assigned(cluster_job.assign_project(_index(spark, d), cluster_job.fit(rows, n_init=5)))
+    return _assigned(cluster_job.assign_project(_index(spark, d), cluster_job.fit(rows)))
 
 
 @query(_PROJECT + _params_sql("params", "project") + _scaled_sql("scored", "params", "project", "") + f" SELECT key, {ROUNDED}, TRUE AS has_cluster FROM scored")
 def new_project_cluster(spark: SparkSession, d: str) -> DataFrame:
     rows = settled(_model(spark, d).select(KEY, *FEATURES))
-    return _assigned(cluster_job.assign_project(_index(spark, d), cluster_job.fit(rows, n_init=5), refit=True))
+    return _assigned(cluster_job.assign_project(_index(spark, d), cluster_job.fit(rows), refit=True))

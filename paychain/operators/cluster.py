@@ -18,6 +18,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from paychain.operators.prep import missing
+
 
 def _nearest(distances: list[Column]) -> Column:
     """The index of the least distance, the first of equal ones."""
@@ -113,6 +115,9 @@ def cao_init(df: DataFrame, key: str, categorical: list[str], k: int, numeric: l
 
 def huang_init(df: DataFrame, key: str, categorical: list[str], k: int, seed: int = 0) -> list[tuple]:
     """Values drawn by frequency for each attribute, then each draft moved to the nearest row not yet taken; ties go to the lowest key."""
+    rows = df.select(key).limit(k).count()
+    if rows < k:
+        raise ValueError(f"{k} clusters need as many rows, there are {rows}")
     rng, drafts = random.Random(seed), [[] for _ in range(k)]
     for c in categorical:
         counts = df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c)
@@ -134,6 +139,24 @@ def huang_init(df: DataFrame, key: str, categorical: list[str], k: int, seed: in
     return centres
 
 
+def _update(df: DataFrame, p: Prototypes) -> DataFrame:
+    """(_c, cost, n0 .., m0 ..) of each cluster with rows: what is paid, means, and the most frequent values.
+
+    Rows are counted by cluster and value of each attribute in one shuffle, so no task holds all values of an attribute.
+    """
+    d = F.array(*p.distances())
+    values = [F.col(c).alias(f"v{i}") for i, c in enumerate(p.categorical)]
+    assigned = df.select(*(F.col(c).alias(f"x{i}") for i, c in enumerate(p.numeric)), *values, F.array_min(d).alias("_d"), (F.array_position(d, F.array_min(d)) - 1).cast("int").alias("_c"))
+    m = len(p.categorical)
+    names = [f"v{i}" for i in range(m)]
+    found = assigned.groupingSets([["_c"], *(["_c", v] for v in names)], "_c", *names).agg(
+        F.grouping_id().alias("_g"), F.count("*").alias("_n"), F.sum("_d").alias("cost"), *(F.avg(f"x{i}").alias(f"n{i}") for i in range(len(p.numeric)))
+    )
+    whole = lambda c: F.max(F.when(F.col("_g") == (1 << m) - 1, F.col(c))).alias(c)
+    most = lambda i: F.min_by(f"v{i}", F.when((F.col("_g") == (1 << m) - 1 - (1 << (m - 1 - i))) & F.col(f"v{i}").isNotNull(), F.struct(-F.col("_n"), f"v{i}"))).alias(f"m{i}")
+    return found.groupBy("_c").agg(whole("cost"), *(whole(f"n{i}") for i in range(len(p.numeric))), *(most(i) for i in range(m)))
+
+
 def fit_prototypes(
     df: DataFrame, categorical: list[str], centres: list[tuple], numeric: list[str] | None = None, gamma: float | None = None, max_iter: int = 100, fixed: bool = False
 ) -> Prototypes:
@@ -141,23 +164,23 @@ def fit_prototypes(
 
     Numeric columns take their mean; attributes the most frequent value, the lowest of equally frequent ones. A
     cluster without rows keeps its centre. gamma, the weight of a differing attribute, is half the mean of the
-    numeric standard deviations unless given. The batch update has the fixed points of the row-by-row one, but its
-    path may differ.
+    numeric standard deviations unless given; at 0 only numbers count. A missing number is an error. The batch update has the
+    fixed points of the row-by-row one, but its path may differ.
     """
     numeric = numeric or []
-    if gamma is None and numeric:
-        row = df.agg(*(F.stddev_pop(c) for c in numeric)).first()
-        gamma = 0.5 * sum(x or 0.0 for x in row) / len(numeric)
-    p = Prototypes(tuple(numeric), tuple(categorical), list(centres), gamma or 1.0, [])
+    if numeric:
+        row = df.agg(*(F.stddev_pop(c) for c in numeric), *(F.count_if(missing(df, c)) for c in numeric)).first()
+        if gaps := [c for c, n in zip(numeric, row[len(numeric) :]) if n]:
+            raise ValueError(f"there are missing numbers in {', '.join(gaps)}")
+        gamma = 0.5 * sum(x or 0.0 for x in row[: len(numeric)]) / len(numeric) if gamma is None else gamma
+    p = Prototypes(tuple(numeric), tuple(categorical), list(centres), 1.0 if gamma is None else gamma, [])
     for _ in range(max_iter):
-        d = F.array(*p.distances())
-        assigned = df.select(*numeric, *categorical, F.array_min(d).alias("_d"), (F.array_position(d, F.array_min(d)) - 1).cast("int").alias("_c"))
-        rows = assigned.groupBy("_c").agg(F.sum("_d").alias("cost"), *(F.avg(c).alias(f"n{i}") for i, c in enumerate(numeric)), *(F.mode(c, True).alias(f"m{i}") for i, c in enumerate(categorical))).collect()
+        rows = _update(df, p).collect()  # k rows
         cost = float(sum(r["cost"] for r in rows))
-        if not fixed and p.costs and cost >= p.costs[-1]:
+        if not fixed and p.costs and cost >= p.costs[-1] - 1e-9 * abs(p.costs[-1]):  # sums differ by rounding
             break
         centres = list(p.centres)
-        for r in rows:  # k rows
+        for r in rows:
             centres[r["_c"]] = tuple(r[f"n{i}"] for i in range(len(numeric))) + tuple(r[f"m{i}"] for i in range(len(categorical)))
         p = Prototypes(p.numeric, p.categorical, centres, p.gamma, [*p.costs, cost])
     return p

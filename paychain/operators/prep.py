@@ -54,15 +54,20 @@ def split_labelled(df: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     return df.na.drop(subset=[label]), df.where(missing(df, label))
 
 
+def _as_text(key: str) -> Column:
+    """The key for a digest; rows without a key are drawn alike."""
+    return F.coalesce(F.col(key).cast("string"), F.lit(""))
+
+
 def stratified_split(df: DataFrame, key: str, label: str, test: float = 0.2, seed: int = 0, buckets: int = 4096) -> DataFrame:
     """``df`` with ``is_test``: in each class the first share of rows by md5(key|seed), rounded half up.
 
     Rows are counted by class and hash bucket; only the bucket in which a class's cut falls is ranked row by row, so a
-    class that holds most rows is not sorted in one task.
+    class that holds most rows is not sorted in one task. A null key counts as the empty text, a null label is a class.
     """
     from pyspark.sql import Window as W
 
-    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
+    digest = F.md5(F.concat(_as_text(key), F.lit(f"|{seed}")))
     bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") * buckets / (1 << 32)
     rows = df.withColumns({"_h": digest, "_b": F.floor(bucket).cast("int")})
     counts = rows.groupBy(label, "_b").agg(F.count("*").alias("n"))
@@ -72,13 +77,13 @@ def stratified_split(df: DataFrame, key: str, label: str, test: float = 0.2, see
         F.col(label).alias("_l"), F.col("_b").alias("_cut"), F.col("n"), F.sum("n").over(upto).alias("upto"), ((F.sum("n").over(W.partitionBy(label)) * share * 2 + 1_000_000) / 2_000_000).cast("long").alias("want")
     ).where("upto - n <= want AND want < upto")
     cuts = cuts.select("_l", "_cut", (F.col("want") - F.col("upto") + F.col("n")).alias("_left"))  # one row for each class
-    joined = rows.join(F.broadcast(cuts), F.col(label).eqNullSafe(F.col("_l")), "left")
+    joined = rows.join(cuts, F.col(label).eqNullSafe(F.col("_l")), "left")
     edge = joined.where("_b = _cut").withColumn("_r", F.row_number().over(W.partitionBy(label).orderBy("_h", key))).withColumn("is_test", F.col("_r") <= F.col("_left"))
     rest = joined.where("_cut IS NULL OR _b <> _cut").withColumn("is_test", F.coalesce(F.col("_b") < F.col("_cut"), F.lit(True)))
     return edge.select(*df.columns, "is_test").unionByName(rest.select(*df.columns, "is_test"))
 
 
 def random_split(df: DataFrame, key: str, test: float = 0.2, seed: int = 0) -> DataFrame:
-    """``df`` with ``is_test`` by a threshold on md5(key|seed); the same rows in every run and engine."""
-    draw = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}"))), 1, 8), 16, 10).cast("long")
+    """``df`` with ``is_test`` by a threshold on md5(key|seed), a null key as the empty text; the same rows in every run and engine."""
+    draw = F.conv(F.substring(F.md5(F.concat(_as_text(key), F.lit(f"|{seed}"))), 1, 8), 16, 10).cast("long")
     return df.withColumn("is_test", draw < int(test * (1 << 32)))

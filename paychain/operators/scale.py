@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paychain.sources.scratch import running_totals
+
 
 @dataclass(frozen=True)
 class RobustParams:
@@ -23,15 +28,43 @@ class RobustParams:
 
 
 def quantiles(df: DataFrame, columns: list[str], levels: list[float], exact: bool = True, accuracy: int = 100_000) -> list[list[float]]:
-    """The quantiles of each column in one pass, interpolated if ``exact``; else from a mergeable sketch of bounded size.
+    """The quantiles of each column, interpolated if ``exact``; else from a mergeable sketch of bounded size, in one pass.
 
-    Exact quantiles keep a count for each distinct value, so beyond some ten million of these take the sketch. NaN and null
-    are left out; a column without values has none (an empty list).
+    For exact ones the distinct values of all columns are counted, sorted by ranges and numbered by running totals; only the
+    values at the ranks that the levels need come to the driver. NaN and null are left out; a column without values has none (an
+    empty list).
     """
-    level = F.array(*map(F.lit, levels))
     found = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns]
-    row = df.agg(*((F.percentile(c, level) if exact else F.percentile_approx(c, level, accuracy)).alias(f"q{i}") for i, c in enumerate(found))).first()
-    return [list(r) if r is not None else [] for r in row]
+    if not exact:
+        level = F.array(*map(F.lit, levels))
+        row = df.agg(*(F.percentile_approx(c, level, accuracy).alias(f"q{i}") for i, c in enumerate(found))).first()
+        return [list(r) if r is not None else [] for r in row]
+    values = df.select(F.explode(F.array(*(F.struct(F.lit(i).alias("c"), x.alias("v")) for i, x in enumerate(found)))).alias("p")).select("p.*").where("v IS NOT NULL")
+    counts = values.groupBy("c", (F.col("v") + 0.0).alias("v")).agg(F.count("*").alias("n"))
+    at = np.array(levels, float)
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(c, n, rank, v) of the values at the ranks below and above each level."""
+        for batch in batches:
+            c, v, n, upto, total = (np.asarray(batch.column(k)) for k in ("c", "v", "n", "upto_n", "all_n"))
+            for size in np.unique(total):
+                ranks = np.unique(np.concatenate([np.floor(at * (size - 1)), np.ceil(at * (size - 1))])).astype(np.int64)
+                here = np.flatnonzero(total == size)
+                low, high = np.searchsorted(ranks, upto[here] - n[here]), np.searchsorted(ranks, upto[here])
+                some = np.repeat(here, high - low)
+                rank = ranks[np.arange(len(some)) - np.repeat(np.cumsum(high - low) - high, high - low)]
+                if len(some):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c[some], total[some], rank, v[some])], ["c", "n", "rank", "v"])
+
+    rows = running_totals(counts, ["c"], [F.col("v")], ["n"]).mapInArrow(hold, "c int, n long, rank long, v double").collect()  # two for each level and column
+    held, sizes = {(r["c"], r["rank"]): r["v"] for r in rows}, {r["c"]: r["n"] for r in rows}
+    out = []
+    for i in range(len(columns)):
+        out.append([])
+        for x in at * (sizes[i] - 1) if i in sizes else ():
+            low, high = held[i, int(np.floor(x))], held[i, int(np.ceil(x))]
+            out[-1].append(float(low if low == high else (np.ceil(x) - x) * low + (x - np.floor(x)) * high))
+    return out
 
 
 def fit_robust(df: DataFrame, columns: list[str], exact: bool = True) -> RobustParams:

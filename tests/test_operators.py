@@ -122,3 +122,72 @@ def test_margin_losses(spark):
     df = spark.createDataFrame([(1, 2.0, 0.0), (2, 2.0, 0.0), (None, 0.0, 0.0)], "y int, m1 double, m2 double")
     row = metrics.losses(df, "y", ["m1", "m2"], [1, 2]).first()
     assert row["hinge_loss"] == pytest.approx(1.5) and row["log_loss"] == pytest.approx((2 * math.log(1 + math.exp(-2)) + 2) / 2)
+
+
+def test_splits_keep_rows_without_key(spark):
+    df = spark.createDataFrame([(i if i < 20 else None, 1) for i in range(22)], "key long, y int")
+    rows = prep.stratified_split(df, "key", "y").collect()
+    assert len(rows) == 22 and sum(r["is_test"] for r in rows) == 4
+    assert all(r["is_test"] is not None for r in prep.random_split(df, "key").collect())
+
+
+def test_quantiles_are_numpys(spark):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    x, y = r.normal(0, 1, 3000).round(2), r.integers(0, 4, 3000).astype(float)
+    df = spark.createDataFrame([(float(a), float(b) if i % 3 else None, None) for i, (a, b) in enumerate(zip(x, y))], "x double, y double, z double").repartition(5)
+    levels = [k / 99 for k in range(100)]
+    got = scale.quantiles(df, ["x", "y", "z"], levels)
+    assert np.allclose(got[0], np.quantile(x, levels)) and np.allclose(got[1], np.quantile(y[np.arange(3000) % 3 > 0], levels)) and got[2] == []
+
+
+def test_running_totals_over_many_ranges(spark):
+    from paychain.sources.scratch import running_totals
+
+    rows = [(i % 3 if i % 7 else None, i, (i * 31) % 17) for i in range(400)]
+    df = spark.createDataFrame(rows, "g int, x int, n long")
+    want = {}
+    for g, x, n in sorted(rows, key=lambda t: -t[1]):
+        want.setdefault(g, []).append((x, n))
+    for r in running_totals(df, ["g"], [F.desc("x")], ["n"]).collect():
+        assert r["upto_n"] == sum(n for x, n in want[r["g"]] if x >= r["x"]) and r["all_n"] == sum(n for _, n in want[r["g"]])
+
+
+def test_macro_curve_is_the_mean_of_interpolations(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    rows = [(int(c), int(r.random() < 0.4), float(round(r.normal(), 1))) for c in r.integers(1, 4, 900)]
+    points = curves.roc_points(spark.createDataFrame(rows, "class int, truth int, score double"), ["class"])
+    known = points.collect()
+    got = {r["fpr"]: r["tpr"] for r in curves.roc_macro(points, "class").collect()}
+    by = {c: sorted((p["fpr"], p["tpr"]) for p in known if p["class"] == c) for c in (1, 2, 3)}
+    assert got.keys() == {p["fpr"] for p in known}
+    for f, t in got.items():
+        want = []
+        for pts in by.values():
+            at = [y for x, y in pts if x == f]
+            want.append(max(at) if at else np.interp(f, [x for x, _ in pts], [y for _, y in pts]))
+        assert abs(t - np.mean(want)) < 1e-9
+    area = {r["class"]: r["auc"] for r in curves.auc(points, ["class"]).collect()}
+    assert all(abs(area[c] - np.trapezoid([y for _, y in by[c]], [x for x, _ in by[c]])) < 1e-9 for c in by)
+
+
+def test_prototypes_without_weight_gaps_and_rows(spark):
+    df = spark.createDataFrame([(1, 0.0, "a"), (2, 0.0, "b"), (3, 9.0, "a"), (4, 9.0, "b")], "key int, x double, c string")
+    p = cluster.fit_prototypes(df, ["c"], [(0.0, "a"), (9.0, "a")], ["x"], gamma=0.0)
+    assert p.gamma == 0.0 and [r["cluster"] for r in cluster.assign_prototypes(df, p).orderBy("key").collect()] == [0, 0, 1, 1]
+    gap = df.union(spark.createDataFrame([(5, None, "a")], df.schema))
+    with pytest.raises(ValueError, match="missing numbers in x"):
+        cluster.fit_prototypes(gap, ["c"], [(0.0, "a")], ["x"])
+    with pytest.raises(ValueError, match="5 clusters"):
+        cluster.huang_init(df, "key", ["c"], 5)
+
+
+def test_modes_are_the_most_frequent_and_lowest_values(spark):
+    rows = [(i, "b" if i % 2 else "a", None if i % 3 else "z") for i in range(8)]
+    df = spark.createDataFrame(rows, "key int, c string, d string")
+    assert cluster.fit_prototypes(df, ["c", "d"], [("a", "z")], max_iter=1, fixed=True).centres == [("a", "z")]
+    nothing = df.withColumn("d", F.lit(None).cast("string"))
+    assert cluster.fit_prototypes(nothing, ["c", "d"], [("b", None)], max_iter=1, fixed=True).centres == [("a", None)]
