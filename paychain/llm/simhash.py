@@ -40,7 +40,7 @@ NEAREST = 3
 #: Min-wise bands of so many rows each: sets with a similarity of 0.8 share no band with a probability of 0.000015.
 BANDS, BAND_ROWS = 28, 5
 #: Shingles, and sets, of a band's cell that a task compares with as many others.
-BLOCK_SHINGLES, BLOCK_SETS = 1 << 22, 4096
+BLOCK_SHINGLES, BLOCK_SETS = 1 << 22, 1024
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
