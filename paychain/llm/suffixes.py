@@ -14,6 +14,11 @@ Neighbours that share all tokens make all windows of their runs repeated. Where
 the first token alone, some windows of the runs may be equal: of such runs, one of each kind is
 cut into parts, which go through the same sort, and what is still open of these into windows.
 
+Consecutive runs of one text that are equal in all tokens (padding, repeated lines) become one row.
+
+The same sort tells which texts share a passage: there the sequence is one of words, and a text that holds
+a run of words which another text holds too is marked, whatever its length in bytes.
+
 Fingerprints of 128 bits stand for the strings.
 """
 
@@ -25,15 +30,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from paychain.llm.common import blobs, map_batches, materialize
+from paychain.llm.common import blobs, discard, map_batches, materialize
 
 LENGTH = 400
 #: Anchors are among so many first places of a window; texts are hashed in pieces of so many bytes.
 SPREAD, PIECE = 192, 1 << 18
+#: Words of a passage that texts may share; anchors of its windows are among so many first words.
+PASSAGE, WORD_SPREAD = 51, 40
 #: Runs that are partly repeated are looked into by parts of so many windows.
 PART = 16
 
@@ -62,13 +69,14 @@ def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Hashes:
-    """Fingerprints of any substring of a text in constant time each."""
+    """Fingerprints of any part of a sequence of bytes, or of 64-bit codes, in constant time each."""
 
     def __init__(self, data: np.ndarray, which: int):
         n = 1 << max(12, int(len(data)).bit_length())
         values, up, self.down = _powers(which, n)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(values[data] * up[: len(data)], out=self.sums[1:])
+        codes = values[data] if data.dtype == np.uint8 else _mix(data * _ODD[1 - which])
+        np.cumsum(codes * up[: len(data)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mix((self.sums[end] - self.sums[start]) * self.down[start])
@@ -83,7 +91,7 @@ def runs(data: np.ndarray, length: int, spread: int) -> tuple[np.ndarray, np.nda
     for at in range(0, n, PIECE):
         m = min(PIECE, n - at)  # windows that start in this piece
         need = m + spread - 1
-        grams = np.ndarray((need,), "<u8", data.tobytes() if not data.flags.c_contiguous else data, offset=at, strides=(1,))
+        grams = data[at : at + need] if data.dtype != np.uint8 else np.ndarray((need,), "<u8", data.tobytes() if not data.flags.c_contiguous else data, offset=at, strides=(1,))
         keys = grams * _ODD[0]
         keys = (keys ^ (keys >> np.uint64(29))) * _ODD[1]
         keys = (keys & ~np.uint64((1 << 20) - 1)) | np.arange(need, dtype=np.uint64)
@@ -110,12 +118,34 @@ def tokens_of(core: Hashes, whole: Hashes, anchor: np.ndarray, first: np.ndarray
     return [leading, _mix(whole.of(first, last + length) + (anchor - first).astype(np.uint64) * _ODD[0] + (last - anchor).astype(np.uint64) * _ODD[1])]
 
 
-def suffix_tokens(text: bytes, length: int, spread: int) -> list[np.ndarray]:
-    """[first token, second token, anchor, first window, last window] of each run of a text."""
-    data = np.frombuffer(text, np.uint8)
+def suffix_tokens(data: np.ndarray, length: int, spread: int) -> list[np.ndarray]:
+    """[first token, second token, anchor, first window, last window] of each run of a sequence."""
     anchor, first, last = runs(data, length, spread)
-    core, whole = Hashes(data, 0), Hashes(data, 1)
-    return [*tokens_of(core, whole, anchor, first, last, np.zeros(len(anchor), np.int64), spread, length), anchor, first, last]
+    return [*tokens_of(Hashes(data, 0), Hashes(data, 1), anchor, first, last, np.zeros(len(anchor), np.int64), spread, length), anchor, first, last]
+
+
+def collapsed(found: list[np.ndarray]) -> list[np.ndarray]:
+    """``suffix_tokens`` with consecutive runs that are equal in both tokens as one, and the last window of them all."""
+    core, whole, _, _, last = found
+    new = np.flatnonzero(np.r_[True, (core[1:] != core[:-1]) | (whole[1:] != whole[:-1])]) if len(core) else np.empty(0, np.int64)
+    return [*(x[new] for x in found), last[np.r_[new[1:], len(core)] - 1] if len(core) else last]
+
+
+def word_codes(text: bytes) -> np.ndarray:
+    """A 64-bit code of each word between white space."""
+    data = np.frombuffer(text, np.uint8)
+    word = np.r_[False, (data != 32) & ((data < 9) | (data > 13)), False]
+    turns = np.flatnonzero(word[1:] != word[:-1])
+    return Hashes(data, 0).of(turns[::2], turns[1::2]) if len(turns) else np.empty(0, np.uint64)
+
+
+def passage_windows(text: bytes, cores: np.ndarray, passage: int, spread: int) -> np.ndarray:
+    """Fingerprints of the windows of ``passage`` words whose run has one of these first tokens, each once."""
+    codes = word_codes(text)
+    core, _, _, first, last = suffix_tokens(codes, passage, spread)
+    hit = np.flatnonzero(np.isin(core.view(np.int64), cores))
+    at = np.concatenate([np.arange(first[k], last[k] + 1) for k in hit])
+    return np.unique(Hashes(codes, 1).of(at, at + passage).view(np.int64))
 
 
 def part_tokens(text: bytes, found: list[dict], length: int, width: int) -> list[np.ndarray]:
@@ -144,13 +174,15 @@ def multikey_order(tokens: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-def shared_with_neighbours(rows: DataFrame, tokens: list[str], ties: list[str]) -> DataFrame:
+def shared_with_neighbours(rows: DataFrame, tokens: list[str], ties: list[str], also: Column | None = None) -> DataFrame:
     """The rows that share leading tokens with a neighbour in token order, and how many: columns before and after.
 
     Spark samples the splitters of the ranges; ``ties`` spread rows that are equal in all tokens over ranges.
-    Each range also hands out its first and last row, and these are compared with each other.
+    Each range also hands out its first and last row, and these are compared with each other. Rows for which ``also`` holds
+    come out in any case.
     """
-    names = rows.columns
+    names, also = rows.columns, F.lit(False) if also is None else also
+    rows = rows.withColumn("also", also)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), "before int, after int, part int, first boolean, last boolean"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +201,7 @@ def shared_with_neighbours(rows: DataFrame, tokens: list[str], ties: list[str])
             shared[1:] += equal
         after = np.r_[shared[1:], np.int32(0)]
         first = np.arange(len(order)) == 0
-        keep = np.flatnonzero((shared > 0) | (after > 0) | first | first[::-1])
+        keep = np.flatnonzero((shared > 0) | (after > 0) | first | first[::-1] | np.asarray(table.column("also"))[order])
         out = table.take(pa.array(order[keep]))
         part = np.full(len(keep), TaskContext.get().partitionId(), np.int32)
         for name, c in (("before", shared[keep]), ("after", after[keep]), ("part", part), ("first", first[keep]), ("last", first[::-1][keep])):
@@ -189,8 +221,8 @@ def shared_with_neighbours(rows: DataFrame, tokens: list[str], ties: list[str])
 
     edges = edges.withColumns({"_b": common(lambda t: F.lag(t).over(by)), "_a": common(lambda t: F.lead(t).over(by))})
     edges = edges.withColumns({"before": F.when(F.col("first"), F.col("_b")).otherwise(F.col("before")), "after": F.when(F.col("last"), F.col("_a")).otherwise(F.col("after"))})
-    both = found.where("NOT first AND NOT last").union(edges.drop("_b", "_a")).select(*names, "before", "after")
-    return both.where("before > 0 OR after > 0")
+    both = found.where("NOT first AND NOT last").union(edges.drop("_b", "_a")).select(*names, "also", "before", "after")
+    return both.where("before > 0 OR after > 0 OR also").drop("also")
 
 
 def _merged(start: np.ndarray, end: np.ndarray) -> list[list[int]]:
@@ -208,49 +240,85 @@ def _ends(lists: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return [tuple(np.asarray(x.values.field(k)) for k in (0, 1)) if x.is_valid else (np.empty(0, np.int32),) * 2 for x in lists]
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, spread: int = SPREAD, texts: bool = True) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256, spans and, with ``texts``, kept) for each row of ``docs``.
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, spread: int = SPREAD, texts: bool = True, passage: int = PASSAGE) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256, spans, with ``texts`` kept, and shares_passage) for each row of ``docs``.
 
     Every byte is removed that some string of ``length`` bytes covers which also starts anywhere else, in
     any text or the same one; strings are judged on the input. spans are the maximal removed runs of bytes,
     kept the remaining bytes (which may cut a character). Null texts are empty; texts under ``length`` bytes keep
-    all. Rows that are equal in key and text repeat each other. No rows give no rows.
+    all. Rows that are equal in key and text repeat each other. shares_passage tells whether another row holds ``passage`` consecutive
+    words of the text too; nothing is removed for that. Other columns are not read. No rows give no rows.
     """
-    spread = min(spread, max(1, length - 8))
+    spread, word_spread = min(spread, max(1, length - 8)), min(WORD_SPREAD, passage - 1)
     kind = docs.schema[key].dataType.simpleString()
     base = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("print"))
     row = ["key", "print"]
     same_row = F.col("key").eqNullSafe(F.col("_key")) & (F.col("print") == F.col("_print"))
     by_row = [F.col(c).alias(f"_{c}") for c in row]
     tokens = f"core long, whole long, anchor int, lo int, hi int, key {kind}, print long"
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of ``tokens`` for the texts, or with a column of runs for the parts of these."""
+    names = ["core", "whole", "anchor", "lo", "hi", *row]
+
+    def block(parts: list[list[np.ndarray]], at: list[int], batch: pa.RecordBatch, more: list[str]) -> pa.RecordBatch:
+        """A row for each run found in the texts ``at`` of the batch; places that a kind of run doesn't have are null."""
+        rows = pa.array(np.repeat(at, [len(p[0]) for p in parts]))
+        core, whole, *places = (np.concatenate(x) for x in zip(*parts))
+        ints = [pa.array(x.astype(np.int32)) for x in places[:3]] or [pa.nulls(len(core), pa.int32())] * 3
+        last = [pa.array(x if x.dtype == bool else x.astype(np.int32)) for x in places[3:]] or [pa.nulls(len(core), pa.int32())]
+        cols = [pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)), *ints, batch.column(0).take(rows), batch.column(2).take(rows), *last]
+        return pa.RecordBatch.from_arrays(cols, [*names, *more])
+
+    def words_of(text: bytes) -> list[np.ndarray]:
+        found = suffix_tokens(word_codes(text), passage, word_spread)[:2]
+        return list(np.unique(np.stack(found, 1), axis=0).T)  # each kind of run once, so what meets is in another row
+
+    def suffixes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of ``tokens`` and upto: the runs of bytes of the texts, and without places those of words."""
         for batch in batches:
-            found = batch.column(3).to_pylist() if batch.num_columns > 3 else None
-            parts, at, size = [], [], 0
+            parts, at, of_words, word_at, size = [], [], [], [], 0
             for i, t in enumerate(blobs(batch.column(1))):
                 if t and len(t) >= length:
-                    parts.append(part_tokens(t, found[i], length, min(PART, spread)) if found else suffix_tokens(t, length, spread))
-                    at.append(np.full(len(parts[-1][0]), i))
+                    parts.append(collapsed(suffix_tokens(np.frombuffer(t, np.uint8), length, spread)))
+                    at.append(i)
                     size += len(parts[-1][0])
-                if parts and (size > 100_000 or i == batch.num_rows - 1):
-                    core, whole, *places = (np.concatenate(x) for x in zip(*parts))
-                    rows = pa.array(np.concatenate(at))
-                    cols = [core.view(np.int64), whole.view(np.int64), *(x.astype(np.int32) for x in places[:3])]
-                    cols = [*map(pa.array, cols), batch.column(0).take(rows), batch.column(2).take(rows), *map(pa.array, places[3:])]
-                    yield pa.RecordBatch.from_arrays(cols, ["core", "whole", "anchor", "lo", "hi", *row, "single"][: len(cols)])
+                if t and len(t) > 2 * passage - 2:
+                    of_words.append(words_of(t))
+                    word_at.append(i)
+                    size += len(of_words[-1][0])
+                if size > 100_000 or i == batch.num_rows - 1:
+                    if parts:
+                        yield block(parts, at, batch, ["upto"])
+                    if of_words:
+                        yield block(of_words, word_at, batch, ["upto"])
+                    parts, at, of_words, word_at, size = [], [], [], [], 0
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of ``tokens`` and single for the parts of the runs that follow the texts."""
+        for batch in batches:
+            parts, at, size = [], [], 0
+            for i, (t, found) in enumerate(zip(blobs(batch.column(1)), batch.column(3).to_pylist())):
+                parts.append(part_tokens(t, found, length, min(PART, spread)))
+                at.append(i)
+                size += len(parts[-1][0])
+                if size > 100_000 or i == batch.num_rows - 1:
+                    yield block(parts, at, batch, ["single"])
                     parts, at, size = [], [], 0
 
     whole_run = (F.col("before") == 2) | (F.col("after") == 2)
     edge = (F.col("before") == 1) | (F.col("after") == 1)  # the first or last of its kind, and other kinds share the first token
     covered = F.struct(F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
 
-    suffixes = materialize(base.where(F.octet_length("text") >= length).mapInArrow(cut, tokens))
-    near = shared_with_neighbours(suffixes, ["core", "whole"], ["print", "lo"])
-    told = near.groupBy(*by_row).agg(  # of one text
-        F.collect_list(F.when(whole_run, covered)).alias("spans"), F.collect_list(F.when(edge, F.struct("anchor", "lo", "hi", (~whole_run).alias("single")))).alias("runs")
+    least = min(length, 2 * passage - 1)
+    suffixes = materialize(base.where(F.octet_length("text") >= least).mapInArrow(suffixes_of, tokens + ", upto int"))
+    near = shared_with_neighbours(suffixes.where("lo IS NOT NULL"), ["core", "whole"], ["print", "lo"], F.col("upto") > F.col("hi"))
+    same_words = shared_with_neighbours(suffixes.where("lo IS NULL").select("core", "whole", *row), ["core", "whole"], ["print"])
+    discard(suffixes)
+    repeated, all_of_them = whole_run | (F.col("upto") > F.col("hi")), F.struct(F.col("lo").alias("start"), (F.col("upto") + length).alias("end"))
+    run = F.struct("anchor", "lo", "hi", (~repeated).alias("single"))
+    nothing = [F.lit(None).cast(t) for t in ("struct<start: int, end: int>", "struct<anchor: int, lo: int, hi: int, single: boolean>")]
+    told = near.select(*by_row, F.when(repeated, all_of_them).alias("span"), F.when(edge, run).alias("run"), F.lit(False).alias("shares"), F.lit(None).cast("long").alias("core")).union(
+        same_words.select(*by_row, *nothing, whole_run, F.when(edge, F.col("core")))
     )
+    told = told.groupBy("_key", "_print").agg(F.collect_list("span").alias("spans"), F.collect_list("run").alias("runs"), F.max("shares").alias("shares"), F.collect_list("core").alias("cores"))  # of one text
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     result = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *(["kept"] if texts else [])]
     schema = f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: int, end: int>>" + ", kept binary" * texts
@@ -272,17 +340,21 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         return [keys, *(pa.array(c, k) for c, k in zip(out, kinds))][: len(result)]
 
     def settle(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """Finish the texts without runs to look into; keep the others' texts."""
-        bodies, open_runs = blobs(batch.column(1)), batch.column(4)
+        """Finish the texts without runs to look into; keep the others' texts. Windows of words are told of where runs of them are open."""
+        bodies, open_runs, cores = blobs(batch.column(1)), batch.column(4), batch.column(6)
         is_open = [r.is_valid and len(r.values) > 0 for r in open_runs]
         cols = drop(batch.column(0), [None if o else t or b"" for o, t in zip(is_open, bodies)], _ends(batch.column(3)))
         kept = pa.array(is_open)
         texts_left = pa.compute.if_else(kept, batch.column(1), pa.scalar(None, batch.column(1).type))
-        return pa.RecordBatch.from_arrays([*cols, batch.column(2), texts_left, pa.compute.if_else(kept, open_runs, pa.scalar(None, open_runs.type))], [*result, "print", "text", "runs"])
+        runs_left = pa.compute.if_else(kept, open_runs, pa.scalar(None, open_runs.type))
+        windows = [passage_windows(t, np.asarray(c.values), passage, word_spread) if c.is_valid and len(c.values) else None for t, c in zip(bodies, cores)]
+        return pa.RecordBatch.from_arrays([*cols, batch.column(2), texts_left, runs_left, batch.column(5), pa.array(windows, pa.list_(pa.int64()))], [*result, "print", "text", "runs", "shares", "windows"])
 
-    joined = base.join(told, same_row, "left").select("key", "text", "print", "spans", "runs")
-    settled = materialize(map_batches(joined, settle, schema + ", print long, text string, runs array<struct<anchor: int, lo: int, hi: int, single: boolean>>"))
+    joined = base.join(told, same_row, "left").select("key", "text", "print", "spans", "runs", "shares", "cores")
+    settled = materialize(map_batches(joined, settle, schema + ", print long, text string, runs array<struct<anchor: int, lo: int, hi: int, single: boolean>>, shares boolean, windows array<long>"))
     still = settled.where("text IS NOT NULL")
+    open_windows = materialize(settled.where("windows IS NOT NULL").select(*row, F.explode("windows").alias("core")))
+    also = shared_with_neighbours(open_windows, ["core"], ["print"]).select(*by_row, F.lit(True).alias("also")).distinct()
 
     parts = materialize(still.select("key", "text", "print", "runs").mapInArrow(cut, tokens + ", single boolean"))
     near = shared_with_neighbours(parts, ["core", "whole"], ["print", "lo"])
@@ -305,13 +377,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
         spans = [tuple(np.r_[x, y] for x, y in zip(a, b)) for a, b in zip(_ends(batch.column(2)), _ends(batch.column(3)))]
-        return pa.RecordBatch.from_arrays(drop(batch.column(0), blobs(batch.column(1)), spans), result)
+        return pa.RecordBatch.from_arrays([*drop(batch.column(0), blobs(batch.column(1)), spans), batch.column(4), batch.column(5)], [*result, "print", "shares"])
 
-    finished = map_batches(still.join(marks, same_row, "left").select("key", "text", "spans", "more"), finish, schema)
-    return settled.where("text IS NULL").select(*result).union(finished).withColumnRenamed("key", key)
+    finished = map_batches(still.join(marks, same_row, "left").select("key", "text", "spans", "more", "print", "shares"), finish, schema + ", print long, shares boolean")
+    done = settled.where("text IS NULL").select(*result, "print", "shares").union(finished).join(also, same_row, "left")
+    return done.select(*result, (F.coalesce("shares", F.lit(False)) | F.col("also").isNotNull()).alias("shares_passage")).withColumnRenamed("key", key)
 
 
-def oracle(length: int = LENGTH) -> str:
+def oracle(length: int = LENGTH, passage: int = PASSAGE) -> str:
     """The query over table ``documents`` for DuckDB: every window by its digest."""
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
@@ -321,6 +394,10 @@ n AS (SELECT r, i, i > lag(i, 1, -{length}) OVER (PARTITION BY r ORDER BY i) + {
 s AS (SELECT r, min(i) AS s, max(i) + {length} AS e FROM (SELECT r, i, count_if(new) OVER (PARTITION BY r ORDER BY i) AS k FROM n) GROUP BY r, k),
 g AS (SELECT r, s, e, lag(e, 1, 1) OVER (PARTITION BY r ORDER BY s) AS upto FROM s),
 k AS (SELECT r, sum(e - s) AS n_removed, count(*) AS n_spans, string_agg(CASE WHEN s > upto THEN hex(b[upto:s - 1]) ELSE '' END, '' ORDER BY s) || CASE WHEN max(e) <= max(octet_length(b)) THEN hex(any_value(b)[max(e):]) ELSE '' END AS kept
-  FROM g JOIN d USING (r) GROUP BY r)
-SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, CASE WHEN kept IS NULL THEN sha256(b) ELSE sha256(unhex(kept)) END AS kept_sha256
-FROM d LEFT JOIN k USING (r)"""
+  FROM g JOIN d USING (r) GROUP BY r),
+v AS (SELECT r, regexp_extract_all(decode(b), '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+p AS (SELECT DISTINCT r, md5_number(array_to_string(ws[i:i + {passage - 1}], ' ')) AS h FROM (SELECT r, ws, unnest(range(1, len(ws) - {passage - 2})) AS i FROM v WHERE len(ws) >= {passage})),
+q AS (SELECT DISTINCT r FROM p WHERE h IN (SELECT h FROM p GROUP BY h HAVING count(*) > 1))
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, CASE WHEN kept IS NULL THEN sha256(b) ELSE sha256(unhex(kept)) END AS kept_sha256,
+  q.r IS NOT NULL AS shares_passage
+FROM d LEFT JOIN k USING (r) LEFT JOIN q USING (r)"""

@@ -151,8 +151,8 @@ def test_contamination(spark, docs, texts, monkeypatch):
     assert decontaminate.find_contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
-@pytest.mark.parametrize("length", [400, 60, 12])
-def test_repeated_strings(docs, texts, length):
+@pytest.mark.parametrize(("length", "passage"), [(400, 51), (60, 5), (12, 20)])
+def test_repeated_strings(docs, texts, length, passage):
     all_texts = [(i, t) for i, t in texts] + [texts[4]]
     count = Counter(b[i : i + length] for _, t in all_texts for b in [(t or "").encode()] for i in range(len(b) - length + 1))
     want = []
@@ -164,8 +164,18 @@ def test_repeated_strings(docs, texts, length):
                 gone[i : i + length] = True
         rest = bytes(x for x, g in zip(b, gone) if not g)
         want.append((k, len(b), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), hashlib.sha256(rest).hexdigest(), rest))
-    got = [tuple(r) for r in suffixes.remove_repeats(docs, length=length).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept").collect()]
-    assert sorted((*r[:5], bytes(r[5])) for r in got) == sorted(want)
+    held = [{tuple(w[i : i + passage]) for i in range(len(w) - passage + 1)} for _, t in all_texts for w in [(t or "").split()]]
+    times = Counter(x for h in held for x in h)
+    want = [(*w, any(times[x] > 1 for x in h)) for w, h in zip(want, held)]
+    got = [tuple(r) for r in suffixes.remove_repeats(docs, length=length, passage=passage).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "shares_passage").collect()]
+    assert sorted((*r[:5], bytes(r[5]), r[6]) for r in got) == sorted(want)
+
+
+def test_padding_and_repeated_lines_make_few_rows():
+    for text, most in ((b"a" * 300_000, 3), (b"abcdefghi" * 20_000, 4), (b"one line of some eighty bytes that comes again and again in a long and dull text\n" * 3000, 8)):
+        data = np.frombuffer(text, np.uint8)
+        found = suffixes.collapsed(suffixes.suffix_tokens(data, 400, 192))
+        assert len(found[0]) <= most and found[3][0] == 0 and found[5][-1] == len(data) - 400
 
 
 def test_multikey_order_sorts_by_all_tokens():
@@ -208,7 +218,7 @@ def test_full_sources_take_all(docs):
 
 @pytest.mark.parametrize("run, oracle, columns", [
     (mixing.mix, mixing.oracle, ["doc_id", "source", "size", "source_size", "target", "taken"]),
-    (suffixes.remove_repeats, suffixes.oracle, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]),
+    (suffixes.remove_repeats, suffixes.oracle, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "shares_passage"]),
 ])
 def test_documents_against_sql(docs, run, oracle, columns):
     duckdb = pytest.importorskip("duckdb")
