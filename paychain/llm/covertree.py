@@ -6,7 +6,7 @@ their centres are farther apart than both covering radii and the link distance,
 together when no two of their points can be farther apart than it.
 
 A group (equal label and dimension) that is too large for a task is cut first: points of a
-bounded sample, none close to another, are centres; every point is at home at its nearest centre, or
+sample, drawn by a hash for each group by its size and bounded in bytes over all groups, none close to another, are centres; every point is at home at its nearest centre, or
 outside if that is far, and visits those cells in whose ball, widened by the link distance, it lies. A
 pair is found where either of its points is at home. Cells that stay too large are dealt over a grid of
 blocks.
@@ -21,15 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paychain.llm.common import map_batches, materialize, with_group_min
 from paychain.llm.components import Forest, connected_components
 
 COSINE = 0.98
-#: Points at home in a task, points it compares them with, points of a leaf, children of a node, centres in all.
-HOME_ROWS, BLOCK_ROWS, LEAF, FAN, CENTRES = 16384, 32768, 64, 256, 4096
+#: Points at home in a task, points it compares them with, points of a leaf, children of a node.
+HOME_ROWS, BLOCK_ROWS, LEAF, FAN = 16384, 32768, 64, 256
+#: Bytes of the vectors at home in a task, and of those it compares them with: fewer points where they have many dimensions.
+HOME_BYTES, BLOCK_BYTES = 16 << 20, 32 << 20
+#: A large group has a centre for so many points, at least and at most so many centres; bytes of all centres together.
+POINTS_A_CENTRE, LEAST_CENTRES, MOST_CENTRES, CENTRE_BYTES = 256, 16, 4096, 128 << 20
 #: Points farther from every centre than so many link distances are outside.
 OUTSIDE = 4.0
 _SLACK = 1e-7
@@ -105,6 +109,11 @@ def dual_links(homes: np.ndarray, rows: np.ndarray, weight: np.ndarray, cosine:
     return count
 
 
+def _rows_of(rows: int, size: int) -> Column:
+    """How many vectors of ``dim`` a task takes: ``rows``, but no more than ``size`` bytes."""
+    return F.least(F.lit(rows), F.greatest(F.lit(1), F.floor(size / (8 * F.col("dim")))))
+
+
 def _unit(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
     column = batch.column("v")
     if isinstance(column, pa.ChunkedArray):
@@ -145,7 +154,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     cells = _cells(points.select("label", "dim", "id", "n", "v"), cosine)
     sizes = cells.groupBy("label", "dim", "cell").agg(F.count_if("home").alias("homes"), F.count("*").alias("all"))
     grid = sizes.select(
-        F.col("label").alias("_l"), F.col("dim").alias("_d"), F.col("cell").alias("_c"), F.ceil(F.col("homes") / HOME_ROWS).cast("int").alias("s"), F.ceil(F.col("all") / BLOCK_ROWS).cast("int").alias("t")
+        F.col("label").alias("_l"), F.col("dim").alias("_d"), F.col("cell").alias("_c"), F.ceil(F.col("homes") / _rows_of(HOME_ROWS, HOME_BYTES)).cast("int").alias("s"), F.ceil(F.col("all") / _rows_of(BLOCK_ROWS, BLOCK_BYTES)).cast("int").alias("t")
     ).where("s > 1 OR t > 1")
     grid = materialize(grid)
     if grid.isEmpty():
@@ -195,23 +204,32 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
 def _cells(points: DataFrame, cosine: float) -> DataFrame:
     """Points with the cells in which they are at home and which they visit."""
     sizes = points.groupBy("label", "dim").agg(F.count("*").alias("size"))
-    large = sizes.where(F.col("size") > HOME_ROWS)
-    total = large.agg(F.sum("size")).first()[0]
+    wanted = F.least(F.lit(MOST_CENTRES), F.greatest(F.lit(LEAST_CENTRES), F.ceil(F.col("size") / POINTS_A_CENTRE)))
+    large = materialize(sizes.where(F.col("size") > _rows_of(HOME_ROWS, HOME_BYTES)).withColumn("wanted", wanted))
+    held = large.agg(F.sum(8 * F.col("wanted") * F.col("dim"))).first()[0]
     plain = points.select("label", "dim", F.lit(-1).alias("cell"), F.lit(True).alias("home"), "id", "n", "v")
-    if not total:
+    if not held:
         return plain
-    # a sample of fixed size over all large groups, drawn by a hash of the id
-    share = min(1.0, CENTRES / total)
-    sample = points.join(large, ["label", "dim"], "left_semi").where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    drawn = sample.select("label", "dim", "v").orderBy("label", "dim", "id").limit(2 * CENTRES).toArrow()
+    share = F.col("wanted") / F.col("size") * min(1.0, CENTRE_BYTES / held)
+    sample = points.join(large, ["label", "dim"]).where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 30)) < share * (1 << 30)).select("label", "dim", "id", "v")
     reach = float(np.sqrt(2.0 - 2.0 * cosine))
+    kind = points.schema["label"].dataType.simpleString()
+
+    def net(group: pa.Table) -> pa.Table:
+        """Of a group's sample points that are far from each other, in the order of their ids."""
+        group = group.sort_by("id")
+        x, near, kept = _unit(group), np.zeros(group.num_rows, bool), []
+        for i in range(len(x)):
+            if not near[i]:
+                kept.append(i)
+                near |= _far(x, x[i]) <= 2 * reach
+        return group.take(kept).select(["label", "dim", "v"])
+
+    drawn = sample.groupBy("label", "dim").applyInArrow(net, f"label {kind}, dim int, v array<double>").toArrow()  # CENTRE_BYTES at most
     groups: dict[tuple, list[np.ndarray]] = {}
     for g, d, v in zip(drawn.column(0).to_pylist(), drawn.column(1).to_pylist(), drawn.column(2)):
-        x, net = np.asarray(v.values), groups.setdefault((g, d), [])
-        if not net or _far(np.stack(net), x).min() > 2 * reach:
-            net.append(x)
+        groups.setdefault((g, d), []).append(np.asarray(v.values))
     centres = points.sparkSession.sparkContext.broadcast({k: np.stack(v) for k, v in groups.items() if len(v) > 1})
-    kind = points.schema["label"].dataType.simpleString()
     outside, rim = -2, OUTSIDE * reach
 
     def nearest(batch: pa.RecordBatch) -> pa.RecordBatch:
