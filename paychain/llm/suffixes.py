@@ -268,8 +268,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         return pa.RecordBatch.from_arrays(cols, [*names, *more])
 
     def words_of(text: bytes) -> list[np.ndarray]:
-        found = suffix_tokens(word_codes(text), passage, word_spread)[:2]
-        return list(np.unique(np.stack(found, 1), axis=0).T)  # each kind of run once, so what meets is in another row
+        core, whole = suffix_tokens(word_codes(text), passage, word_spread)[:2]
+        once = np.unique(core + whole * _ODD[0], return_index=True)[1]
+        return [core[once], whole[once]]  # each kind of run once, so what meets is in another row
 
     def suffixes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of ``tokens`` and upto: the runs of bytes of the texts, and without places those of words."""
