@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,7 +139,8 @@ def train(
     E = rng.normal(0, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     W = np.zeros((DIM, len(languages)), np.float32)
     fit = np.flatnonzero(~held)
-    fit = fit[np.lexsort(([len(ids[i]) for i in fit], [int(ids[i].sum()) for i in fit]))]  # the same order in every run
+    own = [xxhash.xxh64_intdigest(ids[i].tobytes() + weights[i].tobytes()) for i in fit]
+    fit = fit[np.lexsort((y[fit], np.array(own, np.uint64)))]  # the same order in every run; rows equal in both are alike
     for epoch in range(epochs):
         step = rate * 20 * (1 - epoch / epochs)
         for i in rng.permutation(fit):
