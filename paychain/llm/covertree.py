@@ -128,7 +128,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     Rows link if their labels are equal and not null and their cosine, in double precision, is at least ``cosine``. Vectors that are
     null, empty or zero, hold null or non-finite components, or differ in length link with nothing. n_links counts the
     other rows linked directly, component_id is the smallest key reachable, kept holds if that is the row's own.
-    Repeated rows link like any others. A row without links, even with a null key, is its own component. No rows give no rows.
+    Repeated rows link like any others. A row without links, even with a null key, is its own component. Other columns are not read. No rows give no rows.
     """
     v = F.col(vector).cast("array<double>")
     peak = F.array_max(F.transform(v, F.abs))

@@ -57,7 +57,7 @@ def mix(
     size counts the words of the whole text, null has none. taken is what the mix takes of the row, repeats
     counted: 0, size or up to ``copies`` times size. print is a hash of the text, by which, with the key, rows can
     be found again. The shuffle depends on key and text alone, so reruns agree; rows that are equal in
-    both are taken alike. A null source is a source like any other. No rows give no rows; the result is
+    both are taken alike. A null source is a source like any other. Other columns are not read. No rows give no rows; the result is
     within one document of each target, as whole documents are taken.
     """
     drawn_by = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("key").cast("string"), F.lit("")), F.coalesce("digest", F.lit("")))

@@ -412,3 +412,69 @@ def test_operators_on_empty_tables_and_clashing_names(spark, docs, nothing):
     n = docs.count()
     assert secrets.find_secrets(docs).count() == n and "score" in toxicity.score(docs, toxicity.ToxicityModel()).columns
     assert dict(secrets.find_secrets(docs).dtypes)["spans"].startswith("array")
+
+
+def test_linked_parts_against_brute_force():
+    r = random.Random(5)
+    pieces = ["token: a1", "secret = xyz12", "Q" * 20 + "z9" * 8, "user: bobby", "client_id=abc", "https://h.example/x", "host: db7", "AKIA" + "Z" * 15, "0123456789abcdef01", "password=longenough1234", "plain words", "\n\n", "\n \t\n", "x" * 290]
+    for _ in range(150):
+        text = " ".join(r.choice(pieces) for _ in range(r.randint(1, 12)))
+        breaks = [m.span() for m in secrets.PARAGRAPH.finditer(text)]
+
+        def scope(span, other):  # within reach, and no paragraph ends between the two
+            (s, e), (a, b) = span, other
+            near = a <= e + secrets.REACH and b >= s - secrets.REACH
+            after = next((x for x, _ in breaks if x > s), None)
+            before = max((y for x, y in breaks if x <= s), default=0)
+            return near and b >= before and (after is None or a <= after)
+
+        named = [(m.span(), len(m[2])) for m in secrets.ASSIGN.finditer(text)]
+        found = {
+            "assign": [s for s, n in named if n >= 12], "short": [s for s, n in named if n < 12], "access": [m.span() for m in secrets.ACCESS.finditer(text) if len(m[0]) >= 18],
+            "hex": [m.span() for m in secrets.HEX.finditer(text) if len(m[0]) >= 16], "key": [m.span() for m in secrets.KEY.finditer(text) if len({(c.isupper(), c.islower(), c.isdigit()) for c in m[0]}) >= 3],
+            "user": [m.span() for m in secrets.USER.finditer(text)], "endpoint": [m.span() for m in secrets.ENDPOINT.finditer(text)],
+        }
+        base = [x for k in secrets.BASE for x in found[k]]
+        for k in ("key", "user", "endpoint"):
+            found[k] = [(s, e) for s, e in found[k] if not any(s < b and a < e for a, b in base)]
+        parts, ways = [(k, x) for k in ("assign", "hex", "short", "key") for x in found[k]], [(k, x) for k in ("access", "user", "endpoint") for x in found[k]]
+        linked_parts = {(k, x) for k, x in parts for _, y in ways if scope(x, y)}
+        linked_ways = {(k, y) for k, y in ways for _, x in parts if scope(x, y)}
+        want = {(k, *x) for k in secrets.BASE for x in found[k]} | {(k, *x) for k, x in linked_parts | linked_ways}
+        assert set(secrets.find_spans(text)) == want, text
+
+
+def test_toxicity_scores_against_brute_force(spark):
+    r = random.Random(7)
+    model = toxicity.ToxicityModel({b"vile": 2.0, b"foul": 1.2, b"rot": 0.7}, scale=0.8, shift=-4.0, slope=0.6, offset=-2.5)
+    texts = [" ".join(r.choice(["vile", "foul", "rot", "a", "the", "sea"]) for _ in range(r.randint(0, 25))) for _ in range(60)] + [None, "", "VILE, foul!"]
+    got = {x["doc_id"]: x["score"] for x in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        w = re.findall("[a-z]+", (t or "").lower())
+        odds = [model.lexicon.get(x.encode(), -toxicity.COST) for x in w]
+        best = max((sum(odds[a:b]) for a in range(len(w)) for b in range(a + 1, len(w) + 1)), default=0.0)
+        x = min(60.0, max(-5.0, model.scale * best - model.shift - np.log(max(len(w), 1)))) if best > 0 else -5.0
+        assert abs(got[i] - 1 / (1 + np.exp(-(model.slope * x + model.offset)))) < 1e-9
+
+
+def test_very_long_texts(spark, monkeypatch):
+    long = prose(300_000, 31)
+    mark = "idiot scum idiot"
+    text = f"{long} password=longenough1234 {mark}"
+    df = spark.createDataFrame([(1, text), (2, prose(40, 32)), (3, None)], "doc_id long, text string")
+    prints = {x["doc_id"]: x["fp"] % (1 << 64) for x in simhash.near_duplicates(df).collect()}
+    assert prints == {1: fingerprint(text, 3), 2: fingerprint(prose(40, 32), 3), 3: 0}
+    bench = spark.createDataFrame([("a", " ".join(text.split()[-15:]))], "item_id string, text string")
+    assert decontaminate.find_contamination(df, bench).where("doc_id = 1").first()["n_hit"] >= 15
+    spans = secrets.find_secrets(df).where("doc_id = 1").first()["spans"]
+    assert [text[x["start"] : x["end"]] for x in spans] == ["password=longenough1234"]
+    found = toxicity.score(df, toxicity.ToxicityModel({b"idiot": 4.0, b"scum": 4.0}, scale=2.0, shift=-8.0, slope=1.0, offset=-3.0)).where("doc_id = 1").first()
+    assert found["score"] > 0.5 and [text[x["start"] : x["end"]] for x in found["passages"]] == [mark]
+    rows = [(i, prose(40, i), "en") if i % 2 else (i, "läuft schön über die Brücke " * 3, "de") for i in range(4, 60)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    told = {x["doc_id"]: x["lang_pred"] for x in langid.predict(df, model).collect()}
+    assert told[1] == "en" and told[3] == "und"
+    data = np.frombuffer(text.encode(), np.uint8)
+    whole = suffixes.runs(data[:700_000], 400, 192)
+    monkeypatch.setattr(suffixes, "PIECE", 1 << 19)  # other pieces, the same runs
+    assert all((a == b).all() for a, b in zip(whole, suffixes.runs(data[:700_000], 400, 192)))
