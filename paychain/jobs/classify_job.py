@@ -58,13 +58,19 @@ def score_project(index: DataFrame, state: ClassifierState, refit: bool = False,
     return predict_linear(apply_robust(rows, scaler), state.model)
 
 
-def one_vs_rest(model: DataFrame, exact: bool = True) -> DataFrame:
-    """Decision values m1 .. mK and class of the rows held out, each class fitted against the rest on the others."""
+def fit_one_vs_rest(model: DataFrame, exact: bool = True) -> tuple[LinearModel, DataFrame, DataFrame]:
+    """Each class against the rest, and the scaled rows it was fitted on and those held out."""
     rows = settled(random_split(model.na.drop(subset=[LABEL]), KEY))
-    train = settled(rows.where("NOT is_test"))
+    train, test = rows.where("NOT is_test").drop("is_test"), rows.where("is_test").drop("is_test")
     scaler = fit_robust(train, FEATURES, exact)
-    fitted = fit_ovr(apply_robust(train, scaler), FEATURES, LABEL, classes=CLASSES)
-    return predict_linear(apply_robust(rows.where("is_test").drop("is_test"), scaler), fitted, margins=True)
+    train = settled(apply_robust(train, scaler))
+    return fit_ovr(train, FEATURES, LABEL, classes=CLASSES), train, apply_robust(test, scaler)
+
+
+def one_vs_rest(model: DataFrame, exact: bool = True) -> DataFrame:
+    """Decision values m1 .. mK and class of the rows held out, each class fitted against the rest on the others."""
+    fitted, _, test = fit_one_vs_rest(model, exact)
+    return predict_linear(test, fitted, margins=True)
 
 
 def write_curves(scored: DataFrame, out: str) -> None:

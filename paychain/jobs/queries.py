@@ -14,7 +14,7 @@ from paychain.functions import curves, metrics
 from paychain.jobs import classify_job, cluster_job
 from paychain.operators import cluster as C
 from paychain.operators import prep, scale
-from paychain.operators.classify import LinearModel, kkt_residual, predict_linear
+from paychain.operators.classify import LinearModel, kkt_residual, ovr_residuals, predict_linear
 from paychain.sources import fixtures, tables
 from paychain.sources.scratch import scratch_path, settled
 from paychain.sources.tables import COUNT, FEATURES, KEY, LABEL
@@ -468,6 +468,16 @@ def ovr_scores(spark: SparkSession, d: str) -> DataFrame:
     return classify_job.one_vs_rest(_model(spark, d)).select(KEY, LABEL, "m1", "m2", "m3", "predict_index")
 
 
+@query(
+    ", drawn AS (SELECT key, dis_index FROM model WHERE dis_index IS NOT NULL AND ('0x' || substr(md5(key || '|0'), 1, 8))::BIGINT >= 858993459)"
+    " SELECT class::INT AS class, (SELECT count(*) FROM drawn) AS rows, TRUE AS optimal FROM range(1, 4) c(class)"
+)
+def ovr_kkt(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that each class is fitted on against the rest, and whether the fit meets its optimality conditions within a twentieth of the regularisation."""
+    fitted, train, _ = classify_job.fit_one_vs_rest(_model(spark, d))
+    return ovr_residuals(train, fitted, LABEL).select("class", "rows", (F.col("residual") <= 0.05).alias("optimal"))
+
+
 def _assigned(df: DataFrame) -> DataFrame:
     return df.select(KEY, *(r6(c) for c in FEATURES), F.col("predict_index").between(0, cluster_job.CLUSTERS - 1).alias("has_cluster"))
 

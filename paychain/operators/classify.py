@@ -44,7 +44,7 @@ def fit_softmax_l1(df: DataFrame, columns: list[str], label: str, C: float = 3.0
     return LinearModel(tuple(columns), tuple(classes), tuple(tuple(map(float, w)) for w in weights), tuple(map(float, b))), reg, n
 
 
-def fit_ovr(df: DataFrame, columns: list[str], label: str, C: float = 3.0, classes: list[int] | None = None, tol: float = 1e-4) -> LinearModel:
+def fit_ovr(df: DataFrame, columns: list[str], label: str, C: float = 3.0, classes: list[int] | None = None, tol: float = 1e-6) -> LinearModel:
     """One binary L1 fit for each class against the rest; a class's raw score is its decision value."""
     classes = classes or sorted(r[0] for r in df.where(F.col(label).isNotNull()).select(label).distinct().collect())
     data = _train(df, columns, label, classes).persist()
@@ -82,3 +82,22 @@ def kkt_residual(df: DataFrame, model: LinearModel, label: str, reg: float) -> f
             g = row[f"g{k}_{j}"]
             worst = max(worst, abs(g + reg * (1 if w > 0 else -1)) if w else max(0.0, abs(g) - reg))
     return worst / reg
+
+
+def ovr_residuals(df: DataFrame, model: LinearModel, label: str, C: float = 3.0) -> DataFrame:
+    """(class, rows, residual): the largest violation of each binary fit's optimality conditions, relative to its regularisation 1 / (C x rows)."""
+    m, sums = model.margins(), []
+    for k, c in enumerate(model.classes):
+        gap = 1 / (1 + F.exp(-m[k])) - (F.col(label) == c).cast("int")
+        sums += [F.avg(gap * F.col(x)).alias(f"g{k}_{j}") for j, x in enumerate(model.columns)] + [F.avg(gap).alias(f"b{k}")]
+    row = df.where(F.col(label).isNotNull()).agg(F.count("*").alias("n"), *sums)
+
+    def off(k: int) -> Column:
+        reg = 1 / (C * F.col("n"))
+        parts = [F.abs(F.col(f"b{k}"))]
+        for j, w in enumerate(model.weights[k]):
+            g = F.col(f"g{k}_{j}")
+            parts.append(F.abs(g + reg * (1 if w > 0 else -1)) if w else F.greatest(F.lit(0.0), F.abs(g) - reg))
+        return F.greatest(*parts) / reg
+
+    return row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("class"), F.col("n").alias("rows"), off(k).alias("residual")) for k, c in enumerate(model.classes)))).alias("r")).select("r.*")
