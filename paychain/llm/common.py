@@ -55,13 +55,18 @@ def blobs(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """One output batch for each input batch."""
+#: Rows of a batch that are worked on at once: what is made of a text may be many times its size.
+SLICE_ROWS = 1024
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
+    """One output batch for each ``rows`` rows of an input batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None and out.num_rows:
-                yield out
+            for at in range(0, batch.num_rows, rows):
+                if (out := fn(batch.slice(at, rows))) is not None and out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
@@ -99,7 +104,7 @@ def crc_remainder(key: str, n: int):
 
 
 def with_columns(
-    docs: DataFrame, keep: list[str], text: str, fn: Callable[[list[bytes | None], pa.RecordBatch], list], added: str, names: list[str]
+    docs: DataFrame, keep: list[str], text: str, fn: Callable[[list[bytes | None], pa.RecordBatch], list], added: str, names: list[str], rows: int = SLICE_ROWS
 ) -> DataFrame:
     """``keep`` columns of ``docs`` and those that ``fn`` makes from the texts of a batch.
 
@@ -115,7 +120,7 @@ def with_columns(
         return pa.RecordBatch.from_arrays([*batch.columns[:n], *fn(blobs(batch.column(at)), batch)], [*keep, *names])
 
     inner = docs.select(*(c.alias(f"_k{i}") for i, c in enumerate(kept)), *([docs[f"`{text}`"].alias("_text")] if at == n else []))
-    return map_batches(inner, one, schema)
+    return map_batches(inner, one, schema, rows)
 
 
 def cut_spans(docs: DataFrame, text: str, spans: str, filler: str) -> DataFrame:
