@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,17 +56,29 @@ def blobs(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-#: Rows of a batch that are worked on at once: what is made of a text may be many times its size.
-SLICE_ROWS = 1024
+#: Rows of a batch between the JVM and Python: whole texts are long, and each running task holds some batches on both sides.
+BATCH_ROWS = 1024
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
-    """One output batch for each ``rows`` rows of an input batch."""
+def small_batches(spark: SparkSession) -> None:
+    """Let the session pass no more than ``BATCH_ROWS`` rows at a time to Python; a smaller setting stays."""
+    if not 0 < int(spark.conf.get(_ROWS_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(_ROWS_SETTING, str(BATCH_ROWS))
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 1) -> DataFrame:
+    """One output batch for each input batch, or for as many as have ``rows`` rows."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                if (out := fn(batch.slice(at, rows))) is not None and out.num_rows:
+        held: list[pa.RecordBatch] = []
+        for batch in chain(batches, [None]):
+            held += [batch] if batch is not None and batch.num_rows else []
+            if held and (batch is None or sum(b.num_rows for b in held) >= rows):
+                out = fn(held[0] if len(held) == 1 else pa.concat_batches(held))
+                held = []
+                if out is not None and out.num_rows:
                     yield out
 
     return df.mapInArrow(run, schema)
@@ -104,7 +117,7 @@ def crc_remainder(key: str, n: int):
 
 
 def with_columns(
-    docs: DataFrame, keep: list[str], text: str, fn: Callable[[list[bytes | None], pa.RecordBatch], list], added: str, names: list[str], rows: int = SLICE_ROWS
+    docs: DataFrame, keep: list[str], text: str, fn: Callable[[list[bytes | None], pa.RecordBatch], list], added: str, names: list[str], rows: int = 1
 ) -> DataFrame:
     """``keep`` columns of ``docs`` and those that ``fn`` makes from the texts of a batch.
 

@@ -24,11 +24,12 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paychain.llm.common import SLICE_ROWS, blobs, map_batches, shared_dir, with_columns
+from paychain.llm.common import blobs, map_batches, shared_dir, with_columns
 
 WINDOW = 10
-#: Words of items in one automaton (some 50 MB) and in a piece of an item; automata that a task keeps where there are few.
-BLOCK_WORDS, PIECE_WORDS, KEPT = 100_000, 10_000, 2
+#: Words of items in one automaton (some 50 MB) and in a piece of an item; automata that a task keeps where there are few, else
+#: documents for which it reads each of them.
+BLOCK_WORDS, PIECE_WORDS, KEPT, READ_FOR = 100_000, 10_000, 2, 20_000
 
 #: Upper-case letters become lower-case, what is no word byte becomes a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -215,5 +216,5 @@ def find_contamination(
         spans = [_spans(t.decode("utf-8", "replace"), hit) if got else [] for t, hit, got in zip(texts, hits, items)]
         return [pa.array(n_words, pa.int64()), pa.array([sum(h) for h in hits], pa.int64()), pa.array([sorted(i) for i in items], pa.list_(pa.string())), pa.array(spans, kind)]
 
-    rows = SLICE_ROWS if len(files) <= KEPT else 1 << 30  # files that aren't kept are read for each batch
+    rows = 1 if len(files) <= KEPT else READ_FOR  # files that aren't kept are read again and again
     return with_columns(docs, docs.columns if keep is None else keep, text, scan, added, names, rows)

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from paychain.llm.common import blobs, discard, map_batches, materialize
+from paychain.llm.common import blobs, discard, map_batches, materialize, small_batches
 
 LENGTH = 400
 #: Anchors are among so many first places of a window; texts are hashed in pieces of so many bytes.
@@ -251,6 +251,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     """
     spread, word_spread = min(spread, max(1, length - 8)), min(WORD_SPREAD, passage - 1)
     kind = docs.schema[key].dataType.simpleString()
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("print"))
     row = ["key", "print"]
     same_row = F.col("key").eqNullSafe(F.col("_key")) & (F.col("print") == F.col("_print"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paychain.llm.common import with_columns
+from paychain.llm.common import small_batches, with_columns
 
 #: Bounds of what is learned from: labelled rows, and tokens kept of the lexicon.
 SAMPLE_ROWS, MAX_LEXICON = 16_384, 20_000
@@ -95,6 +95,7 @@ def train(
     labels takes the largest. Three quarters of the sample give the token scores, a quarter the calibration.
     Without labels of both kinds the model finds nothing and scores every text alike.
     """
+    small_batches(docs.sparkSession)
     chosen = (
         labels.where(usable if usable is not None else F.lit(True)).where(F.col(key).isNotNull() & F.col(toxic).isNotNull())
         .groupBy(F.col(key).alias("_key")).agg(F.max(toxic).cast("int").alias("_toxic"))

@@ -22,7 +22,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paychain.llm.common import materialize, shared_dir
+from paychain.llm.common import materialize, shared_dir, small_batches
 
 #: Ranges start in chunks of so many bytes; smaller gaps between selected records are read through.
 CHUNK, GAP = 4 << 20, 64 << 10
@@ -86,6 +86,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, page: str = "pag
     empty index.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
     rows = pages.select(F.col(page).cast("long").alias("page"), F.col(url).alias("url"), body.alias("payload"), F.sha1(body.cast("binary")).alias("sha"), F.octet_length(body).alias("n"))
