@@ -42,7 +42,7 @@ class KMeansFit:
     cost: float
 
 
-def fit_kmeans(df: DataFrame, columns: list[str], k: int = 7, n_init: int = 20, seed: int = 0, max_iter: int = 300, tol: float = 1e-4, parallel: int = 4) -> KMeansFit:
+def fit_kmeans(df: DataFrame, columns: list[str], k: int = 7, n_init: int = 20, seed: int = 0, max_iter: int = 300, tol: float = 1e-4, parallel: int = 8) -> KMeansFit:
     """The best of ``n_init`` seeded starts; the rows are kept once for all of them, and a few starts run at a time."""
     data = VectorAssembler(inputCols=list(columns), outputCol="features").transform(df.select(*columns)).select("features").persist(StorageLevel.MEMORY_AND_DISK)
     data.count()
