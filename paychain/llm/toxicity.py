@@ -1,8 +1,8 @@
 """Toxicity by maximum-scoring segments.
 
 Each token has a log-odds score of toxic against clean labelled documents, each counting a token
-once, under an informative Dirichlet prior (the token's share of both). Only tokens whose log-odds are beyond ``Z`` standard
-deviations count; every other token costs a little. A linear-time scan finds all maximal
+once, under an informative Dirichlet prior (the token's share of both). Only log-odds beyond ``Z`` standard
+deviations count, of toxic and of clean tokens; every token that is not toxic costs a little, and a clean one its log-odds besides. A linear-time scan finds all maximal
 segments of positive total. Under clean text the best segment of n tokens follows an
 extreme-value law, whose scale comes from the token scores themselves; a segment that chance
 would rarely bring forth is a toxic passage. The document's score is that extreme value put
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from paychain.llm.common import small_batches, with_columns
 
-#: Bounds of what is learned from: labelled rows, and tokens kept of the lexicon.
+#: Bounds of what is learned from: labelled rows, and tokens kept of the lexicon, of either sign.
 SAMPLE_ROWS, MAX_LEXICON = 16_384, 20_000
 #: Weight of the prior against the data, deviations beyond chance, cost of other tokens, chance level of a passage.
 PRIOR, Z, COST, SIGNIFICANT = 0.1, 2.7, 0.5, 0.01
@@ -36,7 +36,7 @@ _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    lexicon: dict[bytes, float] = field(default_factory=dict)
+    lexicon: dict[bytes, float] = field(default_factory=dict)  # toxic tokens above zero, clean ones below
     scale: float = 1.0  # lambda of the extreme-value law
     shift: float = 0.0  # logarithm of its K
     slope: float = 1.0
@@ -44,7 +44,7 @@ class ToxicityModel:
 
 
 def segments(scores: list[tuple[int, float]], n: int, cost: float = COST) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (start, end, score) of n tokens; ``scores`` has the positive ones by place, others cost ``cost``.
+    """All maximal-scoring segments (start, end, score) of n tokens; ``scores`` has those of the lexicon by place, others cost ``cost``.
 
     The linear-time scan of Ruzzo and Tompa: candidates keep the running total before and after them;
     a new one joins the last candidate whose total before is less and after no more than its own.
@@ -54,6 +54,9 @@ def segments(scores: list[tuple[int, float]], n: int, cost: float = COST) -> lis
     total, at_end = 0.0, 0
     for at, s in scores:
         total -= cost * (at - at_end)
+        if s <= 0:
+            total, at_end = total + s, at + 1
+            continue
         new = [at, at + 1, total, total + s, -1]
         total += s
         at_end = at + 1
@@ -74,15 +77,20 @@ def segments(scores: list[tuple[int, float]], n: int, cost: float = COST) -> lis
     return [(a, b, r - l) for a, b, l, r, _ in done + out]
 
 
-def _scored(text: bytes, lexicon: dict[bytes, float]) -> tuple[int, list[tuple[int, float]]]:
+def _scored(text: bytes, lexicon: dict[bytes, float], toxic: set[bytes]) -> tuple[int, list[tuple[int, float]]]:
+    """How many tokens a text has, and those of the lexicon by place; none without a ``toxic`` one, as no segment is positive then."""
     tokens = text.translate(_FOLD).split()
-    if lexicon.keys().isdisjoint(tokens):
+    if toxic.isdisjoint(tokens):
         return len(tokens), []
     return len(tokens), [(i, lexicon[t]) for i, t in enumerate(tokens) if t in lexicon]
 
 
-def _best(text: bytes | None, lexicon: dict[bytes, float]) -> tuple[float, int]:
-    n, scores = _scored(text or b"", lexicon)
+def _toxic(lexicon: dict[bytes, float]) -> set[bytes]:
+    return {t for t, s in lexicon.items() if s > 0}
+
+
+def _best(text: bytes | None, lexicon: dict[bytes, float], toxic: set[bytes]) -> tuple[float, int]:
+    n, scores = _scored(text or b"", lexicon, toxic)
     return max((s for _, _, s in segments(scores, n)), default=0.0), n
 
 
@@ -126,10 +134,14 @@ def train(
     odds = lambda y, n: F.log((y + prior) / (n + weight - y - prior))
 
     def significant(table: DataFrame) -> list:
-        scored = table.where("toxic > 1").select(
+        scored = table.select(
             "token", "clean", "toxic", (odds(F.col("toxic"), n_toxic) - odds(F.col("clean"), n_clean)).alias("delta"), F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior)).alias("error")
         )
-        return scored.where(F.col("delta") > Z * F.col("error")).orderBy(F.desc(F.col("delta") / F.col("error")), "token").limit(MAX_LEXICON).collect()
+        found = []
+        for more, sign in (("toxic", 1), ("clean", -1)):
+            beyond = sign * F.col("delta") / F.col("error")
+            found += scored.where((F.col(more) > 1) & (beyond > Z)).orderBy(beyond.desc(), "token").limit(MAX_LEXICON).collect()
+        return found
 
     # copies of one text repeat its words: tokens count again by the words around their first place, each pair once
     hopeful = {bytes(r["token"]) for r in significant(counts)}
@@ -150,7 +162,8 @@ def train(
 
     pairs = rows.where("_part > 0").select("_text", "_toxic").mapInArrow(around, "token binary, pair binary, toxic int").distinct()
     top = significant(pairs.groupBy("token").agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") > 0).alias("toxic"))) if hopeful else []
-    lexicon = {bytes(r["token"]): r["delta"] - r["error"] for r in top}
+    lexicon = {bytes(r["token"]): r["delta"] - r["error"] if r["delta"] > 0 else r["delta"] + r["error"] - COST for r in top}
+    bad = _toxic(lexicon)
     # the scale solves E[exp(scale * score)] = 1 over clean tokens
     shares = [((r["clean"] + 0.5) / n_clean, lexicon[bytes(r["token"])]) for r in top]
     rest = 1 - sum(p for p, _ in shares)
@@ -162,7 +175,7 @@ def train(
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [_best(t.encode("utf-8", "replace") if t else None, lexicon) for t in batch.column(0).to_pylist()]
+            got = [_best(t.encode("utf-8", "replace") if t else None, lexicon, bad) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64()), batch.column(1)], ["best", "n", "toxic"])
 
     held = rows.where("_part = 0").select("_text", "_toxic").mapInArrow(measure, "best double, n long, toxic int").limit(4 * sample_rows).toArrow()
@@ -204,9 +217,9 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: list[
 
     def scan(texts: list[bytes | None], _) -> list:
         lexicon, scale, shift, slope, offset = shared.value
-        scores, passages = [], []
+        scores, passages, bad = [], [], _toxic(lexicon)
         for t in texts:
-            n, hits = _scored(t or b"", lexicon)
+            n, hits = _scored(t or b"", lexicon, bad)
             found = segments(hits, n)
             best = max((s for _, _, s in found), default=0.0)
             x = min(60.0, max(-5.0, float(_extreme(np.float64(best), np.float64(n), scale, shift))))

@@ -321,7 +321,7 @@ def test_maximal_segments_against_brute_force():
     r = random.Random(2)
     for _ in range(200):
         n = r.randint(1, 14)
-        scores = [(i, r.choice([1.0, 2.0, 3.0])) for i in range(n) if r.random() < 0.5]
+        scores = [(i, r.choice([1.0, 2.0, 3.0, -1.25, -2.5])) for i in range(n) if r.random() < 0.6]
         value = [-0.75] * n
         for i, s in scores:
             value[i] = s
@@ -346,6 +346,8 @@ def test_toxicity_of_held_out_texts(spark):
         if toxic:
             for _ in range(3):
                 w.insert(r.randrange(len(w)), r.choice(bad))
+        else:
+            w.insert(r.randrange(len(w)), "gentle")
         rows.append((i, " ".join(w)))
         labels.append((i, toxic))
     rows += [(1000, None), (1001, "")]
@@ -353,6 +355,7 @@ def test_toxicity_of_held_out_texts(spark):
     model = toxicity.train(docs, labels, usable=F.col("doc_id") % 5 != 0)
     got = {x["doc_id"]: x for x in toxicity.score(docs, model).collect()}
     assert all((got[i]["score"] >= 0.5) == (i % 6 == 0) for i in range(400)) and got[1000]["score"] == got[1001]["score"] < 0.5
+    assert model.lexicon[b"gentle"] < -toxicity.COST and all(model.lexicon[b.encode()] > 0 for b in bad)
     p = got[0]["passages"][0]
     assert any(b in rows[0][1][p["start"] : p["end"]] for b in bad)
     assert toxicity.train(docs, labels.limit(0)).lexicon == {}
@@ -446,7 +449,7 @@ def test_linked_parts_against_brute_force():
 
 def test_toxicity_scores_against_brute_force(spark):
     r = random.Random(7)
-    model = toxicity.ToxicityModel({b"vile": 2.0, b"foul": 1.2, b"rot": 0.7}, scale=0.8, shift=-4.0, slope=0.6, offset=-2.5)
+    model = toxicity.ToxicityModel({b"vile": 2.0, b"foul": 1.2, b"rot": 0.7, b"sea": -1.1}, scale=0.8, shift=-4.0, slope=0.6, offset=-2.5)
     texts = [" ".join(r.choice(["vile", "foul", "rot", "a", "the", "sea"]) for _ in range(r.randint(0, 25))) for _ in range(60)] + [None, "", "VILE, foul!"]
     got = {x["doc_id"]: x["score"] for x in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
     for i, t in enumerate(texts):
