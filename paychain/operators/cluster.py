@@ -7,14 +7,12 @@ input, so lineage never grows.
 
 from __future__ import annotations
 
-import random
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -114,20 +112,19 @@ def cao_init(df: DataFrame, key: str, categorical: list[str], k: int, numeric: l
 
 
 def huang_init(df: DataFrame, key: str, categorical: list[str], k: int, seed: int = 0) -> list[tuple]:
-    """Values drawn by frequency for each attribute, then each draft moved to the nearest row not yet taken; ties go to the lowest key."""
+    """Values drawn by frequency for each attribute, then each draft moved to the nearest row not yet taken; ties go to the lowest key.
+
+    The draws depend on ``seed`` and the rows alone, however the rows are dealt.
+    """
     rows = df.select(key).limit(k).count()
     if rows < k:
         raise ValueError(f"{k} clusters need as many rows, there are {rows}")
-    rng, drafts = random.Random(seed), [[] for _ in range(k)]
-    for c in categorical:
-        counts = df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c)
-        total = counts.agg(F.sum("count")).first()[0]
-        if not total:
-            raise ValueError(f"{c} has no values to draw from")
-        upto = counts.withColumn("upto", F.sum("count").over(W.orderBy(F.desc("count"), c)))  # distinct values, not rows
-        draws = [rng.randrange(total) for _ in drafts]
-        for draft, value in zip(drafts, upto.agg(*(F.min_by(c, F.when(F.col("upto") > x, F.col("upto"))) for x in draws)).first()):
-            draft.append(value)
+    # the value of the row with the least hash is a draw by frequency; all draws take one pass
+    least = lambda j, c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(F.xxhash64(F.lit(f"{seed} {j} {c}"), key).alias("h"), F.col(key).alias("k"), F.col(c).alias("v"))))
+    drawn = df.agg(*(least(j, c) for j in range(k) for c in categorical)).first()
+    drafts = [list(drawn[j * len(categorical) : (j + 1) * len(categorical)]) for j in range(k)]
+    if empty := [c for c, value in zip(categorical, drafts[0]) if value is None]:
+        raise ValueError(f"{', '.join(empty)} has no values to draw from")
     centres: list[tuple] = []
     taken: list = []
     for draft in drafts:

@@ -183,6 +183,18 @@ def test_prototypes_without_weight_gaps_and_rows(spark):
         cluster.fit_prototypes(gap, ["c"], [(0.0, "a")], ["x"])
     with pytest.raises(ValueError, match="5 clusters"):
         cluster.huang_init(df, "key", ["c"], 5)
+    with pytest.raises(ValueError, match="d has no values"):
+        cluster.huang_init(df.withColumn("d", F.lit(None).cast("string")), "key", ["c", "d"], 2)
+
+
+def test_huang_draws_follow_frequency_and_centres_are_rows(spark):
+    rows = [(i, "b" if i % 10 == 0 else "a", f"v{i // 10 % 4}" if i % 3 else None) for i in range(300)]  # every pair of values occurs
+    df = spark.createDataFrame(rows, "key int, c string, d string")
+    starts = [cluster.huang_init(df, "key", ["c", "d"], 4, seed) for seed in range(12)]
+    assert all(x in {r[1:] for r in rows} and x[1] is not None for s in starts for x in s)
+    share = sum(x[0] == "a" for s in starts for x in s) / 48
+    assert 0.75 < share < 1 and len(set(map(str, starts))) > 6
+    assert cluster.huang_init(df.repartition(5), "key", ["c", "d"], 4, 3) == starts[3]
 
 
 def test_modes_are_the_most_frequent_and_lowest_values(spark):
