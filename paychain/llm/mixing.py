@@ -20,6 +20,8 @@ from paychain.llm.common import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, COPIES, SLOT_ROWS, SEED = (3, 1, 2), 1.5, 2, 4096, 5
+#: Rows that a range of finish times has, about, where Spark's own number of ranges would make them larger.
+RANGE_ROWS = 1 << 23
 #: Bits of the draw that shuffles a source; slots follow its leading ones.
 DRAW_BITS = 60
 
@@ -84,7 +86,9 @@ def mix(
 
     entries = queued.select(F.explode(F.array(*(F.struct(*place(c)) for c in range(copies)))).alias("e")).select("e.*").where("size > 0")
     names = ["finish", "rank", "copy", *order]
-    ranged = materialize(entries.repartitionByRange(*names).withColumn("part", F.spark_partition_id()))
+    ranges = -(-copies * (targets.agg(F.sum("rows")).first()[0] or 0) // RANGE_ROWS)
+    more = [ranges] if ranges > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+    ranged = materialize(entries.repartitionByRange(*more, *names).withColumn("part", F.spark_partition_id()))
     parts = ranged.groupBy("part").agg(F.sum("size").alias("n"))
     upto = W.orderBy("part")
     parts = parts.withColumn("upto", F.sum("n").over(upto)).withColumn("budget", F.floor(min(share / copies, 1.0) * F.sum("n").over(W.partitionBy())))

@@ -184,7 +184,7 @@ def test_multikey_order_sorts_by_all_tokens():
     assert [tuple(t[i] for t in tokens) for i in suffixes.multikey_order(tokens)] == sorted(zip(*tokens))
 
 
-def test_mix_targets_and_repeatability(docs, nothing):
+def test_mix_targets_and_repeatability(docs, nothing, monkeypatch):
     got = mixing.mix(docs).collect()
     sizes = defaultdict(int)
     for r in got:
@@ -208,6 +208,8 @@ def test_mix_targets_and_repeatability(docs, nothing):
     assert sum(taken.values()) <= budget and all(abs(taken[s] - target[s]) <= 400 for s in order)
     again = mixing.mix(docs.repartition(5)).collect()
     assert sorted(map(repr, again)) == sorted(map(repr, got))
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 4)  # more ranges, the same mix
+    assert sorted(map(repr, mixing.mix(docs).collect())) == sorted(map(repr, got))
     assert mixing.mix(nothing).count() == 0
 
 
