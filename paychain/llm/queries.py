@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paychain.llm import covertree, decontaminate, langid, mixing, secrets, simhash, suffixes, toxicity, urlfilter, warc
+from paychain.llm import covertree, decontaminate, importance, langid, mixing, periodic, secrets, simhash, suffixes, toxicity, urlfilter, warc
 from paychain.llm.common import crc_remainder, table
 
 
@@ -74,7 +74,38 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_decontaminate, op4_warc, op5_suffix_dedup, op6_url_filter, op7_simhash, op8_toxicity, op9_embedding_dedup, op10_secrets)}
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One in ten texts repeats its words from one place on; runs of six words and four periods."""
+    docs = table(spark, sf_dir, "documents")
+    h, words = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.regexp_extract_all("text", F.lit(mixing.WORD), F.lit(0))
+    some = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when((h % 10 == 0) & F.col("text").isNotNull(), words).alias("w"))
+    n, g = F.size("w"), F.col("g")
+    some = some.select("*", F.when(n > 0, (g % n).cast("int")).alias("a")).select("*", F.when(n > 0, 1 + F.floor((n - F.col("a")) / (3 + g % 8)).cast("int")).alias("p"))
+    a, p = F.col("a"), F.col("p")
+    repeated = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("w", F.when(i < a, i).otherwise(a + (i - a) % p)))
+    some = some.select("doc_id", F.when(n > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+    found = periodic.find_runs(some, keep=["doc_id"])
+    told = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = F.col("strongest")
+    exponent = F.call_function("div", 1000 * best["length"], best["period"])
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        exponent.alias("exponent_milli"), F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_mix_sources, op3_decontaminate, op4_warc, op5_suffix_dedup, op6_url_filter, op7_simhash, op8_toxicity, op9_embedding_dedup, op10_secrets,
+        op12_periodic_runs, op13_importance_resampling,
+    )
+}
 
 #: Base-32 of 20 bits, five hexadecimal digits at a time.
 _BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)]), '')"
@@ -107,4 +138,6 @@ FROM p JOIN f USING (h)""",
     "op2_mix_sources": mixing.oracle(),
     "op5_suffix_dedup": suffixes.oracle(),
     "op6_url_filter": urlfilter.oracle(),
+    "op12_periodic_runs": periodic.oracle(),
+    "op13_importance_resampling": importance.oracle(),
 }
