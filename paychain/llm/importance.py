@@ -33,11 +33,12 @@ def _buckets(words: Column, longest: int, buckets: int) -> Column:
     def bucket(feature: Column) -> Column:
         return (F.crc32(feature.cast("binary")) % buckets).cast("int")
 
-    found = [F.transform(words, bucket)]
-    for n in range(2, longest + 1):
+    def runs(n: int) -> Column:
         starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        found.append(F.transform(starts, lambda i, n=n: bucket(F.array_join(F.slice(words, i, n), " "))))
-    return found[0] if longest == 1 else F.concat(*found)
+        return F.transform(starts, lambda i: bucket(F.array_join(F.slice(words, i, n), " ")))
+
+    single = F.transform(words, bucket)
+    return single if longest == 1 else F.concat(single, *(runs(n) for n in range(2, longest + 1)))
 
 
 def bucket_counts(docs: DataFrame, text: str = "text", longest: int = LONGEST, buckets: int = BUCKETS) -> DataFrame:

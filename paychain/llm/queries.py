@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paychain.llm import covertree, decontaminate, importance, langid, mixing, periodic, secrets, simhash, suffixes, toxicity, urlfilter, warc
+from paychain.llm import covertree, decontaminate, importance, langid, mixing, periodic, quality, secrets, simhash, suffixes, toxicity, urlfilter, warc
 from paychain.llm.common import crc_remainder, table
 
 
@@ -74,6 +74,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from labels with crc32(doc_id) mod 4 other than 2; the others are held out."""
+    docs = table(spark, sf_dir, "documents")
+    held = crc_remainder("doc_id", 4) == 2
+    model = quality.train(docs, table(spark, sf_dir, "labels"), usable=~held)
+    return quality.score(docs, model, keep=["doc_id"]).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One in ten texts repeats its words from one place on; runs of six words and four periods."""
     docs = table(spark, sf_dir, "documents")
@@ -103,7 +111,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_mix_sources, op3_decontaminate, op4_warc, op5_suffix_dedup, op6_url_filter, op7_simhash, op8_toxicity, op9_embedding_dedup, op10_secrets,
-        op12_periodic_runs, op13_importance_resampling,
+        op11_quality, op12_periodic_runs, op13_importance_resampling,
     )
 }
 
