@@ -56,6 +56,8 @@ def blobs(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+#: Bytes of batches that are held for one call, about, however few rows they are.
+HELD_BYTES = 64 << 20
 #: Rows of a batch between the JVM and Python: whole texts are long, and each running task holds some batches on both sides.
 BATCH_ROWS = 1024
 _ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -68,14 +70,14 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 1) -> DataFrame:
-    """One output batch for each input batch, or for as many as have ``rows`` rows."""
+    """One output batch for each input batch, or for as many as have ``rows`` rows or ``HELD_BYTES`` bytes."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in chain(batches, [None]):
             held += [batch] if batch is not None and batch.num_rows else []
-            if held and (batch is None or sum(b.num_rows for b in held) >= rows):
+            if held and (batch is None or sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= HELD_BYTES):
                 out = fn(held[0] if len(held) == 1 else pa.concat_batches(held))
                 held = []
                 if out is not None and out.num_rows:

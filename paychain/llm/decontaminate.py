@@ -41,7 +41,7 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 def build(items: list[tuple[str, list[bytes]]], window: int) -> tuple:
-    """The automaton of (item id, words): vocabulary, moves, lengths, links, window states, what ends where, shortest window."""
+    """The automaton of (item id, words): vocabulary, moves, lengths, links, window states, what ends where, nearest ends, shortest window."""
     vocabulary: dict[bytes, int] = {}
     moves, length, link = [{}], [0], [-1]
 
@@ -98,12 +98,15 @@ def build(items: list[tuple[str, list[bytes]]], window: int) -> tuple:
                 owners.setdefault(held[state], set()).add(name)
         if len(ws) < window:
             ends.setdefault(state, []).append((len(ws), name))
-    return vocabulary, moves, length, link, held, owners, ends, min((min(len(ws), window) for _, ws in coded), default=0)
+    ending = [0] * len(moves)  # the nearest suffix state that ends an item of fewer words: none is walked in vain
+    for v in sorted(range(1, len(moves)), key=length.__getitem__) if ends else ():
+        ending[v] = v if v in ends else ending[link[v]]
+    return vocabulary, moves, length, link, held, owners, ends, ending, min((min(len(ws), window) for _, ws in coded), default=0)
 
 
 def stream(tokens: list[bytes], automaton: tuple, window: int, hit: bytearray, names: set[str]) -> None:
     """Mark in ``hit`` each word in an occurrence of a window and add the items to ``names``."""
-    vocabulary, moves, length, link, held, owners, ends, least = automaton
+    vocabulary, moves, length, link, held, owners, ends, ending, least = automaton
     if not least:
         return
     known = bytes(map(vocabulary.__contains__, tokens))
@@ -126,13 +129,13 @@ def stream(tokens: list[bytes], automaton: tuple, window: int, hit: bytearray, n
                 hit[i - window + 1 : i + 1] = b"\1" * window
                 names |= owners[held[state]]
             if ends:
-                v = state
-                while v > 0:
-                    for m, name in ends.get(v, ()):
+                v = ending[state]
+                while v > 0:  # items of fewer words than a window: as many steps at most
+                    for m, name in ends[v]:
                         if m <= n:
                             hit[i - m + 1 : i + 1] = b"\1" * m
                             names.add(name)
-                    v = link[v]
+                    v = ending[link[v]]
         at = stop
 
 

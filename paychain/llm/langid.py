@@ -20,12 +20,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paychain.llm.common import map_batches, with_columns
 
 BUCKETS, DIM, GRAMS = 1 << 15, 16, 4
-#: Bounds of the sample: labelled rows of each language, and of all, shared among the languages where they are many.
+#: Bounds of the sample: labelled texts of each language, and of all, shared among the languages where they are many.
 ROWS_PER_LANGUAGE, ROWS, LEAST_ROWS = 600, 120_000, 20
 #: Of an n-gram's probability in a language, the share that all buckets have alike.
 SMOOTHED = 0.01
@@ -106,25 +107,29 @@ def _features(rows: DataFrame) -> DataFrame:
 
 
 def train(
-    docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", usable: Column | None = None,
+    docs: DataFrame, text: str = "text", lang: str = "lang", usable: Column | None = None,
     rows_per_language: int = ROWS_PER_LANGUAGE, reject_share: float = 0.001, epochs: int = 6, rate: float = 0.5, seed: int = 7,
 ) -> LanguageModel | None:
-    """Fit on at most about ``rows_per_language`` rows of each language, chosen by a hash of the key; None without labelled letters.
+    """Fit on at most ``rows_per_language`` texts of each language, those with the least hashes; None without labelled letters.
 
-    Rows count if ``usable`` holds, the label is not null and the text not null. Only the text is a feature. All label
-    values are learned; where they are more than ``ROWS`` allow, each has fewer rows, ``LEAST_ROWS`` at least.
+    Rows count if ``usable`` holds, the label is not null and the text not null. Only the text is a feature, and only it is drawn by, so
+    ids that repeat or are missing change nothing, and copies of a text in a language are one. All label
+    values are learned; where they are more than ``ROWS`` allow, each has fewer texts, ``LEAST_ROWS`` at least.
     """
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), text), 1)
     pool = docs.where(usable if usable is not None else F.lit(True)).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = pool.groupBy(F.col(lang).alias("l")).count().collect()
+    pool = pool.select(F.col(lang).alias("lang"), F.col(text).alias("text"), draw.alias("draw"))
+    sizes = pool.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).collect()
     if not sizes:
         return None
     rows_per_language = min(rows_per_language, max(LEAST_ROWS, ROWS // len(sizes)))
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000))
-    shares = docs.sparkSession.createDataFrame([(r[0], int(1_000_000 * min(1.0, rows_per_language / r[1])) + 1) for r in sizes], "_lang string, _share long")
-    sample = pool.join(F.broadcast(shares), F.col(lang) == F.col("_lang")).where(draw < F.col("_share")).select(
-        F.col(lang).alias("lang"), (F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key)), F.lit(4))).cast("int").alias("part"), F.col(text).alias("text")
-    )
-    data = _features(sample).where(F.size("ids") > 0).limit(4 * rows_per_language * len(sizes)).toArrow()
+    # twice the texts asked for are below a language's bar, so that the least of them are nearly always all there
+    bars = [(r["lang"], min((1 << 63) - 1, int((1 << 63) * (2 * rows_per_language + 100) / max(1, r["n"])))) for r in sizes]
+    bars = docs.sparkSession.createDataFrame(bars, "_lang string, bar long")
+    below = pool.join(F.broadcast(bars), F.col("lang") == F.col("_lang")).where("draw <= bar").groupBy("lang", "draw").agg(F.first("text").alias("text"))
+    least = below.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("place") <= rows_per_language)
+    sample = least.select("lang", F.pmod(F.xxhash64(F.lit(seed + 1), "draw"), F.lit(4)).cast("int").alias("part"), "text")
+    data = _features(sample).where(F.size("ids") > 0).toArrow()
     if not data.num_rows:
         return None
     y_names = data.column("lang").to_pylist()

@@ -483,3 +483,39 @@ def test_very_long_texts(spark, monkeypatch):
     whole = suffixes.runs(data[:700_000], 400, 192)
     monkeypatch.setattr(suffixes, "PIECE", 1 << 19)  # other pieces, the same runs
     assert all((a == b).all() for a, b in zip(whole, suffixes.runs(data[:700_000], 400, 192)))
+
+
+def test_decontaminate_repetitive_items_take_linear_time():
+    import time
+
+    automaton = decontaminate.build([("a", [b"x"] * 8000), ("b", [b"x", b"y"]), ("c", [b"x"] * 3)], 10)
+    hit, names, began = bytearray(16_000), set(), time.perf_counter()
+    decontaminate.stream([b"x"] * 16_000, automaton, 10, hit, names)
+    assert sum(hit) == 16_000 and names == {"a", "c"} and time.perf_counter() - began < 1
+
+
+def test_batches_are_bounded_by_bytes(spark, monkeypatch):
+    from paychain.llm import common
+
+    monkeypatch.setattr(common, "HELD_BYTES", 10_000)
+    monkeypatch.setattr(common, "BATCH_ROWS", 4)
+    df = spark.range(64).select(F.repeat(F.lit("x"), 1000).alias("t")).coalesce(1)
+    import pyarrow as pa
+
+    sizes = common.map_batches(df, lambda b: pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]), "n long", 1_000_000).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sum(r["n"] for r in sizes) == 64 and max(r["n"] for r in sizes) <= 16
+
+
+def test_language_sample_does_not_depend_on_ids(spark):
+    r = random.Random(5)
+    own = {lang: ["".join(r.choice(letters) for _ in range(r.randint(2, 6))) for _ in range(40)] for lang, letters in (("aa", "abcde"), ("bb", "fghij"), ("cc", "klmno"))}
+    rows = [(i, " ".join(r.choice(own[lang]) for _ in range(r.randint(8, 30))), lang) for i in range(5400) for lang in ["aa" if i % 3 else "bb" if i % 9 else "cc"]]
+    rows += [(i, rows[1][1], "aa") for i in range(600)]  # copies are one text
+    models = []
+    for ids in (lambda i: i, lambda i: None, lambda i: 7):
+        df = spark.createDataFrame([(ids(i), t, lang) for i, t, lang in rows], "doc_id long, text string, lang string").repartition(3)
+        models.append(langid.train(df, rows_per_language=200, epochs=2))
+        found = langid.predict(df, models[-1]).where("NOT rejected AND lang = lang_pred").count()
+        assert found > 0.98 * len(rows)
+    assert all((m.logits == models[0].logits).all() and m.reject_below == models[0].reject_below for m in models)
