@@ -41,7 +41,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     own = Named(docs)
     text, lang = own.of("text"), own.of("lang")
-    model = langid.train(own.frame, text=text, lang=lang, key=own.of("doc_id"))
+    model = langid.train(own.frame, text=text, lang=lang)
     found = langid.predict(own.frame, model, text=text).where("NOT rejected")
     return own.back(found, lang=F.coalesce(lang, "lang_pred"))
 
