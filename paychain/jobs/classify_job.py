@@ -2,13 +2,13 @@
 
     classify_job.py INDEX LABELS OUT [encoding] [exact|sketch]
 
-The last says how the scaler's quantiles are found.
+The last says how the scaler's quantiles are found. The fitted state is saved under OUT/state, from which score_job.py scores later projects.
 """
 
 from __future__ import annotations
 
 import sys
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from paychain.operators.classify import LinearModel, fit_ovr, fit_softmax_l1, pr
 from paychain.operators.prep import active_rows, align_labels, fill_missing, model_input, null_profile, random_split, stratified_split
 from paychain.operators.scale import RobustParams, apply_robust, fit_robust
 from paychain.sources.scratch import settled
+from paychain.sources.states import Numbers, Row, matrix_rows, save_state, vector_rows
 from paychain.sources.tables import COUNT, FEATURES, INDEX_SCHEMA, KEY, LABEL, LABEL_SCHEMA, read_keyed_csv, write_keyed_csv
 
 CLASSES = [1, 2, 3]
@@ -34,6 +35,24 @@ class ClassifierState:
     train_rows: int
 
 
+KIND = "classifier"
+
+
+def state_rows(state: ClassifierState) -> list[Row]:
+    """The state as numbers: scaler, classes, coefficients and intercepts, and what the fit was given."""
+    s, m = state.scaler, state.model
+    rows = [r for item in ("low", "median", "high") for r in vector_rows(KIND, "scaler", item, getattr(s, item), s.columns)]
+    rows += vector_rows(KIND, "linear", "class", m.classes) + matrix_rows(KIND, "linear", "weight", m.weights, m.columns) + vector_rows(KIND, "linear", "intercept", m.intercepts)
+    return rows + vector_rows(KIND, "fit", "regularisation", [state.regularisation]) + vector_rows(KIND, "fit", "train_rows", [state.train_rows])
+
+
+def state_of(numbers: Numbers) -> ClassifierState:
+    """The state that ``state_rows`` told."""
+    scaler = RobustParams(numbers.names("scaler", "median"), *(numbers.vector("scaler", item) for item in ("low", "median", "high")))
+    model = LinearModel(numbers.names("linear", "weight"), tuple(map(int, numbers.vector("linear", "class"))), numbers.matrix("linear", "weight"), numbers.vector("linear", "intercept"))
+    return ClassifierState(scaler, model, numbers.vector("fit", "regularisation")[0], int(numbers.vector("fit", "train_rows")[0]))
+
+
 def prepare(index: DataFrame, labels: DataFrame) -> DataFrame:
     return model_input(active_rows(align_labels(index, labels, KEY), COUNT), KEY, FEATURES, LABEL)
 
@@ -51,11 +70,16 @@ def score(rows: DataFrame, state: ClassifierState) -> DataFrame:
     return predict_linear(apply_robust(rows, state.scaler), state.model)
 
 
+def refit_state(rows: DataFrame, state: ClassifierState, exact: bool = True) -> ClassifierState:
+    """``state`` with the scaler of ``rows``, which have the filled features; coefficients stay."""
+    return replace(state, scaler=fit_robust(rows, FEATURES, exact))
+
+
 def score_project(index: DataFrame, state: ClassifierState, refit: bool = False, exact: bool = True) -> DataFrame:
     """The same project with the fitted scaler, or a new one with its own (``refit``)."""
     rows = fill_missing(active_rows(index, COUNT).select(KEY, *FEATURES), FEATURES)
-    scaler = fit_robust(rows, FEATURES, exact) if refit else state.scaler
-    return predict_linear(apply_robust(rows, scaler), state.model)
+    state = refit_state(rows, state, exact) if refit else state
+    return predict_linear(apply_robust(rows, state.scaler), state.model)
 
 
 def fit_one_vs_rest(model: DataFrame, exact: bool = True) -> tuple[LinearModel, DataFrame, DataFrame]:
@@ -92,6 +116,7 @@ def main(index_path: str, labels_path: str, out: str, encoding: str = "GBK", qua
     model = settled(model)
     write_keyed_csv(model, f"{out}/model_index", encoding)
     state = fit(model, exact=exact)
+    save_state(spark, f"{out}/state", state_rows(state))
     split = stratified_split(model.na.drop(subset=[LABEL]), KEY, LABEL)
     for name, part in (("test", split.where("is_test")), ("train", split.where("NOT is_test"))):
         scored = predict_linear(apply_robust(part, state.scaler), state.model, margins=True)
