@@ -66,7 +66,7 @@ def fit(rows: DataFrame, n_init: int = STARTS, seed: int = 0, exact: bool = True
     scaled = apply_robust(rows, scaler)
     whitening = fit_whiten(scaled, FEATURES, COMPONENTS)
     quantiles = fit_quantiles(apply_whiten(scaled, whitening), _components(whitening), exact=exact)
-    return ClusterState(scaler, whitening, quantiles, fit_kmeans(reduce(scaled, whitening, quantiles), _components(whitening), CLUSTERS, n_init, seed))
+    return ClusterState(scaler, whitening, quantiles, fit_kmeans(reduce(scaled, whitening, quantiles), _components(whitening), CLUSTERS, n_init, seed, key=KEY))
 
 
 def assign(rows: DataFrame, state: ClusterState) -> DataFrame:

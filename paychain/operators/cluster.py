@@ -7,11 +7,11 @@ input, so lineage never grows.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -38,23 +38,132 @@ class KMeansFit:
     columns: tuple[str, ...]
     centres: list[tuple[float, ...]]
     cost: float
-
-
-def fit_kmeans(df: DataFrame, columns: list[str], k: int = 7, n_init: int = 20, seed: int = 0, max_iter: int = 300, tol: float = 1e-4, parallel: int = 8) -> KMeansFit:
-    """The best of ``n_init`` seeded starts; the rows are kept once for all of them, and a few starts run at a time."""
-    data = VectorAssembler(inputCols=list(columns), outputCol="features").transform(df.select(*columns)).select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    data.count()
-
-    def start(i: int) -> tuple[float, int, list]:
-        model = KMeans(k=k, initMode="k-means||", maxIter=max_iter, tol=tol, seed=seed + i).fit(data)
-        return model.summary.trainingCost, i, [tuple(map(float, c)) for c in model.clusterCenters()]
-
+    rounds: int = field(default=0, compare=False)  # passes over the rows for all starts together
+
+
+#: Squared distances held at a time in a task, and rows that tasks may send to the driver without an aggregation between.
+HELD, SENT = 1 << 22, 1 << 16
+
+
+def block_distances(x: np.ndarray, centres: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Squared distances of blocks of rows to all centres, added up column by column as the expressions do."""
+    step = max(1, HELD // max(1, len(centres)))
+    for at in range(0, len(x), step):
+        rows = slice(at, min(len(x), at + step))
+        d2 = np.zeros((rows.stop - at, len(centres)))
+        for j in range(x.shape[1]):
+            gap = x[rows, j, None] - centres[None, :, j]
+            d2 += gap * gap
+        yield rows, d2
+
+
+def _draws(h1: np.ndarray, h2: np.ndarray, number: int) -> np.ndarray:
+    """For each row the draw of that number, between 0 and 1: any two draws of a row are independent, and so are rows."""
+    return (((h1 + number * h2) & ((1 << 52) - 1)) + 0.5) / (1 << 52)
+
+
+def _race(batches: Iterator[pa.RecordBatch], starts: list[np.ndarray], k: int, step: int) -> Iterator[pa.RecordBatch]:
+    """(start, time, x): of each start the row of this task that wins the race for the next centre, with the chance of its squared distance."""
+    best: dict[int, tuple] = {}
+    for batch in batches:
+        h1, h2, *cols = (np.asarray(c) for c in batch.columns)
+        x = np.stack(cols, 1)
+        for rows, d2 in block_distances(x, np.concatenate(starts) if step else np.zeros((1, x.shape[1]))):
+            for i in range(len(starts)):
+                far = d2[:, i * step : (i + 1) * step].min(1) if step else np.ones(len(d2))
+                with np.errstate(divide="ignore"):
+                    time = np.where(far > 0, -np.log(_draws(h1[rows], h2[rows], i * k + step)) / far, np.inf)
+                if len(time) and np.isfinite(least := time.min()):
+                    ties = np.flatnonzero(time == least)
+                    best[i] = min([best.get(i, (np.inf, ())), *((float(least), tuple(x[rows][t].tolist())) for t in ties)])
+    if best:
+        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), pa.array([t for t, _ in best.values()]), pa.array([v for _, v in best.values()], pa.list_(pa.float64()))], ["start", "time", "x"])
+
+
+def _round(batches: Iterator[pa.RecordBatch], starts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """(centre, n, cost, sums): what this task's rows add to the centres, those of all starts numbered through."""
+    ends = np.cumsum([0, *map(len, starts)])
+    every = np.concatenate(starts)
+    n, cost, sums = np.zeros(len(every), np.int64), np.zeros(len(every)), np.zeros(every.shape)
+    for batch in batches:
+        x = np.stack([np.asarray(c) for c in batch.columns[2:]], 1)
+        for rows, d2 in block_distances(x, every):
+            for a, b in zip(ends, ends[1:]):
+                near = d2[:, a:b].argmin(1)
+                n[a:b] += np.bincount(near, minlength=b - a)
+                cost[a:b] += np.bincount(near, d2[np.arange(len(near)), a + near], b - a)
+                for j in range(x.shape[1]):
+                    sums[a:b, j] += np.bincount(near, x[rows, j], b - a)
+    some = np.flatnonzero(n)
+    if len(some):
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some]), pa.array(cost[some]), pa.array(list(sums[some]), pa.list_(pa.float64()))], ["centre", "n", "cost", "sums"])
+
+
+def fit_kmeans(
+    df: DataFrame, columns: list[str], k: int = 7, n_init: int = 20, seed: int = 0, max_iter: int = 300, tol: float = 1e-4, key: str | None = None, sent: int = SENT
+) -> KMeansFit:
+    """The best of ``n_init`` k-means++ starts, all of which share each pass over the rows.
+
+    A start draws its centres with chances in proportion to the squared distance from those it has, by exponential races: one pass
+    a centre for all starts. Then one pass a round moves the centres of all starts that are still open; a start is done once its centres move by no
+    more than ``tol`` times the mean variance of the columns (squared), and one more pass tells its cost. Of costs that are equal but for
+    rounding the first start's counts. Draws come from a digest of ``key``, or of the values where there is none (equal rows then count once in a draw). Where there are
+    fewer distinct rows than clusters there are fewer centres; a centre without rows stays. Rows with a missing number are an error.
+    """
+    told = F.coalesce(F.col(key).cast("string"), F.lit("")) if key else F.concat_ws("|", *columns)
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), told).cast("binary"))
+    numbers = [F.conv(F.substring(digest, at, 13), 16, 10).cast("long").alias(name) for at, name in ((1, "h1"), (14, "h2"))]
+    data = df.select(*numbers, *(F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(columns))).persist(StorageLevel.MEMORY_AND_DISK)
+    d = len(columns)
     try:
-        with ThreadPoolExecutor(parallel) as pool:
-            cost, _, centres = min(pool.map(start, range(n_init)), key=lambda x: x[:2])
+        about = data.agg(F.count("*"), *(F.var_pop(f"x{j}") for j in range(d)), *(F.count_if(missing(data, f"x{j}")) for j in range(d))).first()
+        if gaps := [c for c, n in zip(columns, about[d + 1 :]) if n]:
+            raise ValueError(f"there are missing numbers in {', '.join(gaps)}")
+        if not about[0]:
+            raise ValueError("there are no rows to cluster")
+        still = tol * sum(about[1 : d + 1]) / d
+        parts = data.rdd.getNumPartitions()
+        starts, rounds = [np.zeros((0, d)) for _ in range(n_init)], 0
+        for step in range(k):
+            have = list(starts)
+            won = data.mapInArrow(lambda b, have=have, step=step: _race(b, have, k, step), "start int, time double, x array<double>")
+            if parts * n_init > sent:
+                won = won.groupBy("start").agg(F.min(F.struct("time", "x")).alias("w")).select("start", "w.*")
+            best: dict[int, tuple] = {}
+            for r in won.collect():
+                best[r["start"]] = min(best.get(r["start"], (np.inf, ())), (r["time"], tuple(r["x"])))
+            rounds += 1
+            if not best:  # no row is apart from the centres, of any start
+                break
+            starts = [np.vstack([c, best[i][1]]) for i, c in enumerate(starts)]
+        costs: dict[int, float] = {}
+        open_, steps, settled_ = list(range(n_init)), 0, set()
+        while open_:
+            ends = np.cumsum([0, *(len(starts[i]) for i in open_)])
+            now = [starts[i] for i in open_]
+            added = data.mapInArrow(lambda b, now=now: _round(b, now), "centre int, n long, cost double, sums array<double>")
+            if parts * int(ends[-1]) > sent:
+                added = added.groupBy("centre").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.array(*(F.sum(F.get("sums", F.lit(j))) for j in range(d))).alias("sums"))
+            n, cost, sums = np.zeros(ends[-1]), np.zeros(ends[-1]), np.zeros((ends[-1], d))
+            for r in added.collect():  # at most ``sent`` rows, or one for each centre
+                n[r["centre"]] += r["n"]
+                cost[r["centre"]] += r["cost"]
+                sums[r["centre"]] += r["sums"]
+            rounds, steps = rounds + 1, steps + 1
+            for i, a, b in zip(open_, ends, ends[1:]):
+                if i in settled_:
+                    costs[i] = float(cost[a:b].sum())
+                    continue
+                moved = np.where(n[a:b, None] > 0, sums[a:b] / np.maximum(n[a:b, None], 1), starts[i])
+                if ((moved - starts[i]) ** 2).sum() <= still or steps >= max_iter:
+                    settled_.add(i)
+                starts[i] = moved
+            open_ = [i for i in open_ if i not in costs]
     finally:
         data.unpersist()
-    return KMeansFit(tuple(columns), centres, cost)
+    least = min(costs.values())
+    first = min(i for i, c in costs.items() if c <= least * (1 + 1e-9))
+    return KMeansFit(tuple(columns), [tuple(map(float, c)) for c in starts[first]], costs[first], rounds)
 
 
 @dataclass(frozen=True)
@@ -102,7 +211,7 @@ def cao_init(df: DataFrame, key: str, categorical: list[str], k: int, numeric: l
             if centres:
                 differ = [sum(((~F.col(c).eqNullSafe(F.lit(x))).cast("int") for c, x in zip(categorical, centre[len(numeric) :])), F.lit(0)) for centre in centres]
                 far = F.array_min(F.array(*differ))
-            best = dense.groupBy().agg(F.max_by(rows, F.struct((far * F.col("density")).alias("w"), (-F.col(key)).alias("k"))).alias("r")).first()["r"]
+            best = dense.groupBy().agg(F.min_by(rows, F.struct((-far * F.col("density")).alias("w"), F.col(key).isNull().alias("n"), F.col(key).alias("k"))).alias("r")).first()["r"]
             if best is None:
                 raise ValueError("there are no rows to choose centres from")
             centres.append(tuple(best))
@@ -112,26 +221,30 @@ def cao_init(df: DataFrame, key: str, categorical: list[str], k: int, numeric: l
 
 
 def huang_init(df: DataFrame, key: str, categorical: list[str], k: int, seed: int = 0) -> list[tuple]:
-    """Values drawn by frequency for each attribute, then each draft moved to the nearest row not yet taken; ties go to the lowest key.
+    """Values drawn by frequency for each attribute, then each draft moved to the nearest row not yet taken; ties go to the lowest key, null keys last.
 
-    The draws depend on ``seed`` and the rows alone, however the rows are dealt.
+    The value of the row with the least digest of seed, draft, attribute and key is a draw by frequency; it depends on the rows
+    alone, however they are dealt. Keys are unique: a row whose key is taken is taken, so of rows without a key one can be a centre.
     """
     rows = df.select(key).limit(k).count()
     if rows < k:
         raise ValueError(f"{k} clusters need as many rows, there are {rows}")
-    # the value of the row with the least hash is a draw by frequency; all draws take one pass
-    least = lambda j, c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(F.xxhash64(F.lit(f"{seed} {j} {c}"), key).alias("h"), F.col(key).alias("k"), F.col(c).alias("v"))))
+    told = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    # all draws take one pass
+    least = lambda j, c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(F.md5(F.concat(F.lit(f"{seed} {j} {c}|"), told).cast("binary")).alias("h"), F.col(c).alias("v"))))
     drawn = df.agg(*(least(j, c) for j in range(k) for c in categorical)).first()
     drafts = [list(drawn[j * len(categorical) : (j + 1) * len(categorical)]) for j in range(k)]
     if empty := [c for c, value in zip(categorical, drafts[0]) if value is None]:
         raise ValueError(f"{', '.join(empty)} has no values to draw from")
     centres: list[tuple] = []
-    taken: list = []
+    free = F.lit(True)
     for draft in drafts:
         differ = sum(((~F.col(c).eqNullSafe(F.lit(x))).cast("int") for c, x in zip(categorical, draft)), F.lit(0))
-        free = df.where(~F.col(key).isin(taken)) if taken else df
-        best = free.groupBy().agg(F.min_by(F.struct(key, *categorical), F.struct(differ.alias("d"), F.col(key).alias("k"))).alias("r")).first()["r"]
-        taken.append(best[0])
+        order = F.struct(differ.alias("d"), F.col(key).isNull().alias("n"), F.col(key).alias("k"))
+        best = df.where(free).groupBy().agg(F.min_by(F.struct(key, *categorical), order).alias("r")).first()["r"]
+        if best is None:
+            raise ValueError("there are fewer keys than clusters")
+        free = free & ~F.col(key).eqNullSafe(F.lit(best[0]))
         centres.append(tuple(best[1:]))
     return centres
 
