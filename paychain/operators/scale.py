@@ -67,6 +67,15 @@ def quantiles(df: DataFrame, columns: list[str], levels: list[float], exact: boo
     return out
 
 
+def interpolated(values: np.ndarray, levels: list[float]) -> list[float]:
+    """The quantiles of sorted values, interpolated as ``quantiles`` does; none of none."""
+    if not len(values):
+        return []
+    x = np.asarray(levels, float) * (len(values) - 1)
+    low, high = values[np.floor(x).astype(np.int64)], values[np.ceil(x).astype(np.int64)]
+    return np.where(low == high, low, (np.ceil(x) - x) * low + (x - np.floor(x)) * high).tolist()
+
+
 def fit_robust(df: DataFrame, columns: list[str], exact: bool = True) -> RobustParams:
     """Quartiles and median of each column; a column without values scales by 1 around 0."""
     q = [x or [0.0, 0.0, 0.0] for x in quantiles(df, columns, [0.25, 0.5, 0.75], exact)]
