@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paychain.functions import curves, metrics
-from paychain.jobs import classify_job, cluster_job
+from paychain.jobs import classify_job, cluster_job, fit_sql
 from paychain.operators import cluster as C
 from paychain.operators import prep, scale
 from paychain.operators.classify import LinearModel, kkt_residual, ovr_residuals, predict_linear
@@ -31,13 +31,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, recursive: bool = False):
     """Register a query under its name, and its SQL after the common tables."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = fixtures.PRELUDE + sql
+            ORACLE_SQL[f.__name__] = (fixtures.PRELUDE.replace("WITH", "WITH RECURSIVE", 1) if recursive else fixtures.PRELUDE) + sql
         return f
 
     return add
@@ -508,7 +508,12 @@ def ovr_kkt(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _assigned(df: DataFrame) -> DataFrame:
-    return df.select(KEY, *(r6(c) for c in FEATURES), F.col("predict_index").between(0, cluster_job.CLUSTERS - 1).alias("has_cluster"))
+    return df.select(KEY, *(r6(c) for c in FEATURES), "predict_index")
+
+
+#: The fit over the model's rows: components, landmarks, levels and centres.
+CLUSTER_SQL = SCALED_SQL + fit_sql.whitening("scaled") + fit_sql.components("white", "scaled") + fit_sql.landmarks("marks", "white") + fit_sql.uniform("levels_", "white", "marks") + fit_sql.kmeans("levels_")
+_TOLD = f" SELECT key, {ROUNDED}, predict_index FROM told"
 
 
 @query(" SELECT count(*) AS rows, 7::BIGINT AS clusters, 0::BIGINT AS misplaced FROM model")
@@ -523,19 +528,26 @@ def kmeans_fit_invariants(spark: SparkSession, d: str) -> DataFrame:
     return placed.agg(F.count("*").alias("rows"), F.count_distinct("predict_index").alias("clusters"), F.sum(far).alias("misplaced"))
 
 
-@query(SCALED_SQL + f" SELECT key, {ROUNDED}, TRUE AS has_cluster FROM scaled")
+@query(CLUSTER_SQL + fit_sql.clustered("levels_") + _TOLD, recursive=True)
 def cluster_scored(spark: SparkSession, d: str) -> DataFrame:
     rows = settled(_model(spark, d).select(KEY, *FEATURES))
     return _assigned(cluster_job.assign(rows, cluster_job.fit(rows)))
 
 
-@query(SCALED_SQL + _PROJECT + _scaled_sql("scored", "params", "project", "") + f" SELECT key, {ROUNDED}, TRUE AS has_cluster FROM scored")
+@query(
+    CLUSTER_SQL + _PROJECT + _scaled_sql("scaled_p", "params", "project", "") + fit_sql.components("white_p", "scaled_p") + fit_sql.uniform("levels_p", "white_p", "marks") + fit_sql.clustered("levels_p") + _TOLD,
+    recursive=True,
+)
 def same_project_cluster(spark: SparkSession, d: str) -> DataFrame:
     rows = settled(_model(spark, d).select(KEY, *FEATURES))
     return _assigned(cluster_job.assign_project(_index(spark, d), cluster_job.fit(rows)))
 
 
-@query(_PROJECT + _params_sql("params", "project") + _scaled_sql("scored", "params", "project", "") + f" SELECT key, {ROUNDED}, TRUE AS has_cluster FROM scored")
+@query(
+    CLUSTER_SQL + _PROJECT + _params_sql("params_p", "project") + _scaled_sql("scaled_p", "params_p", "project", "") + fit_sql.components("white_p", "scaled_p") + fit_sql.landmarks("marks_p", "white_p")
+    + fit_sql.uniform("levels_p", "white_p", "marks_p") + fit_sql.clustered("levels_p") + _TOLD,
+    recursive=True,
+)
 def new_project_cluster(spark: SparkSession, d: str) -> DataFrame:
     rows = settled(_model(spark, d).select(KEY, *FEATURES))
     return _assigned(cluster_job.assign_project(_index(spark, d), cluster_job.fit(rows), refit=True))
