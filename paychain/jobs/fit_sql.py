@@ -96,3 +96,32 @@ def clustered(source: str) -> str:
     """Table ``told``: key, features and predict_index of the levels in ``source``."""
     near = f"arg_min(c.c, ({_distance('s', 'c')}, c.c))"
     return f", told AS (SELECT s.key, {', '.join(f's.{c}' for c in FEATURES)}, {near}::INT AS predict_index FROM {source} s, centres c GROUP BY ALL)"
+
+
+CLASSES, STEPS = 3, 1200
+
+
+def softmax(source: str, label: str, C: float = 3.0) -> str:
+    """Table ``linear`` (w: for each class the weights and the intercept): the L1 softmax over ``source`` by accelerated proximal gradients with restarts."""
+    n = D + 1
+    z = [" + ".join([*(f"v[{n * k + j + 1}] * {c}" for j, c in enumerate(FEATURES)), f"v[{n * k + n}]"]) for k in range(CLASSES)]
+    slopes = ", ".join(f"avg((e{k} / (e0 + e1 + e2) - ({label} = {k + 1})::INT) * {x})" for k in range(CLASSES) for x in [*FEATURES, "1"])
+    return f""", size AS (SELECT 1.0::DOUBLE / ({C} * count(*)) AS reg, 0.5 * (avg({' + '.join(f'{c} * {c}' for c in FEATURES)}) + 1) AS steep FROM {source}),
+fista(n, v, w, t) AS (
+  SELECT 0, list_transform(range({n * CLASSES}), lambda i: 0.0::DOUBLE), list_transform(range({n * CLASSES}), lambda i: 0.0::DOUBLE), 1.0::DOUBLE
+  UNION ALL
+  SELECT n + 1, list_transform(range({n * CLASSES}), lambda i: x[i + 1] + (s - 1) / ((1 + sqrt(1 + 4 * s * s)) / 2) * (x[i + 1] - w[i + 1])), x, (1 + sqrt(1 + 4 * s * s)) / 2
+  FROM (SELECT n, w, x, CASE WHEN list_sum(list_transform(range({n * CLASSES}), lambda i: (v[i + 1] - x[i + 1]) * (x[i + 1] - w[i + 1]))) > 0 THEN 1.0::DOUBLE ELSE t END AS s
+    FROM (SELECT n, v, w, t, list_transform(range({n * CLASSES}), lambda i: CASE WHEN i % {n} = {D} THEN v[i + 1] - g[i + 1] / steep
+        ELSE sign(v[i + 1] - g[i + 1] / steep) * greatest(0, abs(v[i + 1] - g[i + 1] / steep) - reg / steep) END) AS x
+      FROM (SELECT n, any_value(v) AS v, any_value(w) AS w, any_value(t) AS t, [{slopes}] AS g
+        FROM (SELECT *, exp(z0 - greatest(z0, z1, z2)) AS e0, exp(z1 - greatest(z0, z1, z2)) AS e1, exp(z2 - greatest(z0, z1, z2)) AS e2
+          FROM (SELECT n, v, w, t, {', '.join(FEATURES)}, {label}, {', '.join(f'{x} AS z{k}' for k, x in enumerate(z))} FROM fista, {source} WHERE n < {STEPS})) GROUP BY n), size))),
+linear AS MATERIALIZED (SELECT w FROM fista WHERE n = {STEPS})"""
+
+
+def classified(source: str, rest: str = "") -> str:
+    """Table ``told``: key, features, ``rest`` and predict_index of the scaled rows in ``source``."""
+    n = D + 1
+    z = ", ".join(" + ".join([*(f"w[{n * k + j + 1}] * {c}" for j, c in enumerate(FEATURES)), f"w[{n * k + n}]"]) for k in range(CLASSES))
+    return f", told AS (SELECT key, {', '.join(FEATURES)}{rest}, list_position(z, list_max(z))::INT AS predict_index FROM (SELECT *, [{z}] AS z FROM {source}, linear))"

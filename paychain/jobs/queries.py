@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paychain.functions import curves, metrics
-from paychain.jobs import classify_job, cluster_job, fit_sql
+from paychain.jobs import classify_job, cluster_job, fit_sql, score_job
 from paychain.operators import cluster as C
 from paychain.operators import prep, scale
 from paychain.operators.classify import LinearModel, kkt_residual, ovr_residuals, predict_linear
@@ -27,6 +27,7 @@ PINNED = LinearModel(
 CENTRES = [(-1.0, -0.5, -1.0, -0.5), (-0.3, 0.4, -0.2, 0.1), (0.0, 0.0, 0.0, 0.0), (0.2, -0.4, 0.6, 0.5), (0.6, 0.3, 0.1, -0.6), (0.9, 0.9, 0.9, 0.9), (1.5, -0.2, 0.3, 1.2)]
 ATTRS, STEPS = ["p_brand", "p_type", "p_size"], 16
 
+RECURSIVE = fixtures.PRELUDE.replace("WITH", "WITH RECURSIVE", 1)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -37,7 +38,7 @@ def query(sql: str | None = None, recursive: bool = False):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = (fixtures.PRELUDE.replace("WITH", "WITH RECURSIVE", 1) if recursive else fixtures.PRELUDE) + sql
+            ORACLE_SQL[f.__name__] = (RECURSIVE if recursive else fixtures.PRELUDE) + sql
         return f
 
     return add
@@ -468,27 +469,32 @@ def classify_kkt(spark: SparkSession, d: str) -> DataFrame:
 TRAIN_SQL = SPLIT_SQL + _params_sql("params", "train")
 
 
-def _told(df: DataFrame, label: bool) -> DataFrame:
-    return df.select(KEY, *(r6(c) for c in FEATURES), *([LABEL] if label else []), F.col("predict_index").isin(CLASSES).alias("has_class"))
+#: The classifier's fit over the training part, and how closely the queries' fits approach the optimum.
+CLASSIFY_SQL = TRAIN_SQL + _scaled_sql("train_scaled", "params", "train") + fit_sql.softmax("train_scaled", "dis_index")
+CLOSE = {"tol": 1e-8, "max_iter": 200}
+_PROJECT = ", project AS (SELECT key, coalesce(max_pay_day, 0) AS max_pay_day, coalesce(cv_pay_day, 0) AS cv_pay_day, coalesce(std_pay_day, 0) AS std_pay_day, coalesce(quarter_avg_std, 0) AS quarter_avg_std FROM idx WHERE chain_num_pay_day >= 1)"
+_TOLD = f" SELECT key, {ROUNDED}, predict_index FROM told"
 
 
-@query(TRAIN_SQL + _scaled_sql("scored", "params", "model") + f" SELECT key, {ROUNDED}, dis_index, TRUE AS has_class FROM scored")
-def classify_scored(spark: SparkSession, d: str) -> DataFrame:
-    model = settled(_model(spark, d))
-    return _told(classify_job.score(model, classify_job.fit(model)), True)
+def _told(df: DataFrame, *more: str) -> DataFrame:
+    return df.select(KEY, *(r6(c) for c in FEATURES), *more, "predict_index")
 
 
-_PROJECT = ", project AS (SELECT key, coalesce(max_pay_day, 0) AS max_pay_day, coalesce(cv_pay_day, 0) AS cv_pay_day, coalesce(std_pay_day, 0) AS std_pay_day, coalesce(quarter_avg_std, 0) AS quarter_avg_std FROM idx WHERE chain_num_pay_day >= 1)"
+@query(CLASSIFY_SQL + _scaled_sql("scaled_m", "params", "model") + fit_sql.classified("scaled_m", ", dis_index") + f" SELECT key, {ROUNDED}, dis_index, predict_index FROM told", recursive=True)
+def classify_scored(spark: SparkSession, d: str) -> DataFrame:
+    model = settled(_model(spark, d))
+    return _told(classify_job.score(model, classify_job.fit(model, **CLOSE)), LABEL)
 
 
-@query(TRAIN_SQL + _PROJECT + _scaled_sql("scored", "params", "project", "") + f" SELECT key, {ROUNDED}, TRUE AS has_class FROM scored")
+@query(CLASSIFY_SQL + _PROJECT + _scaled_sql("scaled_p", "params", "project", "") + fit_sql.classified("scaled_p") + _TOLD, recursive=True)
 def same_project_classify(spark: SparkSession, d: str) -> DataFrame:
-    return _told(classify_job.score_project(_index(spark, d), classify_job.fit(settled(_model(spark, d)))), False)
+    return _told(classify_job.score_project(_index(spark, d), classify_job.fit(settled(_model(spark, d)), **CLOSE)))
 
 
-@query(_PROJECT + _params_sql("params", "project") + _scaled_sql("scored", "params", "project", "") + f" SELECT key, {ROUNDED}, TRUE AS has_class FROM scored")
+@query(CLASSIFY_SQL + _PROJECT + _params_sql("params_p", "project") + _scaled_sql("scaled_p", "params_p", "project", "") + fit_sql.classified("scaled_p") + _TOLD, recursive=True)
 def new_project_classify(spark: SparkSession, d: str) -> DataFrame:
-    return _told(classify_job.score_project(_index(spark, d), classify_job.fit(settled(_model(spark, d))), refit=True), False)
+    return _told(classify_job.score_project(_index(spark, d), classify_job.fit(settled(_model(spark, d)), **CLOSE), refit=True))
+
 
 
 @query()
@@ -507,13 +513,8 @@ def ovr_kkt(spark: SparkSession, d: str) -> DataFrame:
     return ovr_residuals(train, fitted, LABEL).select("class", "rows", (F.col("residual") <= 0.05).alias("optimal"))
 
 
-def _assigned(df: DataFrame) -> DataFrame:
-    return df.select(KEY, *(r6(c) for c in FEATURES), "predict_index")
-
-
 #: The fit over the model's rows: components, landmarks, levels and centres.
 CLUSTER_SQL = SCALED_SQL + fit_sql.whitening("scaled") + fit_sql.components("white", "scaled") + fit_sql.landmarks("marks", "white") + fit_sql.uniform("levels_", "white", "marks") + fit_sql.kmeans("levels_")
-_TOLD = f" SELECT key, {ROUNDED}, predict_index FROM told"
 
 
 @query(" SELECT count(*) AS rows, 7::BIGINT AS clusters, 0::BIGINT AS misplaced FROM model")
@@ -531,7 +532,7 @@ def kmeans_fit_invariants(spark: SparkSession, d: str) -> DataFrame:
 @query(CLUSTER_SQL + fit_sql.clustered("levels_") + _TOLD, recursive=True)
 def cluster_scored(spark: SparkSession, d: str) -> DataFrame:
     rows = settled(_model(spark, d).select(KEY, *FEATURES))
-    return _assigned(cluster_job.assign(rows, cluster_job.fit(rows)))
+    return _told(cluster_job.assign(rows, cluster_job.fit(rows)))
 
 
 @query(
@@ -540,7 +541,7 @@ def cluster_scored(spark: SparkSession, d: str) -> DataFrame:
 )
 def same_project_cluster(spark: SparkSession, d: str) -> DataFrame:
     rows = settled(_model(spark, d).select(KEY, *FEATURES))
-    return _assigned(cluster_job.assign_project(_index(spark, d), cluster_job.fit(rows)))
+    return _told(cluster_job.assign_project(_index(spark, d), cluster_job.fit(rows)))
 
 
 @query(
@@ -550,4 +551,23 @@ def same_project_cluster(spark: SparkSession, d: str) -> DataFrame:
 )
 def new_project_cluster(spark: SparkSession, d: str) -> DataFrame:
     rows = settled(_model(spark, d).select(KEY, *FEATURES))
-    return _assigned(cluster_job.assign_project(_index(spark, d), cluster_job.fit(rows), refit=True))
+    return _told(cluster_job.assign_project(_index(spark, d), cluster_job.fit(rows), refit=True))
+
+
+def _stored(spark: SparkSession, state: score_job.State) -> score_job.State:
+    """The state as it comes back from its table."""
+    path = scratch_path(spark, "state")
+    return score_job.load_state(spark, path, score_job.store_state(spark, path, state))
+
+
+@query(ORACLE_SQL["same_project_classify"].removeprefix(RECURSIVE), recursive=True)
+def stored_state_classify(spark: SparkSession, d: str) -> DataFrame:
+    """The same project, scored with the state read from its table."""
+    return _told(score_job.score(_index(spark, d), _stored(spark, classify_job.fit(settled(_model(spark, d)), **CLOSE))))
+
+
+@query(ORACLE_SQL["new_project_cluster"].removeprefix(RECURSIVE), recursive=True)
+def stored_state_cluster(spark: SparkSession, d: str) -> DataFrame:
+    """A new project, scored with the state read from its table and refitted, stored and read again."""
+    state, index = _stored(spark, cluster_job.fit(settled(_model(spark, d).select(KEY, *FEATURES)))), _index(spark, d)
+    return _told(score_job.score(index, _stored(spark, score_job.refitted(index, state))))
