@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from paychain.functions import curves, metrics
 from paychain.jobs import classify_job, cluster_job, fit_sql, score_job
 from paychain.operators import cluster as C
-from paychain.operators import prep, scale
+from paychain.operators import prep, scale, sketch
 from paychain.operators.classify import LinearModel, kkt_residual, ovr_residuals, predict_linear
 from paychain.sources import fixtures, tables
 from paychain.sources.scratch import scratch_path, settled
@@ -169,6 +169,29 @@ def quantile_landmarks(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, place int, value double").select("feature", "place", r6("value"))
 
 
+DAY_COLUMNS, DAY_LEVELS, DAY_K = ["l_quantity", "l_extendedprice"], [0.05, 0.25, 0.5, 0.75, 0.95], 1024
+
+
+@query(
+    ", m AS (SELECT count(DISTINCT date_trunc('month', l_shipdate)) AS days, count(l_quantity) AS n0, count(l_extendedprice) AS n1 FROM lineitem)"
+    " SELECT c AS \"column\", level, days, n, TRUE AS within FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS c, n{i} AS n, days FROM m" for i, c in enumerate(DAY_COLUMNS)) + f"), (SELECT unnest({DAY_LEVELS})::DOUBLE AS level)"
+)
+def quantile_days(spark: SparkSession, d: str) -> DataFrame:
+    """Quantiles from stored sketches of each month, merged: the values they hold, and whether their exact ranks are within the stated error."""
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(F.date_trunc("month", "l_shipdate").cast("date").alias("month"), *(F.col(c).cast("double").alias(c) for c in DAY_COLUMNS))
+    path = scratch_path(spark, "days")
+    sketch.write_days(sketch.day_sketches(rows, "month", DAY_COLUMNS, DAY_K), path)
+    stored = spark.read.parquet(path)
+    found = sketch.sketch_quantiles(sketch.merge_sketches(stored, k=DAY_K), DAY_COLUMNS, DAY_LEVELS)
+    held = stored.groupBy("column").agg(F.count_distinct("day").alias("days"), F.sum("n").alias("n"))
+    told = []
+    for c, q in zip(DAY_COLUMNS, found):
+        for level, x in zip(DAY_LEVELS, q):
+            far = F.greatest(F.avg((F.col(c) < x).cast("double")) - level, level - F.avg((F.col(c) <= x).cast("double")))
+            told.append(F.struct(F.lit(c).alias("column"), F.lit(level).alias("level"), (far <= sketch.rank_error(DAY_K)).alias("within")))
+    return rows.agg(F.array(*told).alias("r")).select(F.inline("r")).join(held, "column").select("column", "level", "days", "n", "within")
+
+
 def _uniform_sql() -> str:
     parts = []
     for c in FEATURES:

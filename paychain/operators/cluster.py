@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 from paychain.operators.prep import missing
@@ -29,8 +30,26 @@ def squared_distances(columns: list[str], centres: list[tuple[float, ...]]) -> l
     return [sum(((F.col(c) - float(x)) * (F.col(c) - float(x)) for c, x in zip(columns, centre)), F.lit(0.0)) for centre in centres]
 
 
+#: Numbers of centres up to which the distances are expressions; more are compared in blocks of rows.
+EXPRESSED = 512
+
+
 def assign_nearest(df: DataFrame, columns: list[str], centres: list[tuple[float, ...]], out: str = "predict_index") -> DataFrame:
-    return df.withColumn(out, _nearest(squared_distances(columns, centres)))
+    """``df`` with the index of the nearest centre, the first of equally near ones; null where a number is missing."""
+    if len(centres) * len(columns) <= EXPRESSED:
+        return df.withColumn(out, _nearest(squared_distances(columns, centres)))
+    kept = [c for c in df.columns if c != out]
+    at, every = [kept.index(c) for c in columns], np.array(centres, float)
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in at], 1).astype(float)
+            near = np.zeros(len(x), np.int32)
+            for rows, d2 in block_distances(x, every):
+                near[rows] = d2.argmin(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, mask=np.isnan(x).any(1))], [*kept, out])
+
+    return df.select(*kept).mapInArrow(one, T.StructType([*(df.schema[c] for c in kept), T.StructField(out, T.IntegerType())]))
 
 
 @dataclass(frozen=True)

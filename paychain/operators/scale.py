@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paychain.sources.scratch import running_totals
 
@@ -94,29 +94,125 @@ class Whitening:
     rows: tuple[tuple[float, ...], ...]  # of each component: the weights of the centred columns
 
 
+#: Columns beyond which moments and components are matrix products in tasks, not an expression for each pair.
+WIDE = 32
+
+
+def covariances(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(means, covariance matrix with n - 1) of rows without missing numbers in ``columns``; a pair's rows need no other columns where there are few.
+
+    Few columns: one aggregation. Many: tasks add up blocks' matrix products about the means, a row of the matrix is summed in one place,
+    and only the matrix comes to the driver, columns x columns numbers.
+    """
+    d = len(columns)
+    if d <= WIDE:
+        pairs = [(i, j) for i in range(d) for j in range(i, d)]
+        row = df.agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)), *(F.covar_samp(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs)).first()
+        cov = np.zeros((d, d))
+        for i, j in pairs:
+            cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] or 0.0
+        return np.array([row[f"m{i}"] or 0.0 for i in range(d)]), cov
+    rows = df.select(*(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, np.zeros(d)
+        for x in _blocks(batches):
+            n, total = n + len(x), total + x.sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total])], ["n", "total"])
+
+    def add(group: pa.Table) -> pa.Table:
+        lines = sum((np.stack(c.to_numpy(zero_copy_only=False)).sum(0) for c in group.column("line").chunks), np.zeros(d))
+        return pa.table({"i": pa.array([group.column("i")[0].as_py()], pa.int32()), "line": pa.array([lines], pa.list_(pa.float64()))})
+
+    # a task's sums are a row; they add up in a few places first
+    parts = rows.mapInArrow(sums, "n long, total array<double>").select(F.lit(0).alias("i"), F.concat(F.array(F.col("n").cast("double")), "total").alias("line"))
+
+    def add_sums(group: pa.Table) -> pa.Table:
+        lines = sum((np.stack(c.to_numpy(zero_copy_only=False)).sum(0) for c in group.column("line").chunks), np.zeros(d + 1))
+        return pa.table({"i": pa.array([0], pa.int32()), "line": pa.array([lines], pa.list_(pa.float64()))})
+
+    schema = "i int, line array<double>"
+    spread = parts.withColumn("i", F.pmod(F.monotonically_increasing_id(), F.lit(64)).cast("int")).groupBy("i").applyInArrow(add_sums, schema)
+    n, *total = np.sum([r["line"] for r in spread.collect()] or [np.zeros(d + 1)], 0)
+    mean = np.array(total) / max(n, 1)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((d, d))
+        for x in _blocks(batches):
+            x = x - mean
+            found += x.T @ x
+        for at in range(0, d, 64):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, min(d, at + 64)), pa.int32()), pa.array(list(found[at : at + 64]), pa.list_(pa.float64()))], ["i", "line"])
+
+    cov = np.zeros((d, d))
+    for r in rows.mapInArrow(products, schema).groupBy("i").applyInArrow(add, schema).collect():
+        cov[r["i"]] = r["line"]
+    return mean, cov / max(n - 1, 1)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Rows of numbers, those with a missing one left out."""
+    for batch in batches:
+        if batch.num_rows:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1).astype(float)
+            yield x[~np.isnan(x).any(1)]
+
+
+def leading(cov: np.ndarray, k: int, rounds: int = 300, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` largest eigenvalues of a covariance matrix, falling, and their vectors as columns.
+
+    Where few of many are asked for, by subspace iteration from a random start until their residuals are at rounding; the whole decomposition
+    otherwise, and where that doesn't settle.
+    """
+    d = len(cov)
+    if d > 4 * (k + 16):
+        q = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, k + 16)))[0]
+        for _ in range(rounds):
+            q = np.linalg.qr(cov @ (cov @ q))[0]
+            values, turn = np.linalg.eigh(q.T @ cov @ q)
+            vectors = q @ turn[:, ::-1][:, :k]
+            values = values[::-1][:k]
+            if np.abs(cov @ vectors - vectors * values).max() <= 1e-12 * max(abs(values[0]), 1e-300):
+                return values, vectors
+    values, vectors = np.linalg.eigh(cov)
+    return values[::-1][:k], vectors[:, ::-1][:, :k]
+
+
 def fit_whiten(df: DataFrame, columns: list[str], components: int) -> Whitening:
     """Principal components scaled to unit variance (n - 1), at most as many as columns.
 
-    Means and covariances come from one aggregation; only the matrix of columns x columns is solved on the driver. The largest
+    Only the covariances, columns x columns numbers, come to the driver and are solved there. The largest
     weight of a component is positive, which fixes its sign. Components without variance are left out.
     """
     d = len(columns)
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    row = df.agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)), *(F.covar_samp(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs)).first()
-    cov = np.zeros((d, d))
-    for i, j in pairs:
-        cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] or 0.0
-    values, vectors = np.linalg.eigh(cov)
-    kept = [k for k in np.argsort(-values)[: min(components, d)] if values[k] > 1e-12 * max(values.max(), 1e-300)]
-    rows = []
-    for k in kept:
-        v = vectors[:, k]
-        rows.append(tuple(map(float, v * np.sign(v[np.abs(v).argmax()]) / np.sqrt(values[k]))))
-    return Whitening(tuple(columns), tuple(float(row[f"m{i}"] or 0.0) for i in range(d)), tuple(float(values[k]) for k in kept), tuple(rows))
+    mean, cov = covariances(df, columns)
+    values, vectors = leading(cov, min(components, d))
+    most, rows, kept = max(float(values.max(initial=0.0)), 1e-300), [], []
+    for value, v in zip(values, vectors.T):
+        if value > 1e-12 * most:
+            kept.append(float(value))
+            rows.append(tuple(map(float, v * np.sign(v[np.abs(v).argmax()]) / np.sqrt(value))))
+    return Whitening(tuple(columns), tuple(map(float, mean)), tuple(kept), tuple(rows))
 
 
 def apply_whiten(df: DataFrame, w: Whitening, prefix: str = "pc") -> DataFrame:
-    return df.withColumns({f"{prefix}{k + 1}": sum((F.lit(x) * (F.col(c) - m) for x, c, m in zip(row, w.columns, w.mean)), F.lit(0.0)) for k, row in enumerate(w.rows)})
+    """``df`` with the components pc1 ..; of many columns they are matrix products of blocks of rows, null where a number is missing."""
+    names = [f"{prefix}{k + 1}" for k in range(len(w.rows))]
+    if len(w.columns) <= WIDE:
+        return df.withColumns({name: sum((F.lit(x) * (F.col(c) - m) for x, c, m in zip(row, w.columns, w.mean)), F.lit(0.0)) for name, row in zip(names, w.rows)})
+    weights, mean = np.array(w.rows), np.array(w.mean)
+    kept = [c for c in df.columns if c not in names]
+    at = [kept.index(c) for c in w.columns]
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in at], 1).astype(float)
+            found = (x - mean) @ weights.T
+            gone = np.isnan(found).any(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.float64(), mask=gone) for c in found.T)], [*kept, *names])
+
+    out = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(n, T.DoubleType()) for n in names)])
+    return df.select(*kept).mapInArrow(one, out)
 
 
 @dataclass(frozen=True)
