@@ -44,6 +44,11 @@ PASSAGE, WORD_SPREAD = 51, 40
 #: Runs that are partly repeated are looked into by parts of so many windows.
 PART = 16
 
+#: Suffixes that a range has, about, where Spark's own number of ranges would make them larger: a task holds a range.
+RANGE_ROWS = 1 << 21
+#: Strings whose fingerprints are told apart by all of their bits: sums modulo 2^64 repeat for some strings of 1024 and more.
+LONGEST = 1000
+
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -208,7 +213,9 @@ def shared_with_neighbours(rows: DataFrame, tokens: list[str], ties: list[str],
             out = out.append_column(name, pa.array(c))
         yield from out.combine_chunks().to_batches(max_chunksize=50_000)
 
-    found = materialize(rows.repartitionByRange(*tokens, *ties).mapInArrow(sort, schema))
+    ranges = -(-rows.count() // RANGE_ROWS)
+    more = [ranges] if ranges > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+    found = materialize(rows.repartitionByRange(*more, *tokens, *ties).mapInArrow(sort, schema))
     edges = found.where("first OR last")
     by = W.orderBy("part", "last")  # two rows for each range
 
@@ -250,6 +257,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     words of the text too; nothing is removed for that. Other columns are not read. No rows give no rows.
     """
     spread, word_spread = min(spread, max(1, length - 8)), min(WORD_SPREAD, passage - 1)
+    if max(length + spread, passage + word_spread) > LONGEST:
+        raise ValueError(f"strings and what their runs cover may have no more than {LONGEST} bytes or words")
     kind = docs.schema[key].dataType.simpleString()
     small_batches(docs.sparkSession)
     base = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("print"))
@@ -320,7 +329,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     told = near.select(*by_row, F.when(repeated, all_of_them).alias("span"), F.when(edge, run).alias("run"), F.lit(False).alias("shares"), F.lit(None).cast("long").alias("core")).union(
         same_words.select(*by_row, *nothing, whole_run, F.when(edge, F.col("core")))
     )
-    told = told.groupBy("_key", "_print").agg(F.collect_list("span").alias("spans"), F.collect_list("run").alias("runs"), F.max("shares").alias("shares"), F.collect_list("core").alias("cores"))  # of one text
+    told = told.groupBy("_key", "_print").agg(F.collect_set("span").alias("spans"), F.collect_set("run").alias("runs"), F.max("shares").alias("shares"), F.collect_set("core").alias("cores"))  # of one text: its copies tell the same
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     result = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *(["kept"] if texts else [])]
     schema = f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: int, end: int>>" + ", kept binary" * texts
@@ -361,7 +370,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     parts = materialize(still.select("key", "text", "print", "runs").mapInArrow(cut, tokens + ", single boolean"))
     near = shared_with_neighbours(parts, ["core", "whole"], ["print", "lo"])
     found = near.where(F.col("single") & whole_run).select(*row, covered.alias("span"))
-    partly = near.where(edge).groupBy(*by_row).agg(F.collect_list(F.struct("lo", "hi", (F.col("single") & ~whole_run).alias("single"))).alias("parts"))  # of one text
+    partly = near.where(edge).groupBy(*by_row).agg(F.collect_set(F.struct("lo", "hi", (F.col("single") & ~whole_run).alias("single"))).alias("parts"))  # of one text
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -375,7 +384,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     windows = still.join(partly, same_row).select("key", "text", "print", "parts").mapInArrow(expand, f"h0 long, h1 long, key {kind}, print long, lo int, single boolean")
     met = shared_with_neighbours(materialize(windows), ["h0", "h1"], ["print", "lo"]).withColumn("hi", F.col("lo")).where(F.col("single") & whole_run)
-    marks = found.union(met.select(*row, covered.alias("span"))).groupBy(*by_row).agg(F.collect_list("span").alias("more"))  # of one text
+    marks = found.union(met.select(*row, covered.alias("span"))).groupBy(*by_row).agg(F.collect_set("span").alias("more"))  # of one text
 
     def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
         spans = [tuple(np.r_[x, y] for x, y in zip(a, b)) for a, b in zip(_ends(batch.column(2)), _ends(batch.column(3)))]
