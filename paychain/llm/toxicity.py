@@ -6,26 +6,27 @@ deviations count, of toxic and of clean tokens; every token that is not toxic co
 segments of positive total. Under clean text the best segment of n tokens follows an
 extreme-value law, whose scale comes from the token scores themselves; a segment that chance
 would rarely bring forth is a toxic passage. The document's score is that extreme value put
-on a probability scale by logistic calibration on rows which the scores weren't learned from.
+on a probability scale by logistic calibration, for which each part of the sample is scored by what the other parts taught.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paychain.llm.common import small_batches, with_columns
+from paychain.llm.common import discard, materialize, small_batches, with_columns
 
 #: Bounds of what is learned from: labelled rows, and tokens kept of the lexicon, of either sign.
 SAMPLE_ROWS, MAX_LEXICON = 16_384, 20_000
+#: Parts of the sample for the calibration, and tasks that read it.
+FOLDS, SAMPLE_TASKS = 4, 16
 #: Weight of the prior against the data, deviations beyond chance, cost of other tokens, chance level of a passage.
 PRIOR, Z, COST, SIGNIFICANT = 0.1, 2.7, 0.5, 0.01
 
@@ -97,97 +98,123 @@ def _best(text: bytes | None, lexicon: dict[bytes, float], toxic: set[bytes]) ->
 def train(
     docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", toxic: str = "toxic", usable: Column | None = None, sample_rows: int = SAMPLE_ROWS, seed: int = 11
 ) -> ToxicityModel:
-    """Learn from at most ``sample_rows`` labelled keys, chosen by a hash of the key.
+    """Learn from at most ``sample_rows`` labelled keys, chosen by a hash of the key, and as many of their texts.
 
     Labels count if ``usable`` (on the labels' columns) holds and key and label are not null; a key with several
-    labels takes the largest. Three quarters of the sample give the token scores, a quarter the calibration.
-    Without labels of both kinds the model finds nothing and scores every text alike.
+    labels takes the largest. The token scores are those of the whole sample; for the calibration the sample is dealt into ``FOLDS`` parts, and each
+    part's texts are scored by tokens that only the other parts gave. Without labels of both kinds the model finds nothing and scores every text alike.
     """
     small_batches(docs.sparkSession)
     chosen = (
         labels.where(usable if usable is not None else F.lit(True)).where(F.col(key).isNotNull() & F.col(toxic).isNotNull())
         .groupBy(F.col(key).alias("_key")).agg(F.max(toxic).cast("int").alias("_toxic"))
         .withColumn("_draw", F.xxhash64(F.lit(seed), "_key")).orderBy("_draw", "_key").limit(sample_rows)
-        .select("_key", "_toxic", F.pmod("_draw", F.lit(4)).cast("int").alias("_part"))
+        .select("_key", "_toxic", F.pmod("_draw", F.lit(FOLDS)).cast("int").alias("_part"))
     )
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key")  # sample_rows rows at most
+    order = F.xxhash64(F.lit(seed), "_key", "_text")  # rows that repeat a key count, but no more than the bound
+    rows = materialize(rows.withColumn("_order", order).orderBy("_order", "_key").limit(sample_rows).repartition(SAMPLE_TASKS, "_key").drop("_order", "_key"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, n = (Counter(), Counter()), 0
+        """How many texts of each part and kind hold a token."""
+        found: dict[bytes, list[int]] = {}
         for batch in batches:
-            for t, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for t, toxic, part in zip(*(c.to_pylist() for c in batch.columns)):
                 if t:
-                    both[toxic > 0].update(set(t.encode("utf-8", "replace").translate(_FOLD).split()))
-                    n += 1
-        tokens = list(both[0].keys() | both[1].keys())
-        if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), *(pa.array([c[t] for t in tokens], pa.int64()) for c in both)], ["token", "clean", "toxic"])
-
-    counts = rows.where("_part > 0").select("_text", "_toxic").mapInArrow(count, "token binary, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counts = counts.persist()
-    n_clean, n_toxic = counts.agg(F.coalesce(F.sum("clean"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    if not n_clean or not n_toxic:
-        counts.unpersist()
+                    for w in set(t.encode("utf-8", "replace").translate(_FOLD).split()):
+                        found.setdefault(w, [0] * (2 * FOLDS))[2 * part + (toxic > 0)] += 1
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.list_(pa.int64()))], ["token", "n"])
+
+    every = range(FOLDS + 1)  # the last is the model of all parts
+    counts = rows.select("_text", "_toxic", "_part").mapInArrow(count, "token binary, n array<long>")
+    total = lambda k: F.coalesce(F.sum(F.get("n", F.lit(k))), F.lit(0))
+    counts = counts.groupBy("token").agg(*(total(2 * p + y).alias(f"{kind}{p}") for p in range(FOLDS) for y, kind in enumerate(("clean", "toxic"))))
+
+    def but(kind: str, f: int) -> Column:
+        return sum((F.col(f"{kind}{p}") for p in range(FOLDS) if p != f), F.lit(0))
+
+    counts = materialize(counts.select("token", *(but(kind, f).alias(f"{kind}_{f}") for f in every for kind in ("clean", "toxic"))))
+    sums = counts.agg(*(F.coalesce(F.sum(f"{kind}_{f}"), F.lit(0)) for f in every for kind in ("clean", "toxic"))).first()
+    sizes = [(sums[2 * f], sums[2 * f + 1]) for f in every]
+    if not all(sizes[FOLDS]):
         return ToxicityModel()
-    weight = PRIOR * (n_clean + n_toxic)
-    prior = PRIOR * (F.col("clean") + F.col("toxic"))
-    odds = lambda y, n: F.log((y + prior) / (n + weight - y - prior))
-
-    def significant(table: DataFrame) -> list:
-        scored = table.select(
-            "token", "clean", "toxic", (odds(F.col("toxic"), n_toxic) - odds(F.col("clean"), n_clean)).alias("delta"), F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior)).alias("error")
-        )
-        found = []
-        for more, sign in (("toxic", 1), ("clean", -1)):
-            beyond = sign * F.col("delta") / F.col("error")
-            found += scored.where((F.col(more) > 1) & (beyond > Z)).orderBy(beyond.desc(), "token").limit(MAX_LEXICON).collect()
+    every = [f for f in every if all(sizes[f])]  # a part may have all that is of a kind
+
+    def significant(table: DataFrame) -> dict[int, list]:
+        """Of each model, the tokens that are more frequent in one kind beyond chance, the most certain ones of each kind first."""
+
+        def told(f: int) -> Column:
+            n_clean, n_toxic = sizes[f]
+            weight, clean, toxic = PRIOR * (n_clean + n_toxic), F.col(f"clean_{f}"), F.col(f"toxic_{f}")
+            prior = PRIOR * (clean + toxic)
+            odds = lambda y, n: F.log((y + prior) / (n + weight - y - prior))
+            delta, error = odds(toxic, n_toxic) - odds(clean, n_clean), F.sqrt(1 / (toxic + prior) + 1 / (clean + prior))
+            sign = F.when((toxic > 1) & (delta > Z * error), 1).when((clean > 1) & (-delta > Z * error), -1)
+            return F.when(clean + toxic > 1, F.struct(F.lit(f).alias("f"), sign.alias("sign"), clean.alias("clean"), toxic.alias("toxic"), delta.alias("delta"), error.alias("error")))
+
+        some = table.select("token", F.explode(F.array(*map(told, every))).alias("r")).select("token", "r.*").where("sign IS NOT NULL")
+        best = Window.partitionBy("f", "sign").orderBy((F.col("sign") * F.col("delta") / F.col("error")).desc(), "token")
+        found: dict[int, list] = {f: [] for f in every}
+        for r in some.withColumn("place", F.row_number().over(best)).where(F.col("place") <= MAX_LEXICON).orderBy("f", F.desc("sign"), "place").collect():
+            found[r["f"]].append(r)
         return found
 
     # copies of one text repeat its words: tokens count again by the words around their first place, each pair once
-    hopeful = {bytes(r["token"]) for r in significant(counts)}
-    counts.unpersist()
+    hopeful = {f: {bytes(r["token"]) for r in rows_} for f, rows_ in significant(counts).items()}
+    discard(counts)
+    any_of_them = set().union(*hopeful.values())
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: set[tuple[bytes, bytes, int]] = set()
-            for t, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            out: set[tuple[bytes, bytes, int, int]] = set()
+            for t, toxic, part in zip(*(c.to_pylist() for c in batch.columns)):
                 tokens = [b"", *t.encode("utf-8", "replace").translate(_FOLD).split(), b""] if t else []
                 first: dict[bytes, int] = {}
                 for i, w in enumerate(tokens):
-                    if w in hopeful:
+                    if w in any_of_them:
                         first.setdefault(w, i)
-                out.update((w, tokens[i - 1] + b" " + tokens[i + 1], int(toxic > 0)) for w, i in first.items())
+                out.update((w, tokens[i - 1] + b" " + tokens[i + 1], int(toxic > 0), 1 << part) for w, i in first.items())
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.binary(), pa.binary(), pa.int32()))], ["token", "pair", "toxic"])
-
-    pairs = rows.where("_part > 0").select("_text", "_toxic").mapInArrow(around, "token binary, pair binary, toxic int").distinct()
-    top = significant(pairs.groupBy("token").agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") > 0).alias("toxic"))) if hopeful else []
-    lexicon = {bytes(r["token"]): r["delta"] - r["error"] if r["delta"] > 0 else r["delta"] + r["error"] - COST for r in top}
-    bad = _toxic(lexicon)
-    # the scale solves E[exp(scale * score)] = 1 over clean tokens
-    shares = [((r["clean"] + 0.5) / n_clean, lexicon[bytes(r["token"])]) for r in top]
-    rest = 1 - sum(p for p, _ in shares)
-    low, high = 1e-6, 50.0
-    for _ in range(80):
-        mid = (low + high) / 2
-        low, high = (low, mid) if rest * math.exp(-COST * mid) + sum(p * math.exp(min(700, mid * s)) for p, s in shares) > 1 else (mid, high)
-    scale = min(low, 5.0)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.binary(), pa.binary(), pa.int32(), pa.int32()))], ["token", "pair", "toxic", "parts"])
+
+    pairs = rows.select("_text", "_toxic", "_part").mapInArrow(around, "token binary, pair binary, toxic int, parts int").groupBy("token", "pair", "toxic").agg(F.bit_or("parts").alias("parts"))
+    others = lambda f: F.col("parts").bitwiseAND(F.lit(((1 << FOLDS) - 1) & ~(1 << f))) > 0
+    again = pairs.groupBy("token").agg(*(F.count_if((F.col("toxic") == y) & others(f)).alias(f"{kind}_{f}") for f in every for y, kind in enumerate(("clean", "toxic"))))
+    top = significant(materialize(again)) if any_of_them else {f: [] for f in every}
+    models = {}
+    for f in every:
+        found = [r for r in top[f] if bytes(r["token"]) in hopeful[f]]
+        lexicon = {bytes(r["token"]): r["delta"] - r["error"] if r["delta"] > 0 else r["delta"] + r["error"] - COST for r in found}
+        # the scale solves E[exp(scale * score)] = 1 over clean tokens
+        shares = [((r["clean"] + 0.5) / sizes[f][0], lexicon[bytes(r["token"])]) for r in found]
+        rest = 1 - sum(p for p, _ in shares)
+        low, high = 1e-6, 50.0
+        for _ in range(80):
+            mid = (low + high) / 2
+            low, high = (low, mid) if rest * math.exp(-COST * mid) + sum(p * math.exp(min(700, mid * s)) for p, s in shares) > 1 else (mid, high)
+        models[f] = lexicon, _toxic(lexicon), min(low, 5.0)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best segment of each text by the tokens of the other parts."""
         for batch in batches:
-            got = [_best(t.encode("utf-8", "replace") if t else None, lexicon, bad) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64()), batch.column(1)], ["best", "n", "toxic"])
+            got = [(*_best(t.encode("utf-8", "replace") if t else None, *models[p][:2]), y, p) for t, y, p in zip(*(c.to_pylist() for c in batch.columns)) if p in models]
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got), (pa.float64(), pa.int64(), pa.int32(), pa.int32()))], ["best", "n", "toxic", "part"])
 
-    held = rows.where("_part = 0").select("_text", "_toxic").mapInArrow(measure, "best double, n long, toxic int").limit(4 * sample_rows).toArrow()
-    best, n, y = (np.asarray(held.column(c)).astype(float) for c in ("best", "n", "toxic"))
+    held = rows.select("_text", "_toxic", "_part").mapInArrow(measure, "best double, n long, toxic int, part int").toArrow()  # a row for each of the sample
+    discard(rows)
+    best, n, y, part = (np.asarray(held.column(c)).astype(float) for c in ("best", "n", "toxic", "part"))
     clean = (y == 0) & (best > 0)
     shift = float(np.log(max(clean.sum(), 1) / max(n[y == 0].sum(), 1))) if len(y) else 0.0
-    x = np.maximum(_extreme(best, n, scale, shift), -5)
+    scales = np.array([models[int(p)][2] for p in part])
+    x = np.maximum(_extreme(best, n, scales, shift), -5)
     slope, offset = _logistic(np.minimum(x, 60), y) if len(set(y.tolist())) > 1 else (0.5, -2.0)
+    lexicon, _, scale = models[FOLDS]
     return ToxicityModel(lexicon, scale, shift, slope, offset)
 
 
-def _extreme(best: np.ndarray, n: np.ndarray, scale: float, shift: float) -> np.ndarray:
+def _extreme(best: np.ndarray, n: np.ndarray, scale: float | np.ndarray, shift: float) -> np.ndarray:
     """How far the best segment is beyond what chance brings: minus the logarithm of its expected number in n tokens."""
     return np.where(best > 0, scale * best - shift - np.log(np.maximum(n, 1)), -5.0)
 
