@@ -58,8 +58,8 @@ def mix(
 
     size counts the words of the whole text, null has none. taken is what the mix takes of the row, repeats
     counted: 0, size or up to ``copies`` times size. print is a hash of the text, by which, with the key, rows can
-    be found again. The shuffle depends on key and text alone, so reruns agree; rows that are equal in
-    both are taken alike. A null source is a source like any other. Other columns are not read. No rows give no rows; the result is
+    be found again. The shuffle depends on key and text alone, so reruns agree; of rows that are equal in
+    both each is taken for itself, so that copies don't come all or none. A null source is a source like any other. Other columns are not read. No rows give no rows; the result is
     within one document of each target, as whole documents are taken.
     """
     drawn_by = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("key").cast("string"), F.lit("")), F.coalesce("digest", F.lit("")))
@@ -78,7 +78,7 @@ def mix(
     slot_sums = rows.groupBy("rank", "slot").agg(F.sum("size").alias("slot_size"))
     before = W.partitionBy("rank").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
     slot_sums = slot_sums.select("rank", "slot", F.coalesce(F.sum("slot_size").over(before), F.lit(0)).alias("before"))
-    within = W.partitionBy("rank", "slot").orderBy(*order)  # equal rows are peers and end together
+    within = W.partitionBy("rank", "slot").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)  # equal rows end one after the other
     queued = materialize(rows.withColumn("done", F.sum("size").over(within)).join(slot_sums, ["rank", "slot"]).withColumn("done", F.col("done") + F.col("before")).drop("before", "slot"))
 
     def place(copy: int) -> list[Column]:
@@ -116,7 +116,7 @@ v AS (SELECT *, {copies} * source_size / weight AS r FROM w),
 b AS (SELECT *, {share}::DOUBLE * sum(source_size) OVER () - {copies} * coalesce(sum(source_size) OVER before, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS others
   FROM v WINDOW before AS (ORDER BY r, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, rank, weight, source_size, least({copies}::DOUBLE * source_size, weight * max(CASE WHEN r > rest / others THEN rest / others END) OVER ()) AS target FROM b),
-q AS (SELECT d.r, doc_id, d.source, size, draw, rank, weight, source_size, target, sum(size) OVER (PARTITION BY rank ORDER BY draw, doc_id, size) AS done FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT d.r, doc_id, d.source, size, draw, rank, weight, source_size, target, sum(size) OVER (PARTITION BY rank ORDER BY draw, doc_id, size ROWS UNBOUNDED PRECEDING) AS done FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 e AS (SELECT r, size, sum(size) OVER (ORDER BY (copy * source_size + done) / weight, rank, copy, draw, doc_id, size) AS running FROM q, range({copies}) AS c(copy) WHERE size > 0),
 k AS (SELECT r, sum(size) AS taken FROM e WHERE running <= (SELECT floor({min(share / copies, 1.0)}::DOUBLE * {copies} * sum(size)) FROM d) GROUP BY r)
 SELECT doc_id, source, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM q LEFT JOIN k USING (r)"""
