@@ -22,7 +22,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paychain.llm.common import materialize, shared_dir, small_batches
+from paychain.llm.common import each_part, materialize, part_of, parts_held, shared_dir, small_batches
 
 #: Ranges start in chunks of so many bytes; smaller gaps between selected records are read through.
 CHUNK, GAP = 4 << 20, 64 << 10
@@ -90,11 +90,12 @@ def write_archives(pages: DataFrame, folder: str | None = None, page: str = "pag
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
     rows = pages.select(F.col(page).cast("long").alias("page"), F.col(url).alias("url"), body.alias("payload"), F.sha1(body.cast("binary")).alias("sha"), F.octet_length(body).alias("n"))
+    rows = rows.withColumn("part", part_of("page"))  # a payload that a third of the pages have is joined in parts
     # only payloads that occur again; written so that Spark knows the size of what it joins
     again = materialize(
-        rows.where(F.col("n") >= least_bytes).groupBy(F.col("sha").alias("_sha"), F.col("n").alias("_n")).agg(F.min("page").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    )
-    told = rows.join(again, (F.col("sha") == F.col("_sha")) & (F.col("n") == F.col("_n")), "left").select("page", "url", "payload", F.when(~F.col("first").eqNullSafe(F.col("page")), F.col("first")).alias("first"))
+        rows.where(F.col("n") >= least_bytes).groupBy(F.col("sha").alias("_sha"), F.col("n").alias("_n")).agg(F.min("page").alias("first"), parts_held(F.col("part")).alias("held"), F.count("*").alias("c")).where("c > 1").drop("c")
+    ).select("_sha", "_n", "first", each_part(F.col("held")).alias("_part"))
+    told = rows.join(again, (F.col("sha") == F.col("_sha")) & (F.col("n") == F.col("_n")) & (F.col("part") == F.col("_part")), "left").select("page", "url", "payload", F.when(~F.col("first").eqNullSafe(F.col("page")), F.col("first")).alias("first"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, at = None, 0

@@ -519,3 +519,45 @@ def test_language_sample_does_not_depend_on_ids(spark):
         found = langid.predict(df, models[-1]).where("NOT rejected AND lang = lang_pred").count()
         assert found > 0.98 * len(rows)
     assert all((m.logits == models[0].logits).all() and m.reject_below == models[0].reject_below for m in models)
+
+
+def test_copies_of_a_row_are_taken_up_to_the_target(spark):
+    rows = [(7, "one two three four five six seven eight nine ten", s) for s in "abc" for _ in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = {}
+    for r in mixing.mix(df).collect():
+        assert r["taken"] in (0, 10, 20)
+        got.setdefault(r["source"], [r["target"], 0])[1] += r["taken"]
+    assert len(got) == 3 and all(abs(target - taken) <= 10 for target, taken in got.values())
+
+
+def test_equal_rows_are_removed_in_linear_time(spark):
+    import time
+
+    text = prose(110, 77)
+    took = []
+    for n in (500, 500, 8000):
+        began = time.perf_counter()
+        df = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+        r = suffixes.remove_repeats(df, texts=False).agg(F.sum("n_removed").alias("gone"), F.min("kept_sha256").alias("least"), F.max("kept_sha256").alias("most"), F.count("*").alias("n")).first()
+        took.append(time.perf_counter() - began)
+        assert r["n"] == n and r["gone"] == n * len(text) and r["least"] == r["most"] == hashlib.sha256(b"").hexdigest()
+    assert took[2] < 3 * took[1]
+
+
+def test_strings_too_long_for_the_fingerprints_are_refused(spark):
+    with pytest.raises(ValueError, match="no more than"):
+        suffixes.remove_repeats(spark.createDataFrame([(1, "x")], "doc_id long, text string"), length=1024)
+
+
+def test_hot_payloads_are_one_response(spark):
+    rows = [(i, f"http://h/{i}", "the same page" if i % 3 == 0 else f"page {i}") for i in range(5, 605)] + [(None, None, "the same page"), (8, "http://h/8", None), (9, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = warc.read_records(warc.write_archives(df), payloads=False).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    hot = [r for r in got if r["payload_bytes"] == 13]
+    assert len(got) == len(rows) and len(hot) == 201
+    assert [r["page"] for r in hot if r["record_type"] == "response"] == [6] and {r["refers_to"] for r in hot if r["page"] != 6} == {6}

@@ -121,3 +121,12 @@ def test_stages_on_odd_rows_and_clashing_names(spark, stage):
 def test_stages_on_no_rows(spark, stage):
     docs = spark.createDataFrame([], ODD)
     assert pipeline.STAGES[stage][1](spark, docs, SF).count() == 0
+
+
+def test_mix_takes_each_of_equal_rows_for_itself(spark):
+    docs = spark.createDataFrame([(7, "a b c d e f g h i j", "en", s, 1) for s in "abc" for _ in range(40)] + [(None, None, None, "a", None)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {}
+    for r in pipeline.mix(spark, docs.repartition(3), SF).collect():
+        got.setdefault(r["source"], []).append(r["taken"])
+    want = {r["source"]: r["target"] for r in __import__("paychain.llm.mixing", fromlist=["mix"]).mix(docs).collect() if r["source"]}
+    assert all(set(t) <= {10, 20} and abs(sum(t) - want[s]) <= 10 for s, t in got.items()) and len(got) == 3
