@@ -7,7 +7,7 @@ the next, so that a lost executor costs a task of one stage.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paychain.llm import decontaminate, langid, mixing, secrets, simhash
@@ -93,15 +93,22 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes: the documents and, as ``taken``, the words taken of each, repeats counted.
 
-    Texts without words (null and empty ones too) are never taken; a null source is a source like any other. Rows equal in id
-    and text are taken alike. Extra columns stay as they are, whatever their names, but for one named ``taken``, which gives
-    way. No rows give no rows.
+    Texts without words (null and empty ones too) are never taken; a null source is a source like any other. Rows equal in id,
+    source and text are taken each for itself: where the budget ends among them, some are taken once more than the others. Extra columns stay as they are,
+    whatever their names, but for one named ``taken``, which gives way. No rows give no rows.
     """
     own = Named(docs.drop("taken"))
     key, text = own.of("doc_id"), own.of("text")
-    taken = mixing.mix(own.frame, key, text, own.of("source")).where("taken > 0").groupBy(F.col(key).alias("id"), "print").agg(F.max("taken").alias("taken"))
-    same = F.col(key).eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("print"))
-    return own.back(own.frame.join(taken, same), F.col("taken"))
+    source = own.of("source")
+    taken = mixing.mix(own.frame, key, text, source).groupBy(F.col(key).alias("id"), F.col(source).alias("from"), "print").agg(F.min("taken").alias("least"), F.max("taken").alias("taken"), F.sum("taken").alias("all"), F.count("*").alias("n")).where("taken > 0")
+    same = F.col(key).eqNullSafe(F.col("id")) & F.col(source).eqNullSafe(F.col("from")) & (F.xxhash64(text) == F.col("print"))
+    rows = own.frame.join(taken, same)
+    # the budget ends within one group of equal rows of a source at most
+    place = F.row_number().over(Window.partitionBy("id", "from", "print").orderBy("place"))
+    more = (F.col("all") - F.col("n") * F.col("least")) / (F.col("taken") - F.col("least"))
+    some = rows.where("least < taken").withColumn("place", F.monotonically_increasing_id()).withColumn("place", place)
+    some = some.select(*own.frame.columns, F.when(F.col("place") <= more, F.col("taken")).otherwise(F.col("least")).alias("taken")).where("taken > 0")
+    return own.back(rows.where("least = taken").select(*own.frame.columns, "taken").unionByName(some), F.col("taken"))
 
 
 def _chars(own: Named) -> dict[str, Column]:
