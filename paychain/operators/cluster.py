@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -194,6 +195,7 @@ class Prototypes:
     centres: list[tuple]
     gamma: float = 1.0
     costs: list[float] = field(default_factory=list)
+    counted: list[int] = field(default_factory=list, compare=False)  # of each round, the rows whose values were counted
 
     def distances(self) -> list[Column]:
         n = len(self.numeric)
@@ -286,8 +288,87 @@ def _update(df: DataFrame, p: Prototypes) -> DataFrame:
     return found.groupBy("_c").agg(whole("cost"), *(whole(f"n{i}") for i in range(len(p.numeric))), *(most(i) for i in range(m)))
 
 
+def _moves(batches: Iterator[pa.RecordBatch], values: list[pa.Array], m: int, gamma: float, now: list[tuple], before: list[tuple] | None) -> Iterator[pa.RecordBatch]:
+    """What this task's rows add to a round: (what, cluster, attr, value, n, x).
+
+    0: rows of a cluster and what they cost; 1: the sum of a number; 2: by how much a value's frequency in a cluster changes, for
+    rows that ``before`` put elsewhere (all, without it); 3: how many those rows are.
+    """
+    k, q = len(now), len(values)
+    n, cost, sums, moved = np.zeros(k, np.int64), np.zeros(k), np.zeros((k, m)), 0
+    change = [np.zeros((k, len(v)), np.int64) for v in values]
+
+    def place(x: list[np.ndarray], codes: list[np.ndarray], centres: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        d2 = np.zeros((len(x[0]) if m else len(codes[0]), k))
+        for c, centre in enumerate(centres):
+            differ = sum((codes[i] != centre[m + i] for i in range(q)), np.zeros(len(d2), np.int64))
+            for j in range(m):
+                d2[:, c] += (x[j] - centre[j]) * (x[j] - centre[j])
+            d2[:, c] = d2[:, c] + gamma * differ if m else differ
+        near = d2.argmin(1)
+        return near, d2[np.arange(len(d2)), near]
+
+    for batch in batches:
+        x = [np.asarray(batch.column(j)) for j in range(m)]
+        codes = [np.asarray(pa.compute.index_in(batch.column(m + i), value_set=values[i]).fill_null(-1)) for i in range(q)]
+        near, paid = place(x, codes, now)
+        n += np.bincount(near, minlength=k)
+        cost += np.bincount(near, paid, k)
+        for j in range(m):
+            sums[:, j] += np.bincount(near, x[j], k)
+        old = place(x, codes, before)[0] if before else None
+        some = np.flatnonzero(near != old) if before else np.arange(len(near))
+        moved += len(some)
+        for i in range(q):
+            known = some[codes[i][some] >= 0]
+            np.add.at(change[i], (near[known], codes[i][known]), 1)
+            if before:
+                np.add.at(change[i], (old[known], codes[i][known]), -1)
+    rows = [(0, c, -1, -1, int(n[c]), float(cost[c])) for c in np.flatnonzero(n)] + [(1, c, j, -1, 0, float(sums[c, j])) for c in np.flatnonzero(n) for j in range(m)]
+    rows += [(2, c, i, v, int(change[i][c, v]), 0.0) for i in range(q) for c, v in zip(*np.nonzero(change[i]))] + [(3, -1, -1, -1, moved, 0.0)]
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.float64())
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["what", "cluster", "attr", "value", "n", "x"])
+
+
+def _fit_by_moves(df: DataFrame, p: Prototypes, values: list[list], max_iter: int, fixed: bool, sent: int) -> Prototypes:
+    """The rounds of ``fit_prototypes`` where an attribute's values are few: frequencies stay on the driver, and a round counts the rows that moved alone."""
+    m, k = len(p.numeric), len(p.centres)
+    data = df.select(*(F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(p.numeric)), *(F.col(c).alias(f"v{i}") for i, c in enumerate(p.categorical))).persist(StorageLevel.MEMORY_AND_DISK)
+    held = [pa.array(v) for v in values]
+    place = [{v: i for i, v in enumerate(vs)} for vs in values]
+    frequency = [np.zeros((k, len(v)), np.int64) for v in values]
+    coded = lambda centre: (*centre[:m], *(-1 if x is None else place[i].get(x, -2) for i, x in enumerate(centre[m:])))
+    before = None
+    parts = data.rdd.getNumPartitions()
+    try:
+        for _ in range(max_iter):
+            now, gamma = [coded(c) for c in p.centres], p.gamma
+            found = data.mapInArrow(lambda b, now=now, before=before: _moves(b, held, m, gamma, now, before), "what int, cluster int, attr int, value int, n long, x double")
+            if parts * k * (m + 1 + sum(map(len, values))) > sent:
+                found = found.groupBy("what", "cluster", "attr", "value").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+            n, cost, sums, moved = np.zeros(k, np.int64), 0.0, np.zeros((k, m)), 0
+            for what, c, i, v, count, x in found.collect():  # no more than ``sent`` rows, or one for each number
+                if what == 0:
+                    n[c], cost = n[c] + count, cost + x
+                elif what == 1:
+                    sums[c, i] += x
+                elif what == 2:
+                    frequency[i][c, v] += count
+                else:
+                    moved += count
+            if not fixed and p.costs and cost >= p.costs[-1] - 1e-9 * abs(p.costs[-1]):  # sums differ by rounding
+                break
+            modes = [[values[i][f[c].argmax()] if f[c].any() else None for i, f in enumerate(frequency)] for c in range(k)]
+            centres = [(*map(float, sums[c] / n[c]), *modes[c]) if n[c] else p.centres[c] for c in range(k)]
+            before = now
+            p = Prototypes(p.numeric, p.categorical, centres, p.gamma, [*p.costs, float(cost)], [*p.counted, moved])
+    finally:
+        data.unpersist()
+    return p
+
+
 def fit_prototypes(
-    df: DataFrame, categorical: list[str], centres: list[tuple], numeric: list[str] | None = None, gamma: float | None = None, max_iter: int = 100, fixed: bool = False
+    df: DataFrame, categorical: list[str], centres: list[tuple], numeric: list[str] | None = None, gamma: float | None = None, max_iter: int = 100, fixed: bool = False, sent: int = SENT
 ) -> Prototypes:
     """Batch iterations of assignment and update until the cost stops falling, or exactly ``max_iter`` of them if ``fixed``.
 
@@ -295,6 +376,9 @@ def fit_prototypes(
     cluster without rows keeps its centre. gamma, the weight of a differing attribute, is half the mean of the
     numeric standard deviations unless given; at 0 only numbers count. A missing number is an error. The batch update has the
     fixed points of the row-by-row one, but its path may differ.
+
+    Where the attributes have no more than ``sent`` values in all clusters together, their frequencies stay on the driver and a round
+    changes them by the rows that moved. Where they have more, every round counts all rows in an aggregation and only centres come to the driver.
     """
     numeric = numeric or []
     if numeric:
@@ -303,6 +387,16 @@ def fit_prototypes(
             raise ValueError(f"there are missing numbers in {', '.join(gaps)}")
         gamma = 0.5 * sum(x or 0.0 for x in row[: len(numeric)]) / len(numeric) if gamma is None else gamma
     p = Prototypes(tuple(numeric), tuple(categorical), list(centres), 1.0 if gamma is None else gamma, [])
+    most = sent // max(1, len(centres))
+    values: list[list] = []
+    for c in categorical:
+        values.append([r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().limit(most + 1).collect()])
+        most -= len(values[-1])
+        if most < 0:
+            break
+    if most >= 0 and categorical and centres:
+        order = [[r[0] for r in df.sparkSession.createDataFrame([(v,) for v in vs], df.select(c).schema).orderBy(c).collect()] if vs else [] for c, vs in zip(categorical, values)]
+        return _fit_by_moves(df, p, order, max_iter, fixed, sent)
     for _ in range(max_iter):
         rows = _update(df, p).collect()  # k rows
         cost = float(sum(r["cost"] for r in rows))

@@ -106,3 +106,23 @@ def test_dirty_files(spark, tmp_path):
     assert counts == {("a.csv", "chain_num_pay_day"): 1, ("a.csv", "cv_pay_day"): 1, ("a.csv", None): 1, ("b.csv", None): 1, ("b.csv", "chain_num_pay_day"): 1}
     same = tables.read_keyed_csv(spark, str(tmp_path / "in"), tables.INDEX_SCHEMA, "GBK").where("key IN ('链1', '链4', '链7')")
     assert rows.exceptAll(same).count() == 0
+
+
+def test_frequencies_by_moves_equal_those_of_all_rows(spark):
+    g = np.random.default_rng(6)
+    n = 900
+    rows = [(i, float(g.normal(i % 3 * 4, 2)), "pqrst"[int(g.integers(5))] if i % 13 else None, int(g.integers(30)) - 15 if i % 17 else None, "one") for i in range(n)]
+    df = spark.createDataFrame(rows, "key int, x double, a string, b int, c string").repartition(5)
+    for numeric, cats in ((["x"], ["a", "b"]), ([], ["a", "b", "c"])):
+        starts = cluster.cao_init(df, "key", cats, 4, numeric)
+        by_moves = cluster.fit_prototypes(df, cats, starts, numeric)
+        added_up = cluster.fit_prototypes(df.coalesce(2), cats, starts, numeric, sent=4 * 40)  # few may be sent: sums come from an aggregation
+        whole = cluster.fit_prototypes(df, cats, starts, numeric, sent=0)
+        for fit in (by_moves, added_up):
+            assert np.allclose(fit.costs, whole.costs, rtol=1e-12) and len(fit.costs) == len(whole.costs)
+            for mine, theirs in zip(fit.centres, whole.centres):
+                assert mine[len(numeric) :] == theirs[len(numeric) :] and np.allclose(mine[: len(numeric)], theirs[: len(numeric)])
+        assert by_moves.counted[0] == n and whole.counted == [] and (not numeric or len(whole.costs) > 3 and by_moves.counted[-1] < n / 4)
+        for rounds in (1, 2, 3):  # each round's centres
+            a, b = (cluster.fit_prototypes(df, cats, starts, numeric, max_iter=rounds, fixed=True, sent=s) for s in (cluster.SENT, 0))
+            assert [x[len(numeric) :] for x in a.centres] == [x[len(numeric) :] for x in b.centres]
