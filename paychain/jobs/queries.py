@@ -18,6 +18,8 @@ from paychain.operators.classify import LinearModel, kkt_residual, ovr_residuals
 from paychain.sources import fixtures, tables
 from paychain.sources.scratch import scratch_path, settled
 from paychain.sources.tables import COUNT, FEATURES, KEY, LABEL
+from paychain.streaming import refit
+from paychain.streaming import score as stream
 
 CLASSES = classify_job.CLASSES
 #: A given linear model and given centres on scaled features: they test scoring apart from fitting.
@@ -594,3 +596,44 @@ def stored_state_cluster(spark: SparkSession, d: str) -> DataFrame:
     """A new project, scored with the state read from its table and refitted, stored and read again."""
     state, index = _stored(spark, cluster_job.fit(settled(_model(spark, d).select(KEY, *FEATURES)))), _index(spark, d)
     return _told(score_job.score(index, _stored(spark, score_job.refitted(index, state))))
+
+
+# streams
+
+
+def _arrive(spark: SparkSession, d: str, parts: int = 3) -> str:
+    """The feature table as files that a stream reads one after the other, with a project for each row."""
+    path = scratch_path(spark, "arrivals")
+    rows = _index(spark, d).select(F.col(KEY).cast("string").alias(KEY), COUNT, *FEATURES, F.when(F.col(KEY) % 5 > 0, F.concat(F.lit("p"), F.col(KEY) % 5)).alias("project"))
+    for part in range(parts):
+        rows.where(F.col(KEY).cast("long") % parts == part).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+_QUARTILES = ", ".join(f"{s6(f'quantile_cont({c}, {q})', f'{n}_{c}')}" for c in FEATURES for n, q in (("low", 0.25), ("median", 0.5), ("high", 0.75)))
+
+
+@query(_PROJECT + f" SELECT CASE WHEN key % 5 > 0 THEN 'p' || (key % 5) END AS project, count(*) AS n, 0.0::DOUBLE AS rank_error, {_QUARTILES} FROM project GROUP BY ALL")
+def refit_streamed(spark: SparkSession, d: str) -> DataFrame:
+    """The scaler of each project as its rows arrive file by file, after the last of them."""
+    out = scratch_path(spark, "refits")
+    writer = refit.write_refits(refit.refit_stream(refit.read_project_arrivals(spark, _arrive(spark, d), files=1)), f"{out}/rows", f"{out}/log")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    told = [F.get(item, F.lit(j)).alias(f"{item}_{c}") for j, c in enumerate(FEATURES) for item in ("low", "median", "high")]
+    found = refit.latest_refits(spark, f"{out}/rows").select("project", "n", "rank_error", *told)
+    return found.select("project", "n", "rank_error", *(r6(c) for c in found.columns[3:]))
+
+
+_margins_p = ", ".join(f"({' + '.join(f'({w}) * {c}' for w, c in zip(row, FEATURES))} + ({b})) AS m{i + 1}" for i, (row, b) in enumerate(zip(PINNED.weights, PINNED.intercepts)))
+
+
+@query(
+    _params_sql("params", "model") + _PROJECT + _scaled_sql("scaled_p", "params", "project", "") + f", margins AS (SELECT *, {_margins_p} FROM scaled_p)"
+    f" SELECT key::VARCHAR AS key, {ROUNDED}, CASE WHEN m1 >= m2 AND m1 >= m3 THEN 1 WHEN m2 >= m3 THEN 2 ELSE 3 END AS predict_index FROM margins"
+)
+def stream_scored(spark: SparkSession, d: str) -> DataFrame:
+    """Arriving rows scored with the model's scaler and the given weights."""
+    state = classify_job.ClassifierState(scale.fit_robust(_model(spark, d), FEATURES), PINNED, 0.0, 0)
+    out = scratch_path(spark, "scores")
+    stream.write_scores(stream.score_stream(stream.read_arrivals(spark, _arrive(spark, d)), state), f"{out}/rows", f"{out}/log").trigger(availableNow=True).start().awaitTermination()
+    return _told(spark.read.parquet(f"{out}/rows"))

@@ -38,9 +38,10 @@ REFIT_SCHEMA = "project string, n long, kept long, rank_error double, low array<
 _ROWS = "project string, n long, h long, " + ", ".join(f"x{j} double" for j in range(len(FEATURES)))
 
 
-def read_project_arrivals(spark: SparkSession, path: str) -> DataFrame:
-    """New parquet files of feature tables with a column ``project`` as a stream."""
-    return nan_to_null(spark.readStream.schema(StructType([*INDEX_SCHEMA, StructField("project", StringType())])).parquet(path))
+def read_project_arrivals(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """New parquet files of feature tables with a column ``project`` as a stream, no more than ``files`` in a batch if that is given."""
+    stream = spark.readStream.option("maxFilesPerTrigger", files) if files else spark.readStream
+    return nan_to_null(stream.schema(StructType([*INDEX_SCHEMA, StructField("project", StringType())])).parquet(path))
 
 
 def _least(h: np.ndarray, x: np.ndarray, rows: int) -> np.ndarray:
