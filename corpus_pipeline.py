@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paychain.llm import decontaminate, langid, mixing, secrets, simhash
-from paychain.llm.common import cut_spans, materialize, table
+from paychain.llm.common import cut_spans, discard, materialize, table
 
 #: Of a document's words, the share in benchmark passages over which it goes as a whole.
 MOST_CONTAMINATED = 0.5
@@ -130,6 +130,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+    for place, (_, stage) in enumerate(STAGES):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        if place:
+            discard(before)  # the table of the stage before; the input stays
     return docs
