@@ -230,15 +230,16 @@ def score(docs: DataFrame, model: QualityModel | float, text: str = "text", keep
     Null, empty and blank texts have no terms: no labelled text is near, all vote alike, and the score is that of the common share.
     Repeated rows score alike. No rows give no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x DIM and SAMPLE_ROWS x DIM numbers at most
+    told = model if isinstance(model, float) else (model.weight, model.space, model.vectors, model.labels, model.prior, model.slope, model.offset)
+    shared = docs.sparkSession.sparkContext.broadcast(told)  # BUCKETS x DIM and SAMPLE_ROWS x DIM numbers at most
 
     tokens = Tokens()  # each task has its own
 
     def scan(texts: list[bytes | None], _) -> list:
-        m = shared.value
-        if isinstance(m, float):
-            return [pa.array([m] * len(texts), pa.float64())]
-        x = votes(embed(texts, m.weight, m.space, tokens), m.vectors, m.labels, m.prior, neighbours)
-        return [pa.array(1 / (1 + np.exp(-np.clip(m.slope * x + m.offset, -30, 30))), pa.float64())]
+        if isinstance(shared.value, float):
+            return [pa.array([shared.value] * len(texts), pa.float64())]
+        weight, space, vectors, labels, prior, slope, offset = shared.value
+        x = votes(embed(texts, weight, space, tokens), vectors, labels, prior, neighbours)
+        return [pa.array(1 / (1 + np.exp(-np.clip(slope * x + offset, -30, 30))), pa.float64())]
 
     return with_columns(docs, docs.columns if keep is None else keep, text, scan, "score double", ["score"])
