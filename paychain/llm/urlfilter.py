@@ -16,11 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paychain.llm.common import PARTS, each_part, materialize, part_of, parts_held
+from paychain.llm.common import PARTS, discard, each_part, materialize, part_of, parts_held, reread
 
 #: (rule, verdict); a rule is a host and a path.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-DEPTH, MANY, NEARLY, Z, STRENGTH = 6, 8, 0.5, 3.0, 4.0
+MANY, NEARLY, Z, STRENGTH = 8, 0.5, 3.0, 4.0
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -47,14 +47,18 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
 
 def judge(
     pages: DataFrame, page: str = "page_id", url: str = "url", rules: tuple[tuple[str, str], ...] = RULES,
-    depth: int = DEPTH, many: int = MANY, nearly: float = NEARLY, z: float = Z, strength: float = STRENGTH,
+    many: int = MANY, nearly: float = NEARLY, z: float = Z, strength: float = STRENGTH,
 ) -> DataFrame:
     """(page, host, path, rule, template, purity, verdict) for each row of ``pages``.
 
-    Segments beyond ``depth`` count as one. Children are variable if a node has ``many`` or more, and ``nearly`` or more for each
+    Children are variable if a node has ``many`` or more, and ``nearly`` or more for each
     page. A null url or one without ``://`` has empty host and path, which no rule fits. Without labelled pages every
     purity is a half, and such pages are allowed. Repeated rows are judged each. Other columns are not read. No rows give no rows.
 
+    Paths are followed to their last segment. No child of a node differs significantly unless its labelled pages have both
+    verdicts, ``z`` squared or more of them one; below other nodes all is wildcards, so such paths leave at once. There is a round
+    for each level at which a node is left, over the paths below such nodes only.
+
     What is known of a host, node or path that many rows share is joined to them in parts.
     """
     host, path = F.col("host"), F.col("path")
@@ -65,26 +69,31 @@ def judge(
     nodes = base.groupBy("host", "path").agg(
         F.count("*").alias("n"), F.count_if(F.col("says") == "allow").alias("good"), F.count_if(F.col("says") == "block").alias("bad"), parts_held(F.col("part")).alias("pages_in")
     )
-    cut = F.split(F.regexp_replace(path, "^/", ""), "/", depth)
-    nodes = materialize(nodes.withColumns({"segments": cut, "template": F.lit(""), "part": part_of("path")}))
+    size, every_part = F.size("segments"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")
+    start = materialize(nodes.withColumns({"segments": F.split(F.regexp_replace(path, "^/", ""), "/"), "template": F.lit(""), "part": part_of("path")}))
     sums = [F.sum(c).alias(c) for c in ("n", "good", "bad")]
-    deepest = nodes.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(min(depth, deepest)):
-        here = nodes.withColumn("segment", F.get("segments", F.lit(level)))
-        children = here.where("segment IS NOT NULL").groupBy("host", "template", "segment").agg(*sums).withColumn("part", part_of("segment"))
+    share = F.try_divide(F.col("all_bad"), F.col("all_good") + F.col("all_bad"))
+    own = F.col("good") + F.col("bad")
+    apart = F.abs(F.try_divide(F.col("bad"), own) - share) > z * F.sqrt(F.try_divide(share * (1 - share), own))
+    here, level, rounds = start, 0, []
+    while not rounds or not here.isEmpty():
+        here = here.withColumn("segment", F.get("segments", F.lit(level)))
+        children = here.groupBy("host", "template", "segment").agg(*sums).withColumn("part", part_of("segment"))
         parents = children.groupBy("host", "template").agg(F.count("*").alias("k"), *(F.sum(c).alias(f"all_{c}") for c in ("n", "good", "bad")), parts_held(F.col("part")).alias("held"))
-        parents = parents.withColumn("part", each_part(F.col("held")))
-        share = F.try_divide(F.col("all_bad"), F.col("all_good") + F.col("all_bad"))
-        own = F.col("good") + F.col("bad")
-        apart = F.abs(F.try_divide(F.col("bad"), own) - share) > z * F.sqrt(F.try_divide(share * (1 - share), own))
+        mixed = parents.where((F.least("all_good", "all_bad") > 0) & (F.greatest("all_good", "all_bad") >= z * z))
         kept = (
-            children.join(parents, ["host", "template", "part"])
+            children.join(mixed.withColumn("part", each_part(F.col("held"))), ["host", "template", "part"])
             .where(((F.col("k") < many) | (F.col("k") < nearly * F.col("all_n"))) & (own > 0) & apart)
-            .select("host", "template", "segment", F.lit(True).alias("named"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+            .select("host", "template", "segment", F.lit(True).alias("named"), every_part)
         )
-        step = F.when(F.col("segment").isNull(), "").otherwise(F.concat(F.lit("/"), F.when(F.col("named"), F.col("segment")).otherwise("*")))
-        nodes = here.join(kept, ["host", "template", "segment", "part"], "left").withColumn("template", F.concat("template", step)).drop("segment", "named")
-        nodes = materialize(nodes)
+        here = here.join(mixed.select("host", "template", F.lit(True).alias("mixed"), every_part), ["host", "template", "part"], "left")
+        here = here.join(kept, ["host", "template", "segment", "part"], "left")
+        step = F.when(F.col("mixed"), F.concat(F.lit("/"), F.when(F.col("named"), F.col("segment")).otherwise("*"))).otherwise(F.repeat(F.lit("/*"), size - level))
+        level += 1
+        rounds.append(materialize(here.withColumns({"template": F.concat("template", step), "open": F.col("mixed").isNotNull() & (size > level)}).drop("segment", "mixed", "named")))
+        here = rounds[-1].where("open").drop("open")
+    discard(start)
+    nodes = reread(rounds).where("NOT open")
     half = F.lit(0.5)
     by_host = nodes.groupBy("host", "template").agg(*sums, parts_held(F.col("part")).alias("held"))
     by_template = by_host.groupBy("template").agg(F.sum("good").alias("t_good"), F.sum("bad").alias("t_bad"))
@@ -99,39 +108,38 @@ def judge(
     )
 
 
-def oracle(depth: int = DEPTH, many: int = MANY, nearly: float = NEARLY, z: float = Z, strength: float = STRENGTH) -> str:
+def oracle(many: int = MANY, nearly: float = NEARLY, z: float = Z, strength: float = STRENGTH) -> str:
     """The query over table ``pages`` and RULES for DuckDB."""
     rule = says = "NULL"
     for text, verdict in sorted(RULES, key=lambda r: (len(r[0]), r[0])):
         at, slash, rest = text.partition("/")
         fits = f"(host = '{at}' OR ends_with(host, '.{at}')) AND starts_with(path, '{slash + rest}')"
         rule, says = f"CASE WHEN {fits} THEN '{text}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{verdict}' ELSE {says} END"
-    steps = []
-    for level in range(depth):
-        seg = f"CASE WHEN len(parts) < {depth} OR {level} < {depth - 1} THEN parts[{level + 1}] ELSE array_to_string(parts[{depth}:], '/') END"
-        steps.append(f"""
-here{level} AS (SELECT *, {seg} AS segment FROM nodes{level}),
-children{level} AS (SELECT host, template, segment, sum(n) n, sum(good) good, sum(bad) bad FROM here{level} WHERE segment IS NOT NULL GROUP BY ALL),
-parents{level} AS (SELECT host, template, count(*) k, sum(n) all_n, sum(good) all_good, sum(bad) all_bad FROM children{level} GROUP BY ALL),
-kept{level} AS (SELECT host, template, segment FROM children{level} JOIN parents{level} USING (host, template)
-  WHERE (k < {many} OR k < {nearly} * all_n) AND good + bad > 0
-  AND abs(bad / (good + bad) - all_bad / (all_good + all_bad)) > {z} * sqrt(all_bad / (all_good + all_bad) * (1 - all_bad / (all_good + all_bad)) / (good + bad))),
-nodes{level + 1} AS (SELECT h.host, h.path, h.parts, h.n, h.good, h.bad,
-  h.template || CASE WHEN h.segment IS NULL THEN '' WHEN k.segment IS NULL THEN '/*' ELSE '/' || h.segment END AS template
-  FROM here{level} h LEFT JOIN kept{level} k ON h.host = k.host AND h.template = k.template AND h.segment = k.segment),""")
     return f"""
-WITH parsed AS (
+WITH RECURSIVE parsed AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 base AS (SELECT *, {rule} AS rule, {says} AS says FROM parsed),
-nodes0 AS (SELECT host, path, string_split(regexp_replace(path, '^/', ''), '/') AS parts, '' AS template, count(*) AS n,
+paths AS (SELECT host, path, string_split(regexp_replace(path, '^/', ''), '/') AS parts, count(*) AS n,
   count(*) FILTER (says = 'allow') AS good, count(*) FILTER (says = 'block') AS bad FROM base GROUP BY host, path),
-{"".join(steps)}
-by_host AS (SELECT host, template, sum(good) good, sum(bad) bad FROM nodes{depth} GROUP BY ALL),
+walk AS (
+  SELECT 0 AS level, host, path, parts, n, good, bad, '' AS template FROM paths
+  UNION ALL
+  SELECT level + 1, host, path, parts, n, good, bad, template || CASE WHEN (k < {many} OR k < {nearly} * all_n) AND c_good + c_bad > 0
+    AND abs(c_bad / (c_good + c_bad) - share) > {z} * sqrt(share * (1 - share) / (c_good + c_bad)) THEN '/' || segment ELSE '/*' END
+  FROM (
+    SELECT *, sum(first) OVER node AS k, sum(n) OVER node AS all_n, sum(bad) OVER node / (sum(good) OVER node + sum(bad) OVER node) AS share
+    FROM (
+      SELECT *, sum(good) OVER child AS c_good, sum(bad) OVER child AS c_bad, (row_number() OVER child = 1)::INT AS first
+      FROM (SELECT *, parts[level + 1] AS segment FROM walk WHERE level < len(parts))
+      WINDOW child AS (PARTITION BY host, template, segment))
+    WINDOW node AS (PARTITION BY host, template))),
+nodes AS (SELECT * FROM walk WHERE level = len(parts)),
+by_host AS (SELECT host, template, sum(good) good, sum(bad) bad FROM nodes GROUP BY ALL),
 by_template AS (SELECT template, sum(good) t_good, sum(bad) t_bad FROM by_host GROUP BY ALL),
 total AS (SELECT (coalesce(sum(bad), 0) + {strength} * 0.5) / (coalesce(sum(good) + sum(bad), 0) + {strength}) AS prior FROM by_host),
 verdicts AS (SELECT host, template, (bad + {strength} * ((t_bad + {strength} * prior) / (t_good + t_bad + {strength}))) / (good + bad + {strength}) AS purity
   FROM by_host JOIN by_template USING (template), total)
 SELECT page_id, host, path, rule, coalesce(says, CASE WHEN purity > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
-FROM base JOIN (SELECT host, path, purity FROM nodes{depth} JOIN verdicts USING (host, template)) USING (host, path)
+FROM base JOIN (SELECT host, path, purity FROM nodes JOIN verdicts USING (host, template)) USING (host, path)
 """

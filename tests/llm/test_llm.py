@@ -275,6 +275,35 @@ def test_url_filter_of_one_hot_host_and_of_null_urls(spark):
     assert all((r["host"], r["path"], r["rule"]) == ("", "", None) for r in got if 300 <= r["page_id"] < 500)
 
 
+def test_url_paths_of_any_depth_against_sql(spark):
+    """Verdicts that hang on a ninth segment, nodes mixed at every level, paths of thousands of segments and empty ones."""
+    duckdb = pytest.importorskip("duckdb")
+    r = random.Random(4)
+    rules = ["a.example.org/es", "a.example.org/en/12", "b.com/fr", "b.com/de"]
+    urls = [f"http://{r.choice(rules)}/{'/'.join(r.choice('xyz') for _ in range(r.randrange(12)))}{r.choice(['', '/', '//'])}" for _ in range(900)]
+    # known pages differ by the ninth segment only; no rule decides those of en/2, which lie in the same tree
+    urls += [f"http://b.com/{'de' if i % 2 else 'fr'}/s/s/s/s/s/s/s/{'bad' if i % 2 else 'good'}/{i % 3}" for i in range(200)]
+    urls += [f"http://c.net/{'u/' * 9}{i}" for i in range(50)] + ["http://b.com/de/" + "d/" * 5000, "http://c.net/" + "/" * 3000, "http://c.net/*/*", None, "", "http://b.com"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    con = duckdb.connect()
+    con.register("pages", df.where(F.length("url") < 2000).toPandas())
+    want = sorted(map(str, con.execute(urlfilter.oracle()).fetchall()))
+    short = urlfilter.judge(df.where(F.length("url") < 2000))
+    assert sorted(str(tuple(x)) for x in short.select("page_id", "host", "path", "rule", "verdict").collect()) == want
+    assert {x["template"].count("/") for x in short.where("host = 'c.net' AND page_id < 1150").collect()} == {10}
+    whole = {x["page_id"]: x for x in urlfilter.judge(df).collect()}
+    assert len(whole) == len(urls) and whole[1150]["template"].count("/") == 5002 and whole[1151]["template"].count("/") == 3001
+
+
+def test_url_branches_differ_at_the_ninth_segment(spark):
+    """Only a template that keeps its ninth segment tells the pages apart that no rule decides."""
+    rules = tuple((f"h.net/{'s/' * 8}{kind}/{i}x", says) for kind, says in (("bad", "block"), ("good", "allow")) for i in range(4))
+    urls = [f"http://h.net/{'s/' * 8}{kind}/{i % 4}x{i}" for kind in ("bad", "good") for i in range(40)] + [f"http://h.net/{'s/' * 8}{kind}/new" for kind in ("bad", "good")]
+    got = urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).orderBy("page_id").collect()
+    assert [x["verdict"] for x in got[-2:]] == ["block", "allow"] and got[-1]["rule"] is None
+    assert got[-2]["template"] == "/*/*/*/*/*/*/*/*/bad/*"
+
+
 def test_url_filter_has_no_python(spark):
     df = spark.createDataFrame([(1, "http://a.net/x")], "page_id long, url string")
     plan = urlfilter.judge(df)._jdf.queryExecution().toString()
