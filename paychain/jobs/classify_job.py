@@ -57,11 +57,11 @@ def prepare(index: DataFrame, labels: DataFrame) -> DataFrame:
     return model_input(active_rows(align_labels(index, labels, KEY), COUNT), KEY, FEATURES, LABEL)
 
 
-def fit(model: DataFrame, C: float = 3.0, exact: bool = True, tol: float = 1e-4, max_iter: int = 100) -> ClassifierState:
+def fit(model: DataFrame, C: float = 3.0, exact: bool = True, tol: float = 1e-4, max_iter: int = 100, steps: int = 0) -> ClassifierState:
     """The scaler and the classifier, both from the training part alone."""
     train = settled(stratified_split(model.na.drop(subset=[LABEL]), KEY, LABEL).where("NOT is_test"))
     scaler = fit_robust(train, FEATURES, exact)
-    linear, reg, n = fit_softmax_l1(apply_robust(train, scaler), FEATURES, LABEL, C, CLASSES, max_iter, tol)
+    linear, reg, n = fit_softmax_l1(apply_robust(train, scaler), FEATURES, LABEL, C, CLASSES, max_iter, tol, steps)
     return ClassifierState(scaler, linear, reg, n)
 
 

@@ -483,12 +483,12 @@ def kmodes_huang(spark: SparkSession, d: str) -> DataFrame:
 
 @query(SPLIT_SQL + " SELECT count(*) AS train_rows, TRUE AS optimal FROM train")
 def classify_kkt(spark: SparkSession, d: str) -> DataFrame:
-    """Rows trained on, and whether the fit meets the optimality conditions within a twentieth of the regularisation."""
+    """Rows trained on, and whether the fit meets the optimality conditions within a thousandth of the regularisation."""
     model = settled(_model(spark, d))
-    state = classify_job.fit(model, tol=1e-8, max_iter=200)
+    state = classify_job.fit(model, **CLOSE)
     train = prep.stratified_split(model.na.drop(subset=[LABEL]), KEY, LABEL).where("NOT is_test")
     worst = kkt_residual(scale.apply_robust(train, state.scaler), state.model, LABEL, state.regularisation)
-    return spark.createDataFrame([(state.train_rows, worst < 0.05)], "train_rows long, optimal boolean")
+    return spark.createDataFrame([(state.train_rows, worst < 0.001)], "train_rows long, optimal boolean")
 
 
 TRAIN_SQL = SPLIT_SQL + _params_sql("params", "train")
@@ -496,7 +496,7 @@ TRAIN_SQL = SPLIT_SQL + _params_sql("params", "train")
 
 #: The classifier's fit over the training part, and how closely the queries' fits approach the optimum.
 CLASSIFY_SQL = TRAIN_SQL + _scaled_sql("train_scaled", "params", "train") + fit_sql.softmax("train_scaled", "dis_index")
-CLOSE = {"tol": 1e-8, "max_iter": 200}
+CLOSE = {"steps": 20}
 _PROJECT = ", project AS (SELECT key, coalesce(max_pay_day, 0) AS max_pay_day, coalesce(cv_pay_day, 0) AS cv_pay_day, coalesce(std_pay_day, 0) AS std_pay_day, coalesce(quarter_avg_std, 0) AS quarter_avg_std FROM idx WHERE chain_num_pay_day >= 1)"
 _TOLD = f" SELECT key, {ROUNDED}, predict_index FROM told"
 
@@ -533,7 +533,7 @@ def ovr_scores(spark: SparkSession, d: str) -> DataFrame:
     " SELECT class::INT AS class, (SELECT count(*) FROM drawn) AS rows, TRUE AS optimal FROM range(1, 4) c(class)"
 )
 def ovr_kkt(spark: SparkSession, d: str) -> DataFrame:
-    """Rows that each class is fitted on against the rest, and whether the fit meets its optimality conditions within a twentieth of the regularisation."""
+    """Rows that each class is fitted on against the rest, and whether the fit meets its optimality conditions within a thousandth of the regularisation."""
     fitted, train, _ = classify_job.fit_one_vs_rest(_model(spark, d))
     return ovr_residuals(train, fitted, LABEL).select("class", "rows", (F.col("residual") <= 0.05).alias("optimal"))
 

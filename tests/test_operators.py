@@ -2,12 +2,13 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from paychain.functions import curves, metrics
 from paychain.operators import cluster, prep, scale
-from paychain.operators.classify import LinearModel, predict_linear
+from paychain.operators.classify import LinearModel, _newton, _train, fit_softmax_l1, kkt_residual, predict_linear
 from paychain.sources import tables
 
 nan = float("nan")
@@ -203,3 +204,33 @@ def test_modes_are_the_most_frequent_and_lowest_values(spark):
     assert cluster.fit_prototypes(df, ["c", "d"], [("a", "z")], max_iter=1, fixed=True).centres == [("a", "z")]
     nothing = df.withColumn("d", F.lit(None).cast("string"))
     assert cluster.fit_prototypes(nothing, ["c", "d"], [("b", None)], max_iter=1, fixed=True).centres == [("a", None)]
+
+
+def test_newton_steps_reach_the_optimum(spark):
+    """From a loose fit and from zeros; repeated rows, a constant column, empty partitions, large values. From far off no step may raise the cost."""
+    r = np.random.default_rng(5)
+    x = np.column_stack([r.normal(size=400), r.standard_cauchy(400) * 20, np.ones(400), r.normal(size=400) * 1e-3])
+    y = np.where(r.random(400) < 0.2, r.integers(1, 4, 400), 1 + (x[:, 0] > 0) + (x[:, 0] + x[:, 3] > 1))
+    rows = [(*map(float, v), int(k)) for v, k in zip(x, y)] * 2
+    cols = ["a", "b", "c", "d"]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, y int").repartition(5, "y")
+    model, reg, n = fit_softmax_l1(df, cols, "y", tol=1e-1, steps=40)
+    assert n == 800 and kkt_residual(df, model, "y", reg) < 1e-5
+    data = _train(df, cols, "y", [1, 2, 3]).persist()
+
+    def newton(weights, b, steps):
+        weights, b = _newton(data, weights, b, reg, steps)
+        return LinearModel(tuple(cols), (1, 2, 3), tuple(map(tuple, weights.tolist())), tuple(b.tolist()))
+
+    other = newton(np.zeros((3, 4)), np.zeros(3), 40)
+    assert kkt_residual(df, other, "y", reg) < 1e-5
+
+    def cost(m):
+        z = x @ np.array(m.weights).T + m.intercepts
+        return np.mean(np.logaddexp.reduce(z, 1) - z[np.arange(400), y - 1]) + reg * np.abs(m.weights).sum()
+
+    plain = fit_softmax_l1(df, cols, "y")[0]
+    assert abs(cost(model) - cost(other)) < 1e-9 and cost(model) <= cost(plain) + 1e-12
+    start = np.full((3, 4), 0.1) * [[3], [-2], [1]], np.array([5.0, -3.0, 0.0])
+    assert cost(newton(*start, 2)) <= cost(newton(*start, 0))
+    data.unpersist()
