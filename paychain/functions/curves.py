@@ -28,7 +28,7 @@ def roc_points(scores: DataFrame, by: list[str], bins: int | None = None) -> Dat
     counts = scores.groupBy(*by, "score").agg(F.sum("truth").alias("p"), F.sum(1 - F.col("truth")).alias("n"))
     run = running_totals(counts, by, [F.desc("score")], ["p", "n"])
     points = run.select(*by, "score", F.try_divide("upto_n", "all_n").alias("fpr"), F.try_divide("upto_p", "all_p").alias("tpr"))
-    origin = scores.groupBy(*by).agg(F.lit(None).cast("double").alias("score"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    origin = run.groupBy(*by).agg(F.lit(None).cast("double").alias("score"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return points.unionByName(origin)
 
 
@@ -48,20 +48,21 @@ def roc_macro(points: DataFrame, by: str) -> DataFrame:
     """(fpr, tpr): the mean over classes at every false-positive rate of any class, each curve interpolated between its points.
 
     A vertical step has two values; a rate right there takes the last. Classes without rates are left out. Each class's points
-    and the rates of the others are sorted by ranges; a range gets the nearest points of the ranges around it.
+    and the rates of the others are sorted by ranges; a range gets the nearest points of the ranges around it. The next point
+    is the last one seen from the other end: Spark goes through frames up to a row once, through those from a row on for each row.
     """
-    known = points.where("fpr IS NOT NULL AND tpr IS NOT NULL").withColumnRenamed(by, "class")
+    known = settled(points.where("fpr IS NOT NULL AND tpr IS NOT NULL").withColumnRenamed(by, "class"))
     ends = known.groupBy("class", "fpr").agg(F.min("tpr").alias("low"), F.max("tpr").alias("high"))
-    rates = known.select("fpr").distinct().crossJoin(known.select("class").distinct())  # a few classes
+    rates = known.select("fpr").distinct().crossJoin(F.broadcast(known.select("class").distinct()))  # a few classes
     rows = settled(rates.join(ends, ["class", "fpr"], "left").repartitionByRange("class", "fpr").withColumn("_range", F.spark_partition_id()))
     left, right = F.when(F.col("high").isNotNull(), F.struct("fpr", "high")), F.when(F.col("high").isNotNull(), F.struct("fpr", "low"))
     parts = rows.groupBy("_range", "class").agg(F.max(left).alias("last"), F.min(right).alias("first"))
-    around = W.partitionBy("class").orderBy("_range")
+    around = W.partitionBy("class")
     parts = parts.select(
-        "_range", "class", F.last("last", True).over(around.rowsBetween(W.unboundedPreceding, -1)).alias("before"), F.first("first", True).over(around.rowsBetween(1, W.unboundedFollowing)).alias("after")
+        "_range", "class", *(F.last(c, True).over(around.orderBy(o).rowsBetween(W.unboundedPreceding, -1)).alias(n) for c, o, n in (("last", F.asc("_range"), "before"), ("first", F.desc("_range"), "after")))
     )
-    within = W.partitionBy("_range", "class").orderBy("fpr")
-    near = rows.withColumns({"a": F.last(left, True).over(within.rowsBetween(W.unboundedPreceding, 0)), "b": F.first(right, True).over(within.rowsBetween(1, W.unboundedFollowing))})
+    within = W.partitionBy("_range", "class")
+    near = rows.withColumns({"a": F.last(left, True).over(within.orderBy("fpr").rowsBetween(W.unboundedPreceding, 0)), "b": F.last(right, True).over(within.orderBy(F.desc("fpr")).rowsBetween(W.unboundedPreceding, -1))})
     near = near.join(parts, ["_range", "class"]).withColumns({"a": F.coalesce("a", "before"), "b": F.coalesce("b", "after")})
     slope = F.try_divide(F.col("b.low") - F.col("a.high"), F.col("b.fpr") - F.col("a.fpr"))
     tpr = F.coalesce("high", F.col("a.high") + (F.col("fpr") - F.col("a.fpr")) * slope, "a.high")
