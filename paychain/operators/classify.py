@@ -52,13 +52,17 @@ def fit_softmax_l1(
         weights, b = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
         if steps:
             weights, b = _newton(data, weights, b, reg, steps)
+            b = b - b.mean()
     finally:
         data.unpersist()
     return LinearModel(tuple(columns), tuple(classes), tuple(tuple(map(float, w)) for w in weights), tuple(map(float, b))), reg, n
 
 
-def _moments(data: DataFrame, at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Mean loss of the softmax, its gradient and Hessian at ``at``, classes x (columns and intercept), in one pass."""
+def _moments(data: DataFrame, at: np.ndarray, apart: bool = False) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean loss of the softmax, its gradient and Hessian at ``at``, classes x (columns and intercept), in one pass.
+
+    With ``apart``, the sum of the losses of each class against the rest, whose Hessian has a block for each class.
+    """
     k, d = at.shape
     size = k * d
 
@@ -70,13 +74,17 @@ def _moments(data: DataFrame, at: np.ndarray) -> tuple[float, np.ndarray, np.nda
             x = np.column_stack([batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(n, d - 1), np.ones(n)])
             own = np.arange(n), batch.column(1).to_numpy(zero_copy_only=False).astype(int)
             m = x @ at.T
-            m -= m.max(1, keepdims=True, initial=-np.inf)
-            p = np.exp(m)
-            total = p.sum(1)
-            p /= total[:, None]
-            found[:2] += n, (np.log(total) - m[own]).sum()
+            if apart:
+                p = np.exp(-np.logaddexp(0, -m))
+                found[:2] += n, np.logaddexp(0, m).sum() - m[own].sum()
+            else:
+                m -= m.max(1, keepdims=True, initial=-np.inf)
+                p = np.exp(m)
+                total = p.sum(1)
+                p /= total[:, None]
+                found[:2] += n, (np.log(total) - m[own]).sum()
             for a in range(k):
-                for b in range(k):
+                for b in [a] if apart else range(k):
                     bend[a, :, b] += x.T @ (x * (p[:, a] * ((a == b) - p[:, b]))[:, None])
             p[own] -= 1
             slope += p.T @ x
@@ -90,13 +98,13 @@ def _moments(data: DataFrame, at: np.ndarray) -> tuple[float, np.ndarray, np.nda
     return found[1], found[2 : 2 + size], found[2 + size :].reshape(size, size)
 
 
-def _newton(data: DataFrame, weights: np.ndarray, intercepts: np.ndarray, reg: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
+def _newton(data: DataFrame, weights: np.ndarray, intercepts: np.ndarray, reg: float, steps: int, apart: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The coefficients after proximal Newton steps with backtracking: the quadratic model is minimised by coordinates, weights with their L1 norm."""
     here = np.column_stack([weights, intercepts])
     cost = np.full(here.shape, reg)
     cost[:, -1] = 0
     shape, cost = here.shape, cost.ravel()
-    loss, slope, bend = _moments(data, here)
+    loss, slope, bend = _moments(data, here, apart)
     here = here.ravel()
     for _ in range(steps):
         off = np.where(here != 0, np.abs(slope + cost * np.sign(here)), np.maximum(np.abs(slope) - cost, 0))
@@ -119,7 +127,7 @@ def _newton(data: DataFrame, weights: np.ndarray, intercepts: np.ndarray, reg: f
         gain, share = slope @ step + cost @ (np.abs(goal) - np.abs(here)), 1.0
         while share > 1e-6:
             there = here + share * step
-            found = _moments(data, there.reshape(shape))
+            found = _moments(data, there.reshape(shape), apart)
             if found[0] + cost @ np.abs(there) <= before + 1e-4 * share * gain + 1e-15 * before:
                 break
             share /= 2
@@ -127,19 +135,27 @@ def _newton(data: DataFrame, weights: np.ndarray, intercepts: np.ndarray, reg: f
             break  # no step is better, to the last digit
         here, (loss, slope, bend) = there, found
     here = here.reshape(shape)
-    return here[:, :-1], here[:, -1] - here[:, -1].mean()
+    return here[:, :-1], here[:, -1]
+
 
+def fit_ovr(df: DataFrame, columns: list[str], label: str, C: float = 3.0, classes: list[int] | None = None, tol: float = 1e-6, steps: int = 20) -> LinearModel:
+    """One binary L1 fit for each class against the rest; a class's raw score is its decision value.
 
-def fit_ovr(df: DataFrame, columns: list[str], label: str, C: float = 3.0, classes: list[int] | None = None, tol: float = 1e-6) -> LinearModel:
-    """One binary L1 fit for each class against the rest; a class's raw score is its decision value."""
+    Spark's optimiser stops by the cost, which tells ever less of the optimality conditions the more rows there are; up to ``steps``
+    proximal Newton steps follow, of all classes in one pass.
+    """
     classes = classes or sorted(r[0] for r in df.where(F.col(label).isNotNull()).select(label).distinct().collect())
     data = _train(df, columns, label, classes).persist()
     try:
-        one = LogisticRegression(elasticNetParam=1.0, regParam=1.0 / (C * data.count()), standardization=False, maxIter=100, tol=tol)
+        reg = 1.0 / (C * data.count())
+        one = LogisticRegression(elasticNetParam=1.0, regParam=reg, standardization=False, maxIter=100, tol=tol)
         models = OneVsRest(classifier=one, parallelism=3).fit(data).models
+        weights, b = np.array([m.coefficients.toArray() for m in models]), np.array([m.intercept for m in models])
+        if steps:
+            weights, b = _newton(data, weights, b, reg, steps, apart=True)
     finally:
         data.unpersist()
-    return LinearModel(tuple(columns), tuple(classes), tuple(tuple(map(float, m.coefficients)) for m in models), tuple(float(m.intercept) for m in models))
+    return LinearModel(tuple(columns), tuple(classes), tuple(tuple(map(float, w)) for w in weights), tuple(map(float, b)))
 
 
 def predict_linear(df: DataFrame, model: LinearModel, out: str = "predict_index", margins: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@
 import numpy as np
 
 from paychain.functions import curves
+from paychain.operators.classify import fit_ovr, ovr_residuals
 
 
 def test_macro_curve_goes_through_its_points_once(spark):
@@ -12,3 +13,14 @@ def test_macro_curve_goes_through_its_points_once(spark):
     points = curves.roc_points(spark.createDataFrame(rows, "class int, truth int, score double"), ["class"])
     plan = curves.roc_macro(points, "class")._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "window" in plan and "unboundedfollowing" not in plan
+
+
+def test_each_class_against_the_rest_reaches_its_optimum(spark):
+    """The more rows, the less the regularisation that the conditions are held against, and the earlier a tolerance of the cost stops."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(40_000, 3)) * [1.0, 4.0, 0.3]
+    y = 1 + (x @ [1.0, 0.2, -0.5] + r.logistic(size=len(x)) > 0) + (x @ [0.5, 0.4, 0.5] + r.logistic(size=len(x)) > 2)
+    df = spark.createDataFrame([(*map(float, row), int(c)) for row, c in zip(x, y)], "a double, b double, c double, y int").persist()
+    found = ovr_residuals(df, fit_ovr(df, ["a", "b", "c"], "y"), "y").collect()
+    df.unpersist()
+    assert len(found) == 3 and all(row["residual"] < 1e-3 for row in found)
