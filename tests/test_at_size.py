@@ -3,6 +3,7 @@
 import numpy as np
 
 from paychain.functions import curves
+from paychain.jobs import queries
 from paychain.operators.classify import fit_ovr, ovr_residuals
 
 
@@ -24,3 +25,14 @@ def test_each_class_against_the_rest_reaches_its_optimum(spark):
     found = ovr_residuals(df, fit_ovr(df, ["a", "b", "c"], "y"), "y").collect()
     df.unpersist()
     assert len(found) == 3 and all(row["residual"] < 1e-3 for row in found)
+
+
+def test_parts_of_a_stream_are_written_by_many_tasks(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        path, parts = queries._arrivals(spark, "/root/testdata/sf0.01")
+        for write in parts:
+            write()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(spark.read.parquet(path).inputFiles()) > len(parts)
