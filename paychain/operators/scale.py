@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -67,6 +67,52 @@ def quantiles(df: DataFrame, columns: list[str], levels: list[float], exact: boo
     return out
 
 
+def group_quantiles(df: DataFrame, by: str, columns: list[str], levels: Callable[[int], list[float]]) -> DataFrame:
+    """(by, c, q): of each value of ``by`` (null is one) and column c, by its place, the exact quantiles at ``levels`` of the number of its values.
+
+    As in ``quantiles`` values are counted, sorted by ranges and numbered by running totals, of all groups at once: no task sees a whole
+    group, and one row a group is as long as its levels. Columns without values have no row.
+    """
+    found = F.array(*(F.struct(F.lit(i).alias("c"), (F.nanvl(F.col(x).cast("double"), F.lit(None).cast("double")) + 0.0).alias("v")) for i, x in enumerate(columns)))
+    counts = df.select(F.col(by).alias("_by"), F.explode(found).alias("p")).select("_by", "p.*").where("v IS NOT NULL").groupBy("_by", "c", "v").agg(F.count("*").alias("n"))
+
+    def near(size: int) -> np.ndarray:
+        at = np.asarray(levels(size), float) * (size - 1)
+        return np.unique(np.concatenate([np.floor(at), np.ceil(at)])).astype(np.int64)
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """``df``'s rows at the ranks below and above each level, with those ranks."""
+        ranks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            n, upto, total = (np.asarray(batch.column(x)) for x in ("n", "upto_n", "all_n"))
+            for size in np.unique(total):
+                wanted = ranks.setdefault(int(size), near(int(size)))
+                here = np.flatnonzero(total == size)
+                low, high = np.searchsorted(wanted, upto[here] - n[here]), np.searchsorted(wanted, upto[here])
+                some = pa.array(np.repeat(here, high - low))
+                rank = wanted[np.arange(len(some)) - np.repeat(np.cumsum(high - low) - high, high - low)]
+                if len(some):
+                    yield pa.RecordBatch.from_arrays([*(batch.column(x).take(some) for x in ("_by", "c", "all_n")), pa.array(rank), batch.column("v").take(some)], ["_by", "c", "n", "rank", "v"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = []
+            for size, held in zip(batch.column("n").to_pylist(), batch.column("held").to_pylist()):
+                value, found = {h["rank"]: h["v"] for h in held}, []
+                for x in np.asarray(levels(size), float) * (size - 1):
+                    low, high = value[int(np.floor(x))], value[int(np.ceil(x))]
+                    found.append(float(low if low == high else (np.ceil(x) - x) * low + (x - np.floor(x)) * high))
+                told.append(found)
+            yield pa.RecordBatch.from_arrays([batch.column("_by"), batch.column("c"), pa.array(told, pa.list_(pa.float64()))], ["_by", "c", "q"])
+
+    kind = T.StructField("_by", df.schema[by].dataType)
+    line = lambda *more: T.StructType([kind, T.StructField("c", T.IntegerType()), *more])
+    numbers = T.StructField("n", T.LongType()), T.StructField("rank", T.LongType()), T.StructField("v", T.DoubleType())
+    rows = running_totals(counts, ["_by", "c"], [F.col("v")], ["n"]).mapInArrow(hold, line(*numbers))
+    held = rows.groupBy("_by", "c").agg(F.max("n").alias("n"), F.collect_list(F.struct("rank", "v")).alias("held"))
+    return held.mapInArrow(join, line(T.StructField("q", T.ArrayType(T.DoubleType())))).withColumnRenamed("_by", by)
+
+
 def interpolated(values: np.ndarray, levels: list[float]) -> list[float]:
     """The quantiles of sorted values, interpolated as ``quantiles`` does; none of none."""
     if not len(values):

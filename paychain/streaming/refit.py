@@ -9,6 +9,8 @@ of rows it is all of them, so that the refit equals one over the whole table.
 Beyond it a quantile's rank is off by no more than ``rank_error``, a share of the rows, with 99 %
 confidence (Dvoretzky, Kiefer and Wolfowitz). Tasks keep the least hashes of what they read before anything is
 shuffled: of a project that has a third of all rows, a task sends no more than the sample.
+
+``write_exact_refits`` keeps all rows as a table instead, and its refits are exact for any number of rows.
 """
 
 from __future__ import annotations
@@ -24,12 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from paychain.jobs.classify_job import ClassifierState
 from paychain.jobs.cluster_job import ClusterState
 from paychain.operators.prep import active_rows, fill_missing
-from paychain.operators.scale import QuantileMap, RobustParams, Whitening, interpolated
+from paychain.operators.scale import QuantileMap, RobustParams, Whitening, group_quantiles, interpolated
+from paychain.sources.scratch import settled
 from paychain.sources.tables import COUNT, FEATURES, INDEX_SCHEMA, KEY, nan_to_null
 
 #: Rows of a project that its state keeps, landmarks of a component at most, and one less the confidence of the stated error.
@@ -122,6 +125,48 @@ def write_refits(refits: DataFrame, path: str, checkpoint: str) -> DataStreamWri
     return refits.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
 
 
+def _exact(rows: DataFrame, whitening: Whitening | None) -> DataFrame:
+    """``REFIT_SCHEMA`` of each project over all of ``rows``."""
+    quarters = group_quantiles(rows, "project", FEATURES, lambda n: [0.25, 0.5, 0.75])
+    place = lambda k: F.array(*(F.coalesce(F.max(F.when(F.col("c") == j, F.get("q", F.lit(k)))), F.lit(0.0)) for j in range(len(FEATURES))))
+    scalers = settled(quarters.groupBy("project").agg(*(place(k).alias(item) for k, item in enumerate(("low", "median", "high")))))
+    told = rows.groupBy("project").agg(F.count("*").alias("n"))
+    same = lambda a, b: a["project"].eqNullSafe(b["project"])
+    found = told.join(scalers, same(told, scalers)).select(told["project"], "n", F.col("n").alias("kept"), F.lit(0.0).alias("rank_error"), "low", "median", "high")
+    none = F.array().cast("array<array<double>>")
+    if whitening is None:
+        return found.withColumn("landmarks", none)
+    get = lambda item, j: F.get(item, F.lit(j))
+    scaled = [(F.col(c) - get("median", j)) / F.coalesce(F.nullif(get("high", j) - get("low", j), F.lit(0.0)), F.lit(1.0)) for j, c in enumerate(FEATURES)]
+    pcs = [sum((F.lit(w) * (x - m) for w, x, m in zip(line, scaled, whitening.mean)), F.lit(0.0)).alias(f"pc{k}") for k, line in enumerate(whitening.rows)]
+    white = rows.join(scalers, same(rows, scalers)).select(rows["project"], *pcs)
+
+    def levels(n: int) -> list[float]:
+        n = max(2, min(LANDMARKS, n))
+        return [k / (n - 1) for k in range(n)]
+
+    marks = group_quantiles(white, "project", [f"pc{k}" for k in range(len(pcs))], levels)
+    marks = marks.groupBy("project").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "q"))), lambda x: x["q"]).alias("landmarks"))
+    return found.join(marks, same(found, marks), "left").select(found["*"], F.coalesce("landmarks", none).alias("landmarks"))
+
+
+def write_exact_refits(arrivals: DataFrame, path: str, kept: str, checkpoint: str, whitening: Whitening | None = None) -> DataStreamWriter:
+    """As ``write_refits``, of refits without error: all active rows stay in a table under ``kept``/batch=N, and of the projects with new
+    rows exact quantiles are sought over all their rows so far, by ranges. The table is the state; it grows with the rows, no task holds a project.
+    """
+    rows = fill_missing(active_rows(arrivals, COUNT), FEATURES).select("project", *FEATURES)
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{kept}/batch={number}")
+        every = spark.read.schema(StructType([*batch.schema, StructField("batch", LongType())])).parquet(kept).where(F.col("batch") <= number)
+        new = every.where(F.col("batch") == number).select(F.col("project").alias("_p")).distinct()
+        known = settled(every.join(new, F.col("project").eqNullSafe(F.col("_p")), "left_semi").drop("batch"))
+        _exact(known, whitening).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+
+
 def latest_refits(spark: SparkSession, path: str) -> DataFrame:
     """The last refit of each project, and the ``batch`` that it is of."""
     found = spark.read.schema(f"{REFIT_SCHEMA}, batch long").parquet(path)

@@ -1,10 +1,14 @@
 """What shows only in larger tables: frames, fits, sums and samples."""
 
 import numpy as np
+from pyspark.sql.types import StringType, StructField, StructType
 
 from paychain.functions import curves
 from paychain.jobs import queries
 from paychain.operators.classify import fit_ovr, ovr_residuals
+from paychain.operators.scale import Whitening
+from paychain.sources.tables import FEATURES, INDEX_SCHEMA
+from paychain.streaming import refit
 
 
 def test_macro_curve_goes_through_its_points_once(spark):
@@ -27,6 +31,25 @@ def test_each_class_against_the_rest_reaches_its_optimum(spark):
     assert len(found) == 3 and all(row["residual"] < 1e-3 for row in found)
 
 
+def test_exact_refits_beyond_the_sample(spark, tmp_path):
+    """A project of more rows than a sample keeps; the null project gets rows in the first part alone."""
+    r, n = np.random.default_rng(7), refit.SAMPLE_ROWS + 2000
+    schema, source, out = StructType([*INDEX_SCHEMA, StructField("project", StringType())]), str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [(str(i), int(i % 13 > 0), float(round(x[0])), None if i % 7 == 0 else float(x[1]), float(x[2]), float(x[3]), "hot" if i % 50 or i > n // 2 else None) for i, x in enumerate(r.normal(size=(n + 2000, 4)))]
+    white = Whitening(tuple(FEATURES), (0.1, -0.2, 0.3, 0.0), (2.0, 1.0), ((0.5, -0.3, 0.2, 0.1), (0.1, 0.9, -0.4, 0.3)))
+    for part in (rows[: n // 2 + 1], rows[n // 2 + 1 :]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(source)
+        query = refit.write_exact_refits(refit.read_project_arrivals(spark, source), out, str(tmp_path / "kept"), str(tmp_path / "log"), white).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+    got = {r["project"]: r for r in refit.latest_refits(spark, out).collect()}
+    assert set(got) == {"hot", None} and got["hot"]["batch"] == 1 and got[None]["batch"] == 0
+    for project, row in got.items():
+        x = np.array([[v or 0.0 for v in q[2:6]] for q in rows if q[1] and q[6] == project])
+        assert row["n"] == row["kept"] == len(x) and row["rank_error"] == 0
+        (low, median, high), marks = refit.refit_rows(np.zeros(len(x), np.int64), x, white)
+        assert np.allclose([row["low"], row["median"], row["high"]], [low, median, high], rtol=1e-12) and np.allclose(row["landmarks"], marks, rtol=1e-9, atol=1e-12)
+
+
 def test_parts_of_a_stream_are_written_by_many_tasks(spark):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
     try:
