@@ -1,12 +1,16 @@
 """What shows only in larger tables: frames, fits, sums and samples."""
 
+from datetime import datetime, timedelta
+
 import numpy as np
+import pytest
 from pyspark.sql.types import StringType, StructField, StructType
 
 from paychain.functions import curves
 from paychain.jobs import queries
 from paychain.operators.classify import fit_ovr, ovr_residuals
 from paychain.operators.scale import Whitening
+from paychain.sources import fixtures
 from paychain.sources.tables import FEATURES, INDEX_SCHEMA
 from paychain.streaming import refit
 
@@ -59,3 +63,16 @@ def test_parts_of_a_stream_are_written_by_many_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert len(spark.read.parquet(path).inputFiles()) > len(parts)
+
+
+def test_equal_pay_days_give_equal_features_in_any_order(spark, tmp_path):
+    """Two hundred chains of the same pay days, their rows shuffled: scores tie only if the features are equal to the last digit."""
+    r, start = np.random.default_rng(8), datetime(1995, 1, 1)
+    days = [int(d) for d in r.integers(1, 2000, 23)]
+    lines = [(c * 100 + i, "R", "O", start + timedelta(days=d)) for c in range(200) for i, d in enumerate(days)]
+    lines = [lines[i] for i in r.permutation(len(lines))]
+    spark.createDataFrame(lines, "l_orderkey long, l_returnflag string, l_linestatus string, l_shipdate timestamp").repartition(7).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(c * 100 + i, c, start) for c in range(200) for i in range(len(days))], "o_orderkey long, o_custkey long, o_orderdate timestamp").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(c,) for c in range(200)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    found = fixtures.chain_features(spark, str(tmp_path)).drop("key").distinct().collect()
+    assert len(found) == 1 and found[0]["std_pay_day"] == pytest.approx(np.std(days, ddof=1), rel=1e-14)
