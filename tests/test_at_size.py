@@ -8,6 +8,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from paychain.functions import curves
 from paychain.jobs import queries
+from paychain.operators import cluster
 from paychain.operators.classify import fit_ovr, ovr_residuals
 from paychain.operators.scale import Whitening
 from paychain.sources import fixtures
@@ -76,3 +77,9 @@ def test_equal_pay_days_give_equal_features_in_any_order(spark, tmp_path):
     spark.createDataFrame([(c,) for c in range(200)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
     found = fixtures.chain_features(spark, str(tmp_path)).drop("key").distinct().collect()
     assert len(found) == 1 and found[0]["std_pay_day"] == pytest.approx(np.std(days, ddof=1), rel=1e-14)
+
+
+def test_attributes_without_values(spark):
+    rows = spark.createDataFrame([(i, None, "ab"[i % 2]) for i in range(6)], "key int, a string, b string")
+    fitted = cluster.fit_prototypes(rows, ["a", "b"], [("x", "a"), ("x", "b")])
+    assert fitted.centres == [(None, "a"), (None, "b")]
