@@ -1,6 +1,8 @@
 """What shows only in larger tables: frames, fits, sums and samples."""
 
+import math
 from datetime import datetime, timedelta
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -83,3 +85,13 @@ def test_attributes_without_values(spark):
     rows = spark.createDataFrame([(i, None, "ab"[i % 2]) for i in range(6)], "key int, a string, b string")
     fitted = cluster.fit_prototypes(rows, ["a", "b"], [("x", "a"), ("x", "b")])
     assert fitted.centres == [(None, "a"), (None, "b")]
+
+
+def test_costs_are_right_to_the_last_digits(spark):
+    """Sums that are rounded after each row drift by many units of the last digit, at size by cents."""
+    i, gamma, centres = np.arange(300_000), 1e6 / 3, [(1234.5, "a"), (7000.25, "b")]
+    x = (i * 7919 % 1_100_003) / 100 - 1000
+    rows = spark.range(len(i), numPartitions=1).selectExpr("id * 7919 % 1100003 / 100D - 1000 AS x", "substr('abc', 1 + int(id % 3), 1) AS a")
+    (cost,) = cluster.fit_prototypes(rows, ["a"], centres, ["x"], gamma, max_iter=1, fixed=True).costs
+    paid = np.min([(x - c) ** 2 + gamma * (i % 3 != j) for j, (c, _) in enumerate(centres)], 0)
+    assert abs(Fraction(cost) - sum(map(Fraction, paid.tolist()))) <= 2 * Fraction(math.ulp(cost))
